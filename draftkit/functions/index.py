@@ -46,20 +46,26 @@ def dense_index(df: DataFrame, order_cols, name: str = "row_idx") -> DataFrame:
     return out.drop("_pid", "_mid", "_off")
 
 
-def running_sum(df: DataFrame, keys, order_col: str, value, out: str,
-                inclusive: bool = False, bucket_width: int = 4096) -> DataFrame:
+def running_sum(df: DataFrame, keys, order_cols, value, out: str,
+                inclusive: bool = False, bucket: Column | None = None,
+                bucket_width: int = 4096) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys``
-    group in ``order_col`` order (``inclusive`` adds the row itself).
+    group in ``order_cols`` order (``inclusive`` adds the row itself).
 
-    ``order_col`` must be an integer column unique within a group.  Groups
-    are cut into buckets of ``bucket_width`` consecutive ordering values so
-    that no single window partition holds a whole hot group.
+    Groups are cut into buckets -- ``bucket`` if given (any expression that
+    is monotone in the order, e.g. an hour number), else
+    ``floor(first order column / bucket_width)`` -- so that no single window
+    partition holds a whole hot group.  The order must be total within a
+    group.
     """
     keys = list(keys)
+    order_cols = [order_cols] if isinstance(order_cols, (str, Column)) else list(order_cols)
     v = value if isinstance(value, Column) else F.col(value)
-    b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
-    d = df.withColumn("_v", v.cast("bigint")).withColumn("_b", b)
-    w_local = (Window.partitionBy(*keys, "_b").orderBy(order_col)
+    if bucket is None:
+        first = order_cols[0] if isinstance(order_cols[0], Column) else F.col(order_cols[0])
+        bucket = F.floor(first / F.lit(bucket_width))
+    d = df.withColumn("_v", v.cast("bigint")).withColumn("_b", bucket.cast("bigint"))
+    w_local = (Window.partitionBy(*keys, "_b").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_loc", F.sum("_v").over(w_local))
     tot = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))

@@ -44,9 +44,5 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def r6(c):
-    return F.round(c.cast("double") if not isinstance(c, str) else F.col(c).cast("double"), 6)
-
-
 # Query modules register themselves on import.
-from draftkit.plans import q_prepare  # noqa: E402,F401
+from draftkit.plans import q_prepare, q_sample  # noqa: E402,F401

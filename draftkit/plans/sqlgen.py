@@ -66,3 +66,88 @@ toks AS (
   SELECT conv_id, ord, start + i - 1 AS pos, tokens[i] AS token,
          (role = 'assistant' AND i > np AND i <= np + nb) AS trainable
   FROM ex WHERE start + i - 1 < {max_length})"""
+
+
+# ---------------------------------------------------------------- derived
+def hx(expr: str, n: int = 8) -> str:
+    """First ``n`` hex digits of ``md5(expr)`` as an integer."""
+    return f"CAST(('0x' || substr(md5({expr}), 1, {n})) AS BIGINT)"
+
+
+def sample_tokens_ctes(max_length: int = 256, vocab: int = 50000) -> str:
+    """CTEs ending in ``stok(sample_idx, pos, token, mask)`` and
+    ``samples(sample_idx, input_ids, loss_mask, seq_len)``."""
+    return turn_tokens_ctes("chatml", max_length) + f""",
+stok AS (SELECT conv_id AS sample_idx, pos, {hx('token', 6)} % {vocab} AS token, trainable AS mask FROM toks),
+samples AS (
+  SELECT sample_idx, list(token ORDER BY pos) AS input_ids, list(mask ORDER BY pos) AS loss_mask,
+         count(*) AS seq_len FROM stok GROUP BY sample_idx)"""
+
+
+def scrape_cte(name: str, where: str = "TRUE") -> str:
+    """``name(subset, name, position, value)`` from events."""
+    return f"""
+{name}_g AS (
+  SELECT event_type AS subset, count(*)::DOUBLE AS d,
+         sum(floor(value)::BIGINT % 4)::DOUBLE AS acc,
+         count(*) FILTER (WHERE floor(value)::BIGINT % 4 > 0)::DOUBLE AS p0,
+         count(*) FILTER (WHERE floor(value)::BIGINT % 4 > 1)::DOUBLE AS p1,
+         count(*) FILTER (WHERE floor(value)::BIGINT % 4 > 2)::DOUBLE AS p2
+  FROM events WHERE {where} GROUP BY event_type),
+{name} AS (
+  SELECT subset, 'vllm:spec_decode_num_drafts' AS name, NULL::INTEGER AS position, d AS value FROM {name}_g
+  UNION ALL SELECT subset, 'vllm:spec_decode_num_draft_tokens', NULL, 3 * d FROM {name}_g
+  UNION ALL SELECT subset, 'vllm:spec_decode_num_accepted_tokens', NULL, acc FROM {name}_g
+  UNION ALL SELECT subset, 'vllm:spec_decode_num_accepted_tokens_per_pos', 0, p0 FROM {name}_g
+  UNION ALL SELECT subset, 'vllm:spec_decode_num_accepted_tokens_per_pos', 1, p1 FROM {name}_g
+  UNION ALL SELECT subset, 'vllm:spec_decode_num_accepted_tokens_per_pos', 2, p2 FROM {name}_g)"""
+
+
+def predictions_ctes(seed: int = 42, steps: int = 3) -> str:
+    """After ``sample_tokens_ctes``: ``preds(sample_idx, pos, step, target, mask, pred)``."""
+    return f""",
+pbase AS (SELECT sample_idx, pos, unnest(generate_series(0, {steps - 1})) AS step FROM stok),
+preds AS (
+  SELECT b.sample_idx, b.pos, b.step::INTEGER AS step, t.token AS target, t.mask,
+         CASE WHEN {hx(f"concat_ws(':', '{seed}', b.sample_idx::VARCHAR, b.pos::VARCHAR, b.step::VARCHAR)")} % 4 > 0
+              THEN t.token ELSE t.token + 1 END AS pred
+  FROM pbase b JOIN stok t ON t.sample_idx = b.sample_idx AND t.pos = b.pos + b.step)"""
+
+
+def logit_pairs_cte(lag: int = 1) -> str:
+    return f"""
+pairs AS (
+  SELECT a.vec_id, a.label, list_transform(a.embedding, x -> x::DOUBLE) AS draft,
+         list_transform(b.embedding, x -> x::DOUBLE) AS target
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + {lag})"""
+
+
+LSE = "(list_max({a}) + ln(list_sum(list_transform({a}, x -> exp(x - list_max({a}))))))"
+
+
+def lse(a: str) -> str:
+    return LSE.format(a=a)
+
+
+def argmax_sql(a: str) -> str:
+    return f"(list_position({a}, list_max({a})) - 1)"
+
+
+def metric_log_cte() -> str:
+    return """
+mlog_g AS (
+  SELECT datediff('day', DATE '2024-01-01', ts::DATE) AS epoch, hour(ts) AS batch, event_type,
+         sum(value) AS s, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+mlog AS (
+  SELECT epoch, batch, event_type || '_sum' AS name, s AS value FROM mlog_g
+  UNION ALL SELECT epoch, batch, event_type || '_total', n FROM mlog_g
+  UNION ALL SELECT datediff('day', DATE '2024-01-01', ts::DATE), hour(ts), 'lr', avg(value) FROM events GROUP BY 1, 2)"""
+
+
+def sweep_points_cte() -> str:
+    return """
+sweep AS (
+  SELECT (user_id % 2)::VARCHAR AS label, 'run_' || event_type AS subset,
+         CASE WHEN hour(date_trunc('hour', ts)) = 0 THEN 'throughput' ELSE 'constant' END AS strategy,
+         count(*)::DOUBLE AS x, median(value) AS y
+  FROM events GROUP BY (user_id % 2), event_type, date_trunc('hour', ts))"""

@@ -19,9 +19,12 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.ansi.enabled": "false",
-    # Broadcasts happen only where the code proves a size bound
-    # (functions.joins.checked_broadcast_join); never by estimate alone.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from plan-time estimates.  Explicit broadcasts sit behind a
+    # size check (functions.joins.checked_broadcast_join) or a bound by
+    # construction; AQE may still switch a join to broadcast from the
+    # *measured* size of a finished shuffle stage.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 
