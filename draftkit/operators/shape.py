@@ -113,8 +113,11 @@ def collate(members: DataFrame, spine: DataFrame | None, max_len: int, arrays: l
     if spine is not None:
         g = spine.select(batch_col).distinct().join(g, batch_col, "left")
     cols = [batch_col]
+
+    def field(name):
+        return lambda x: x[name]
     for a in arrays:
-        flat = F.coalesce(F.flatten(F.transform("_m", lambda x, a=a: x[a])), F.array())
+        flat = F.coalesce(F.flatten(F.transform("_m", field(a))), F.array())
         cols.append(pad_or_cut(flat, max_len, pads.get(a, 0)).alias(a))
     lengths = F.coalesce(F.transform("_m", lambda x: F.size(x[arrays[0]])), F.array().cast("array<int>"))
     cols.append(lengths.alias("raw_lengths"))

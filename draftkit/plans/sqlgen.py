@@ -58,12 +58,12 @@ tk AS (
          len(p) AS np, len(b) AS nb, len(s) AS ns FROM tt),
 st AS (
   SELECT *, coalesce(sum(np + nb + ns) OVER (PARTITION BY conv_id ORDER BY ord
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM tk),
 ex AS (
   SELECT conv_id, ord, role, start, np, nb, tokens, unnest(generate_series(1, len(tokens))) AS i FROM st),
 toks AS (
-  SELECT conv_id, ord, start + i - 1 AS pos, tokens[i] AS token,
+  SELECT conv_id, ord, (start + i - 1)::BIGINT AS pos, tokens[i] AS token,
          (role = 'assistant' AND i > np AND i <= np + nb) AS trainable
   FROM ex WHERE start + i - 1 < {max_length})"""
 
@@ -81,7 +81,7 @@ def sample_tokens_ctes(max_length: int = 256, vocab: int = 50000) -> str:
 stok AS (SELECT conv_id AS sample_idx, pos, {hx('token', 6)} % {vocab} AS token, trainable AS mask FROM toks),
 samples AS (
   SELECT sample_idx, list(token ORDER BY pos) AS input_ids, list(mask ORDER BY pos) AS loss_mask,
-         count(*) AS seq_len FROM stok GROUP BY sample_idx)"""
+         count(*)::BIGINT AS seq_len FROM stok GROUP BY sample_idx)"""
 
 
 def scrape_cte(name: str, where: str = "TRUE") -> str:
@@ -117,12 +117,12 @@ preds AS (
 def logit_pairs_cte(lag: int = 1) -> str:
     return f"""
 pairs AS (
-  SELECT a.vec_id, a.label, list_transform(a.embedding, x -> x::DOUBLE) AS draft,
-         list_transform(b.embedding, x -> x::DOUBLE) AS target
+  SELECT a.vec_id, a.label, list_transform(a.embedding, lambda x: x::DOUBLE) AS draft,
+         list_transform(b.embedding, lambda x: x::DOUBLE) AS target
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + {lag})"""
 
 
-LSE = "(list_max({a}) + ln(list_sum(list_transform({a}, x -> exp(x - list_max({a}))))))"
+LSE = "(list_max({a}) + ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a}))))))"
 
 
 def lse(a: str) -> str:
