@@ -54,7 +54,7 @@ def parse_counter_lines(lines: DataFrame, key_cols: list[str], line_col: str = "
     labels = F.when(is_simple, F.lit(None)).otherwise(F.regexp_extract(line, RE_LABELED, 2))
     val_txt = F.when(is_simple, F.regexp_extract(line, RE_SIMPLE, 2)).otherwise(F.regexp_extract(line, RE_LABELED, 3))
     d = lines.select(*key_cols, name_raw.alias("_raw"), labels.alias("_labels"),
-                     F.expr(f"try_cast({val_txt._jc.toString()} AS DOUBLE)").alias("value"))
+                     val_txt.try_cast("double").alias("value"))
     d = d.filter((F.col("_raw") != "") & F.col("_raw").contains(SPEC_PREFIX) & F.col("value").isNotNull())
     d = d.withColumn("name", F.regexp_replace("_raw", "_total", ""))
     pos = F.regexp_extract(F.coalesce(F.col("_labels"), F.lit("")), r'position="(\d+)"', 1)

@@ -200,7 +200,7 @@ def rewrite_path(col: Column | str, strip_prefix: str, base_dir: str) -> Column:
     """Drop ``strip_prefix`` and put ``base_dir`` in front."""
     c = col if isinstance(col, Column) else F.col(col)
     base = base_dir if base_dir.endswith("/") else base_dir + "/"
-    stripped = F.when(c.startswith(strip_prefix), F.expr(f"substr({c._jc.toString()}, {len(strip_prefix) + 1})")).otherwise(c)
+    stripped = F.when(c.startswith(strip_prefix), c.substr(F.lit(len(strip_prefix) + 1), F.length(c))).otherwise(c)
     return F.concat(F.lit(base), stripped)
 
 

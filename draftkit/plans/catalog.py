@@ -45,4 +45,4 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 # Query modules register themselves on import.
-from draftkit.plans import q_prepare, q_sample, q_shape, q_metrics  # noqa: E402,F401
+from draftkit.plans import q_prepare, q_sample, q_shape, q_metrics, q_evals  # noqa: E402,F401

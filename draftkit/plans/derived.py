@@ -65,7 +65,7 @@ def baseline_scrape(spark: SparkSession, sf: str) -> DataFrame:
     subset ``view`` missing (exercises the zero-extension)."""
     ev = table(spark, sf, "events").filter(F.col("ts") < F.lit(BASELINE_INSTANT).cast("timestamp_ntz"))
     s = _event_scrape(ev)
-    return s.filter(~((F.col("subset") == "view") & (F.col("position") == 2)))
+    return s.filter(~((F.col("subset") == "view") & F.col("position").eqNullSafe(2)))
 
 
 def counter_lines(spark: SparkSession, sf: str) -> DataFrame:
