@@ -59,9 +59,15 @@ def argmax(arr) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
+def _lse_step(acc, x):
+    """Online log-sum-exp: keep (running max, sum of exp(x - max))."""
+    m = F.greatest(acc["m"], x)
+    return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("s"))
+
+
 def logsumexp(arr) -> Column:
-    """``log(sum(exp(v)))`` with the maximum subtracted first."""
-    a = _c(arr)
-    m = F.array_max(a)
-    s = F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x.cast("double") - m))
-    return m + F.log(s)
+    """``log(sum(exp(v)))`` in one pass (running maximum, rescaled sum), so
+    no element is visited twice and ``exp`` never overflows."""
+    a = F.transform(_c(arr), lambda x: x.cast("double"))
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+    return F.aggregate(a, init, _lse_step, lambda acc: acc["m"] + F.log(acc["s"]))

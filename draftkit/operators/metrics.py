@@ -21,11 +21,28 @@ def argmax_id(logits: Column) -> Column:
     return argmax(logits)
 
 
+def _kl_step(acc, z):
+    t, d = z["t"], z["d"]
+    mt = F.greatest(acc["mt"], t)
+    md = F.greatest(acc["md"], d)
+    scale = F.exp(acc["mt"] - mt)
+    e = F.exp(t - mt)
+    return F.struct(mt.alias("mt"), (acc["st"] * scale + e).alias("st"),
+                    (acc["w"] * scale + e * (t - d)).alias("w"),
+                    md.alias("md"), (acc["sd"] * F.exp(acc["md"] - md) + F.exp(d - md)).alias("sd"))
+
+
 def kl_div(draft: Column, target: Column) -> Column:
-    """M5: ``KL(softmax(target) || softmax(draft))`` for one position."""
-    ld, lt = logsumexp(draft), logsumexp(target)
-    terms = F.zip_with(target, draft, lambda t, d: F.exp(t.cast("double") - lt) * ((t.cast("double") - lt) - (d.cast("double") - ld)))
-    return F.aggregate(terms, F.lit(0.0).cast("double"), lambda a, x: a + x)
+    """M5: ``KL(softmax(target) || softmax(draft))`` for one position.
+
+    ``KL = sum p_i (t_i - d_i) - lse(t) + lse(d)`` with ``p = softmax(t)``;
+    one pass over both arrays keeps running maxima and rescaled sums
+    (online softmax), so each element is read once."""
+    z = F.zip_with(target, draft, lambda t, d: F.struct(t.cast("double").alias("t"), d.cast("double").alias("d")))
+    inf = F.lit(float("-inf"))
+    init = F.struct(inf.alias("mt"), F.lit(0.0).alias("st"), F.lit(0.0).alias("w"),
+                    inf.alias("md"), F.lit(0.0).alias("sd"))
+    return F.aggregate(z, init, _kl_step, lambda a: a["w"] / a["st"] - (a["mt"] + F.log(a["st"])) + (a["md"] + F.log(a["sd"])))
 
 
 def cross_entropy(draft: Column, target: Column) -> Column:

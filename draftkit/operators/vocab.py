@@ -40,15 +40,18 @@ def top_k(freq: DataFrame, k: int) -> DataFrame:
 
 
 def pad_selection(selected: DataFrame, k: int) -> DataFrame:
-    """V4: fill up to ``k`` ids with the smallest unused ids in ``[0, k)``."""
+    """V4: fill up to ``k`` ids with the smallest unused ids in ``[0, k)``.
+
+    Lazy, no join and no driver round trip: the selection (at most ``k``
+    rows, first) and the unused ids of ``[0, k)`` (after) are numbered in one
+    window over at most ``2k`` rows; the first ``k`` are kept."""
     spark = selected.sparkSession
     sel = selected.select("token_id")
-    n = sel.count()  # a scalar; at most k
-    if n >= k:
-        return sel
     unused = (spark.range(k).select(F.col("id").cast("int").alias("token_id"))
-              .join(sel, "token_id", "left_anti").orderBy("token_id").limit(k - n))
-    return sel.unionByName(unused)
+              .join(sel, "token_id", "left_anti"))
+    both = sel.withColumn("_pad", F.lit(0)).unionByName(unused.withColumn("_pad", F.lit(1)))
+    w = Window.orderBy("_pad", "token_id")
+    return both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).select("token_id")
 
 
 def draft_to_target(selected: DataFrame) -> DataFrame:

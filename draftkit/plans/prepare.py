@@ -39,14 +39,13 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
     ``(draft_id, target_id, offset, token, freq)``.
     """
     toks = corpus_tokens(conversations, template, max_length)
-    vocab = TK.build_vocabulary(toks)
-    masked = toks.filter("trainable").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    # Both sides are distinct-token sized (bounded by the target vocabulary).
-    freq = masked.join(vocab.select("token", "token_id"), "token").select("token_id", "freq")
+    # One pass over the token rows: total counts (ids) and trainable counts
+    # (V1) together; the vocabulary is checkpointed, later steps read only it.
+    vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
+    freq = vocab.filter(F.col("freq") > 0).select("token_id", "freq")
     sel = V.pad_selection(V.top_k(freq, draft_vocab_size), draft_vocab_size)
     d2t = V.draft_to_target(sel)
-    return (d2t.join(freq.withColumnRenamed("token_id", "target_id"), "target_id", "left")
-               .join(vocab.select(F.col("token_id").alias("target_id"), "token"), "target_id", "left")
+    return (d2t.join(vocab.select(F.col("token_id").alias("target_id"), "token", "freq"), "target_id", "left")
                .select("draft_id", "target_id", "offset", "token",
                        F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq")))
 
