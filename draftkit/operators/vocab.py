@@ -97,15 +97,17 @@ def build_maps(freq: DataFrame, draft_vocab_size: int, target_vocab_size: int):
 
 
 def resolve_maps(d2t_path: str | None, t2d_path: str | None, cache_dir: str | None,
-                 freq_path: str | None) -> str:
+                 freq_path: str | None, exists=os.path.exists) -> str:
     """V9: lookup order explicit pair -> cached pair -> rebuild from
-    frequencies -> none (full vocabulary).  Only one of a pair is an error."""
+    frequencies -> none (full vocabulary).  Only one of a pair is an error.
+    ``exists`` checks a path (pass ``sources.readers.path_exists`` bound to a
+    session for cluster file systems)."""
     if bool(d2t_path) != bool(t2d_path):
         raise ValueError("give both d2t and t2d, or neither")
     if d2t_path:
         return "explicit"
-    if cache_dir and os.path.exists(os.path.join(cache_dir, "d2t", "_SUCCESS")) and \
-            os.path.exists(os.path.join(cache_dir, "t2d", "_SUCCESS")):
+    if cache_dir and exists(cache_dir.rstrip("/") + "/d2t/_SUCCESS") and \
+            exists(cache_dir.rstrip("/") + "/t2d/_SUCCESS"):
         return "cached"
     if freq_path:
         return "rebuild"

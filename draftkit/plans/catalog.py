@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from draftkit.plans.tables import table  # noqa: E402,F401  (re-exported)
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -27,10 +29,6 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def finalize(df: DataFrame) -> DataFrame:
     """Integers -> bigint, floats -> double (result convention)."""
     cols = []
@@ -45,4 +43,4 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 # Query modules register themselves on import.
-from draftkit.plans import q_prepare, q_sample, q_shape, q_metrics, q_evals, q_pack, q_stream  # noqa: E402,F401
+from draftkit.plans import q_prepare, q_sample, q_shape, q_metrics, q_evals, q_pack, q_stream, q_more  # noqa: E402,F401

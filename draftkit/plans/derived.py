@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from draftkit.operators.evals import N_ACCEPTED, N_DRAFT_TOKENS, N_DRAFTS, N_PER_POS
 from draftkit.plans import prepare as P
-from draftkit.plans.catalog import table
+from draftkit.plans.tables import table
 
 HASH_VOCAB = 50000
 SAMPLE_MAXLEN = 256

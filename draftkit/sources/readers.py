@@ -3,7 +3,6 @@ sweep CSV, counter text.  Every reader passes an explicit schema."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -68,9 +67,9 @@ def prompts_of(df: DataFrame, source: PromptSource) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".parquet") or os.path.isdir(path):
-        return spark.read.parquet(path)
-    return read_conversations(spark, path)
+    if path.endswith(".json") or path.endswith(".jsonl"):
+        return read_conversations(spark, path)
+    return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------------ S5
@@ -173,10 +172,18 @@ def read_labelled(spark: SparkSession, specs: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through the Hadoop file system of the path (local, HDFS,
+    object stores alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_counter_text(spark: SparkSession, path: str) -> DataFrame:
     """Counter exposition text, one row per line; a missing file gives
     an empty table."""
-    if not os.path.exists(path.replace("file://", "")):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "value string")
     return spark.read.text(path)
 

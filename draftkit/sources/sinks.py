@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftkit import schemas
+from draftkit.sources.readers import path_exists
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return p.getFileSystem(conf).exists(p)
+    """A finished Spark write leaves ``_SUCCESS``."""
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def write_prepared(df: DataFrame, path: str, overwrite: bool = False) -> bool:
