@@ -29,6 +29,13 @@ def register(name: str, sql: str | None):
     return deco
 
 
+def round6(c):
+    """Round to 6 places with one IEEE formula that DuckDB evaluates the same
+    way (``floor(x * 1e6 + 0.5) / 1e6``); engine ``round`` functions differ
+    on near-ties."""
+    return F.floor(c.cast("double") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
 def finalize(df: DataFrame) -> DataFrame:
     """Integers -> bigint, floats -> double (result convention)."""
     cols = []

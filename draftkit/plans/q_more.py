@@ -14,7 +14,7 @@ from draftkit.operators import tokens as TK
 from draftkit.operators import vocab as V
 from draftkit.plans import derived as D
 from draftkit.plans import prepare as P
-from draftkit.plans.catalog import register, table
+from draftkit.plans.catalog import round6, register, table
 from draftkit.plans.sqlgen import TOKEN_RE, role_case, scrape_cte, sweep_points_cte, turn_tokens_ctes
 from draftkit.sources import readers as S
 from draftkit.sources import sinks as SK
@@ -240,7 +240,7 @@ def s8(spark, sf):
 
 _PTS_SQL = f"""
 WITH {sweep_points_cte()}
-SELECT label, regexp_replace(subset, '^run_', '') AS subset, x, round(y, 6) AS y FROM sweep WHERE strategy = 'constant'"""
+SELECT label, regexp_replace(subset, '^run_', '') AS subset, x, (floor((y) * 1e6 + 0.5) / 1e6) AS y FROM sweep WHERE strategy = 'constant'"""
 
 
 @register("S14_S15_S16_S18_sweep_csv", _PTS_SQL)
@@ -255,7 +255,7 @@ def s14(spark, sf):
         specs.append(f"{label}={path}")
     got = S.read_labelled(spark, specs)
     p = E.chart_points(got, "latency", "rps_median")
-    return p.select("label", "subset", "x", F.round("y", 6).alias("y"))
+    return p.select("label", "subset", "x", round6(F.col("y")).alias("y"))
 
 
 @register("S17_counter_text", f"""

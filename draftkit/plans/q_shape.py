@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from draftkit.functions.arrays import join_ints
 from draftkit.operators import shape as Q
 from draftkit.plans import derived as D
-from draftkit.plans.catalog import register, table
+from draftkit.plans.catalog import round6, register, table
 from draftkit.plans.sqlgen import hx, sample_tokens_ctes
 
 SEED = 42
@@ -82,12 +82,12 @@ def _emb_long(spark, sf):
 WITH {_EMB_LONG},
 g AS (SELECT sample_idx, pos, list(vec ORDER BY layer) AS l FROM hl GROUP BY sample_idx, pos)
 SELECT sample_idx, pos, (len(l) - 1) * len(l[1]) AS n_hidden,
-       round(list_sum(flatten(l[1:len(l) - 1])), 6) AS hidden_sum,
-       round(list_sum(l[len(l)]), 6) AS last_sum
+       (floor((list_sum(flatten(l[1:len(l) - 1]))) * 1e6 + 0.5) / 1e6) AS hidden_sum,
+       (floor((list_sum(l[len(l)])) * 1e6 + 0.5) / 1e6) AS last_sum
 FROM g""")
 def q3(spark, sf):
     d = Q.split_layers_long(_emb_long(spark, sf))
-    tot = lambda c: F.round(F.aggregate(F.col(c), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 6)
+    tot = lambda c: round6(F.aggregate(F.col(c), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")))
     return d.select("sample_idx", "pos", F.size("hidden_states").cast("bigint").alias("n_hidden"),
                     tot("hidden_states").alias("hidden_sum"), tot("verifier_last_hidden_states").alias("last_sum"))
 
@@ -95,25 +95,25 @@ def q3(spark, sf):
 @register("Q4_split_layers_nested", f"""
 WITH {_EMB_LONG},
 g AS (SELECT sample_idx, pos, list(vec ORDER BY layer) AS l FROM hl GROUP BY sample_idx, pos)
-SELECT sample_idx, pos, round(list_sum(flatten(l[1:len(l) - 1])), 6) AS hidden_sum,
-       round(list_sum(l[len(l)]), 6) AS last_sum FROM g""")
+SELECT sample_idx, pos, (floor((list_sum(flatten(l[1:len(l) - 1]))) * 1e6 + 0.5) / 1e6) AS hidden_sum,
+       (floor((list_sum(l[len(l)])) * 1e6 + 0.5) / 1e6) AS last_sum FROM g""")
 def q4(spark, sf):
     e = _emb_long(spark, sf)
     nested = e.groupBy("sample_idx", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "vec"))).alias("_l"))
     nested = nested.select("sample_idx", "pos", F.transform("_l", lambda x: x["vec"]).alias("layers"))
     hid, last = Q.split_layers_nested(F.col("layers"))
-    tot = lambda c: F.round(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 6)
+    tot = lambda c: round6(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")))
     return nested.select("sample_idx", "pos", tot(hid).alias("hidden_sum"), tot(last).alias("last_sum"))
 
 
 @register("Q8_uniform_noise", f"""
 WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings)
-SELECT vec_id, round(sum(x + 2.0 * ({hx("concat_ws(':', '42', vec_id::VARCHAR, i::VARCHAR)")} / 4294967296.0 - 0.5) * 0.05), 6) AS noisy_sum
+SELECT vec_id, (floor((sum(x + 2.0 * ({hx("concat_ws(':', '42', vec_id::VARCHAR, i::VARCHAR)")} / 4294967296.0 - 0.5) * 0.05)) * 1e6 + 0.5) / 1e6) AS noisy_sum
 FROM e GROUP BY vec_id""")
 def q8(spark, sf):
     e = table(spark, sf, "embeddings")
     n = Q.uniform_noise(F.col("embedding"), SEED, F.col("vec_id"), 0.05)
-    return e.select("vec_id", F.round(F.aggregate(n, F.lit(0.0).cast("double"), lambda a, x: a + x), 6).alias("noisy_sum"))
+    return e.select("vec_id", round6(F.aggregate(n, F.lit(0.0).cast("double"), lambda a, x: a + x)).alias("noisy_sum"))
 
 
 _BATCH = f"""
