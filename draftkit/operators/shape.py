@@ -281,3 +281,135 @@ def cod_inputs(samples: DataFrame, tokens: DataFrame, mask_token_id: int, key: s
 
 
 ARRAY_INT = T.ArrayType(T.IntegerType())
+
+
+# ====================================================================
+# Array forms.  A prepared sample is one row whose arrays are bounded by
+# the maximum sequence length, so the per-sample operators below are narrow
+# transformations (no shuffle): positions come from ``sequence``, lookups
+# from ``element_at``, random choices from sorting keyed md5 draws inside
+# the row.  Outputs are long form via ``inline``.
+# ====================================================================
+def _key_hash(seed, key: Column, *parts) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), *[p.cast("string") for p in parts]))
+
+
+def mtp_steps_arrays(samples: DataFrame, num_steps: int, key: str = "sample_idx", ids: str = "input_ids",
+                     mask: str = "loss_mask") -> DataFrame:
+    """Q15 on sample arrays: for step ``k`` and ``t < n - k - 2`` the input
+    token at ``t+k+1`` and the target at ``t+k+2`` (``-100`` where masked
+    out)."""
+    a, m = F.col(ids), F.col(mask).cast("array<boolean>")
+
+    def step(k):
+        def f(t):
+            return F.struct(t.cast("long").alias("pos"), F.lit(k).alias("step"),
+                            F.element_at(a, t + (k + 2)).alias("input_token"),
+                            F.when(F.element_at(m, t + (k + 3)), F.element_at(a, t + (k + 3)))
+                             .otherwise(F.lit(IGNORE_INDEX)).alias("target"))
+        return f
+    rows = F.concat(*[F.transform(positions(F.size(a) - (k + 2)), step(k)) for k in range(num_steps)])
+    return samples.select(key, F.inline(rows))
+
+
+def step_alignment_arrays(samples: DataFrame, k: int, key: str = "sample_idx", target: str = "input_ids",
+                          mask: str = "loss_mask") -> DataFrame:
+    """Q16 on sample arrays: position ``t`` against ``target[t+k]`` and
+    ``mask[t+k]``; positions without a partner are dropped."""
+    a, m = F.col(target), F.col(mask)
+    rows = F.transform(positions(F.size(a) - k), lambda t: F.struct(
+        t.cast("long").alias("pos"), F.element_at(a, t + (k + 1)).alias("target_k"),
+        F.element_at(m, t + (k + 1)).alias("mask_k")))
+    return samples.select(key, F.inline(rows))
+
+
+def anchors_arrays(samples: DataFrame, num_anchors: int, block_size: int, seed: int,
+                   key: str = "sample_idx", mask: str = "loss_mask") -> DataFrame:
+    """Q17 on sample arrays: adds ``anchors`` = ``num_anchors`` slots
+    ``struct(slot, anchor, valid)``: trainable positions outside the last
+    ``block_size`` positions, chosen by smallest keyed draw; missing slots
+    are ``(0, false)``."""
+    if block_size <= 0:
+        raise ValueError("block size must be > 0")
+    m = F.col(mask).cast("array<boolean>")
+    k = F.col(key)
+    cand = F.filter(positions(F.size(m) - block_size), lambda p: F.element_at(m, p + 1))
+    keyed = F.transform(cand, lambda p: F.struct(_key_hash(seed, k, p).alias("h"), p.alias("p")))
+    d = samples.withColumn("_picked", F.transform(F.slice(F.array_sort(keyed), 1, num_anchors), lambda x: x["p"]))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(num_anchors - 1)), lambda i: F.struct(
+        i.alias("slot"), F.coalesce(F.try_element_at(F.col("_picked"), i + 1), F.lit(0)).alias("anchor"),
+        (i < F.size("_picked")).alias("valid")))
+    return d.withColumn("anchors", slots).drop("_picked")
+
+
+def block_targets_arrays(with_anchors: DataFrame, block_size: int, mask_token_id: int, key: str = "sample_idx",
+                         ids: str = "input_ids", mask: str = "loss_mask") -> DataFrame:
+    """Q18-Q21 on sample arrays: block positions ``anchor + 0..b-1`` (out of
+    range fails the job), block loss mask (base mask, 0 for padded anchors
+    and at offset 0), block inputs (mask token except the anchor's own
+    token) and targets rolled right by one with wrap-around."""
+    a, m = F.col(ids), F.col(mask).cast("array<boolean>")
+    n = F.size(a)
+
+    def per_anchor(s):
+        def per_offset(o):
+            pos = s["anchor"] + o
+            bad = (pos < 0) | (pos >= n)
+            pos_chk = F.when(bad, F.raise_error(F.lit("anchor block out of range")).cast("int")).otherwise(pos)
+            return F.struct(
+                s["slot"].alias("slot"), o.alias("offset"), pos_chk.alias("position"),
+                F.when((o == 0) | ~s["valid"], F.lit(0)).otherwise(F.element_at(m, pos_chk + 1).cast("int")).alias("block_mask"),
+                F.when(o == 0, F.element_at(a, pos_chk + 1)).otherwise(F.lit(mask_token_id)).alias("block_input"),
+                F.element_at(a, F.pmod(pos_chk - 1, n) + 1).alias("target"))
+        return F.transform(F.sequence(F.lit(0), F.lit(block_size - 1)), per_offset)
+    rows = F.flatten(F.transform(F.col("anchors"), per_anchor))
+    return with_anchors.select(key, F.inline(rows))
+
+
+def cod_sample_arrays(samples: DataFrame, num_depths: int, ratio: float, ratio_min: float, seed: int,
+                      key: str = "sample_idx", ids: str = "input_ids", mask: str = "loss_mask",
+                      mask_token_id: int | None = None, filter_position_zero: bool = True) -> DataFrame:
+    """Q22 (+ Q23 with ``mask_token_id``) on sample arrays.
+
+    Depth 0 keeps every position; depth ``d`` keeps
+    ``int(max(0, V - d) * max(ratio^d, ratio_min))`` positions of the pool
+    (smallest keyed draws; the whole pool when smaller), V = trainable
+    count; the next pool is ``(chosen + 1) mod n`` (without 0 if filtered)
+    restricted to trainable positions.  One ``withColumn`` per depth keeps
+    each depth's pool materialised inside the row.  Output rows
+    ``(key, anchor, depth[, position, input_token, mask])``.
+    """
+    a, m = F.col(ids), F.col(mask).cast("array<boolean>")
+    k = F.col(key)
+    n = F.size(a)
+    d = samples.withColumn("_v", F.filter(positions(n), lambda p: F.element_at(m, p + 1)))
+    d = d.withColumn("_pool", F.col("_v"))
+    outs = ["_o0"]
+    d = d.withColumn("_o0", F.transform(positions(n), lambda p: F.struct(p.alias("anchor"), F.lit(0).alias("depth"))))
+    for depth in range(1, num_depths):
+        size = F.floor(F.greatest(F.size("_v") - depth, F.lit(0)) * F.lit(float(max(ratio ** depth, ratio_min)))).cast("int")
+        keyed = F.transform(F.col("_pool"), _cod_key(seed, k, F.lit(depth)))
+        picked = F.array_sort(F.transform(F.slice(F.array_sort(keyed), 1, F.greatest(size, F.lit(0))), lambda x: x["p"]))
+        chosen = (F.when(size <= 0, F.array().cast("array<int>"))
+                   .when(F.size("_pool") >= size, picked).otherwise(F.col("_pool")))
+        d = d.withColumn("_c", chosen)
+        d = d.withColumn(f"_o{depth}", F.transform(F.col("_c"), _cod_out(depth)))
+        outs.append(f"_o{depth}")
+        nxt = F.transform(F.col("_c"), lambda p: F.pmod(p + 1, n))
+        keep = (lambda p: (p != 0) & F.element_at(m, p + 1)) if filter_position_zero else (lambda p: F.element_at(m, p + 1))
+        d = d.withColumn("_pool", F.filter(nxt, keep)).drop("_c")
+    rows = F.concat(*[F.col(o) for o in outs])
+    if mask_token_id is not None:
+        rows = F.transform(rows, lambda r: F.struct(
+            r["anchor"].alias("anchor"), r["depth"].alias("depth"), (r["anchor"] + r["depth"]).alias("position"),
+            F.when(r["depth"] == 0, F.try_element_at(a, r["anchor"] + 1)).otherwise(F.lit(mask_token_id)).alias("input_token"),
+            F.coalesce(F.try_element_at(m, r["anchor"] + r["depth"] + 1), F.lit(False)).alias("mask")))
+    return d.select(key, F.inline(rows))
+
+
+def _cod_key(seed, k, dl):
+    return lambda p: F.struct(_key_hash(seed, k, dl, p).alias("h"), p.alias("p"))
+
+
+def _cod_out(depth):
+    return lambda p: F.struct((p - depth).alias("anchor"), F.lit(depth).alias("depth"))

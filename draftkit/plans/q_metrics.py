@@ -110,8 +110,7 @@ SELECT depth::BIGINT AS depth, count(*) FILTER (WHERE mask AND correct)::BIGINT
        count(*) FILTER (WHERE mask)::BIGINT AS total
 FROM j GROUP BY depth""")
 def m12(spark, sf):
-    t = D.sample_tokens(spark, sf)
-    cod = Q.cod_sample(t, 4, 0.7, 0.2, SEED).withColumn("pos", F.col("anchor") + F.col("depth"))
+    cod = Q.cod_sample_arrays(D.samples(spark, sf), 4, 0.7, 0.2, SEED).withColumn("pos", F.col("anchor") + F.col("depth"))
     p = D.predictions(spark, sf).filter(F.col("step") == 0).select(
         "sample_idx", "pos", (F.col("pred") == F.col("target")).alias("correct"), "mask")
     j = cod.join(p, ["sample_idx", "pos"])

@@ -184,7 +184,7 @@ JOIN stok b ON b.sample_idx = a.sample_idx AND b.pos = a.pos + ks.k + 1
 JOIN stok c ON c.sample_idx = a.sample_idx AND c.pos = a.pos + ks.k + 2
 WHERE a.pos < n.n - (ks.k + 2)""")
 def q15(spark, sf):
-    return Q.mtp_steps(D.sample_tokens(spark, sf), 3)
+    return Q.mtp_steps_arrays(D.samples(spark, sf), 3)
 
 
 @register("Q16_step_alignment", f"""
@@ -192,8 +192,7 @@ WITH {_S}
 SELECT a.sample_idx, a.pos, b.token AS target_k, b.mask AS mask_k
 FROM stok a JOIN stok b ON b.sample_idx = a.sample_idx AND b.pos = a.pos + 2""")
 def q16(spark, sf):
-    t = D.sample_tokens(spark, sf).withColumnRenamed("token", "target")
-    return Q.step_alignment(t, 2).select("sample_idx", "pos", "target_k", "mask_k")
+    return Q.step_alignment_arrays(D.samples(spark, sf), 2)
 
 
 _ANCH = f"""
@@ -210,7 +209,8 @@ anchors AS (
 
 @register("Q17_select_anchors", f"WITH {_S}, {_ANCH} SELECT sample_idx, slot::BIGINT AS slot, anchor::BIGINT AS anchor, valid FROM anchors")
 def q17(spark, sf):
-    return Q.select_anchors(D.sample_tokens(spark, sf), 8, 4, SEED)
+    a = Q.anchors_arrays(D.samples(spark, sf), 8, 4, SEED)
+    return a.select("sample_idx", F.inline("anchors"))
 
 
 @register("Q18_21_block_targets", f"""
@@ -225,10 +225,8 @@ FROM b JOIN nn USING (sample_idx)
 LEFT JOIN stok t ON t.sample_idx = b.sample_idx AND t.pos = b.position
 LEFT JOIN stok p ON p.sample_idx = b.sample_idx AND p.pos = ((b.position - 1) % nn.n + nn.n) % nn.n""")
 def q18(spark, sf):
-    t = D.sample_tokens(spark, sf)
-    a = Q.select_anchors(t, 8, 4, SEED)
-    b = Q.block_positions(a, 4)
-    return Q.block_targets(b, t, 49999)
+    a = Q.anchors_arrays(D.samples(spark, sf), 8, 4, SEED)
+    return Q.block_targets_arrays(a, 4, 49999)
 
 
 _COD = """
@@ -268,7 +266,7 @@ cod AS (
 
 @register("Q22_cod_sample", f"WITH {_S}, {_COD} SELECT sample_idx, anchor::BIGINT AS anchor, depth::BIGINT AS depth FROM cod")
 def q22(spark, sf):
-    return Q.cod_sample(D.sample_tokens(spark, sf), 4, 0.7, 0.2, SEED)
+    return Q.cod_sample_arrays(D.samples(spark, sf), 4, 0.7, 0.2, SEED)
 
 
 @register("Q23_cod_inputs", f"""
@@ -277,5 +275,4 @@ SELECT c.sample_idx, c.anchor::BIGINT AS anchor, c.depth::BIGINT AS depth, (c.an
        CASE WHEN c.depth = 0 THEN t.token ELSE 49999 END::BIGINT AS input_token, coalesce(t.mask, false) AS mask
 FROM cod c LEFT JOIN stok t ON t.sample_idx = c.sample_idx AND t.pos = c.anchor + c.depth""")
 def q23(spark, sf):
-    t = D.sample_tokens(spark, sf)
-    return Q.cod_inputs(Q.cod_sample(t, 4, 0.7, 0.2, SEED), t, 49999)
+    return Q.cod_sample_arrays(D.samples(spark, sf), 4, 0.7, 0.2, SEED, mask_token_id=49999)

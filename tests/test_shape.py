@@ -83,3 +83,33 @@ def test_cod_invariants(spark):
             assert len(got) <= max(size, 0)
             for a in got:  # chosen position = anchor + d is trainable
                 assert (s, a + d) in valid
+
+
+def _fixture(spark):
+    rows = [(s, p, (p * 7 + s) % 13, (p + s) % 3 != 0) for s in range(4) for p in range(30 + 5 * s)]
+    t = spark.createDataFrame(rows, "sample_idx long, pos long, token int, mask boolean")
+    arr = t.groupBy("sample_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "mask"))).alias("_t")).select(
+        "sample_idx", F.transform("_t", lambda x: x["token"]).alias("input_ids"),
+        F.transform("_t", lambda x: x["mask"]).alias("loss_mask"))
+    return t, arr
+
+
+def _rows(df, cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_array_forms_equal_long_forms(spark):
+    t, arr = _fixture(spark)
+    c = ["sample_idx", "pos", "step", "input_token", "target"]
+    assert _rows(Q.mtp_steps(t, 3), c) == _rows(Q.mtp_steps_arrays(arr, 3), c)
+    c = ["sample_idx", "slot", "anchor", "valid"]
+    long_a = Q.select_anchors(t, 5, 4, 9)
+    arr_a = Q.anchors_arrays(arr, 5, 4, 9)
+    assert _rows(long_a, c) == _rows(arr_a.select("sample_idx", F.inline("anchors")), c)
+    c = ["sample_idx", "slot", "offset", "position", "block_mask", "block_input", "target"]
+    assert _rows(Q.block_targets(Q.block_positions(long_a, 4), t, 99), c) == _rows(Q.block_targets_arrays(arr_a, 4, 99), c)
+    c = ["sample_idx", "anchor", "depth"]
+    assert _rows(Q.cod_sample(t, 5, 0.7, 0.2, 3), c) == _rows(Q.cod_sample_arrays(arr, 5, 0.7, 0.2, 3), c)
+    c = ["sample_idx", "anchor", "depth", "position", "input_token", "mask"]
+    assert _rows(Q.cod_inputs(Q.cod_sample(t, 5, 0.7, 0.2, 3), t, 99), c) == \
+        _rows(Q.cod_sample_arrays(arr, 5, 0.7, 0.2, 3, mask_token_id=99), c)
