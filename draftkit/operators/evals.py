@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftkit.functions.joins import checked_broadcast_join
+
 # Counter-line patterns, the serving engine's metric prefix and
 # counter names, skipped sweep strategies, metric directions, pretty names.
 RE_SIMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)\s+([0-9.eE+-]+)$"
@@ -158,8 +160,8 @@ def sweep_rows(bench: DataFrame, subset: Column) -> DataFrame:
 
 def attach_acceptance(sweep: DataFrame, acceptance: DataFrame, key: str = "subset") -> DataFrame:
     """Add the per-subset acceptance columns to every sweep row
-    (broadcast: one row per subset)."""
-    return sweep.join(F.broadcast(acceptance), key, "left")
+    (one row per subset: broadcast after a size check)."""
+    return checked_broadcast_join(sweep, acceptance, key, "left")
 
 
 def chart_points(rows: DataFrame, metric: str, x_col: str = "rps_median") -> DataFrame:

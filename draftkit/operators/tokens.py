@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit.functions.index import dense_index, running_sum
+from draftkit.functions.joins import checked_broadcast_join
 from draftkit.functions.text import TOKEN_PATTERN, tokenize, tokenize_local
 
 _WORD = _re.compile(r"[\p{L}\p{N}]")
@@ -198,11 +199,13 @@ def build_vocabulary(token_rows: DataFrame, token_col: str = "token", extra_aggs
 def encode_samples(samples: DataFrame, vocab: DataFrame, key_col: str = "conv_id") -> DataFrame:
     """Token strings -> ids: explode, join the vocabulary, regroup per sample.
 
-    The join shuffles on the token; hot tokens are split by AQE's skew-join
-    handling.  Output follows the prepared-sample layout (T9: ``seq_len``).
+    The vocabulary is broadcast when its row count is within the checked
+    bound (no shuffle of token occurrences, hot tokens cost nothing extra);
+    beyond it the join shuffles on the token and AQE splits skewed
+    partitions.  Output follows the prepared-sample layout (T9: ``seq_len``).
     """
     ex = samples.select(key_col, F.posexplode("tokens").alias("pos", "token"))
-    j = ex.join(vocab.select("token", "token_id"), "token")
+    j = checked_broadcast_join(ex, vocab.select("token", "token_id"), "token")
     ids = (j.groupBy(key_col)
              .agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_p"))
              .select(key_col, F.transform("_p", lambda x: x["token_id"]).alias("input_ids")))
@@ -275,6 +278,40 @@ def assistant_spans(text: Column, pattern: str) -> Column:
     return _spans(text)
 
 
+# ------------------------------------------------------------ T4 (b)
+ENCODING = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
+                         T.StructField("offsets", SPAN)])
+_TOKENIZERS: dict = {}
+
+
+def _load_tokenizer(path: str):
+    tok = _TOKENIZERS.get(path)
+    if tok is None:
+        from tokenizers import Tokenizer  # installed; loaded once per Python worker
+        tok = _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return tok
+
+
+def encode_with_tokenizer(text: Column, tokenizer_path: str, max_length: int | None = None) -> Column:
+    """T4 (b): ids and character offsets from a ``tokenizers`` JSON file
+    (no special tokens, truncated at ``max_length``).  Arrow-batched: each
+    batch is encoded with ``encode_batch``; the file must be readable by
+    every executor (shared folder or ``SparkContext.addFile``)."""
+    @F.pandas_udf(ENCODING)
+    def _enc(s: pd.Series) -> pd.DataFrame:
+        tok = _load_tokenizer(tokenizer_path)
+        encs = tok.encode_batch([t or "" for t in s.tolist()], add_special_tokens=False)
+        ids, offs = [], []
+        for e in encs:
+            i, o = e.ids, e.offsets
+            if max_length is not None:
+                i, o = i[:max_length], o[:max_length]
+            ids.append(list(i))
+            offs.append([{"start": a, "end": b} for a, b in o])
+        return pd.DataFrame({"ids": ids, "offsets": offs})
+    return _enc(text)
+
+
 def token_offsets(text: Column) -> Column:
     """Character offsets of the regex tokens (Arrow UDF, one scan per row)."""
     rx = _re.compile(TOKEN_PATTERN)

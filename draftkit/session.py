@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Every operator is also checked with ANSI mode on (tools/oracle_check.py);
+    # our own sessions run without it for throughput.
+    "spark.sql.ansi.enabled": "false",
     # No broadcast from plan-time estimates.  Explicit broadcasts sit behind a
     # size check (functions.joins.checked_broadcast_join) or a bound by
     # construction; AQE may still switch a join to broadcast from the

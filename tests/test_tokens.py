@@ -92,3 +92,21 @@ def test_mask_source_choice():
     t = TK.TEMPLATES["chatml"]
     assert TK.choose_mask_source("X(.*)", t) == ("pattern", "X(.*)")
     assert TK.choose_mask_source(None, t)[0] == "template"
+
+
+def test_tokenizer_file_path_and_regex_mask(spark, tmp_path):
+    """T4 (b) with a tokenizers JSON file, then T5/T6 on its offsets."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    words = ["User", "Assistant", ":", "Hello", "Hi", "there", "!", "How", "are", "you", "?", "Good", "[UNK]"]
+    tok = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation()])
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+    text = "User: Hello\nAssistant: Hi there!\nUser: How are you?\nAssistant: Good!"
+    df = spark.createDataFrame([(text,)], "text string")
+    enc = df.select("text", TK.encode_with_tokenizer(F.col("text"), path).alias("e")).select("text", "e.*")
+    r = TK.with_assistant_mask(enc, "text", "offsets", r"Assistant: (.*?)(?=\n|$)").first()
+    toks = [text[o["start"]:o["end"]] for o in r["offsets"]]
+    assert [t for t, m in zip(toks, r["loss_mask"]) if m] == ["Hi", "there", "!", "Good", "!"]
+    short = df.select(TK.encode_with_tokenizer(F.col("text"), path, max_length=3).alias("e")).first()["e"]
+    assert len(short["ids"]) == 3
