@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from draftkit.functions.index import dense_index
 from draftkit.functions.keys import order_key
+from draftkit.session import reliable_checkpoint
 
 PLAN_SCHEMA = "segment long, batch long, rank int, ord int, sample_idx long, len long"
 
@@ -103,7 +104,10 @@ def _pack_group(max_len: int, ranks: int):
                     rows.append((seg, b, r, o, int(ids[i]), int(lens[i])))
         for i in range(stop, len(lens)):  # leftovers: rank -1
             rows.append((seg, -1, -1, int(pdf["perm"].iloc[i]), int(ids[i]), int(lens[i])))
-        return pd.DataFrame(rows, columns=["segment", "batch", "rank", "ord", "sample_idx", "len"])
+        cols = ["segment", "batch", "rank", "ord", "sample_idx", "len"]
+        if not rows:
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in cols})
+        return pd.DataFrame(rows, columns=cols)
     return run
 
 
@@ -119,6 +123,9 @@ def pack_plan(lengths: DataFrame, max_len: int, ranks: int, seed: int, epoch: in
     d = epoch_order(d, seed, epoch, key).select(F.col(key).alias("sample_idx"), F.col(len_col).cast("long").alias("len"), "perm")
     d = d.withColumn("segment", F.floor(F.col("perm") / segment_size).cast("long"))
     first = d.groupBy("segment").applyInPandas(_pack_group(max_len, ranks), PLAN_SCHEMA)
+    # both branches below read the first pass: checkpoint it (one row per
+    # sample) so the grouped map runs once and survives executor loss
+    first = reliable_checkpoint(first)
     packed = first.filter(F.col("batch") >= 0)
     # leftovers of every segment (< ranks each) packed once more, in order
     left = first.filter(F.col("batch") < 0).select(
