@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftkit.functions.joins import checked_broadcast_join
 from draftkit.operators import normalize as N
 from draftkit.operators import tokens as TK
 from draftkit.operators import vocab as V
@@ -52,10 +53,16 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
 
 def prepared_samples(conversations: DataFrame, template: str = "chatml", max_length: int = 2048,
                      minimum_valid_tokens: int = 0) -> DataFrame:
-    """Prepared samples ``(conv_id, input_ids, loss_mask, seq_len)``."""
-    trunc = truncated_turns(conversations, template, max_length)
-    vocab = TK.build_vocabulary(TK.token_positions(trunc))
-    samples = TK.assemble_samples(trunc)
-    enc = TK.encode_samples(samples, vocab)
+    """Prepared samples ``(conv_id, input_ids, loss_mask, seq_len)``.
+
+    Token rows of the truncated samples get their ids from a size-checked
+    broadcast of the (checkpointed) vocabulary and are regrouped per sample
+    once; a sample holds at most ``max_length`` tokens."""
+    toks = TK.token_positions(truncated_turns(conversations, template, max_length))
+    vocab = TK.build_vocabulary(toks)
+    ided = checked_broadcast_join(toks, vocab.select("token", "token_id"), "token")
+    g = ided.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "trainable"))).alias("_t"))
+    enc = g.select("conv_id", F.transform("_t", lambda x: x["token_id"]).alias("input_ids"),
+                   F.transform("_t", lambda x: x["trainable"]).alias("loss_mask"))
     enc = TK.with_seq_len(enc)
     return TK.min_valid_tokens(enc, minimum_valid_tokens)
