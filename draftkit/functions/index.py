@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from draftkit.session import reliable_checkpoint
 
@@ -62,8 +63,7 @@ def running_sum(df: DataFrame, keys, order_cols, value, out: str,
     order_cols = [order_cols] if isinstance(order_cols, (str, Column)) else list(order_cols)
     v = value if isinstance(value, Column) else F.col(value)
     if bucket is None:
-        first = order_cols[0] if isinstance(order_cols[0], Column) else F.col(order_cols[0])
-        bucket = F.floor(first / F.lit(bucket_width))
+        bucket = _default_bucket(df, order_cols[0], bucket_width)
     d = df.withColumn("_v", v.cast("bigint")).withColumn("_b", bucket.cast("bigint"))
     w_local = (Window.partitionBy(*keys, "_b").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -78,6 +78,20 @@ def running_sum(df: DataFrame, keys, order_cols, value, out: str,
     return d.withColumn(out, res.cast("bigint")).drop("_v", "_b", "_loc", "_bp")
 
 
+def _default_bucket(df: DataFrame, first, width: int) -> Column:
+    """Buckets along the first ordering column: ``width`` consecutive values
+    of an integer column, or one hour of a timestamp column."""
+    if isinstance(first, str):
+        dt = df.schema[first].dataType
+        col = F.col(first)
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(3_600_000_000))
+        if isinstance(dt, T.DateType):
+            return F.unix_date(col)
+        return F.floor(col / F.lit(width))
+    return F.floor(first / F.lit(width))
+
+
 def group_rank(df: DataFrame, keys, order_col: str, out: str, bucket_width: int = 4096) -> DataFrame:
     """0-based position of each row inside its ``keys`` group (ordered by a
     unique integer ``order_col``), computed with ``running_sum``."""
