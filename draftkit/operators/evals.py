@@ -264,13 +264,13 @@ def smooth_curve(points: DataFrame, half_window: int = 2) -> DataFrame:
 
 
 # ------------------------------------------------------------------ E18 - E22
-def acceptance_gate(rates: DataFrame, thresholds: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Every threshold position must be met; a missing position fails.
-    ``rates``: ``(key..., position, rate)``; ``thresholds``:
-    ``(position, threshold)`` (one row per position: broadcast)."""
-    keys = rates.select(*key_cols).distinct()
-    # every key needs every threshold position (thresholds: a handful of rows)
-    need = keys.withColumn("_k", F.lit(0)).join(F.broadcast(thresholds.withColumn("_k", F.lit(0))), "_k").drop("_k")
+def acceptance_gate(rates: DataFrame, thresholds: list[float], key_cols: list[str]) -> DataFrame:
+    """Position ``i`` must reach ``thresholds[i]``; a missing position
+    fails.  ``rates``: ``(key..., position, rate)``.  The thresholds are a
+    literal array exploded per key (a handful of entries)."""
+    th = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(float(t)).alias("threshold"))
+                   for i, t in enumerate(thresholds)])
+    need = rates.select(*key_cols).distinct().select(*key_cols, F.inline(th))
     j = need.join(rates, [*key_cols, "position"], "left")
     fail = F.col("rate").isNull() | (F.col("rate") < F.col("threshold"))
     return j.groupBy(*key_cols).agg(F.count_if(fail).cast("bigint").alias("n_failed"),

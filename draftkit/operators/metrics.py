@@ -120,14 +120,18 @@ def per_position_accuracy(df: DataFrame, num_pos: int, pos_col: str = "pos_idx",
 
 # ------------------------------------------------------------------ M9 - M14
 def masked_loss(df: DataFrame, row_key: list[str], loss_col: str = "loss", mask_col: str = "mask",
-                decay: Column | None = None) -> DataFrame:
+                decay: Column | None = None, decays: dict | None = None) -> DataFrame:
     """M9: per row ``sum(loss * mask * decay) / (sum(mask) + 1e-5)`` (the
     denominator has no decay), then the mean over rows.  Two-level
-    aggregate: partial sums per row key, then one global average."""
+    aggregate: partial sums per row key, then one global average.  With
+    ``decays`` ({name: Column}) every variant is computed in the same pass,
+    one output column per name; otherwise the column is ``loss``."""
+    variants = decays if decays is not None else {"loss": decay}
     w = F.col(mask_col).cast("double")
-    num = F.col(loss_col).cast("double") * w * (decay if decay is not None else F.lit(1.0))
-    per_row = df.groupBy(*row_key).agg((F.sum(num) / (F.sum(w) + F.lit(EPS))).alias("_l"))
-    return per_row.agg(F.avg("_l").alias("loss"))
+    l = F.col(loss_col).cast("double")
+    sums = [F.sum(l * w * (d if d is not None else F.lit(1.0))).alias(f"_n_{name}") for name, d in variants.items()]
+    per_row = df.groupBy(*row_key).agg(F.sum(w).alias("_w"), *sums)
+    return per_row.agg(*[F.avg(F.col(f"_n_{name}") / (F.col("_w") + F.lit(EPS))).alias(name) for name in variants])
 
 
 def step_weights(num_steps: int, beta: float = 0.6) -> list[float]:

@@ -247,8 +247,7 @@ SELECT subset, count(*) FILTER (WHERE fail)::BIGINT AS n_failed, count(*) FILTER
 FROM j GROUP BY subset""")
 def e18(spark, sf):
     _scal, pos = E.acceptance_rates(_delta(spark, sf), KEY)
-    th = pos.sparkSession.createDataFrame([(i, t) for i, t in enumerate(THRESHOLDS)], "position int, threshold double")
-    return E.acceptance_gate(pos, th, KEY)
+    return E.acceptance_gate(pos, THRESHOLDS, KEY)
 
 
 @register("E19_acceptance_report", _DELTA + """

@@ -60,11 +60,9 @@ def m9(spark, sf):
     d = p.select("label", (F.col("vec_id") % 4).alias("pos_idx"),
                  M.cross_entropy(F.col("draft"), F.col("target")).alias("loss"),
                  (F.element_at("draft", 1) > 0).alias("mask"))
-    a = M.masked_loss(d, ["label"]).select(F.col("loss").alias("loss_plain"))
-    b = M.masked_loss(d, ["label"], decay=M.decay_block(F.col("pos_idx"), 7.0)).select(F.col("loss").alias("loss_block_decay"))
-    c = M.masked_loss(d, ["label"], decay=M.decay_pow(F.col("pos_idx"), 0.8)).select(F.col("loss").alias("loss_pow_decay"))
-    k = F.lit(0)
-    out = a.withColumn("_k", k).join(b.withColumn("_k", k), "_k").join(c.withColumn("_k", k), "_k").drop("_k")
+    out = M.masked_loss(d, ["label"], decays={
+        "loss_plain": None, "loss_block_decay": M.decay_block(F.col("pos_idx"), 7.0),
+        "loss_pow_decay": M.decay_pow(F.col("pos_idx"), 0.8)})
     return out.select(*[r6(F.col(x)).alias(x) for x in ("loss_plain", "loss_block_decay", "loss_pow_decay")])
 
 

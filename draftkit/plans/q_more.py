@@ -126,9 +126,9 @@ def n17(spark, sf):
     ev = table(spark, sf, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
     err = F.when(F.col("k").isNull(), F.lit("unparsable props")).when(F.col("k") > 95, F.lit("k out of range"))
     good, bad = N.quarantine(ev.withColumn("error", err))
-    g = good.agg(F.count(F.lit(1)).alias("n_good")).withColumn("_k", F.lit(0))
-    b = bad.agg(F.count(F.lit(1)).alias("n_failed")).withColumn("_k", F.lit(0))
-    return g.join(b, "_k").drop("_k")
+    u = good.select(F.lit(1).alias("_g")).unionByName(bad.select(F.lit(0).alias("_g")))
+    return u.agg(F.count_if(F.col("_g") == 1).cast("bigint").alias("n_good"),
+                 F.count_if(F.col("_g") == 0).cast("bigint").alias("n_failed"))
 
 
 # ------------------------------------------------------------------ T group (regex path)

@@ -87,11 +87,12 @@ ALARM_STATE = "run long, max_run long"
 def _alarm_fn(k: int):
     def fn(key, pdfs, state):
         run, max_run = (state.get if state.exists else (0, 0))
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            for failed in pdf["failed"].to_numpy():
-                run = run + 1 if failed else 0
-                max_run = max(max_run, run)
+        # a key's rows may span several Arrow chunks: order them across the
+        # whole micro-batch (memory bounded by the trigger's batch size)
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
+        for failed in batch["failed"].to_numpy():
+            run = run + 1 if failed else 0
+            max_run = max(max_run, run)
         state.update((int(run), int(max_run)))
         yield pd.DataFrame([{"user_id": int(key[0]), "max_fail_run": int(max_run), "current_run": int(run),
                              "alarm": bool(max_run >= k)}])
@@ -114,11 +115,11 @@ DELTA_STATE = "last double"
 def _delta_fn(key, pdfs, state):
     last = state.get[0] if state.exists else None
     rows = []
-    for pdf in pdfs:
-        for scrape, value in pdf.sort_values("scrape")[["scrape", "value"]].itertuples(index=False):
-            rows.append({"series": key[0], "scrape": int(scrape), "value": float(value),
-                         "delta": float(value - last) if last is not None else float(value)})
-            last = value
+    batch = pd.concat(list(pdfs), ignore_index=True).sort_values("scrape")
+    for scrape, value in batch[["scrape", "value"]].itertuples(index=False):
+        rows.append({"series": key[0], "scrape": int(scrape), "value": float(value),
+                     "delta": float(value - last) if last is not None else float(value)})
+        last = value
     if last is not None:
         state.update((float(last),))
     yield pd.DataFrame(rows, columns=["series", "scrape", "value", "delta"])

@@ -57,8 +57,7 @@ def test_interpolation_matches_numpy(spark):
 
 def test_gate_and_names(spark):
     pos = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.2), ("b", 0, 0.5)], "subset string, position int, rate double")
-    th = spark.createDataFrame([(0, 0.4), (1, 0.1), (2, 0.01)], "position int, threshold double")
-    r = {x["subset"]: x["passed"] for x in E.acceptance_gate(pos, th, ["subset"]).collect()}
+    r = {x["subset"]: x["passed"] for x in E.acceptance_gate(pos, [0.4, 0.1, 0.01], ["subset"]).collect()}
     assert r == {"a": False, "b": False}
     df = spark.createDataFrame([("/x/gen_len_qa.json",), ("/x/sweeps_rag.json",), ("/x/other.csv",)], "p string")
     assert [r["s"] for r in df.select(E.subset_from_filename(F.col("p")).alias("s")).collect()] == ["qa", "rag", "other"]
