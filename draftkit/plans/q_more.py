@@ -234,8 +234,7 @@ def s8(spark, sf):
     d2t, t2d = V.build_maps(f, 512, 131072)
     SK.write_vocab_maps(d2t, t2d, mpath)
     d2t_b, _t2d_b = SK.read_vocab_maps(spark, mpath)
-    n = f.agg(F.count(F.lit(1)).alias("n_freq_rows")).withColumn("_k", F.lit(0))
-    return d2t_b.withColumn("_k", F.lit(0)).join(n, "_k").drop("_k")
+    return d2t_b.withColumn("n_freq_rows", F.lit(f.count()).cast("bigint"))
 
 
 _PTS_SQL = f"""
