@@ -65,17 +65,20 @@ def running_sum(df: DataFrame, keys, order_cols, value, out: str,
     if bucket is None:
         bucket = _default_bucket(df, order_cols[0], bucket_width)
     d = df.withColumn("_v", v.cast("bigint")).withColumn("_b", bucket.cast("bigint"))
-    w_local = (Window.partitionBy(*keys, "_b").orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_loc", F.sum("_v").over(w_local))
-    tot = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))
+    w_bucket = Window.partitionBy(*keys, "_b")
+    w_local = w_bucket.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # running sum inside the bucket and the bucket total from the same
+    # exchange; the totals are derived from these rows (not recomputed from
+    # the input), so the input is evaluated and shuffled once
+    d = d.withColumn("_loc", F.sum("_v").over(w_local)).withColumn("_bt", F.sum("_v").over(w_bucket))
+    tot = d.select(*keys, "_b", "_bt").dropDuplicates([*keys, "_b"])
     w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     pre = tot.select(*keys, "_b", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).alias("_bp"))
     d = d.join(pre, [*keys, "_b"])
     res = F.col("_bp") + F.col("_loc")
     if not inclusive:
         res = res - F.col("_v")
-    return d.withColumn(out, res.cast("bigint")).drop("_v", "_b", "_loc", "_bp")
+    return d.withColumn(out, res.cast("bigint")).drop("_v", "_b", "_loc", "_bp", "_bt")
 
 
 def _default_bucket(df: DataFrame, first, width: int) -> Column:
