@@ -413,3 +413,13 @@ def _cod_key(seed, k, dl):
 
 def _cod_out(depth):
     return lambda p: F.struct((p - depth).alias("anchor"), F.lit(depth).alias("depth"))
+
+
+# Per-sample preprocessing before collate, by draft type (a plain
+# registry of DataFrame -> DataFrame functions; use with ``df.transform``).
+PREPROCESS = {
+    "eagle3": next_token_shift,
+    "mtp": mtp_view,
+    "dflash": lambda df: df,
+    "peagle": lambda df: df,
+}

@@ -62,3 +62,15 @@ def test_gate_and_names(spark):
     df = spark.createDataFrame([("/x/gen_len_qa.json",), ("/x/sweeps_rag.json",), ("/x/other.csv",)], "p string")
     assert [r["s"] for r in df.select(E.subset_from_filename(F.col("p")).alias("s")).collect()] == ["qa", "rag", "other"]
     assert spark.createDataFrame([("qa",), ("zz",)], "s string").select(E.pretty_subset(F.col("s")).alias("p")).collect()[0]["p"] == "QA"
+
+
+def test_no_drafts_variants(spark):
+    df = spark.createDataFrame([("s", E.N_DRAFTS, None, 0.0), ("s", E.N_PER_POS, 0, 0.0)],
+                               "subset string, name string, position int, value double")
+    a, pa = E.acceptance_rates(df, ["subset"])
+    b, pb = E.acceptance_rates(df, ["subset"], no_drafts_length=1.0, pos_prefix="acceptance_at_token_")
+    assert a.first()["acceptance_length"] == 0.0 and b.first()["acceptance_length"] == 1.0
+    assert pb.first()["metric"] == "acceptance_at_token_0" and pb.first()["rate"] == 0.0
+    import pytest
+    with pytest.raises(ValueError):
+        E.subsets_with_drafts(a)

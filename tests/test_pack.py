@@ -44,3 +44,12 @@ def test_lpt():
     # 5 -> r0, 4 -> r1, then the equal 3s in descending index order: 3 -> r1 (fill 4), 2 -> r0
     assert PK.lpt_assign(np.array([5, 4, 3, 3]), 8, 2) == [[0, 2], [1, 3]]
     assert PK.lpt_assign(np.array([9]), 8, 2) is None
+
+
+def test_write_plan_per_rank(spark, tmp_path):
+    df = spark.createDataFrame([(i, 10 + i % 7) for i in range(40)], "sample_idx long, seq_len long")
+    plan = PK.pack_plan(df, 64, 2, seed=1, epoch=3)
+    PK.write_plan(plan, str(tmp_path / "plan"))
+    r0 = spark.read.parquet(str(tmp_path / "plan" / "rank=0"))
+    assert r0.count() > 0 and set(r0.columns) >= {"epoch", "batch_id", "ord", "sample_idx"}
+    assert {r["epoch"] for r in r0.collect()} == {3}

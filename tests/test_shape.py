@@ -113,3 +113,16 @@ def test_array_forms_equal_long_forms(spark):
     c = ["sample_idx", "anchor", "depth", "position", "input_token", "mask"]
     assert _rows(Q.cod_inputs(Q.cod_sample(t, 5, 0.7, 0.2, 3), t, 99), c) == \
         _rows(Q.cod_sample_arrays(arr, 5, 0.7, 0.2, 3, mask_token_id=99), c)
+
+
+def test_noise_statistics_and_registry(spark):
+    import statistics
+    df = spark.createDataFrame([(i, [0.0] * 64) for i in range(200)], "vec_id long, v array<double>")
+    u = [x for r in df.select(Q.uniform_noise(F.col("v"), 1, F.col("vec_id"), 0.05).alias("n")).collect() for x in r["n"]]
+    g = [x for r in df.select(Q.gaussian_noise(F.col("v"), 1, F.col("vec_id"), 0.05).alias("n")).collect() for x in r["n"]]
+    assert max(abs(x) for x in u) <= 0.05 and abs(statistics.mean(u)) < 0.003
+    assert abs(statistics.mean(g)) < 0.003 and abs(statistics.pstdev(g) - 0.05) < 0.003
+    again = [x for r in df.select(Q.gaussian_noise(F.col("v"), 1, F.col("vec_id"), 0.05).alias("n")).collect() for x in r["n"]]
+    assert again == g  # replayable
+    s = spark.createDataFrame([([1, 2, 3], [1, 1, 1], [3])], "input_ids array<int>, loss_mask array<int>, lengths array<int>")
+    assert s.transform(Q.PREPROCESS["eagle3"]).first()["input_ids"] == [2, 3]
