@@ -66,3 +66,27 @@ def prepared_samples(conversations: DataFrame, template: str = "chatml", max_len
                    F.transform("_t", lambda x: x["trainable"]).alias("loss_mask"))
     enc = TK.with_seq_len(enc)
     return TK.min_valid_tokens(enc, minimum_valid_tokens)
+
+
+def prepared_samples_tokenizer(conversations: DataFrame, tokenizer_path: str, template: str = "chatml",
+                               max_length: int = 2048, pattern: str | None = None,
+                               minimum_valid_tokens: int = 0) -> DataFrame:
+    """Prepared samples with a ``tokenizers`` JSON file (T1, T4 b, T5, T6,
+    T8, T9): each conversation is rendered to one text, encoded with
+    offsets (truncated at ``max_length``), and tokens overlapping the
+    assistant spans of ``pattern`` (default: detected from the template,
+    T2/T3) are trainable.  The pattern path needs a conversation's whole
+    rendered text in one row."""
+    t = TK.TEMPLATES[template]
+    if pattern is None:
+        probe = TK.ChatTemplate(t.name + "-probe", t.bos, t.prefix, t.suffix, provides_mask=False)
+        pattern = TK.choose_mask_source(None, probe)[1]
+    rows = N.normalize_rows(conversations)
+    pieces = TK.render_pieces(rows, t)
+    texts = pieces.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    enc = texts.withColumn("_e", TK.encode_with_tokenizer(F.col("text"), tokenizer_path, max_length))
+    enc = enc.select("conv_id", "text", F.col("_e.ids").alias("input_ids"), F.col("_e.offsets").alias("offsets"))
+    masked = TK.with_assistant_mask(enc, "text", "offsets", pattern, "loss_mask")
+    out = TK.with_seq_len(masked.select("conv_id", "input_ids", "loss_mask", "n_spans"))
+    return TK.min_valid_tokens(out, minimum_valid_tokens)

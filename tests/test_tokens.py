@@ -110,3 +110,23 @@ def test_tokenizer_file_path_and_regex_mask(spark, tmp_path):
     assert [t for t, m in zip(toks, r["loss_mask"]) if m] == ["Hi", "there", "!", "Good", "!"]
     short = df.select(TK.encode_with_tokenizer(F.col("text"), path, max_length=3).alias("e")).first()["e"]
     assert len(short["ids"]) == 3
+
+
+def test_prepare_with_tokenizer_file(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    from draftkit.operators import vocab as V
+    words = ["<", "|", "im", "_", "start", "end", ">", "user", "assistant", "hello", "world", "yes", "no", "[UNK]"]
+    tok = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation()])
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+    rows = spark.createDataFrame([(1, 0, "human", "hello world"), (1, 1, "gpt", "yes yes no"),
+                                  (2, 0, "user", "world"), (2, 1, "assistant", "no")],
+                                 "conv_id long, turn long, role string, text string")
+    s = {r["conv_id"]: r for r in P.prepared_samples_tokenizer(rows, path, "chatml", 64).collect()}
+    ids = {w: i for i, w in enumerate(words)}
+    got1 = [i for i, m in zip(s[1]["input_ids"], s[1]["loss_mask"]) if m]
+    assert got1 == [ids["yes"], ids["yes"], ids["no"]] and s[1]["n_spans"] == 1
+    freq = {r["token_id"]: r["freq"] for r in V.token_frequency(
+        P.prepared_samples_tokenizer(rows, path, "chatml", 64)).collect()}
+    assert freq == {ids["yes"]: 2, ids["no"]: 2}
