@@ -55,9 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder must already be configured (a shared file system
     every executor sees).  Only a local-mode session without one (tests,
-    benchmarks) gets a fresh private folder.
+    benchmarks) gets a fresh private folder.  Works for classic sessions
+    and, through the session conf, for Spark Connect sessions.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder before running")
+        return d
     d = sc.getCheckpointDir()
     if d:
         return d

@@ -174,10 +174,17 @@ def read_labelled(spark: SparkSession, specs: list[str]) -> DataFrame:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence through the Hadoop file system of the path (local, HDFS,
-    object stores alike)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    object stores alike); on sessions without JVM access, a listing probe."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect
+        try:
+            spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def read_counter_text(spark: SparkSession, path: str) -> DataFrame:
