@@ -133,18 +133,22 @@ def turn_dropout_rows(df: DataFrame, seed: int, key_col: str = "conv_id", turn_c
     The raw index of a turn is its position among all turns of the
     conversation (salted running count, so hot conversations stay split);
     ``n`` is drawn per conversation, the cut is the smallest raw index of an
-    assistant turn with ``index + 1 >= n``.
+    assistant turn with ``index + 1 >= n``.  All of this runs on narrow
+    ``(key, turn, role)`` rows; the full rows (with their text) are shuffled
+    once, by the final semi join on the kept ``(key, turn)`` pairs.
     """
-    d = group_rank(df, [key_col], turn_col, "_i")
+    narrow = df.select(key_col, turn_col, role_col)
+    d = group_rank(narrow, [key_col], turn_col, "_i")
     per = d.groupBy(key_col).agg(F.count(F.lit(1)).alias("_len"))
-    per = per.withColumn("_n", F.lit(1) + F.pmod(hash32(seed, key_col), F.col("_len")))
-    d = d.join(per.select(key_col, "_n"), key_col)
+    per = per.select(key_col, (F.lit(1) + F.pmod(hash32(seed, key_col), F.col("_len"))).alias("_n"))
+    d = d.join(per, key_col)
     norm_role = normalize_role(F.col(role_col))
     cuts = (d.filter((norm_role == "assistant") & (F.col("_i") + 1 >= F.col("_n")))
               .groupBy(key_col).agg(F.min("_i").alias("_cut")))
-    d = d.join(cuts, key_col, "left")
-    d = d.filter(F.col("_cut").isNull() | (F.col("_i") <= F.col("_cut")))
-    return d.drop("_i", "_n", "_cut")
+    kept = (d.join(cuts, key_col, "left")
+              .filter(F.col("_cut").isNull() | (F.col("_i") <= F.col("_cut")))
+              .select(key_col, turn_col))
+    return df.join(kept, [key_col, turn_col], "left_semi")
 
 
 def fold_turns(df: DataFrame, key_col: str = "conv_id", turn_col: str = "turn",
