@@ -418,8 +418,8 @@ def _cod_out(depth):
 # Per-sample preprocessing before collate, by draft type (a plain
 # registry of DataFrame -> DataFrame functions; use with ``df.transform``).
 PREPROCESS = {
-    "eagle3": next_token_shift,
-    "mtp": mtp_view,
-    "dflash": lambda df: df,
-    "peagle": lambda df: df,
+    "next_token": next_token_shift,   # shifted next-token drafts
+    "multi_token": mtp_view,          # multi-token prediction heads
+    "block": lambda df: df,           # block drafts (anchors applied later, Q17-Q21)
+    "parallel": lambda df: df,        # parallel-depth drafts (COD sampling, Q22-Q23)
 }

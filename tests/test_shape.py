@@ -125,4 +125,4 @@ def test_noise_statistics_and_registry(spark):
     again = [x for r in df.select(Q.gaussian_noise(F.col("v"), 1, F.col("vec_id"), 0.05).alias("n")).collect() for x in r["n"]]
     assert again == g  # replayable
     s = spark.createDataFrame([([1, 2, 3], [1, 1, 1], [3])], "input_ids array<int>, loss_mask array<int>, lengths array<int>")
-    assert s.transform(Q.PREPROCESS["eagle3"]).first()["input_ids"] == [2, 3]
+    assert s.transform(Q.PREPROCESS["next_token"]).first()["input_ids"] == [2, 3]
