@@ -144,18 +144,40 @@ def max_tokens_for(median: Column) -> Column:
 # ------------------------------------------------------------------ E9 - E11
 def sweep_rows(bench: DataFrame, subset: Column) -> DataFrame:
     """One row per benchmark entry (after ``inline``), skipped
-    strategies removed, five medians and the output-token sum."""
+    strategies removed, five successful-request medians and the output-token
+    sum (missing values are NULL)."""
     m = F.col("metrics")
-    return bench.filter(~F.coalesce(F.col("config.strategy"), F.lit("unknown")).isin(*SKIP_STRATEGIES)).select(
-        subset.alias("subset"),
-        F.coalesce(F.col("config.strategy"), F.lit("unknown")).alias("strategy"),
-        F.col("config.rate").alias("target_rate"),
-        m["requests_per_second"]["median"].alias("rps_median"),
-        m["request_latency"]["median"].alias("latency_median_s"),
-        m["time_to_first_token_ms"]["median"].alias("ttft_median_ms"),
-        m["inter_token_latency_ms"]["median"].alias("itl_median_ms"),
-        m["output_tokens_per_second"]["median"].alias("output_tps_median"),
-        m["output_token_count"]["sum"].alias("total_output_tokens"))
+    kind = F.coalesce(F.col("config.strategy.type_"), F.lit("unknown"))
+    med = lambda k: m[k]["successful"]["median"]
+    return bench.filter(~kind.isin(*SKIP_STRATEGIES)).select(
+        subset.alias("subset"), kind.alias("strategy"),
+        F.col("config.strategy.rate").alias("target_rate"),
+        med("requests_per_second").alias("rps_median"),
+        med("request_latency").alias("latency_median_s"),
+        med("time_to_first_token_ms").alias("ttft_median_ms"),
+        med("inter_token_latency_ms").alias("itl_median_ms"),
+        med("output_tokens_per_second").alias("output_tps_median"),
+        m["output_tokens"]["successful"]["sum"].alias("total_output_tokens"))
+
+
+def gen_len_lengths(docs: DataFrame, subset: Column) -> DataFrame:
+    """E7 input: output-token counts of the successful requests of the
+    *first* benchmark of each gen-len document."""
+    first = F.element_at("benchmarks", 1)
+    return docs.select(subset.alias("subset"), F.explode_outer(first["requests"]["successful"]).alias("r")).select(
+        "subset", F.col("r.output_tokens").alias("output_tokens")).filter(F.col("output_tokens").isNotNull())
+
+
+def json_chart_points(bench: DataFrame, metric: str, stat: str = "median") -> DataFrame:
+    """E11 (JSON form): constant-rate entries; x = mean requests per second,
+    y = the metric's successful ``stat``; subset = stem of the run's data
+    file; entries missing either value are dropped."""
+    key = METRICS[metric]["json_key"]
+    subset = F.regexp_replace(F.regexp_extract(F.col("data_files"), r"([^/]+)$", 1), r"\.[^.]*$", "")
+    d = bench.filter(F.col("config.strategy.type_") == "constant").select(
+        subset.alias("subset"), F.col("metrics.requests_per_second.successful.mean").alias("x"),
+        F.col("metrics")[key]["successful"][stat].alias("y"))
+    return d.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
 def attach_acceptance(sweep: DataFrame, acceptance: DataFrame, key: str = "subset") -> DataFrame:

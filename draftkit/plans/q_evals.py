@@ -119,21 +119,23 @@ def e7(spark, sf):
 
 
 def _bench_docs(spark, sf):
-    """Benchmark result documents (one per subset) built from events:
-    one benchmark entry per hour; the first hour is a throughput run."""
+    """Benchmark result entries (one document per subset) built from events:
+    one entry per hour; the first hour is a throughput run."""
     ev = table(spark, sf, "events")
     g = ev.groupBy("event_type", F.date_trunc("hour", "ts").alias("hh")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.median("value").alias("med"),
         F.max("value").alias("mx"), F.min("value").alias("mn"), F.avg("value").alias("av"),
         F.sum(F.floor("value")).cast("double").alias("tok"))
-    stat = lambda c: F.struct(F.col(c).alias("mean"), F.col(c).alias("median"), F.col(c).alias("p99"))
+    stat = lambda c: F.struct(F.struct(F.col(c).alias("mean"), F.col(c).alias("median"),
+                                       F.lit(None).cast("double").alias("sum")).alias("successful"))
     entry = F.struct(
-        F.struct(F.when(F.hour("hh") == 0, F.lit("throughput")).otherwise(F.lit("constant")).alias("strategy"),
-                 F.hour("hh").cast("double").alias("rate")).alias("config"),
+        F.struct(F.struct(F.when(F.hour("hh") == 0, F.lit("throughput")).otherwise(F.lit("constant")).alias("type_"),
+                          F.hour("hh").cast("double").alias("rate")).alias("strategy")).alias("config"),
         F.struct(stat("n").alias("requests_per_second"), stat("med").alias("request_latency"),
                  stat("mx").alias("time_to_first_token_ms"), stat("mn").alias("inter_token_latency_ms"),
                  stat("av").alias("output_tokens_per_second"),
-                 F.struct(F.array().cast("array<double>").alias("values"), F.col("tok").alias("sum")).alias("output_token_count")
+                 F.struct(F.struct(F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("median"),
+                                   F.col("tok").alias("sum")).alias("successful")).alias("output_tokens")
                  ).alias("metrics"))
     docs = g.groupBy("event_type").agg(F.collect_list(entry).alias("benchmarks"))
     return docs.select(F.concat(F.lit("/results/sweeps_"), F.col("event_type"), F.lit(".json")).alias("file"),

@@ -94,34 +94,42 @@ RESPONSE = T.StructType([
     ])),
 ])
 
-# Benchmark result JSON of a load generator: one document per run.
-BENCH_STATS = T.StructType([
+# Benchmark result JSON of a load generator: one document per run.  Stats
+# sit under ``successful``; the strategy is an object with ``type_``.
+_STATS = T.StructType([T.StructField("successful", T.StructType([
     T.StructField("mean", T.DoubleType()),
     T.StructField("median", T.DoubleType()),
-    T.StructField("p99", T.DoubleType()),
-])
+    T.StructField("sum", T.DoubleType()),
+]))])
 BENCH_RESULT = T.StructType([
+    T.StructField("args", T.StructType([
+        T.StructField("data_args", T.ArrayType(T.StructType([T.StructField("data_files", T.StringType())]))),
+    ])),
     T.StructField("benchmarks", T.ArrayType(T.StructType([
         T.StructField("config", T.StructType([
-            T.StructField("strategy", T.StringType()),
-            T.StructField("rate", T.DoubleType()),
+            T.StructField("strategy", T.StructType([
+                T.StructField("type_", T.StringType()),
+                T.StructField("rate", T.DoubleType()),
+            ])),
         ])),
         T.StructField("metrics", T.StructType([
-            T.StructField("requests_per_second", BENCH_STATS),
-            T.StructField("request_latency", BENCH_STATS),
-            T.StructField("time_to_first_token_ms", BENCH_STATS),
-            T.StructField("inter_token_latency_ms", BENCH_STATS),
-            T.StructField("output_tokens_per_second", BENCH_STATS),
-            T.StructField("output_token_count", T.StructType([
-                T.StructField("values", T.ArrayType(T.DoubleType())),
-                T.StructField("sum", T.DoubleType()),
-            ])),
+            T.StructField("requests_per_second", _STATS),
+            T.StructField("request_latency", _STATS),
+            T.StructField("time_to_first_token_ms", _STATS),
+            T.StructField("inter_token_latency_ms", _STATS),
+            T.StructField("output_tokens_per_second", _STATS),
+            T.StructField("output_tokens", _STATS),
+        ])),
+        T.StructField("requests", T.StructType([
+            T.StructField("successful", T.ArrayType(T.StructType([
+                T.StructField("output_tokens", T.LongType())]))),
         ])),
     ]))),
 ])
 
-# Sweep CSV columns (missing values read as NULL).
+# Sweep CSV columns, in file order (acceptance columns may
+# follow; missing values read as NULL).
 SWEEP_COLUMNS = [
-    "label", "subset", "strategy", "rate", "rps_median", "latency_median",
-    "ttft_median", "itl_median", "tps_median", "output_tokens",
+    "subset", "strategy", "target_rate", "rps_median", "latency_median_s",
+    "itl_median_ms", "ttft_median_ms", "output_tps_median", "total_output_tokens",
 ]

@@ -132,11 +132,19 @@ def sample_lengths(files: DataFrame, sidecar: DataFrame | None, compat: bool = F
 
 
 # ------------------------------------------------------------------ S13 - S17
-def read_benchmark_json(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark result documents (``multiLine``), one row per
-    benchmark entry (``inline``), with the source file for S16/E20."""
+def read_benchmark_docs(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark result documents (``multiLine``), one row per file,
+    with the source file for S16/E20."""
     d = spark.read.schema(schemas.BENCH_RESULT).option("multiLine", True).json(path)
-    return d.select(F.input_file_name().alias("file"), F.inline_outer("benchmarks"))
+    return d.select(F.input_file_name().alias("file"), "args", "benchmarks")
+
+
+def read_benchmark_json(spark: SparkSession, path: str) -> DataFrame:
+    """One row per benchmark entry (``inline``) with its file and the
+    run's data-file argument."""
+    d = read_benchmark_docs(spark, path)
+    return d.select("file", F.element_at("args.data_args", 1)["data_files"].alias("data_files"),
+                    F.inline_outer("benchmarks"))
 
 
 def read_sweep_csv(spark: SparkSession, path: str) -> DataFrame:

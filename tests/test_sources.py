@@ -36,11 +36,14 @@ def test_jsonl_sink_and_corrupt_lines(spark):
 
 def test_benchmark_json_and_listing(spark):
     d = tempfile.mkdtemp(prefix="dk-bench-")
-    doc = {"benchmarks": [
-        {"config": {"strategy": "constant", "rate": 1.0},
-         "metrics": {"requests_per_second": {"mean": 1.0, "median": 1.1}, "request_latency": {"median": 2.0},
-                     "output_token_count": {"sum": 10.0}}},
-        {"config": {"strategy": "throughput", "rate": 9.0}, "metrics": {}}]}
+    ok = lambda **kw: {"successful": kw}
+    doc = {"args": {"data_args": [{"data_files": "/data/qa.jsonl"}]}, "benchmarks": [
+        {"config": {"strategy": {"type_": "constant", "rate": 1.0}},
+         "metrics": {"requests_per_second": ok(mean=1.0, median=1.1), "request_latency": ok(median=2.0),
+                     "output_tokens": ok(sum=10.0)},
+         "requests": {"successful": [{"output_tokens": 7}, {"output_tokens": 9}, {"output_tokens": 20}]}},
+        {"config": {"strategy": {"type_": "throughput", "rate": 9.0}}, "metrics": {},
+         "requests": {"successful": [{"output_tokens": 1000}]}}]}
     os.makedirs(os.path.join(d, "nested"))
     with open(os.path.join(d, "nested", "sweeps_qa.json"), "w") as f:
         json.dump(doc, f)
@@ -48,6 +51,13 @@ def test_benchmark_json_and_listing(spark):
     from draftkit.operators import evals as E
     rows = E.sweep_rows(b, E.subset_from_filename(F.col("file"))).collect()
     assert len(rows) == 1 and rows[0]["subset"] == "qa" and rows[0]["latency_median_s"] == 2.0
+    assert rows[0]["total_output_tokens"] == 10.0
+    pts = E.json_chart_points(b, "latency").collect()
+    assert [(p["subset"], p["x"], p["y"]) for p in pts] == [("qa", 1.0, 2.0)]
+    docs = S.read_benchmark_docs(spark, os.path.join(d, "nested", "sweeps_qa.json"))
+    lens = E.gen_len_lengths(docs, F.lit("qa"))
+    st = E.output_length_stats(lens, ["subset"]).first()
+    assert (st["count"], st["median"], st["min"], st["max"], st["max_tokens"]) == (3, 9.0, 7, 20, 16)
     files = S.list_files(spark, d, glob="*.json", recursive=True).collect()
     assert len(files) == 1 and files[0]["path"].endswith("sweeps_qa.json")
     with pytest.raises(ValueError):
