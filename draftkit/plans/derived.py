@@ -71,22 +71,20 @@ def baseline_scrape(spark: SparkSession, sf: str) -> DataFrame:
 def counter_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Counter exposition text per subset: ``name_total{engine="0",...} v``
     lines plus a comment, a foreign counter, a ``NaN`` line and a duplicate
-    per-position line from a second engine with a smaller value."""
+    per-position line from a second engine with a smaller value (all lines
+    from one pass over the scrape rows)."""
     s = scrape(spark, sf)
-    lab = F.when(F.col("position").isNull(), F.lit('engine="0"')).otherwise(
-        F.concat(F.lit('engine="0",position="'), F.col("position").cast("string"), F.lit('"')))
-    main = s.select("subset", F.concat(F.col("name"), F.lit("_total{"), lab, F.lit("} "),
-                                       F.col("value").cast("bigint").cast("string")).alias("value"))
-    dup = s.filter(F.col("position").isNotNull()).select("subset", F.concat(
-        F.col("name"), F.lit('_total{engine="1",position="'), F.col("position").cast("string"), F.lit('"} '),
-        F.floor(F.col("value") / 2).cast("bigint").cast("string")).alias("value"))
-    subsets = s.select("subset").distinct()
-    extra = subsets.select("subset", F.explode(F.array(
-        F.lit("# HELP vllm:spec_decode_num_drafts Number of drafts."),
-        F.lit("process_cpu_seconds_total 12.5"),
-        F.lit('vllm:spec_decode_num_drafts_total{engine="2"} NaN'),
-        F.lit(""))).alias("value"))
-    return main.unionByName(dup).unionByName(extra)
+    pos = F.col("position").cast("string")
+    main = F.concat(F.col("name"), F.lit("_total{"), F.when(F.col("position").isNull(), F.lit('engine="0"')).otherwise(
+        F.concat(F.lit('engine="0",position="'), pos, F.lit('"'))), F.lit("} "), F.col("value").cast("bigint").cast("string"))
+    dup = F.concat(F.col("name"), F.lit('_total{engine="1",position="'), pos, F.lit('"} '),
+                   F.floor(F.col("value") / 2).cast("bigint").cast("string"))
+    extra = [F.lit("# HELP vllm:spec_decode_num_drafts Number of drafts."), F.lit("process_cpu_seconds_total 12.5"),
+             F.lit('vllm:spec_decode_num_drafts_total{engine="2"} NaN'), F.lit("")]
+    lines = (F.when(F.col("position").isNotNull(), F.array(main, dup))
+              .when(F.col("name") == N_DRAFTS, F.array(main, *extra))
+              .otherwise(F.array(main)))
+    return s.select("subset", F.explode(lines).alias("value"))
 
 
 def logit_pairs(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
