@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftkit.session import reliable_checkpoint
+from draftkit.session import materialize
 
 _LOW33 = (1 << 33) - 1
 
@@ -32,12 +32,14 @@ def dense_index(df: DataFrame, order_cols, name: str = "row_idx") -> DataFrame:
     """Add ``name`` = 0-based rank of each row in ``order_cols`` order.
 
     The order must be total (include a unique id last) for a replayable
-    result.  The sorted, tagged rows are checkpointed so that the counting
-    pass and the numbering pass see identical partitions even after an
-    executor is lost.
+    result.  The sorted, tagged rows are written once to the shared
+    checkpoint folder so that the counting pass and the numbering pass read
+    identical rows even after an executor is lost.
     """
     tagged = df.orderBy(*_cols(order_cols)).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = reliable_checkpoint(tagged).withColumn("_pid", F.shiftright("_mid", 33))
+    # written once to the shared folder; the partition number travels inside
+    # _mid, so the read-back layout does not matter
+    tagged = materialize(tagged, "dense-index").withColumn("_pid", F.shiftright("_mid", 33))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: size bounded by the partition count.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

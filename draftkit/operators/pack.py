@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from draftkit.functions.index import dense_index
 from draftkit.functions.keys import order_key
-from draftkit.session import reliable_checkpoint
+from draftkit.session import materialize
 
 PLAN_SCHEMA = "segment long, batch long, rank int, ord int, sample_idx long, len long"
 
@@ -123,9 +123,9 @@ def pack_plan(lengths: DataFrame, max_len: int, ranks: int, seed: int, epoch: in
     d = epoch_order(d, seed, epoch, key).select(F.col(key).alias("sample_idx"), F.col(len_col).cast("long").alias("len"), "perm")
     d = d.withColumn("segment", F.floor(F.col("perm") / segment_size).cast("long"))
     first = d.groupBy("segment").applyInPandas(_pack_group(max_len, ranks), PLAN_SCHEMA)
-    # both branches below read the first pass: checkpoint it (one row per
+    # both branches below read the first pass: write it once (one row per
     # sample) so the grouped map runs once and survives executor loss
-    first = reliable_checkpoint(first)
+    first = materialize(first, "pack-first-pass")
     packed = first.filter(F.col("batch") >= 0)
     # leftovers of every segment (< ranks each) packed once more, in order
     left = first.filter(F.col("batch") < 0).select(

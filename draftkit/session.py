@@ -89,3 +89,16 @@ def reliable_checkpoint(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    read it back: the lineage is cut, the input is computed once (an eager
+    ``checkpoint()`` computes it twice: one job to count, one to write), and
+    later reads prune columns and push filters."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
