@@ -126,3 +126,30 @@ def test_noise_statistics_and_registry(spark):
     assert again == g  # replayable
     s = spark.createDataFrame([([1, 2, 3], [1, 1, 1], [3])], "input_ids array<int>, loss_mask array<int>, lengths array<int>")
     assert s.transform(Q.PREPROCESS["next_token"]).first()["input_ids"] == [2, 3]
+
+
+def test_pack_shape_matrix(spark):
+    """Length x mask-pattern matrix: document ids, collate and cut lengths."""
+    import random
+    rnd = random.Random(42)
+    patterns = {"single": [128], "halves": [64, 64], "uneven": [32, 96], "many": [8] * 20, "empty": []}
+    masks = {"all": lambda n: [True] * n, "none": lambda n: [False] * n,
+             "alternating": lambda n: [i % 2 == 0 for i in range(n)], "random": lambda n: [rnd.random() < 0.5 for _ in range(n)]}
+    rows, lens_rows = [], []
+    for b, (pname, lens) in enumerate(patterns.items()):
+        for mname, mk in masks.items():
+            bid = b * 10 + list(masks).index(mname)
+            for o, n in enumerate(lens):
+                rows.append((bid, o, list(range(n)), mk(n)))
+            lens_rows.append((bid, lens))
+    members = spark.createDataFrame(rows, "batch_id long, ord int, input_ids array<int>, loss_mask array<boolean>")
+    spine = spark.createDataFrame([(b,) for b, _ in lens_rows], "batch_id long")
+    col = {r["batch_id"]: r for r in Q.collate(members, spine, 160, ["input_ids", "loss_mask"], pads={"loss_mask": False}).collect()}
+    ids = {r["batch_id"]: r["d"] for r in spark.createDataFrame(lens_rows, "batch_id long, lengths array<int>").select(
+        "batch_id", Q.document_ids(F.col("lengths"), 160).alias("d")).collect()}
+    for bid, lens in lens_rows:
+        want = [i for i, n in enumerate(lens) for _ in range(n)]
+        assert ids[bid] == want + [-1] * (160 - len(want))
+        assert len(col[bid]["input_ids"]) == 160 and col[bid]["raw_lengths"] == lens
+        mask_rows = [r for r in rows if r[0] == bid]
+        assert sum(col[bid]["loss_mask"]) == sum(sum(r[3]) for r in mask_rows)
