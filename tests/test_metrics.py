@@ -64,3 +64,21 @@ def test_greedy_acceptance(spark):
     p = spark.createDataFrame([(0, 0, 6), (0, 1, 8), (0, 2, 9)], "k long, pos long, token long")
     assert M.greedy_acceptance(p, v, 2, 0.5, ["k"]).first()["accepted_len"] == 1
     assert M.greedy_acceptance(p, v, 1, 0.0, ["k"]).first()["accepted_len"] == 0
+
+
+def test_block_position_accuracy_goldens(spark):
+    """Per-position counts over blocks of 2 (values from the reference's
+    block-metrics tests): argmax of logits vs argmax of targets."""
+    logits = [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
+
+    def run(target_ids, mask):
+        rows = [(i, logits[i], target_ids[i], bool(mask[i])) for i in range(4)]
+        df = spark.createDataFrame(rows, "pos long, logits array<double>, target long, mask boolean")
+        d = df.select((F.col("pos") % 2).cast("int").alias("pos_idx"),
+                      (M.argmax_id(F.col("logits")) == F.col("target")).alias("correct"), "mask")
+        return {r["pos_idx"]: (r["correct"], r["total"]) for r in M.per_position_accuracy(d, 2).collect()}
+    assert run([2, 1, 0, 0], [1, 1, 1, 1]) == {0: (2, 2), 1: (1, 2)}
+    r = run([2, 0, 0, 1], [1, 0, 1, 1])
+    assert r[0][0] / r[0][1] == 1.0 and r[1][0] / r[1][1] == 1.0
+    empty = run([2, 1, 0, 0], [0, 0, 0, 0])
+    assert sum(c for c, _ in empty.values()) == 0 and sum(t for _, t in empty.values()) == 0

@@ -153,3 +153,18 @@ def test_pack_shape_matrix(spark):
         assert len(col[bid]["input_ids"]) == 160 and col[bid]["raw_lengths"] == lens
         mask_rows = [r for r in rows if r[0] == bid]
         assert sum(col[bid]["loss_mask"]) == sum(sum(r[3]) for r in mask_rows)
+
+
+def test_block_position_goldens(spark):
+    """Anchored block positions (values from the reference's block tests)."""
+    def run(anchors, b, total=None):
+        a = spark.createDataFrame([(0, i, x, True) for i, x in enumerate(anchors)],
+                                  "sample_idx long, slot int, anchor int, valid boolean")
+        return [r["position"] for r in Q.block_positions(a, b, F.lit(total) if total else None).orderBy("slot", "offset").collect()]
+    assert run([3], 4) == [3, 4, 5, 6]
+    assert run([0, 5, 10], 3) == [0, 1, 2, 5, 6, 7, 10, 11, 12]
+    assert run([2, 7, 9], 1) == [2, 7, 9]
+    assert run([0, 3], 4, 7) == [0, 1, 2, 3, 3, 4, 5, 6]
+    for bad in (([0, 3], 4, 6), ([-1, 3], 2, None)):
+        with pytest.raises(Exception, match="out of range"):
+            run(*bad)
