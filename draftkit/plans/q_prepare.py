@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from draftkit.functions.arrays import join_ints
-from draftkit.functions.keys import hash32
 from draftkit.operators import normalize as N
 from draftkit.operators import tokens as TK
 from draftkit.operators import vocab as V

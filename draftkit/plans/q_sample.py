@@ -8,10 +8,9 @@ from draftkit.functions.index import dense_index
 from draftkit.functions.text import tokenize
 from draftkit.operators import normalize as N
 from draftkit.operators import sample as R
-from draftkit.operators import tokens as TK
 from draftkit.operators.evals import max_tokens_for
 from draftkit.plans.catalog import register, table
-from draftkit.plans.sqlgen import TOKEN_RE, hx, q
+from draftkit.plans.sqlgen import TOKEN_RE
 from draftkit.sources import readers as S
 from draftkit.sources import sinks as SK
 
