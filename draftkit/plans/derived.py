@@ -16,7 +16,7 @@ from draftkit.plans import prepare as P
 from draftkit.plans.tables import table
 
 HASH_VOCAB = 50000
-SAMPLE_MAXLEN = 256
+SAMPLE_MAXLEN = 8192  # the reference's default sequence length
 BASELINE_INSTANT = "2024-01-15 00:00:00"
 
 

@@ -15,7 +15,7 @@ from draftkit.operators import tokens as TK
 from draftkit.operators import vocab as V
 
 
-def truncated_turns(conversations: DataFrame, template: str = "chatml", max_length: int = 2048,
+def truncated_turns(conversations: DataFrame, template: str = "chatml", max_length: int = 8192,
                     dropout_seed: int | None = None) -> DataFrame:
     """conversations rows -> (N5) -> N1/N2 -> T4/T7 per turn -> truncation."""
     rows = conversations
@@ -26,12 +26,12 @@ def truncated_turns(conversations: DataFrame, template: str = "chatml", max_leng
     return TK.truncate_turns(tok, max_length)
 
 
-def corpus_tokens(conversations: DataFrame, template: str = "chatml", max_length: int = 2048) -> DataFrame:
+def corpus_tokens(conversations: DataFrame, template: str = "chatml", max_length: int = 8192) -> DataFrame:
     """Token rows ``(conv_id, pos, token, trainable)`` of the truncated samples."""
     return TK.token_positions(truncated_turns(conversations, template, max_length))
 
 
-def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_length: int = 2048,
+def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_length: int = 8192,
                      draft_vocab_size: int = 512) -> DataFrame:
     """Flagship: a draft vocabulary from a chat corpus.
 
@@ -51,7 +51,7 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
                        F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq")))
 
 
-def prepared_samples(conversations: DataFrame, template: str = "chatml", max_length: int = 2048,
+def prepared_samples(conversations: DataFrame, template: str = "chatml", max_length: int = 8192,
                      minimum_valid_tokens: int = 0) -> DataFrame:
     """Prepared samples ``(conv_id, input_ids, loss_mask, seq_len)``.
 
@@ -69,7 +69,7 @@ def prepared_samples(conversations: DataFrame, template: str = "chatml", max_len
 
 
 def prepared_samples_tokenizer(conversations: DataFrame, tokenizer_path: str, template: str = "chatml",
-                               max_length: int = 2048, pattern: str | None = None,
+                               max_length: int = 8192, pattern: str | None = None,
                                minimum_valid_tokens: int = 0) -> DataFrame:
     """Prepared samples with a ``tokenizers`` JSON file (T1, T4 b, T5, T6,
     T8, T9): each conversation is rendered to one text, encoded with

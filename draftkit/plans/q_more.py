@@ -167,20 +167,20 @@ s AS (SELECT conv_id, count(*) AS seq_len,
              (SELECT count(*) FROM norm n WHERE n.conv_id = t.conv_id AND n.role = 'assistant') AS n_spans
       FROM toks t GROUP BY conv_id)
 SELECT count(*) FILTER (WHERE n_spans = 0)::BIGINT AS no_span,
-       count(*) FILTER (WHERE n_spans = 0 AND seq_len = 2048)::BIGINT AS no_span_at_max FROM s""")
+       count(*) FILTER (WHERE n_spans = 0 AND seq_len = 8192)::BIGINT AS no_span_at_max FROM s""")
 def t10(spark, sf):
-    return TK.span_counters(_regex_masked(spark, sf), 2048)
+    return TK.span_counters(_regex_masked(spark, sf), 8192)
 
 
 @register("T11_mask_runs", f"""
-WITH {turn_tokens_ctes('llama3', 256)},
+WITH {turn_tokens_ctes('llama3', 8192)},
 c AS (SELECT *, CASE WHEN lag(trainable) OVER (PARTITION BY conv_id ORDER BY pos) IS NOT DISTINCT FROM trainable THEN 0 ELSE 1 END AS chg FROM toks),
 r AS (SELECT *, sum(chg) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS run FROM c)
 SELECT conv_id, run::BIGINT AS run, any_value(trainable) AS trainable, min(pos)::BIGINT AS start, count(*)::BIGINT AS n_tokens,
        string_agg(token, ' ' ORDER BY pos) AS text
 FROM r GROUP BY conv_id, run""")
 def t11(spark, sf):
-    return TK.mask_runs(P.corpus_tokens(table(spark, sf, "conversations"), "llama3", 256))
+    return TK.mask_runs(P.corpus_tokens(table(spark, sf, "conversations"), "llama3", 8192))
 
 
 # ------------------------------------------------------------------ S group (file round trips)
@@ -196,11 +196,11 @@ def s2(spark, sf):
 
 
 @register("S4_S5_prepared_roundtrip", f"""
-WITH {turn_tokens_ctes('chatml', 512)}
+WITH {turn_tokens_ctes('chatml', 8192)}
 SELECT conv_id AS sample_idx, count(*)::BIGINT AS seq_len, count(*) FILTER (WHERE trainable)::BIGINT AS n_trainable
 FROM toks GROUP BY conv_id""")
 def s4(spark, sf):
-    s = P.prepared_samples(table(spark, sf, "conversations"), "chatml", 512)
+    s = P.prepared_samples(table(spark, sf, "conversations"), "chatml", 8192)
     out = scratch(spark, "prepared")
     SK.write_prepared(s.select(F.col("conv_id").alias("sample_idx"), F.col("input_ids").cast("array<int>"),
                                "loss_mask", F.col("seq_len").cast("int")), out)
@@ -210,7 +210,7 @@ def s4(spark, sf):
 
 
 _VOCAB_SQL_BASE = f"""
-WITH {turn_tokens_ctes('chatml', 2048)},
+WITH {turn_tokens_ctes('chatml', 8192)},
 vocab AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS token_id
   FROM (SELECT token, count(*) AS n FROM toks GROUP BY token)),
@@ -224,7 +224,7 @@ SELECT (row_number() OVER (ORDER BY token_id) - 1)::BIGINT AS draft_id, token_id
        (SELECT count(*) FROM freq)::BIGINT AS n_freq_rows
 FROM sel""")
 def s8(spark, sf):
-    toks = P.corpus_tokens(table(spark, sf, "conversations"), "chatml", 2048)
+    toks = P.corpus_tokens(table(spark, sf, "conversations"), "chatml", 8192)
     vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
     freq = vocab.filter(F.col("freq") > 0).select("token_id", "freq")
     fpath, mpath = scratch(spark, "freq"), scratch(spark, "maps")

@@ -12,4 +12,4 @@ from draftkit.plans.catalog import register
 @register("P3_P6_pack_plan", None)
 def p3(spark, sf):
     lengths = D.samples(spark, sf).select("sample_idx", "seq_len")
-    return PK.pack_plan(lengths, max_len=1024, ranks=4, seed=42, epoch=0, segment_size=100_000)
+    return PK.pack_plan(lengths, max_len=4096, ranks=4, seed=42, epoch=0, segment_size=100_000)

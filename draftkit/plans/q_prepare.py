@@ -13,7 +13,7 @@ from draftkit.plans.catalog import register, table
 from draftkit.plans.sqlgen import role_case, str_case, turn_tokens_ctes
 from draftkit.operators.tokens import TEMPLATES, BOS_ORD
 
-MAXLEN = 2048
+MAXLEN = 8192  # the reference's default sequence length
 DRAFT_K = 512
 TARGET_V = 131072
 SEED = 42
@@ -132,14 +132,14 @@ def t1(spark, sf):
 
 
 @register("T4_tokens_truncated", f"""
-WITH {turn_tokens_ctes('llama3', 256)}
+WITH {turn_tokens_ctes('llama3', MAXLEN)}
 SELECT conv_id, pos::BIGINT AS pos, token, trainable FROM toks""")
 def t4(spark, sf):
-    return P.corpus_tokens(_conv(spark, sf), "llama3", 256).select("conv_id", "pos", "token", "trainable")
+    return P.corpus_tokens(_conv(spark, sf), "llama3", MAXLEN).select("conv_id", "pos", "token", "trainable")
 
 
 @register("T9_prepared_samples", f"""
-WITH {turn_tokens_ctes('chatml', 512)},
+WITH {turn_tokens_ctes('chatml', MAXLEN)},
 vocab AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS token_id
   FROM (SELECT token, count(*) AS n FROM toks GROUP BY token))
@@ -150,7 +150,7 @@ FROM toks JOIN vocab v USING (token)
 GROUP BY conv_id
 HAVING count(*) FILTER (WHERE trainable) >= 10""")
 def t9(spark, sf):
-    s = P.prepared_samples(_conv(spark, sf), "chatml", 512, minimum_valid_tokens=10)
+    s = P.prepared_samples(_conv(spark, sf), "chatml", MAXLEN, minimum_valid_tokens=10)
     return s.select("conv_id", join_ints("input_ids").alias("input_ids"),
                     join_ints("loss_mask").alias("loss_mask"), F.col("seq_len").cast("bigint"))
 
@@ -185,11 +185,16 @@ def v1(spark, sf):
 
 
 @register("V2_combine_frequencies", _FREQ_CTE + """,
-f2 AS (SELECT token_id, freq FROM freq UNION ALL SELECT token_id, freq FROM freq WHERE token_id < 1000)
+allf AS (SELECT v.token_id, count(*) AS freq FROM toks JOIN vocab v USING (token) GROUP BY v.token_id),
+f2 AS (SELECT token_id, freq FROM freq UNION ALL SELECT token_id, freq FROM allf)
 SELECT token_id::BIGINT AS token_id, sum(freq)::BIGINT AS freq FROM f2 GROUP BY token_id""")
 def v2(spark, sf):
-    f = _freq(spark, sf)
-    return V.combine_frequencies(f, f.filter(F.col("token_id") < 1000))
+    """Trainable-token frequencies combined with all-token frequencies."""
+    toks = P.corpus_tokens(_conv(spark, sf), "chatml", MAXLEN)
+    vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
+    trainable = vocab.filter(F.col("freq") > 0).select("token_id", "freq")
+    every = vocab.select("token_id", F.col("n").alias("freq"))
+    return V.combine_frequencies(trainable, every)
 
 
 @register("V3_top_k", _FREQ_CTE + f"""

@@ -129,11 +129,11 @@ def _members(spark, sf):
 @register("Q10_collate", f"""
 WITH {_S}, {_BATCH},
 c AS (SELECT batch_id, flatten(list(input_ids ORDER BY ord)) AS ids, list(len(input_ids) ORDER BY ord) AS lens FROM mem GROUP BY batch_id)
-SELECT batch_id, {_a2s("CASE WHEN len(ids) >= 1024 THEN ids[1:1024] ELSE list_concat(ids, list_transform(generate_series(1, 1024 - len(ids)), lambda x: 0)) END")} AS input_ids,
+SELECT batch_id, {_a2s("CASE WHEN len(ids) >= 8192 THEN ids[1:8192] ELSE list_concat(ids, list_transform(generate_series(1, 8192 - len(ids)), lambda x: 0)) END")} AS input_ids,
        {_a2s('lens')} AS raw_lengths
 FROM c""")
 def q10(spark, sf):
-    c = Q.collate(_members(spark, sf), None, 1024, ["input_ids"])
+    c = Q.collate(_members(spark, sf), None, 8192, ["input_ids"])
     return c.select("batch_id", join_ints("input_ids").alias("input_ids"), join_ints("raw_lengths").alias("raw_lengths"))
 
 
@@ -142,35 +142,35 @@ WITH {_S}, {_BATCH},
 spine AS (SELECT unnest(generate_series(0, (SELECT max(batch_id) + 3 FROM mem))) AS batch_id),
 c AS (SELECT batch_id, flatten(list(input_ids ORDER BY ord)) AS ids FROM mem GROUP BY batch_id),
 j AS (SELECT s.batch_id, coalesce(c.ids, []) AS ids FROM spine s LEFT JOIN c USING (batch_id))
-SELECT batch_id, {_a2s("CASE WHEN len(ids) >= 64 THEN ids[1:64] ELSE list_concat(ids, list_transform(generate_series(1, 64 - len(ids)), lambda x: 0)) END")} AS input_ids
+SELECT batch_id, {_a2s("CASE WHEN len(ids) >= 8192 THEN ids[1:8192] ELSE list_concat(ids, list_transform(generate_series(1, 8192 - len(ids)), lambda x: 0)) END")} AS input_ids
 FROM j""")
 def q11(spark, sf):
     m = _members(spark, sf)
     spine = m.agg((F.max("batch_id") + 3).alias("_m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m"))).alias("batch_id"))
-    c = Q.collate(m, spine, 64, ["input_ids"])
+    c = Q.collate(m, spine, 8192, ["input_ids"])
     return c.select("batch_id", join_ints("input_ids").alias("input_ids"))
 
 
 @register("Q12_kept_lengths", f"""
 WITH {_S}, {_BATCH},
 p AS (SELECT *, coalesce(sum(seq_len) OVER (PARTITION BY batch_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prev FROM mem)
-SELECT batch_id, ord, least(seq_len, 512 - prev)::BIGINT AS kept_len FROM p WHERE prev < 512""")
+SELECT batch_id, ord, least(seq_len, 2048 - prev)::BIGINT AS kept_len FROM p WHERE prev < 2048""")
 def q12(spark, sf):
-    return Q.kept_lengths(_members(spark, sf), 512).select("batch_id", "ord", "kept_len")
+    return Q.kept_lengths(_members(spark, sf), 2048).select("batch_id", "ord", "kept_len")
 
 
 @register("Q13_document_ids", f"""
 WITH {_S}, {_BATCH},
 p AS (SELECT *, coalesce(sum(seq_len) OVER (PARTITION BY batch_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prev FROM mem),
-k AS (SELECT batch_id, ord, least(seq_len, 512 - prev) AS kl FROM p WHERE prev < 512),
+k AS (SELECT batch_id, ord, least(seq_len, 2048 - prev) AS kl FROM p WHERE prev < 2048),
 r AS (SELECT batch_id, ord, kl, row_number() OVER (PARTITION BY batch_id ORDER BY ord) - 1 AS i FROM k),
 ids AS (SELECT batch_id, flatten(list(list_transform(generate_series(1, kl), lambda x: i) ORDER BY ord)) AS d FROM r GROUP BY batch_id)
-SELECT batch_id, {_a2s("list_concat(d, list_transform(generate_series(1, 512 - len(d)), lambda x: -1))")} AS doc_ids FROM ids""")
+SELECT batch_id, {_a2s("list_concat(d, list_transform(generate_series(1, 2048 - len(d)), lambda x: -1))")} AS doc_ids FROM ids""")
 def q13(spark, sf):
-    k = Q.kept_lengths(_members(spark, sf), 512)
+    k = Q.kept_lengths(_members(spark, sf), 2048)
     g = k.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("ord", "kept_len"))).alias("_k"))
     lengths = F.transform("_k", lambda x: x["kept_len"])
-    return g.select("batch_id", join_ints(Q.document_ids(lengths, 512)).alias("doc_ids"))
+    return g.select("batch_id", join_ints(Q.document_ids(lengths, 2048)).alias("doc_ids"))
 
 
 @register("Q15_mtp_steps", f"""

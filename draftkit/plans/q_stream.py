@@ -119,12 +119,12 @@ def x6(spark, sf):
 
 
 @register("X7_stream_incremental_build", f"""
-WITH {turn_tokens_ctes('chatml', 512)}
+WITH {turn_tokens_ctes('chatml', 8192)}
 SELECT conv_id, count(*)::BIGINT AS seq_len, count(*) FILTER (WHERE trainable)::BIGINT AS n_trainable
 FROM toks GROUP BY conv_id""")
 def x7(spark, sf):
     def build(batch):
-        t = P.corpus_tokens(batch, "chatml", 512)
+        t = P.corpus_tokens(batch, "chatml", 8192)
         return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("seq_len"),
                                         F.count_if("trainable").cast("bigint").alias("n_trainable"))
     out, ck = X.scratch(spark, "x7-out"), X.scratch(spark, "x7-ck")
