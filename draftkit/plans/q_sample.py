@@ -204,7 +204,7 @@ _FEAT_SQL = f"""
 st AS (
   SELECT d.doc_id, regexp_extract_all(d.text, {TOKEN_RE}) AS toks, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l USING (doc_id)),
-s AS (SELECT doc_id, toks[1:64] AS input_ids, quality, toxic FROM st),
+s AS (SELECT doc_id, toks AS input_ids, quality, toxic FROM st),
 f AS (
   SELECT doc_id, CASE WHEN toxic = 1 THEN list_reverse(input_ids) ELSE input_ids END AS token_ids,
          len(input_ids) + CASE WHEN quality = 0 THEN 1 ELSE 0 END AS n_positions
@@ -213,7 +213,7 @@ f AS (
 
 def _features(spark, sf):
     d = _docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    s = d.select(F.col("doc_id").alias("sample_idx"), F.slice(tokenize("text"), 1, 64).alias("input_ids"),
+    s = d.select(F.col("doc_id").alias("sample_idx"), tokenize("text").alias("input_ids"),
                  "quality", "toxic")
     f = s.filter(F.col("quality").isNotNull()).select(
         "sample_idx", F.when(F.col("toxic") == 1, F.reverse("input_ids")).otherwise(F.col("input_ids")).alias("token_ids"),
