@@ -42,6 +42,13 @@ def prompt_intake(stream: DataFrame, lang: str | None, out: str, ckpt: str,
              .outputMode("append").trigger(availableNow=True).start())
 
 
+def response_sink(responses: DataFrame, out: str, ckpt: str):
+    """S6 (stream): append finished response rows as JSON lines; the
+    checkpoint makes a restarted query continue without duplicates."""
+    return (responses.writeStream.format("json").option("path", out).option("checkpointLocation", ckpt)
+                     .outputMode("append").trigger(availableNow=True).start())
+
+
 # ------------------------------------------------------------------ X2
 def dedup_by_key(stream: DataFrame, key_cols: list[str], ts_col: str, delay: str) -> DataFrame:
     """Replays and duplicates removed per key while the watermark keeps

@@ -62,3 +62,19 @@ def test_dedup_within_watermark(spark):
     q = d.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(x["event_id"] for x in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_response_sink_restart(spark):
+    rows = [(i, f"prompt {i}", f"answer {i}") for i in range(12)]
+    schema = "idx long, prompt string, output string"
+    src = _write_parts(spark, rows, schema, lambda r: [r[:6], r[6:]])
+    out, ck = tempfile.mkdtemp(prefix="dk-s6-"), tempfile.mkdtemp(prefix="dk-s6ck-")
+
+    def start():
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+        return X.response_sink(R.response_rows(s, "idx", "prompt", "output"), out, ck)
+    start().awaitTermination()
+    start().awaitTermination()  # restart: nothing new, nothing repeated
+    back = spark.read.json(out)
+    assert back.count() == 12
+    assert sorted(r["key"] for r in R.seen_keys(back).collect()) == sorted(str(i) for i in range(12))
