@@ -102,7 +102,7 @@ def n13(spark, sf):
 
 @register("N14_N15_request_payload", f"""
 SELECT conv_id, bool_or({role_case('role')} = 'user' AND contains(text, '?')) AS has_mm,
-       CASE WHEN bool_or({role_case('role')} = 'user' AND contains(text, '?')) THEN count(*) END::BIGINT AS n_messages
+       CASE WHEN bool_or({role_case('role')} = 'user' AND contains(text, '?')) THEN count(*) ELSE 0 END::BIGINT AS n_messages
 FROM conversations GROUP BY conv_id""")
 def n14(spark, sf):
     c = table(spark, sf, "conversations")
@@ -113,9 +113,10 @@ def n14(spark, sf):
                            F.array().cast("array<int>").alias("input_ids"))
     n = N.normalize_turns(nested)
     p = N.request_payload(n)
+    # messages travel only for multimodal samples; 0 when none are sent
     return p.select("conv_id", N.has_multimodal(F.col("turns")).alias("has_mm"),
-                    F.size("payload.messages").cast("bigint").alias("n_messages")).withColumn(
-        "n_messages", F.when(F.col("has_mm"), F.col("n_messages")))
+                    F.coalesce(F.size("payload.messages"), F.lit(-1)).cast("bigint").alias("n_messages")).withColumn(
+        "n_messages", F.when(F.col("has_mm"), F.col("n_messages")).otherwise(F.lit(0)))
 
 
 @register("N17_quarantine", """

@@ -102,3 +102,17 @@ def materialize(df, name: str = "table"):
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 * 1024 * 1024,
+                   max_partitions: int = 200_000) -> int:
+    """Size shuffles for an input of ``input_bytes``: about one shuffle
+    partition per ``target_bytes`` (AQE coalesces small ones and splits
+    skewed ones at run time), scan splits of the same size.  Returns the
+    partition count that was set."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+            min(max_partitions, -(-input_bytes // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return n

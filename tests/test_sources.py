@@ -86,3 +86,14 @@ def test_small_helpers(spark):
     R.feature_sink(spark.range(3), d + "/f", cache=True)
     R.feature_sink(spark.range(3), d + "/g", cache=False)
     assert spark.read.parquet(d + "/f").count() == 3 and not os.path.exists(d + "/g")
+
+
+def test_size_for_input(spark):
+    from draftkit.session import size_for_input
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        n = size_for_input(spark, 100 * 1024 ** 4)  # 100 TiB
+        assert n == 200_000 or n >= 800_000 // 4
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(128 * 1024 * 1024)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
