@@ -90,10 +90,17 @@ def test_small_helpers(spark):
 
 def test_size_for_input(spark):
     from draftkit.session import size_for_input
-    old = spark.conf.get("spark.sql.shuffle.partitions")
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    old = {k: spark.conf.get(k, None) for k in keys}
     try:
-        n = size_for_input(spark, 100 * 1024 ** 4)  # 100 TiB
-        assert n == 200_000 or n >= 800_000 // 4
+        assert size_for_input(spark, 100 * 1024 ** 4) == 200_000      # 100 TiB: capped
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert size_for_input(spark, 64 * 1024 ** 3) == 512            # 64 GiB / 128 MiB
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(128 * 1024 * 1024)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
