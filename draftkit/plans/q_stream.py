@@ -72,7 +72,7 @@ def x4(spark, sf):
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_ok", "n_error")
 
 
-@register("X5_stream_failure_alarm", """
+REGISTRY_X5_SQL = """
 WITH o AS (
   SELECT user_id, event_type = 'error' AS failed,
          sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (
@@ -81,7 +81,10 @@ WITH o AS (
 runs AS (SELECT user_id, isl, count(*) AS len FROM o WHERE failed GROUP BY user_id, isl),
 per AS (SELECT user_id, max(len) AS m FROM runs GROUP BY user_id)
 SELECT u.user_id, coalesce(per.m, 0)::BIGINT AS max_fail_run, coalesce(per.m, 0) >= 3 AS alarm
-FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN per USING (user_id)""")
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN per USING (user_id)"""
+
+
+@register("X5_stream_failure_alarm", REGISTRY_X5_SQL)
 def x5(spark, sf):
     s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
     alarms = X.failure_alarm(s, 3)
@@ -96,6 +99,18 @@ def x5(spark, sf):
     return last.select("user_id", F.col("s.max_fail_run").alias("max_fail_run"), F.col("s.alarm").alias("alarm"))
 
 
+@register("X5_stream_failure_alarm_tables", REGISTRY_X5_SQL)
+def x5t(spark, sf):
+    """X5 with distributed state: run statistics per micro-batch merged into
+    a versioned state table (no per-key Python)."""
+    s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
+    state, ck = X.scratch(spark, "x5t-state"), X.scratch(spark, "x5t-ck")
+    X.run_available(X.failure_alarm_tables(s, 3, state, ck))
+    versions = spark.read.parquet(state).agg(F.max("epoch")).first()[0]
+    last = spark.read.parquet(f"{state}/epoch={versions}")
+    return last.select("user_id", F.col("max_run").alias("max_fail_run"), "alarm")
+
+
 @register("X6_stream_counter_deltas", f"""
 WITH {scrape_cte('sa')}, {scrape_cte('sb', "ts < TIMESTAMP '2024-01-15 00:00:00'")},
 u AS (SELECT subset || '|' || name || '|' || coalesce(position::VARCHAR, '') AS series, 0 AS scrape, value FROM sb

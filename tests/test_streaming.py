@@ -78,3 +78,23 @@ def test_response_sink_restart(spark):
     back = spark.read.json(out)
     assert back.count() == 12
     assert sorted(r["key"] for r in R.seen_keys(back).collect()) == sorted(str(i) for i in range(12))
+
+
+def test_alarm_state_tables_across_batches(spark):
+    import random
+    rnd = random.Random(5)
+    seq = {u: [rnd.random() < 0.6 for _ in range(rnd.randint(1, 40))] for u in range(12)}
+    seq[99] = [True] * 30  # hot, all-failure key spanning every batch
+    rows = [(u, i, i * 60, bool(f)) for u, fs in seq.items() for i, f in enumerate(fs)]
+    schema = "user_id long, event_id long, t long, failed boolean"
+    src = _write_parts(spark, rows, schema,
+                       lambda r: [[x for x in r if x[1] < 10], [x for x in r if 10 <= x[1] < 20], [x for x in r if x[1] >= 20]])
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+         .withColumn("ts", F.timestamp_seconds("t")))
+    state, ck = tempfile.mkdtemp(prefix="dk-x5t-"), tempfile.mkdtemp(prefix="dk-x5tck-")
+    X.failure_alarm_tables(s, 3, state, ck).awaitTermination()
+    last = sorted(d for d in os.listdir(state) if d.startswith("epoch="))[-1]
+    got = {r["user_id"]: r["max_run"] for r in spark.read.parquet(os.path.join(state, last)).collect()}
+    want = {r["user_id"]: r["max_fail_run"] for r in
+            R.failure_runs(spark.createDataFrame(rows, schema), ["user_id"], ["t"], "failed", 3).collect()}
+    assert got == want and got[99] == 30
