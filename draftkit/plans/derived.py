@@ -2,7 +2,7 @@
 
 These only give rows in the schema an operator expects (prepared samples,
 counter scrapes, logits, sweep points, metric logs); the operators do the
-work.  Each has a DuckDB twin in ``sqlgen_derived`` built from the same
+work.  Each has a DuckDB twin in ``plans/sqlgen.py`` built from the same
 expressions.
 """
 

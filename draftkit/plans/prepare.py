@@ -1,7 +1,8 @@
 """Prepare plans: chat corpus -> tokenised samples -> draft vocabulary.
 
-One lazy plan per entry point; the only actions are the checkpoint inside the
-distributed dense index (T13) and the scalar count in V4.
+One lazy plan per entry point; the only eager steps are the table written by
+the distributed dense index (T13) and the row-count probe that guards the
+vocabulary broadcast.
 """
 
 from __future__ import annotations

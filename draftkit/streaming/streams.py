@@ -1,10 +1,11 @@
 """Structured Streaming versions of the incremental operators.
 
 Each function takes a streaming DataFrame and returns a started query (or a
-streaming DataFrame) built from the same batch operators.  Sinks are files
-in a folder under the shared checkpoint folder; aggregations that change
-over time are written as a change log through ``foreachBatch`` and read back
-as "latest value per key", so nothing is held in driver memory.
+streaming DataFrame) built from the same batch operators.  Sinks are file
+folders given by the caller (the registered queries use folders under the
+shared checkpoint folder); aggregations that change over time are written as
+a change log through ``foreachBatch`` and read back as "latest value per
+key", so nothing is held in driver memory.
 """
 
 from __future__ import annotations
