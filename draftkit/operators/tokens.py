@@ -189,7 +189,7 @@ def build_vocabulary(token_rows: DataFrame, token_col: str = "token", extra_aggs
     The count is a partial+final hash aggregate (hot tokens are combined
     map-side); ids come from the distributed dense index, not from a
     single-task window.  ``extra_aggs`` are computed in the same pass (and
-    kept in the checkpointed vocabulary), e.g. trainable-token counts.
+    kept in the written vocabulary table), e.g. trainable-token counts.
     """
     counts = token_rows.groupBy(token_col).agg(F.count(F.lit(1)).alias("n"), *extra_aggs)
     return dense_index(counts, [F.col("n").desc(), F.col(token_col)], "token_id").withColumn(

@@ -42,7 +42,7 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
     """
     toks = corpus_tokens(conversations, template, max_length)
     # One pass over the token rows: total counts (ids) and trainable counts
-    # (V1) together; the vocabulary is checkpointed, later steps read only it.
+    # (V1) together; the vocabulary is a written table, later steps read only it.
     vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
     freq = vocab.filter(F.col("freq") > 0).select("token_id", "freq")
     sel = V.pad_selection(V.top_k(freq, draft_vocab_size), draft_vocab_size)
@@ -57,7 +57,7 @@ def prepared_samples(conversations: DataFrame, template: str = "chatml", max_len
     """Prepared samples ``(conv_id, input_ids, loss_mask, seq_len)``.
 
     Token rows of the truncated samples get their ids from a size-checked
-    broadcast of the (checkpointed) vocabulary and are regrouped per sample
+    broadcast of the (written) vocabulary table and are regrouped per sample
     once; a sample holds at most ``max_length`` tokens."""
     toks = TK.token_positions(truncated_turns(conversations, template, max_length))
     vocab = TK.build_vocabulary(toks)
