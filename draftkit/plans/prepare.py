@@ -7,6 +7,7 @@ vocabulary broadcast.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,18 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
     V3 top-k -> V4 padding -> V5 ``d2t``.  Output
     ``(draft_id, target_id, offset, token, freq)``.
     """
-    toks = corpus_tokens(conversations, template, max_length)
-    # One pass over the token rows: total counts (ids) and trainable counts
-    # (V1) together; the vocabulary is a written table, later steps read only it.
-    vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
+    rows = N.normalize_rows(conversations)
+    # Tokenised turns are needed only until the vocabulary table is written
+    # (an eager step), so they are persisted for exactly that span: both
+    # branches of the salted running sum read them instead of tokenising twice.
+    tok = TK.turn_tokens(rows, TK.TEMPLATES[template]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        toks = TK.token_positions(TK.truncate_turns(tok, max_length))
+        # One pass over the token rows: total counts (ids) and trainable
+        # counts (V1) together; later steps read only the vocabulary table.
+        vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
+    finally:
+        tok.unpersist()
     freq = vocab.filter(F.col("freq") > 0).select("token_id", "freq")
     sel = V.pad_selection(V.top_k(freq, draft_vocab_size), draft_vocab_size)
     d2t = V.draft_to_target(sel)
