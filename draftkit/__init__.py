@@ -14,6 +14,6 @@ SQL expressions, joins, windows and aggregations.  Subpackages:
 * ``streaming`` -- Structured Streaming versions of the incremental operators
 """
 
-from draftkit.session import get_session, checkpoint_dir
+from draftkit.session import checkpoint_dir, get_session, ship_package
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session", "checkpoint_dir", "ship_package"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit.plans.tables import table  # noqa: E402,F401  (re-exported)
+from draftkit.session import ship_package  # noqa: E402
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -24,7 +25,10 @@ def register(name: str, sql: str | None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (lambda spark, sf_dir: finalize(fn(spark, sf_dir)), sql)
+        def run(spark, sf_dir):
+            ship_package(spark)  # executors import draftkit for UDFs / grouped maps
+            return finalize(fn(spark, sf_dir))
+        REGISTRY[name] = (run, sql)
         return fn
     return deco
 

@@ -116,3 +116,34 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 12
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     return n
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``draftkit`` importable by the Python workers of this
+    application (``SparkContext.addPyFile`` of a zip of the package, once per
+    application) -- what ``--py-files`` does for spark-submit.  Pandas UDFs,
+    grouped maps and streaming state functions refer to library functions
+    that executors must import."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship with spark.addArtifacts
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    # staging file on the driver only; Spark copies it to every executor
+    fd, path = tempfile.mkstemp(prefix="draftkit-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

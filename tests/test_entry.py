@@ -33,3 +33,18 @@ def test_fast_oracles_match(spark):
         cols = sorted(a.columns)
         norm = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df[cols].itertuples(index=False))
         assert norm(a) == norm(b), name
+
+
+def test_queries_run_from_another_directory(tmp_path):
+    """Python workers import draftkit through the shipped package, not the
+    working directory (a driver may run from anywhere)."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '/root/repo')\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "print(E.queries()['U6_R18_bulk_call'](s, '/root/testdata/sf0.001').count())\n")
+    r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert r.returncode == 0, r.stderr[-2000:]
+    assert r.stdout.strip().splitlines()[-1] == "200"
