@@ -68,8 +68,16 @@ def prepared_samples(conversations: DataFrame, template: str = "chatml", max_len
     Token rows of the truncated samples get their ids from a size-checked
     broadcast of the (written) vocabulary table and are regrouped per sample
     once; a sample holds at most ``max_length`` tokens."""
-    toks = TK.token_positions(truncated_turns(conversations, template, max_length))
-    vocab = TK.build_vocabulary(toks)
+    rows = N.normalize_rows(conversations)
+    tok = TK.turn_tokens(rows, TK.TEMPLATES[template])
+    # the eager vocabulary write reads the tokenised turns from a cache that
+    # lives only for that step; the returned (lazy) plan recomputes them
+    tok_cached = tok.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        vocab = TK.build_vocabulary(TK.token_positions(TK.truncate_turns(tok_cached, max_length)))
+    finally:
+        tok_cached.unpersist()
+    toks = TK.token_positions(TK.truncate_turns(tok, max_length))
     ided = checked_broadcast_join(toks, vocab.select("token", "token_id"), "token")
     g = ided.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "trainable"))).alias("_t"))
     enc = g.select("conv_id", F.transform("_t", lambda x: x["token_id"]).alias("input_ids"),
