@@ -202,12 +202,12 @@ ALL_SUBSETS = "__all__"
 
 def pool_points(points: DataFrame) -> DataFrame:
     """Repetitions pooled per (label, subset), plus one pooled curve of
-    all subsets per label (``GROUPING SETS``); duplicate x are averaged."""
-    g = points.rollup("label", "subset", "x").agg(F.avg("y").alias("y"), F.grouping_id().alias("_g"))
-    by_subset = g.filter(F.col("_g") == 0).select("label", "subset", "x", "y")
-    allp = points.groupBy("label", "x").agg(F.avg("y").alias("y")).select(
-        "label", F.lit(ALL_SUBSETS).alias("subset"), "x", "y")
-    return by_subset.unionByName(allp)
+    all subsets per label -- both levels in one aggregation
+    (``GROUPING SETS``); duplicate x are averaged."""
+    g = points.groupingSets([["label", "subset", "x"], ["label", "x"]], "label", "subset", "x").agg(
+        F.avg("y").alias("y"), F.grouping_id().alias("_g"))
+    return g.select("label", F.when(F.col("_g") == 0, F.col("subset")).otherwise(F.lit(ALL_SUBSETS)).alias("subset"),
+                    "x", "y")
 
 
 def choose_subsets(points: DataFrame, baseline: str, target: str, mode: str = "intersection",
