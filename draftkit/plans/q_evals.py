@@ -70,15 +70,15 @@ def _delta(spark, sf):
 
 
 @register("E3_subtract_baseline", _DELTA + """
-SELECT subset, name, coalesce(position, -1)::BIGINT AS position, (floor((value) * 1e6 + 0.5) / 1e6) AS value FROM delta""")
+SELECT subset, name, coalesce(position, -1)::BIGINT AS position, (floor((value) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS value FROM delta""")
 def e3(spark, sf):
     d = _delta(spark, sf)
     return d.select("subset", "name", F.coalesce("position", F.lit(-1)).alias("position"), r6(F.col("value")).alias("value"))
 
 
 @register("E4_acceptance_rates", _DELTA + """
-SELECT subset, (floor((num_drafts) * 1e6 + 0.5) / 1e6) AS num_drafts, (floor((num_draft_tokens) * 1e6 + 0.5) / 1e6) AS num_draft_tokens,
-       (floor((num_accepted_tokens) * 1e6 + 0.5) / 1e6) AS num_accepted_tokens, (floor((acceptance_length) * 1e6 + 0.5) / 1e6) AS acceptance_length
+SELECT subset, (floor((num_drafts) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS num_drafts, (floor((num_draft_tokens) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS num_draft_tokens,
+       (floor((num_accepted_tokens) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS num_accepted_tokens, (floor((acceptance_length) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS acceptance_length
 FROM scal2""")
 def e4(spark, sf):
     scal, _pos = E.acceptance_rates(_delta(spark, sf), KEY)
@@ -87,17 +87,17 @@ def e4(spark, sf):
 
 
 @register("E5_acceptance_per_token", _DELTA + """
-SELECT subset, position::BIGINT AS position, 'acceptance_at_token_' || position::VARCHAR AS metric, (floor((rate) * 1e6 + 0.5) / 1e6) AS rate FROM pos""")
+SELECT subset, position::BIGINT AS position, 'acceptance_at_token_' || position::VARCHAR AS metric, (floor((rate) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS rate FROM pos""")
 def e5(spark, sf):
     _scal, pos = E.acceptance_rates(_delta(spark, sf), KEY, no_drafts_length=1.0, pos_prefix="acceptance_at_token_")
     return pos.select("subset", "position", "metric", r6(F.col("rate")).alias("rate"))
 
 
 @register("E6_acceptance_wide", _DELTA + """
-SELECT s.subset, (floor((s.acceptance_length) * 1e6 + 0.5) / 1e6) AS acceptance_length,
-       (floor((max(CASE WHEN p.position = 0 THEN p.rate END)) * 1e6 + 0.5) / 1e6) AS acceptance_at_pos_0,
-       (floor((max(CASE WHEN p.position = 1 THEN p.rate END)) * 1e6 + 0.5) / 1e6) AS acceptance_at_pos_1,
-       (floor((max(CASE WHEN p.position = 2 THEN p.rate END)) * 1e6 + 0.5) / 1e6) AS acceptance_at_pos_2
+SELECT s.subset, (floor((s.acceptance_length) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS acceptance_length,
+       (floor((max(CASE WHEN p.position = 0 THEN p.rate END)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS acceptance_at_pos_0,
+       (floor((max(CASE WHEN p.position = 1 THEN p.rate END)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS acceptance_at_pos_1,
+       (floor((max(CASE WHEN p.position = 2 THEN p.rate END)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS acceptance_at_pos_2
 FROM scal2 s LEFT JOIN pos p USING (subset) GROUP BY s.subset, s.acceptance_length""")
 def e6(spark, sf):
     scal, pos = E.acceptance_rates(_delta(spark, sf), KEY)
@@ -107,7 +107,7 @@ def e6(spark, sf):
 
 
 @register("E7_E8_output_length_stats", """
-SELECT event_type AS subset, count(*)::BIGINT AS count, (floor((median(floor(value))) * 1e6 + 0.5) / 1e6) AS median,
+SELECT event_type AS subset, count(*)::BIGINT AS count, (floor((median(floor(value))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS median,
        min(floor(value))::BIGINT AS min, max(floor(value))::BIGINT AS max,
        pow(2, ceil(log2(greatest(median(floor(value)), 1))))::BIGINT AS max_tokens
 FROM events GROUP BY event_type""")
@@ -153,8 +153,8 @@ sw AS (
 
 @register("E9_S13_sweep_rows", f"""
 WITH {_SWEEP_SQL}
-SELECT subset, strategy, target_rate, rps_median, (floor((latency_median_s) * 1e6 + 0.5) / 1e6) AS latency_median_s,
-       ttft_median_ms, itl_median_ms, (floor((output_tps_median) * 1e6 + 0.5) / 1e6) AS output_tps_median, total_output_tokens FROM sw""")
+SELECT subset, strategy, target_rate, rps_median, (floor((latency_median_s) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS latency_median_s,
+       ttft_median_ms, itl_median_ms, (floor((output_tps_median) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS output_tps_median, total_output_tokens FROM sw""")
 def e9(spark, sf):
     b = _bench_docs(spark, sf)
     s = E.sweep_rows(b, E.subset_from_filename(F.col("file")))
@@ -164,7 +164,7 @@ def e9(spark, sf):
 
 @register("E10_attach_acceptance", _DELTA + f""",
 {_SWEEP_SQL}
-SELECT sw.subset, sw.target_rate, sw.rps_median, (floor((s.acceptance_length) * 1e6 + 0.5) / 1e6) AS acceptance_length
+SELECT sw.subset, sw.target_rate, sw.rps_median, (floor((s.acceptance_length) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS acceptance_length
 FROM sw LEFT JOIN scal2 s USING (subset)""")
 def e10(spark, sf):
     s = E.sweep_rows(_bench_docs(spark, sf), E.subset_from_filename(F.col("file")))
@@ -182,14 +182,14 @@ def _points(spark, sf):
     return E.chart_points(D.sweep_points(spark, sf), "latency", "rps_median")
 
 
-@register("E11_chart_points", _PTS + "\nSELECT label, subset, x, (floor((y) * 1e6 + 0.5) / 1e6) AS y FROM pts")
+@register("E11_chart_points", _PTS + "\nSELECT label, subset, x, (floor((y) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y FROM pts")
 def e11(spark, sf):
     return _points(spark, sf).withColumn("y", r6(F.col("y")))
 
 
 @register("E12_pool_points", _PTS + """
-SELECT label, subset, x, (floor((avg(y)) * 1e6 + 0.5) / 1e6) AS y FROM pts GROUP BY label, subset, x
-UNION ALL SELECT label, '__all__', x, (floor((avg(y)) * 1e6 + 0.5) / 1e6) FROM pts GROUP BY label, x""")
+SELECT label, subset, x, (floor((avg(y)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y FROM pts GROUP BY label, subset, x
+UNION ALL SELECT label, '__all__', x, (floor((avg(y)) * 1000000.000001::DOUBLE + 0.5) / 1e6) FROM pts GROUP BY label, x""")
 def e12(spark, sf):
     return E.pool_points(_points(spark, sf)).withColumn("y", r6(F.col("y")))
 
@@ -217,8 +217,8 @@ iv AS (
   FROM gl g),
 yi AS (SELECT label, subset, gi, x, CASE WHEN p1 IS NULL OR p1.x = p0.x THEN p0.y
             ELSE p0.y + (p1.y - p0.y) * (x - p0.x) / (p1.x - p0.x) END AS y FROM iv)
-SELECT b.subset, b.gi::BIGINT AS gi, (floor((b.x) * 1e6 + 0.5) / 1e6) AS x, (floor((b.y) * 1e6 + 0.5) / 1e6) AS y_baseline, (floor((t.y) * 1e6 + 0.5) / 1e6) AS y_target,
-       (floor((b.y / greatest(t.y, 1e-12)) * 1e6 + 0.5) / 1e6) AS speedup
+SELECT b.subset, b.gi::BIGINT AS gi, (floor((b.x) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS x, (floor((b.y) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y_baseline, (floor((t.y) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y_target,
+       (floor((b.y / greatest(t.y, 1e-12)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS speedup
 FROM yi b JOIN yi t ON t.subset = b.subset AND t.gi = b.gi AND t.label = '1' WHERE b.label = '0'""")
 def e15(spark, sf):
     s = E.interpolate_speedup(_points(spark, sf), "0", "1", increasing=True)
@@ -230,7 +230,7 @@ def e15(spark, sf):
 @register("E17_smooth_curve", _PTS + """,
 p AS (SELECT label, subset, x, avg(y) AS y FROM pts GROUP BY label, subset, x)
 SELECT label, subset, x, (floor((CASE WHEN count(*) OVER (PARTITION BY label, subset) < 2 THEN y
-       ELSE avg(y) OVER (PARTITION BY label, subset ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END) * 1e6 + 0.5) / 1e6) AS y_smooth
+       ELSE avg(y) OVER (PARTITION BY label, subset ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y_smooth
 FROM p""")
 def e17(spark, sf):
     p = _points(spark, sf).groupBy("label", "subset", "x").agg(F.avg("y").alias("y"))
@@ -253,11 +253,11 @@ def e18(spark, sf):
 
 
 @register("E19_acceptance_report", _DELTA + """
-SELECT subset, 0::BIGINT AS line_no, 'Num drafts' AS item, (floor((num_drafts) * 1e6 + 0.5) / 1e6) AS value FROM scal2
-UNION ALL SELECT subset, 1, 'Num draft tokens', (floor((num_draft_tokens) * 1e6 + 0.5) / 1e6) FROM scal2
-UNION ALL SELECT subset, 2, 'Num accepted tokens', (floor((num_accepted_tokens) * 1e6 + 0.5) / 1e6) FROM scal2
-UNION ALL SELECT subset, 3, 'Acceptance length', (floor((acceptance_length) * 1e6 + 0.5) / 1e6) FROM scal2
-UNION ALL SELECT subset, position + 4, 'Position ' || position::VARCHAR, (floor((rate) * 1e6 + 0.5) / 1e6) FROM pos""")
+SELECT subset, 0::BIGINT AS line_no, 'Num drafts' AS item, (floor((num_drafts) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS value FROM scal2
+UNION ALL SELECT subset, 1, 'Num draft tokens', (floor((num_draft_tokens) * 1000000.000001::DOUBLE + 0.5) / 1e6) FROM scal2
+UNION ALL SELECT subset, 2, 'Num accepted tokens', (floor((num_accepted_tokens) * 1000000.000001::DOUBLE + 0.5) / 1e6) FROM scal2
+UNION ALL SELECT subset, 3, 'Acceptance length', (floor((acceptance_length) * 1000000.000001::DOUBLE + 0.5) / 1e6) FROM scal2
+UNION ALL SELECT subset, position + 4, 'Position ' || position::VARCHAR, (floor((rate) * 1000000.000001::DOUBLE + 0.5) / 1e6) FROM pos""")
 def e19(spark, sf):
     scal, pos = E.acceptance_rates(_delta(spark, sf), KEY)
     r = E.acceptance_report(scal, pos, KEY)
@@ -292,7 +292,7 @@ def e21(spark, sf):
 
 
 @register("E22_subsets_with_drafts", _DELTA + """
-SELECT subset, (floor((num_drafts) * 1e6 + 0.5) / 1e6) AS num_drafts FROM scal2 WHERE num_drafts > 0""")
+SELECT subset, (floor((num_drafts) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS num_drafts FROM scal2 WHERE num_drafts > 0""")
 def e22(spark, sf):
     scal, _ = E.acceptance_rates(_delta(spark, sf), KEY)
     return E.subsets_with_drafts(scal).select("subset", r6(F.col("num_drafts")).alias("num_drafts"))

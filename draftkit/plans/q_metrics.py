@@ -33,14 +33,14 @@ l AS (SELECT *, {lse('draft')} AS ld, {lse('target')} AS lt FROM pairs)"""
 
 @register("M5_kl_div", _LOGIT + """
 SELECT vec_id, (floor((list_sum(list_transform(generate_series(1, len(target)),
-       lambda i: exp(target[i] - lt) * ((target[i] - lt) - (draft[i] - ld))))) * 1e6 + 0.5) / 1e6) AS kl FROM l""")
+       lambda i: exp(target[i] - lt) * ((target[i] - lt) - (draft[i] - ld))))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS kl FROM l""")
 def m5(spark, sf):
     p = D.logit_pairs(spark, sf)
     return p.select("vec_id", r6(M.kl_div(F.col("draft"), F.col("target"))).alias("kl"))
 
 
 @register("M6_cross_entropy", _LOGIT + f"""
-SELECT vec_id, (floor((ld - draft[{argmax_sql('target')} + 1]) * 1e6 + 0.5) / 1e6) AS ce FROM l""")
+SELECT vec_id, (floor((ld - draft[{argmax_sql('target')} + 1]) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS ce FROM l""")
 def m6(spark, sf):
     p = D.logit_pairs(spark, sf)
     return p.select("vec_id", r6(M.cross_entropy(F.col("draft"), F.col("target"))).alias("ce"))
@@ -53,7 +53,7 @@ y AS (SELECT *, CASE WHEN pos_idx = 0 THEN 0.0 ELSE exp(-greatest(pos_idx - 1, 0
              pow(0.8, pos_idx) AS dB FROM x),
 r AS (SELECT label, sum(loss * m) / (sum(m) + 1e-5) AS l0, sum(loss * m * dA) / (sum(m) + 1e-5) AS la,
              sum(loss * m * dB) / (sum(m) + 1e-5) AS lb FROM y GROUP BY label)
-SELECT (floor((avg(l0)) * 1e6 + 0.5) / 1e6) AS loss_plain, (floor((avg(la)) * 1e6 + 0.5) / 1e6) AS loss_block_decay, (floor((avg(lb)) * 1e6 + 0.5) / 1e6) AS loss_pow_decay FROM r""")
+SELECT (floor((avg(l0)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS loss_plain, (floor((avg(la)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS loss_block_decay, (floor((avg(lb)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS loss_pow_decay FROM r""")
 def m9(spark, sf):
     p = D.logit_pairs(spark, sf)
     d = p.select("label", (F.col("vec_id") % 4).alias("pos_idx"),
@@ -72,8 +72,8 @@ p AS (SELECT *, mask AND coalesce(min(correct::INTEGER) OVER (PARTITION BY sampl
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, true) AS prev FROM c)
 SELECT step::BIGINT AS step, count(*) FILTER (WHERE correct AND prev AND mask)::BIGINT AS full_correct,
        count(*) FILTER (WHERE mask)::BIGINT AS full_total, count(*) FILTER (WHERE prev)::BIGINT AS cond_total,
-       (floor((count(*) FILTER (WHERE correct AND prev AND mask) / count(*) FILTER (WHERE mask)) * 1e6 + 0.5) / 1e6) AS full_acc,
-       (floor((count(*) FILTER (WHERE correct AND prev AND mask) / count(*) FILTER (WHERE prev)) * 1e6 + 0.5) / 1e6) AS cond_acc
+       (floor((count(*) FILTER (WHERE correct AND prev AND mask) / count(*) FILTER (WHERE mask)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS full_acc,
+       (floor((count(*) FILTER (WHERE correct AND prev AND mask) / count(*) FILTER (WHERE prev)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS cond_acc
 FROM p GROUP BY step""")
 def m11(spark, sf):
     p = D.predictions(spark, sf).withColumn("correct", F.col("pred") == F.col("target"))
@@ -123,7 +123,7 @@ p3 AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS draf
 u AS (SELECT 0 AS step, * FROM (SELECT vec_id, draft, target FROM pairs) UNION ALL SELECT 1, * FROM p2 UNION ALL SELECT 2, * FROM p3),
 ce AS (SELECT step, {lse('draft')} - draft[{argmax_sql('target')} + 1] AS ce FROM u),
 per AS (SELECT step, sum(ce) / greatest(count(ce), 1) AS sl FROM ce GROUP BY step)
-SELECT (floor((sum(sl * pow(0.6, step) / (1 + 0.6 + 0.36))) * 1e6 + 0.5) / 1e6) AS loss FROM per""")
+SELECT (floor((sum(sl * pow(0.6, step) / (1 + 0.6 + 0.36))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS loss FROM per""")
 def m13(spark, sf):
     parts = []
     for k in range(3):
@@ -144,7 +144,7 @@ paired AS (
   SELECT s.epoch, s.base AS name, CASE WHEN t.value > 0 THEN s.value / t.value ELSE 0.0 END AS value
   FROM k s JOIN k t ON t.epoch = s.epoch AND t.base = s.base AND t.kind = 'total' WHERE s.kind = 'sum'),
 plain AS (SELECT epoch, name, value / 2.0 AS value FROM k WHERE kind = '')
-SELECT epoch::BIGINT AS epoch, name, (floor((value) * 1e6 + 0.5) / 1e6) AS value FROM (SELECT * FROM paired UNION ALL SELECT * FROM plain)""")
+SELECT epoch::BIGINT AS epoch, name, (floor((value) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS value FROM (SELECT * FROM paired UNION ALL SELECT * FROM plain)""")
 def m16(spark, sf):
     log = D.metric_log(spark, sf).groupBy("epoch", "name").agg(F.sum("value").alias("value"))
     out = M.normalize_counted(log, ["epoch"], world_size=2)
@@ -162,14 +162,14 @@ plain AS (SELECT epoch, name, value AS value FROM k WHERE kind = ''),
 ve AS (SELECT epoch, name || '_epoch' AS name, value FROM (SELECT * FROM paired UNION ALL SELECT * FROM plain))"""
 
 
-@register("M17_validation_epoch", _M17 + "\nSELECT epoch::BIGINT AS epoch, name, (floor((value) * 1e6 + 0.5) / 1e6) AS value FROM ve")
+@register("M17_validation_epoch", _M17 + "\nSELECT epoch::BIGINT AS epoch, name, (floor((value) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS value FROM ve")
 def m17(spark, sf):
     out = M.validation_epoch(D.metric_log(spark, sf), world_size=1)
     return out.select("epoch", "name", r6(F.col("value")).alias("value"))
 
 
 @register("M18_log_every", _MLOG + """
-SELECT epoch::BIGINT AS epoch, batch::BIGINT AS batch, name, (floor((value) * 1e6 + 0.5) / 1e6) AS value
+SELECT epoch::BIGINT AS epoch, batch::BIGINT AS batch, name, (floor((value) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS value
 FROM mlog WHERE (epoch * 24 + batch) % 5 = 0""")
 def m18(spark, sf):
     d = D.metric_log(spark, sf).withColumn("step", F.col("epoch") * 24 + F.col("batch"))
@@ -179,7 +179,7 @@ def m18(spark, sf):
 @register("M19_best_epochs", _M17 + """,
 l AS (SELECT epoch, value AS loss_epoch FROM ve WHERE name = 'purchase_epoch'),
 p AS (SELECT *, min(loss_epoch) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM l)
-SELECT epoch::BIGINT AS epoch, (floor((loss_epoch) * 1e6 + 0.5) / 1e6) AS loss_epoch, (pm IS NULL OR loss_epoch < pm) AS improved,
+SELECT epoch::BIGINT AS epoch, (floor((loss_epoch) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS loss_epoch, (pm IS NULL OR loss_epoch < pm) AS improved,
        (SELECT epoch FROM l ORDER BY loss_epoch, epoch LIMIT 1)::BIGINT AS best_epoch
 FROM p""")
 def m19(spark, sf):

@@ -240,7 +240,7 @@ def s8(spark, sf):
 
 _PTS_SQL = f"""
 WITH {sweep_points_cte()}
-SELECT label, regexp_replace(subset, '^run_', '') AS subset, x, (floor((y) * 1e6 + 0.5) / 1e6) AS y FROM sweep WHERE strategy = 'constant'"""
+SELECT label, regexp_replace(subset, '^run_', '') AS subset, x, (floor((y) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y FROM sweep WHERE strategy = 'constant'"""
 
 
 @register("S14_S15_S16_S18_sweep_csv", _PTS_SQL)

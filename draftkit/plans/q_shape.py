@@ -82,8 +82,8 @@ def _emb_long(spark, sf):
 WITH {_EMB_LONG},
 g AS (SELECT sample_idx, pos, list(vec ORDER BY layer) AS l FROM hl GROUP BY sample_idx, pos)
 SELECT sample_idx, pos, (len(l) - 1) * len(l[1]) AS n_hidden,
-       (floor((list_sum(flatten(l[1:len(l) - 1]))) * 1e6 + 0.5) / 1e6) AS hidden_sum,
-       (floor((list_sum(l[len(l)])) * 1e6 + 0.5) / 1e6) AS last_sum
+       (floor((list_sum(flatten(l[1:len(l) - 1]))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS hidden_sum,
+       (floor((list_sum(l[len(l)])) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS last_sum
 FROM g""")
 def q3(spark, sf):
     d = Q.split_layers_long(_emb_long(spark, sf))
@@ -95,8 +95,8 @@ def q3(spark, sf):
 @register("Q4_split_layers_nested", f"""
 WITH {_EMB_LONG},
 g AS (SELECT sample_idx, pos, list(vec ORDER BY layer) AS l FROM hl GROUP BY sample_idx, pos)
-SELECT sample_idx, pos, (floor((list_sum(flatten(l[1:len(l) - 1]))) * 1e6 + 0.5) / 1e6) AS hidden_sum,
-       (floor((list_sum(l[len(l)])) * 1e6 + 0.5) / 1e6) AS last_sum FROM g""")
+SELECT sample_idx, pos, (floor((list_sum(flatten(l[1:len(l) - 1]))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS hidden_sum,
+       (floor((list_sum(l[len(l)])) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS last_sum FROM g""")
 def q4(spark, sf):
     e = _emb_long(spark, sf)
     nested = e.groupBy("sample_idx", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "vec"))).alias("_l"))
@@ -108,7 +108,7 @@ def q4(spark, sf):
 
 @register("Q8_uniform_noise", f"""
 WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings)
-SELECT vec_id, (floor((sum(x + 2.0 * ({hx("concat_ws(':', '42', vec_id::VARCHAR, i::VARCHAR)")} / 4294967296.0 - 0.5) * 0.05)) * 1e6 + 0.5) / 1e6) AS noisy_sum
+SELECT vec_id, (floor((sum(x + 2.0 * ({hx("concat_ws(':', '42', vec_id::VARCHAR, i::VARCHAR)")} / 4294967296.0 - 0.5) * 0.05)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS noisy_sum
 FROM e GROUP BY vec_id""")
 def q8(spark, sf):
     e = table(spark, sf, "embeddings")
