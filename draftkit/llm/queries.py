@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.llm import chat_format, exact_dedup, pii, token_count
+from draftkit.llm import chat_format, exact_dedup, pii, simhash, token_count
 
 QUERIES: dict = {}
 
@@ -79,3 +79,8 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""")
 def op7(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_vantage_point")
+def op1(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
