@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.llm import chat_format, exact_dedup, pii, simhash, token_count
+from draftkit.llm import chat_format, decontaminate, exact_dedup, pack_bins, pii, simhash, token_count
 
 QUERIES: dict = {}
 
@@ -84,3 +84,13 @@ def op7(spark, sf_dir):
 @query("op1_simhash_vantage_point")
 def op1(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontaminate_spaced_seeds")
+def op9(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_conflict_best_fit_packing")
+def op3(spark, sf_dir):
+    return pack_bins.pack_documents(table(spark, sf_dir, "documents"))
