@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -211,19 +212,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     sc = docs.sparkSession.sparkContext
     for items in _blocks(benchmark, item_id_col, item_text_col):
         shared = sc.broadcast(tuple(items))
+        docs = docs.where(_clean(shared)(column(docs, text_col)))
+    return docs
 
-        def clean(texts, shared=shared):
-            index = _index(shared.value)
-            out = np.ones(len(texts), bool)
-            for a in range(0, len(texts), 256):
-                for hit in index.hits([word_hashes(t or "") for t in texts[a:a + 256]]):
-                    out[a + hit[0]] = False
-            return out
-
-        def clean_series(texts):
-            import pandas as pd
 
-            return pd.Series(clean(texts.tolist()))
+def _clean(shared):
+    def clean(texts: pd.Series) -> pd.Series:
+        index = _index(shared.value)
+        out = np.ones(len(texts), bool)
+        for a in range(0, len(texts), 256):
+            for hit in index.hits([word_hashes(t or "") for t in texts.iloc[a:a + 256]]):
+                out[a + hit[0]] = False
+        return pd.Series(out)
 
-        docs = docs.where(F.pandas_udf(clean_series, "boolean", F.PandasUDFType.SCALAR)(column(docs, text_col)))
-    return docs
+    return F.pandas_udf(clean, "boolean")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.llm import chat_format, decontaminate, exact_dedup, pack_bins, pii, simhash, token_count
+from draftkit.llm import chat_format, decontaminate, exact_dedup, pack_bins, pii, quality, simhash, token_count
 
 QUERIES: dict = {}
 
@@ -94,3 +94,8 @@ def op9(spark, sf_dir):
 @query("op3_conflict_best_fit_packing")
 def op3(spark, sf_dir):
     return pack_bins.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_random_indexing")
+def op4(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
