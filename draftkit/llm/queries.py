@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.llm import chat_format, decontaminate, exact_dedup, pack_bins, pii, quality, simhash, token_count
+from draftkit.llm import chat_format, decontaminate, exact_dedup, pack_bins, pii, quality, simhash, suffix_repeats, token_count
 
 QUERIES: dict = {}
 
@@ -99,3 +99,8 @@ def op3(spark, sf_dir):
 @query("op4_quality_random_indexing")
 def op4(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_sparse_suffix_repeats")
+def op8(spark, sf_dir):
+    return suffix_repeats.repeated_passages(table(spark, sf_dir, "documents"))
