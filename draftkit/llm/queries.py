@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.llm import chat_format, decontaminate, exact_dedup, pack_bins, pii, quality, simhash, suffix_repeats, token_count
+from draftkit.llm import chat_format, decontaminate, exact_dedup, language, pack_bins, pii, quality, simhash, suffix_repeats, token_count
 
 QUERIES: dict = {}
 
@@ -104,3 +104,8 @@ def op4(spark, sf_dir):
 @query("op8_sparse_suffix_repeats")
 def op8(spark, sf_dir):
     return suffix_repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_evidence_fusion")
+def op10(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
