@@ -56,17 +56,22 @@ def normalize_content(value: Column, content: Column) -> Column:
     return F.coalesce(_nonempty(value), _nonempty(content), F.lit(""))
 
 
-def normalize_turn(t: Column) -> Column:
+def normalize_turn(t: Column, has_parts: bool = True) -> Column:
     """N1-N4 on one raw turn struct -> normalised turn struct (role NULL when
-    the turn is to be dropped)."""
+    the turn is to be dropped).
+
+    A turn with ``parts`` keeps them as they are; any other content is plain
+    text, whatever it starts with."""
     raw_role = F.coalesce(t["from"], t["role"])
-    content = normalize_content(t["value"], t["content"])
-    is_list = F.ltrim(content).startswith("[")
     thinking = F.coalesce(_nonempty(t["thinking"]), _nonempty(t["reasoning_content"]))
+    text = normalize_content(t["value"], t["content"])
+    no_parts = F.lit(None).cast(T.ArrayType(schemas.PART))
+    # an empty list counts as no content, so the text (or "") stands in
+    parts = F.when(F.size(t["parts"]) > 0, t["parts"]) if has_parts else no_parts
     return F.struct(
         normalize_role(raw_role).alias("role"),
-        F.when(is_list, F.lit(None).cast("string")).otherwise(content).alias("content"),
-        F.when(is_list, parse_parts(content)).alias("parts"),
+        (F.when(parts.isNull(), text) if has_parts else text).alias("content"),
+        parts.alias("parts"),
         F.when(F.size(t["tool_calls"]) > 0, t["tool_calls"]).alias("tool_calls"),
         _nonempty(t["tool_call_id"]).alias("tool_call_id"),
         thinking.alias("thinking"),
@@ -74,23 +79,35 @@ def normalize_turn(t: Column) -> Column:
     )
 
 
-def parse_parts(json_text: Column) -> Column:
-    """A JSON list of parts (strings or typed objects) -> ``array<PART>``;
-    a bare string part becomes ``{type: text}``."""
-    raw = F.from_json(json_text, T.ArrayType(T.StringType()))
-    return F.transform(raw, lambda p: F.when(
-        F.ltrim(p).startswith("{"), F.from_json(p, schemas.PART)
-    ).otherwise(F.struct(*[
-        (F.lit("text") if f.name == "type" else p if f.name == "text" else F.lit(None).cast("string")).alias(f.name)
-        for f in schemas.PART.fields
-    ])))
+def _part(**given) -> Column:
+    return F.struct(*[given.get(f.name, F.lit(None)).cast("string").alias(f.name) for f in schemas.PART.fields])
+
+
+def variant_parts(v: Column) -> Column:
+    """A variant list of parts (strings or typed objects) ->
+    ``array<PART>``; a bare string becomes a text part."""
+    def one(p):
+        known = {f.name: F.try_variant_get(p, f"$.{f.name}", "string") for f in schemas.PART.fields}
+        return F.when(F.schema_of_variant(p) == "STRING", _part(type=F.lit("text"), text=F.try_variant_get(p, "$", "string"))).otherwise(_part(**known))
+    return F.transform(F.try_variant_get(v, "$", "array<variant>"), one)
+
+
+def typed_turn(t: Column) -> Column:
+    """A turn as read from JSON (``schemas.JSON_TURN``) -> ``RAW_TURN``:
+    ``value`` wins over ``content`` where it is not empty; a JSON list becomes
+    ``parts``, anything else text."""
+    def is_list(v):
+        return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 
+    def text(v):
+        return F.when(~is_list(v), F.try_variant_get(v, "$", "string"))
 
-def string_part_to_text(parts: Column) -> Column:
-    """N12 for already-typed part arrays (identity on typed parts)."""
-    return F.transform(parts, lambda p: F.struct(
-        F.coalesce(p["type"], F.lit("text")).alias("type"),
-        *[p[f.name].alias(f.name) for f in schemas.PART.fields if f.name != "type"]))
+    def items(v):
+        return F.when(is_list(v), F.try_variant_get(v, "$", "array<variant>"))
+    value_wins = (F.coalesce(text(t["value"]), F.lit("")) != "") | (F.coalesce(F.size(items(t["value"])), F.lit(-1)) > 0)
+    winner = F.when(value_wins, t["value"]).otherwise(t["content"])
+    made = {"value": F.lit(None).cast("string"), "content": text(winner), "parts": F.when(is_list(winner), variant_parts(winner))}
+    return F.struct(*[made.get(f.name, t[f.name] if f.name not in made else None).alias(f.name) for f in schemas.RAW_TURN.fields])
 
 
 def normalize_turns(df: DataFrame, turns_col: str = "turns", dropout_seed: int | None = None,
@@ -104,7 +121,8 @@ def normalize_turns(df: DataFrame, turns_col: str = "turns", dropout_seed: int |
     normalising are dropped (N6).
     """
     raw = F.col(turns_col)
-    tagged = F.transform(raw, lambda t, i: F.struct(normalize_turn(t).alias("t"), i.alias("i")))
+    has_parts = "parts" in df.schema[turns_col].dataType.elementType.names
+    tagged = F.transform(raw, lambda t, i: F.struct(normalize_turn(t, has_parts).alias("t"), i.alias("i")))
     d = df.filter(F.size(raw) > 0).withColumn("_tt", tagged)
     keep = lambda x: x["t"]["role"].isNotNull()
     if dropout_seed is not None:

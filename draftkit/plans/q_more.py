@@ -3,6 +3,7 @@ bulk-call operators."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from draftkit import schemas
@@ -106,8 +107,10 @@ SELECT conv_id, bool_or({role_case('role')} = 'user' AND contains(text, '?')) AS
 FROM conversations GROUP BY conv_id""")
 def n14(spark, sf):
     c = table(spark, sf, "conversations")
-    content = F.when((F.col("role") == "user") & F.col("text").contains("?"), F.to_json(F.array(F.col("text")))).otherwise(F.col("text"))
-    raw = c.select("conv_id", "turn", _none_turn_fields(role=F.col("role"), content=content).alias("t"))
+    parts = F.when((F.col("role") == "user") & F.col("text").contains("?"), F.array(F.struct(*[
+        (F.lit("text") if f.name == "type" else F.col("text") if f.name == "text" else F.lit(None).cast("string")).alias(f.name)
+        for f in schemas.PART.fields])))
+    raw = c.select("conv_id", "turn", _none_turn_fields(role=F.col("role"), content=F.col("text"), parts=parts).alias("t"))
     nested = raw.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "t"))).alias("_s"))
     nested = nested.select("conv_id", F.transform("_s", lambda x: x["t"]).alias("turns"),
                            F.array().cast("array<int>").alias("input_ids"))
@@ -119,6 +122,46 @@ def n14(spark, sf):
         "n_messages", F.when(F.col("has_mm"), F.col("n_messages")).otherwise(F.lit(0)))
 
 
+_TYPED_SQL = f"""
+WITH t AS (
+  SELECT conv_id, {role_case('role')} AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn
+  FROM conversations WHERE {role_case('role')} IS NOT NULL)
+SELECT conv_id::VARCHAR AS id, turn::BIGINT AS turn, role,
+       CASE turn % 4 WHEN 0 THEN '[1] ' || text WHEN 1 THEN '[INST] ' || text WHEN 3 THEN text END AS content,
+       CASE WHEN turn % 4 = 2 THEN 'text:' || text || '|image:img/' || conv_id::VARCHAR || '.png' END AS parts,
+       CASE WHEN turn % 4 = 3 THEN 'because' END AS thinking,
+       CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'lookup' END AS tool FROM t"""
+
+
+@register("N2_N3_N4_N7_N12_typed_json", _TYPED_SQL)
+def n2(spark, sf):
+    """A chat file whose texts start like lists (``[1] ...``, ``[INST] ...``)
+    beside real part lists, tool calls and reasoning, half of it under
+    ``messages``: written as JSON lines, read, renamed and normalised."""
+    c = N.normalize_rows(table(spark, sf, "conversations"))
+    c = c.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(
+        "n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    def quoted(x):  # a JSON string
+        return F.expr(f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    body = (F.when(F.col("n") % 4 == 0, quoted("concat('[1] ', text)")).when(F.col("n") % 4 == 1, quoted("concat('[INST] ', text)"))
+            .when(F.col("n") % 4 == 2, F.concat(F.lit("["), quoted("text"), F.lit(', {"type": "image", "path": "img/'), F.col("conv_id").cast("string"), F.lit('.png"}]')))
+            .otherwise(quoted("text")))
+    more = (F.when(F.col("n") % 4 == 3, F.lit(', "reasoning_content": "because"'))
+            .when((F.col("role") == "assistant") & (F.col("n") % 4 == 1),
+                  F.lit(', "tool_calls": [{"id": "c", "type": "function", "function": {"name": "lookup", "arguments": "{}"}}]')).otherwise(F.lit("")))
+    turn = F.concat(F.lit('{"role": '), quoted("role"), F.lit(', "content": '), body, more, F.lit("}"))
+    rows = c.select("conv_id", "n", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("s"))
+    key = F.when(F.col("conv_id") % 2 == 0, F.lit("conversations")).otherwise(F.lit("messages"))
+    lines = rows.select(F.concat(F.lit('{"id": "'), F.col("conv_id").cast("string"), F.lit('", "'), key, F.lit('": ['),
+                                 F.array_join(F.transform("s", lambda x: x["t"]), ", "), F.lit("]}")).alias("value"))
+    path = scratch(spark, "typed-chat") + ".jsonl"
+    lines.write.text(path)
+    n = N.normalize_turns(N.rename_messages(S.read_conversations(spark, path)), "conversations")
+    flat = N.unfold_turns(n.select("id", "conversations"), "conversations")
+    return flat.select("id", "turn", "role", "content", F.array_join(F.transform("parts", lambda p: F.concat(
+        p["type"], F.lit(":"), F.coalesce(p["text"], p["path"]))), "|").alias("parts"), "thinking", F.col("tool_calls")[0]["function"]["name"].alias("tool"))
+
+
 @register("N17_quarantine", """
 WITH e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT count(*) FILTER (WHERE k IS NOT NULL AND k <= 95)::BIGINT AS n_good,

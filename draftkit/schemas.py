@@ -26,9 +26,10 @@ PART = T.StructType([
     T.StructField("audio", T.StringType()),
 ])
 
-# A raw turn as found in chat corpora.  ``content`` that is a JSON list
-# arrives as its JSON text (Spark keeps non-string values of string fields as
-# raw JSON); ``parse_parts`` turns it into ``parts``.
+# A raw turn as found in chat corpora.  A turn's content is either a text
+# (``value`` or ``content``) or a list of parts (``parts``); which of the two
+# it is comes from the JSON value's type when the file is read, never from
+# the look of the text.
 RAW_TURN = T.StructType([
     T.StructField("from", T.StringType()),
     T.StructField("role", T.StringType()),
@@ -38,6 +39,7 @@ RAW_TURN = T.StructType([
     T.StructField("tool_call_id", T.StringType()),
     T.StructField("thinking", T.StringType()),
     T.StructField("reasoning_content", T.StringType()),
+    T.StructField("parts", T.ArrayType(PART)),
 ])
 
 RAW_CONVERSATION = T.StructType([
@@ -46,6 +48,17 @@ RAW_CONVERSATION = T.StructType([
     T.StructField("messages", T.ArrayType(RAW_TURN)),
 ])
 
+# The same as it stands in a JSON file: ``value`` and ``content`` keep their
+# JSON types as variants (``sources.readers`` turns them into RAW_TURN).
+JSON_TURN = T.StructType([
+    T.StructField(f.name, T.VariantType() if f.name in ("value", "content") else f.dataType)
+    for f in RAW_TURN.fields if f.name != "parts"])
+JSON_CONVERSATION = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("conversations", T.ArrayType(JSON_TURN)),
+    T.StructField("messages", T.ArrayType(JSON_TURN)),
+])
+
 # A normalised turn.
 TURN = T.StructType([
     T.StructField("role", T.StringType()),

@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit import schemas
+from draftkit.operators.normalize import typed_turn
 
 
 # ------------------------------------------------------------------ S1
-def read_conversations(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_CONVERSATION) -> DataFrame:
+def read_conversations(spark: SparkSession, path: str, schema: T.StructType = schemas.JSON_CONVERSATION) -> DataFrame:
     """``.jsonl`` -> one object per line; ``.json`` -> a JSON array
-    (``multiLine``).  Unparsable lines land in ``_corrupt_record``."""
+    (``multiLine``).  Unparsable lines land in ``_corrupt_record``.  Lists of
+    turns come out as ``RAW_TURN``: texts and lists of parts are told apart
+    by their JSON type."""
     sch = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     r = spark.read.schema(sch).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if path.endswith(".json"):
         r = r.option("multiLine", True)
     elif not path.endswith(".jsonl"):
         raise ValueError(f"unsupported conversation file: {path}")
-    return r.json(path)
+    typed = [f.name for f in schema.fields if f.dataType == T.ArrayType(schemas.JSON_TURN)]
+    return r.json(path).withColumns({c: F.transform(c, typed_turn) for c in typed})
 
 
 # ------------------------------------------------------------------ S2 / S3
@@ -79,6 +83,7 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S10 / S11
+# Fixed value: the file names of extracted features.
 FEATURE_NAME = r"^hs_(.+)\.safetensors$"
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from draftkit import schemas
 from draftkit.operators import normalize as N
+from draftkit.sources.readers import read_conversations
 
 
 def _conv(spark, turns, key=1, keys=None):
@@ -56,9 +57,34 @@ def test_thinking_mirrored(spark):
     assert t["thinking"] == "because" and t["reasoning_content"] == "because"
 
 
-def test_multimodal_parts_and_rejects(spark):
+def _json(spark, tmp_path, *lines):
+    path = tmp_path / "chat.jsonl"
+    path.write_text("\n".join(lines))
+    return N.rename_messages(read_conversations(spark, str(path))).withColumnRenamed("conversations", "turns")
+
+
+def test_texts_that_look_like_lists_stay_texts(spark, tmp_path):
+    texts = ["[1] see the reference", "[INST] hi", '["a","b"]', " [", "[]", "{}", "null"]
+    turns = ", ".join('{"role": "user", "content": %s}' % __import__("json").dumps(t) for t in texts)
+    d = N.normalize_turns(_json(spark, tmp_path, '{"id": "1", "conversations": [%s]}' % turns))
+    assert [(t["content"], t["parts"]) for t in _turns(d)] == [(t, None) for t in texts]
+    d = N.normalize_turns(_conv(spark, [{"role": "user", "content": t} for t in texts]))
+    assert [(t["content"], t["parts"]) for t in _turns(d)] == [(t, None) for t in texts]
+    assert d.select(N.has_multimodal(F.col("turns")).alias("m")).first()["m"] is False
+
+
+def test_value_wins_by_type(spark, tmp_path):
+    d = _json(spark, tmp_path,
+              '{"messages": [{"from": "human", "value": ["x"], "content": "no"}, {"from": "gpt", "value": "", "content": ["y", {"type": "text", "text": "z"}]},'
+              ' {"from": "human", "value": [], "content": "c"}, {"from": "gpt", "value": "v", "content": ["w"]}, {"from": "human", "content": []}, {"from": "gpt", "value": 7}]}')
+    got = _turns(N.normalize_turns(d))
+    assert [(t["content"], t["parts"] and [p["text"] for p in t["parts"]]) for t in got] == [
+        (None, ["x"]), (None, ["y", "z"]), ("c", None), ("v", None), ("", None), ("7", None)]
+
+
+def test_multimodal_parts_and_rejects(spark, tmp_path):
     content = '["look", {"type": "image", "path": "img/a.png"}, {"type": "image", "base64": "AAA"}, {"type": "hologram"}]'
-    d = N.normalize_turns(_conv(spark, [{"role": "user", "content": content}, {"role": "assistant", "content": "ok"}]))
+    d = N.normalize_turns(_json(spark, tmp_path, '{"conversations": [{"role": "user", "content": %s}, {"role": "assistant", "content": "ok"}]}' % content))
     parts = d.select(F.explode(F.col("turns")[0]["parts"]).alias("p"))
     conv = parts.select(N.media_part_to_url(F.col("p")).alias("r")).select("r.*").collect()
     assert conv[0]["type"] == "text" and conv[0]["text"] == "look" and conv[0]["reject"] is None
