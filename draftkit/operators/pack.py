@@ -1,22 +1,22 @@
 """Packing samples into fixed-capacity batches across ranks.
 
-The packer is sequential by nature: each batch is the longest prefix of the
-remaining (permuted) samples that fits into ``R`` bins of ``max_len``
-tokens, checked with longest-processing-time-first assignment.  To run it on
-a cluster the permuted order is cut into segments of ``segment_size``
-consecutive samples; each segment is packed exactly by a grouped-map
-function (``applyInPandas``, one task per segment, so a task holds at most
-``segment_size`` lengths), and the samples each segment leaves over (fewer
-than ``R``) are packed once more in a final segment.  With a single segment
-the result equals the sequential algorithm on the whole order; with several
-segments, batches end at segment borders.
+The definition, at every size of the input:
+
+* An epoch's permuted order is cut into segments of ``segment_size``
+  consecutive samples.  A segment is packed by itself, front to back: a
+  batch is the longest run of the samples that come next which fits into one
+  bin per rank, when the longest sample goes first and each goes to the
+  emptiest bin.
+* Fewer than ``ranks`` samples may be left at a segment's end.  The leftovers
+  of consecutive segments, as many segments as fill one, form the segments
+  of the next round, until one round has a single segment.
+
+Every segment is a grouped-map task over at most ``segment_size`` narrow
+rows, so the plan needs no task that grows with the data.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,9 @@ from draftkit.functions.index import dense_index
 from draftkit.functions.keys import order_key
 from draftkit.session import materialize
 
-PLAN_SCHEMA = "segment long, batch long, rank int, ord int, sample_idx long, len long"
+PLAN_SCHEMA = "segment long, batch long, rank int, ord int, sample_idx long, len long, perm long"
+#: Samples of a segment.
+SEGMENT_SIZE = 4096
 
 
 # ------------------------------------------------------------------ P1 / P2
@@ -43,106 +45,121 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, key: str = "sample_idx") -
 
 
 # ------------------------------------------------------------------ P3 / P4
-def lpt_assign(lengths: np.ndarray, max_len: int, ranks: int):
-    """Longest first, each to the least-filled rank (ties: lower rank).
-    Returns a list per rank of local indices, or ``None`` if a length does
-    not fit.  Equal lengths are taken in descending index order."""
-    order = np.argsort(lengths, kind="stable")[::-1]
-    heap = [(0, r) for r in range(ranks)]
-    out = [[] for _ in range(ranks)]
-    for i in order:
-        fill, r = heap[0]
-        if fill + lengths[i] > max_len:
+def spread(lengths: list[int], capacity: int, ranks: int) -> list[list[int]] | None:
+    """Positions per rank when the longest sample goes first, each to the
+    emptiest rank (of several, the lowest); of equal lengths the later one
+    goes first.  ``None`` if a rank would overflow."""
+    loads = [0] * ranks
+    members: list[list[int]] = [[] for _ in range(ranks)]
+    for n, i in sorted(((n, i) for i, n in enumerate(lengths)), reverse=True):
+        rank = loads.index(min(loads))
+        loads[rank] += n
+        if loads[rank] > capacity:
             return None
-        out[r].append(int(i))
-        heapq.heapreplace(heap, (fill + int(lengths[i]), r))
-    return out
-
-
-def pack_sequence(lengths: np.ndarray, max_len: int, ranks: int):
-    """Sequential packing of one ordered run of lengths.
-
-    Returns (batches, leftover_start): each batch is a list per rank of
-    indices into ``lengths``; indices from ``leftover_start`` on were not
-    packed (fewer than ``ranks`` remained).
-    """
-    n = len(lengths)
-    csum = np.cumsum(lengths) if n else np.zeros(0, dtype=np.int64)
-    batches, ind, done = [], 0, 0
-    while n - ind >= ranks:
-        left = 1
-        right = 1 + int(np.searchsorted(csum[ind:], done + max_len * ranks, "right"))
-        best = None
-        while right - left > 1 and right > ranks:
-            mid = (left + right) // 2
-            cand = lpt_assign(lengths[ind:ind + mid], max_len, ranks)
-            if cand is None:
-                right = mid
-            else:
-                left, best = mid, cand
-        if best is None or sum(len(b) for b in best) != left:
-            best = lpt_assign(lengths[ind:ind + left], max_len, ranks)
-        if best is None:  # a single sample longer than max_len: clip first (P1)
-            raise ValueError("sample longer than max_len; clip lengths first")
-        batches.append([[ind + i for i in b] for b in best])
-        ind += left
-        done = int(csum[ind - 1])
-    return batches, ind
-
-
-def _pack_group(max_len: int, ranks: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("perm")
-        lens = pdf["len"].to_numpy(dtype=np.int64)
-        ids = pdf["sample_idx"].to_numpy(dtype=np.int64)
-        seg = int(pdf["segment"].iloc[0])
-        batches, stop = pack_sequence(lens, max_len, ranks)
-        rows = []
-        for b, per_rank in enumerate(batches):
-            for r, members in enumerate(per_rank):
-                for o, i in enumerate(members):
-                    rows.append((seg, b, r, o, int(ids[i]), int(lens[i])))
-        for i in range(stop, len(lens)):  # leftovers: rank -1
-            rows.append((seg, -1, -1, int(pdf["perm"].iloc[i]), int(ids[i]), int(lens[i])))
-        cols = ["segment", "batch", "rank", "ord", "sample_idx", "len"]
-        if not rows:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in cols})
-        return pd.DataFrame(rows, columns=cols)
+        members[rank].append(i)
+    return members
+
+
+def longest_run(lengths: list[int], capacity: int, ranks: int) -> list[list[int]]:
+    """The longest run from the front that ``spread`` can place.  No run
+    with more than ``ranks`` full bins of tokens can, so the search starts
+    there and gives up one sample at a time."""
+    total, n = 0, 0
+    while n < len(lengths) and total + lengths[n] <= capacity * ranks:
+        total += lengths[n]
+        n += 1
+    for k in range(n, 0, -1):
+        placed = spread(lengths[:k], capacity, ranks)
+        if placed is not None:
+            return placed
+    raise ValueError("a sample is longer than a bin; clip lengths first")
+
+
+def pack_run(lengths: list[int], capacity: int, ranks: int) -> tuple[list[list[list[int]]], int]:
+    """The batches of one segment (a list per rank of positions), and
+    the position from which fewer than ``ranks`` samples are left."""
+    batches, at = [], 0
+    while len(lengths) - at >= ranks:
+        batch = longest_run(lengths[at:], capacity, ranks)
+        batches.append([[at + i for i in rank] for rank in batch])
+        at += sum(map(len, batch))
+    return batches, at
+
+
+def _pack_segment(capacity: int, ranks: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("perm").reset_index(drop=True)
+        batches, rest = pack_run(rows["len"].tolist(), capacity, ranks)
+        place = [(b, r, o, i) for b, batch in enumerate(batches) for r, members in enumerate(batch) for o, i in enumerate(members)]
+        place += [(-1, -1, o, i) for o, i in enumerate(range(rest, len(rows)))]
+        out = rows.iloc[[p[3] for p in place]].reset_index(drop=True)
+        for k, c in enumerate(("batch", "rank", "ord")):
+            out[c] = [p[k] for p in place]
+        return out[[f.split()[0] for f in PLAN_SCHEMA.split(", ")]]
     return run
 
 
 def pack_plan(lengths: DataFrame, max_len: int, ranks: int, seed: int, epoch: int,
-              segment_size: int = 100_000, key: str = "sample_idx", len_col: str = "seq_len",
+              segment_size: int = SEGMENT_SIZE, key: str = "sample_idx", len_col: str = "seq_len",
               truncate: bool = True) -> DataFrame:
     """The packing plan of one epoch for all ranks:
     ``(epoch, batch_id, rank, ord, sample_idx, len)``; samples that could not
-    be packed (fewer than ``ranks`` left at the very end) have a NULL
-    ``batch_id``.  Every rank reads the same table (write it
+    be packed (fewer than ``ranks`` left in the last round's single segment)
+    have a NULL ``batch_id``.  The plan depends on the samples and the
+    parameters alone.  Every rank reads the same table (write it
     ``partitionBy("rank")``)."""
+    if segment_size < 2 * ranks:
+        raise ValueError("a segment must hold at least two samples per rank")
     d = clip_lengths(lengths.select(key, len_col), max_len, truncate, len_col)
     d = epoch_order(d, seed, epoch, key).select(F.col(key).alias("sample_idx"), F.col(len_col).cast("long").alias("len"), "perm")
     d = d.withColumn("segment", F.floor(F.col("perm") / segment_size).cast("long"))
-    first = d.groupBy("segment").applyInPandas(_pack_group(max_len, ranks), PLAN_SCHEMA)
-    # both branches below read the first pass: write it once (one row per
-    # sample) so the grouped map runs once and survives executor loss
-    first = materialize(first, "pack-first-pass")
-    packed = first.filter(F.col("batch") >= 0)
-    # leftovers of every segment (< ranks each) packed once more, in order
-    left = first.filter(F.col("batch") < 0).select(
-        F.lit(-1).cast("long").alias("segment"), F.col("ord").alias("perm"), "sample_idx", "len")
-    second = left.groupBy("segment").applyInPandas(_pack_group(max_len, ranks), PLAN_SCHEMA)
-    allp = packed.unionByName(second.withColumn("segment", F.lit(1 << 40).cast("long")))
-    # global batch ids: batches per segment (one row per segment) -> offsets
-    nb = allp.filter(F.col("batch") >= 0).groupBy("segment").agg((F.max("batch") + 1).alias("_nb"))
-    w = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    off = nb.select("segment", F.coalesce(F.sum("_nb").over(w), F.lit(0)).alias("_off"))
-    out = allp.join(F.broadcast(off), "segment", "left")
-    bid = F.when(F.col("batch") >= 0, F.col("_off") + F.col("batch"))
-    return out.select(F.lit(epoch).alias("epoch"), bid.cast("long").alias("batch_id"),
-                      F.when(F.col("batch") >= 0, F.col("rank")).alias("rank"),
-                      "ord", "sample_idx", "len")
+    joined = max(2, segment_size // ranks)  # leftovers of so many segments make one
+    rounds, last = [], None
+    while True:
+        # one narrow row per sample (later rounds: per leftover), written so
+        # that the next round and the result read the same rows
+        done = materialize(d.groupBy("segment").applyInPandas(_pack_segment(max_len, ranks), PLAN_SCHEMA), "pack-round")
+        rounds.append(done.filter(F.col("batch") >= 0).withColumn("round", F.lit(len(rounds))))
+        last = done.agg(F.max("segment")).first()[0]
+        left = done.filter(F.col("batch") < 0).select("sample_idx", "len", "perm", F.floor(F.col("segment") / joined).cast("long").alias("segment"))
+        if not last:
+            break
+        d = left
+    packed = rounds[0]
+    for r in rounds[1:]:
+        packed = packed.unionByName(r)
+    # global batch ids from the batches of each (round, segment): a running
+    # sum over one row per segment, cut into buckets of its own
+    per = packed.groupBy("round", "segment").agg((F.max("batch") + 1).alias("n"))
+    per = per.withColumn("bucket", F.floor(F.col("segment") / SEGMENT_SIZE))
+    inside = Window.partitionBy("round", "bucket").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy(F.col("round").alias("r"), F.col("bucket").alias("b")).agg(F.sum("n").alias("n"))
+    before = Window.orderBy("r", "b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("r", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    first = per.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+        totals, (F.col("round") == F.col("r")) & (F.col("bucket") == F.col("b"))).select(
+        F.col("round").alias("r"), F.col("segment").alias("s"), (F.col("off") + F.col("inside")).alias("first"))
+    out = packed.join(first, (F.col("round") == F.col("r")) & (F.col("segment") == F.col("s")))
+    out = out.select((F.col("first") + F.col("batch")).cast("long").alias("batch_id"), "rank", "ord", "sample_idx", "len")
+    rest = left.select(F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("int").alias("rank"),
+                       F.lit(None).cast("int").alias("ord"), "sample_idx", "len")
+    return out.unionByName(rest).select(F.lit(epoch).alias("epoch"), "*")
 
 
 def write_plan(plan: DataFrame, path: str) -> None:
     """One folder per rank so each rank reads only its own batches."""
     plan.filter(F.col("batch_id").isNotNull()).write.mode("overwrite").partitionBy("rank").parquet(path)
+
+
+def plan_summary(plan: DataFrame, max_len: int, ranks: int) -> DataFrame:
+    """One row: samples, tokens, samples placed more than once, bins over
+    capacity, batches with an idle rank, and samples left over beyond the
+    ``ranks - 1`` that may be."""
+    bins = plan.filter(F.col("batch_id").isNotNull()).groupBy("batch_id", "rank").agg(F.sum("len").alias("fill"))
+    batches = bins.groupBy("batch_id").agg(F.count(F.lit(1)).alias("used"), F.count_if(F.col("fill") > max_len).alias("over"))
+    worst = batches.agg(F.coalesce(F.sum("over"), F.lit(0)).alias("over_capacity"), F.count_if(F.col("used") < ranks).alias("idle_ranks"))
+    per = plan.groupBy("sample_idx").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.count_if(F.col("batch_id").isNull()).alias("left"))
+    all_ = per.agg(F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum("len"), F.lit(0)).alias("n_tokens"),
+                   F.count_if(F.col("n") > 1).alias("placed_twice"),
+                   F.greatest(F.coalesce(F.sum("left"), F.lit(0)) - (ranks - 1), F.lit(0)).alias("left_over"))
+    return all_.crossJoin(F.broadcast(worst))  # one row beside one row
