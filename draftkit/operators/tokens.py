@@ -7,7 +7,7 @@ long-form turn rows:
 * tokens of a turn = tokens(prefix) ++ tokens(content) ++ tokens(suffix) --
   prefix/suffix tokens are literals computed once on the driver;
 * mask of a turn   = content tokens of assistant turns (the regex group of
-  the detected assistant pattern covers exactly the content);
+  the template's assistant pattern covers exactly the content);
 * a turn's first token position = salted running sum of token counts over
   the earlier turns of its conversation; truncation at ``max_length`` is a
   filter + ``slice`` *before* anything is collected per sample.
@@ -19,7 +19,6 @@ must start with a character that cannot extend a word token.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit.functions.index import dense_index, running_sum
-from draftkit.functions.joins import checked_broadcast_join
 from draftkit.functions.text import TOKEN_PATTERN, tokenize, tokenize_local
 
 _WORD = _re.compile(r"[\p{L}\p{N}]")
@@ -56,7 +54,7 @@ class ChatTemplate:
             raise ValueError(f"template {self.name}: bos ends inside a word")
 
     def render_local(self, turns: list[dict]) -> str:
-        """Driver-side rendering of a literal probe (T2 only)."""
+        """Rendering of a few literal turns on the driver (tests)."""
         return self.bos + "".join(self.prefix[t["role"]] + t["content"] + self.suffix[t["role"]] for t in turns)
 
 
@@ -73,11 +71,20 @@ _GEMMA = ({"system": "<start_of_turn>system\n", "user": "<start_of_turn>user\n",
           {r: "<end_of_turn>\n" for r in ("system", "user", "assistant", "tool")})
 _PLAIN = ({"system": "System: ", "user": "User: ", "assistant": "Assistant: ", "tool": "Tool: "},
           {r: "\n" for r in ("system", "user", "assistant", "tool")})
+_MISTRAL = ({"system": "[SYSTEM_PROMPT] ", "user": "[INST] ", "assistant": " ", "tool": "[TOOL_RESULTS] "},
+            {"system": " [/SYSTEM_PROMPT]", "user": " [/INST]", "assistant": "</s>", "tool": " [/TOOL_RESULTS]"})
+_PHI3 = _roles("<|{role}|>\n", "<|end|>\n")
+_HARMONY = ({"system": "<|start|>system<|message|>", "user": "<|start|>user<|message|>",
+             "assistant": "<|start|>assistant<|channel|>final<|message|>", "tool": "<|start|>tool<|message|>"},
+            {r: "<|end|>" for r in ("system", "user", "assistant", "tool")})
 TEMPLATES = {
     "chatml": ChatTemplate("chatml", "", *_CHATML),
     "llama3": ChatTemplate("llama3", "<|begin_of_text|>", *_LLAMA3),
     "gemma": ChatTemplate("gemma", "<bos>", *_GEMMA),
     "plain": ChatTemplate("plain", "", *_PLAIN),
+    "mistral": ChatTemplate("mistral", "<s>", *_MISTRAL),
+    "phi3": ChatTemplate("phi3", "", *_PHI3),
+    "harmony": ChatTemplate("harmony", "", *_HARMONY),
 }
 
 
@@ -171,17 +178,6 @@ def token_positions(trunc: DataFrame, key_col: str = "conv_id") -> DataFrame:
                          F.col("z.token").alias("token"), F.col("z.m").alias("trainable")))
 
 
-def assemble_samples(trunc: DataFrame, key_col: str = "conv_id") -> DataFrame:
-    """Per sample: ordered tokens and mask, at most ``max_length`` long (the
-    truncation ran before this ``groupBy``, so a group never grows past it)."""
-    g = (trunc.filter(F.col("n_tok") > 0)
-              .groupBy(key_col)
-              .agg(F.sort_array(F.collect_list(F.struct("ord", "tokens", "mask"))).alias("_t")))
-    return g.select(key_col,
-                    F.flatten(F.transform("_t", lambda x: x["tokens"])).alias("tokens"),
-                    F.flatten(F.transform("_t", lambda x: x["mask"])).alias("loss_mask"))
-
-
 # ----------------------------------------------------- T13 vocabulary ids
 def build_vocabulary(token_rows: DataFrame, token_col: str = "token", extra_aggs=()) -> DataFrame:
     """``(token, token_id, n, ...)``; ids by descending count, then token.
@@ -196,69 +192,33 @@ def build_vocabulary(token_rows: DataFrame, token_col: str = "token", extra_aggs
         "token_id", F.col("token_id").cast("int"))
 
 
-def encode_samples(samples: DataFrame, vocab: DataFrame, key_col: str = "conv_id") -> DataFrame:
-    """Token strings -> ids: explode, join the vocabulary, regroup per sample.
-
-    The vocabulary is broadcast when its row count is within the checked
-    bound (no shuffle of token occurrences, hot tokens cost nothing extra);
-    beyond it the join shuffles on the token and AQE splits skewed
-    partitions.  Output follows the prepared-sample layout (T9: ``seq_len``).
-    """
-    ex = samples.select(key_col, F.posexplode("tokens").alias("pos", "token"))
-    j = checked_broadcast_join(ex, vocab.select("token", "token_id"), "token")
-    ids = (j.groupBy(key_col)
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_p"))
-             .select(key_col, F.transform("_p", lambda x: x["token_id"]).alias("input_ids")))
-    out = samples.select(key_col, "loss_mask").join(ids, key_col)
-    return out.withColumn("seq_len", F.size("input_ids"))
-
-
 # ------------------------------------------------------------ T2 / T3
-def detect_assistant_pattern(template: ChatTemplate) -> str:
-    """Derive the assistant-span regex from a 4-turn probe (driver side,
-    template constants only).
-
-    Role marker = text between the second user message and the second
-    assistant message, starting at the last ``<`` or ``[`` before the word
-    ``assistant`` (the whole text when neither exists); ``<think>...</think>``
-    blocks are removed from it.  Suffix = longest common prefix of the texts
-    following both assistant messages (fallback: the first tail, else a
-    newline).  The content group refuses to run across the marker's opening
-    tag (negative lookahead).
-    """
-    probe = [{"role": "user", "content": "USER_MSG_1"}, {"role": "assistant", "content": "ASSISTANT_MSG_1"},
-             {"role": "user", "content": "USER_MSG_2"}, {"role": "assistant", "content": "ASSISTANT_MSG_2"}]
-    text = template.render_local(probe)
-    a1, a2 = text.find("ASSISTANT_MSG_1"), text.find("ASSISTANT_MSG_2")
-    if a1 < 0 or a2 < 0:
-        raise ValueError("assistant messages not found in the rendered probe")
-    u2_end = text.find("USER_MSG_2") + len("USER_MSG_2")
-    between = text[u2_end:a2]
-    word = between.rfind("assistant")
-    if word >= 0:
-        tag = max(between.rfind("<", 0, word), between.rfind("[", 0, word))
-        marker = between[tag:] if tag >= 0 else between[word:]
-    else:
-        marker = between
-    marker = re.sub(r"<think>.*?</think>\s*", "", marker, flags=re.DOTALL)
-    tail1 = text[a1 + len("ASSISTANT_MSG_1"):text.find("USER_MSG_2")]
-    tail2 = text[a2 + len("ASSISTANT_MSG_2"):]
-    n = 0
-    while n < min(len(tail1), len(tail2)) and tail1[n] == tail2[n]:
-        n += 1
-    suffix = tail1[:n] or tail1 or "\n"
-    m = re.search(r"(<\|?[a-zA-Z0-9_]+[|>]?)|(\[[a-zA-Z0-9_]+\])", marker)
-    guard = f"(?!{re.escape(m.group(0))})" if m else r"(?!<\|start\|)"
-    return re.escape(marker) + "((?:" + guard + ".)*?)" + re.escape(suffix)
+def assistant_pattern(template: ChatTemplate) -> str:
+    """The regex of assistant spans, straight from the template's own
+    fields: what opens an assistant turn, its content as the group, and what
+    ends it.  A template that opens assistant turns with blanks only opens
+    them with the end of the user's turn.  The content may not run over the
+    opening of another turn; a template that ends assistant turns with nothing
+    ends them where another turn opens, or with the text."""
+    opens = sorted({p for p in template.prefix.values() if p.strip()}, key=lambda p: (-len(p), p))
+    head = template.prefix.get("assistant", "")
+    if not head.strip():
+        head = template.suffix.get("user", "") + head
+    if not head.strip() or not opens:
+        raise ValueError(f"template {template.name}: nothing opens an assistant turn")
+    other = "|".join(_re.escape(p, literal_spaces=True) for p in opens)
+    close = template.suffix.get("assistant", "")
+    end = _re.escape(close, literal_spaces=True) if close else rf"(?={other}|\Z)"
+    return _re.escape(head, literal_spaces=True) + f"((?:(?!{other}).)*?)" + end
 
 
 def choose_mask_source(custom_pattern: str | None, template: ChatTemplate) -> tuple[str, str | None]:
-    """Custom pattern > template-provided mask > detected pattern."""
+    """Custom pattern > template-provided mask > the template's own pattern."""
     if custom_pattern:
         return "pattern", custom_pattern
     if template.provides_mask:
         return "template", None
-    return "pattern", detect_assistant_pattern(template)
+    return "pattern", assistant_pattern(template)
 
 
 # ------------------------------------------------------------ T5 / T6

@@ -37,7 +37,7 @@ def test_template_families_detected_pattern(spark):
     """Law: the detected pattern's spans contain the assistant words and no
     user words, for every template family."""
     for name, t in TK.TEMPLATES.items():
-        pat = TK.detect_assistant_pattern(t)
+        pat = TK.assistant_pattern(t)
         text = t.render_local([{"role": "user", "content": "USER words here"},
                                {"role": "assistant", "content": "ASSISTANT reply text"},
                                {"role": "user", "content": "second USER turn"},
@@ -59,7 +59,7 @@ def test_per_turn_tokens_equal_whole_text(spark):
         text = t.render_local([{"role": r["role"], "content": r["text"]} for r in rows.orderBy("turn").collect()])
         whole = [(m.group(0), m.start(), m.end()) for m in regex.finditer(TOKEN_PATTERN, text)]
         assert [g[0] for g in got] == [w[0] for w in whole], name
-        spans = [(m.start(1), m.end(1)) for m in regex.finditer(TK.detect_assistant_pattern(t), text, regex.DOTALL)]
+        spans = [(m.start(1), m.end(1)) for m in regex.finditer(TK.assistant_pattern(t), text, regex.DOTALL)]
         ov = [any(e > s0 and s < e0 for s0, e0 in spans) for _, s, e in whole]
         assert [g[1] for g in got] == ov, name
 
