@@ -14,10 +14,14 @@ from draftkit.plans.sqlgen import TOKEN_RE, scrape_cte, turn_tokens_ctes
 from draftkit.streaming import streams as X
 
 
-def _stream(spark, sf, name):
+def _stream(spark, sf, name, files_per_batch: int | None = 1):
+    """A table as a stream of its files: a folder of part files, or a single
+    file (the pattern in the path lets the source take either)."""
     schema = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                 .option("maxFilesPerTrigger", 1).parquet(sf.rstrip("/")))
+    r = spark.readStream.schema(schema)
+    if files_per_batch:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
+    return r.parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
 @register("X1_stream_prompt_intake", """
@@ -32,14 +36,11 @@ def x1(spark, sf):
 @register("X2_stream_dedup", """
 SELECT DISTINCT event_id, user_id FROM events""")
 def x2(spark, sf):
-    s = _stream(spark, sf, "events")
+    s = _stream(spark, sf, "events").select("event_id", "user_id")
     doubled = s.unionByName(s)  # every row replayed once
-    d = X.dedup_by_key(doubled.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "1 hour")
     out, ck = X.scratch(spark, "x2-out"), X.scratch(spark, "x2-ck")
-    q = (d.select("event_id", "user_id").writeStream.format("parquet").option("path", out)
-          .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    X.run_available(q)
-    return spark.read.parquet(out)
+    X.run_available(X.dedup_table(doubled, ["event_id"], out, ck))
+    return spark.read.parquet(out).drop("epoch")
 
 
 @register("X3_stream_token_frequency", f"""
@@ -61,14 +62,9 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
 FROM events GROUP BY 1""")
 def x4(spark, sf):
     s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
-    agg = X.windowed_tallies(s, "1 hour", "2 hours")
     out, ck = X.scratch(spark, "x4-out"), X.scratch(spark, "x4-ck")
-
-    def sink(batch, epoch_id):
-        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
-    q = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start()
-    X.run_available(q)
-    r = spark.read.parquet(out).groupBy("window_start").agg(F.max("n_ok").alias("n_ok"), F.max("n_error").alias("n_error"))
+    X.run_available(X.tally_table(s, "1 hour", out, ck))
+    r = X.latest_counts(spark, out, ["window_start"], ["n_ok", "n_error"])
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_ok", "n_error")
 
 
@@ -86,7 +82,9 @@ FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN per USING (user_id)"""
 
 @register("X5_stream_failure_alarm", REGISTRY_X5_SQL)
 def x5(spark, sf):
-    s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
+    """Keyed Python state.  It needs its rows in time order, so all files
+    that are there form one micro-batch, in which the handler sorts."""
+    s = _stream(spark, sf, "events", files_per_batch=None).withColumn("failed", F.col("event_type") == "error")
     alarms = X.failure_alarm(s, 3)
     out, ck = X.scratch(spark, "x5-out"), X.scratch(spark, "x5-ck")
 
@@ -101,14 +99,12 @@ def x5(spark, sf):
 
 @register("X5_stream_failure_alarm_tables", REGISTRY_X5_SQL)
 def x5t(spark, sf):
-    """X5 with distributed state: run statistics per micro-batch merged into
-    a versioned state table (no per-key Python)."""
+    """X5 with tables: narrow rows per micro-batch, runs found over the whole
+    table (no per-key Python, files in any order)."""
     s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
     state, ck = X.scratch(spark, "x5t-state"), X.scratch(spark, "x5t-ck")
-    X.run_available(X.failure_alarm_tables(s, 3, state, ck))
-    versions = spark.read.parquet(state).agg(F.max("epoch")).first()[0]
-    last = spark.read.parquet(f"{state}/epoch={versions}")
-    return last.select("user_id", F.col("max_run").alias("max_fail_run"), "alarm")
+    X.run_available(X.failure_alarm_tables(s, state, ck))
+    return X.alarm_table(spark, state, 3).select("user_id", F.col("max_run").alias("max_fail_run"), "alarm")
 
 
 @register("X6_stream_counter_deltas", f"""
@@ -142,6 +138,6 @@ def x7(spark, sf):
         t = P.corpus_tokens(batch, "chatml", 8192)
         return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("seq_len"),
                                         F.count_if("trainable").cast("bigint").alias("n_trainable"))
-    out, ck = X.scratch(spark, "x7-out"), X.scratch(spark, "x7-ck")
-    X.run_available(X.incremental_build(_stream(spark, sf, "conversations"), build, out, ck))
-    return spark.read.parquet(out).drop("epoch")
+    store, out, ck = X.scratch(spark, "x7-turns"), X.scratch(spark, "x7-out"), X.scratch(spark, "x7-ck")
+    X.run_available(X.incremental_build(_stream(spark, sf, "conversations"), build, store, out, ck))
+    return X.latest_build(spark, out)

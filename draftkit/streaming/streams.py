@@ -3,9 +3,15 @@
 Each function takes a streaming DataFrame and returns a started query (or a
 streaming DataFrame) built from the same batch operators.  Sinks are file
 folders given by the caller (the registered queries use folders under the
-shared checkpoint folder); aggregations that change over time are written as
-a change log through ``foreachBatch`` and read back as "latest value per
-key", so nothing is held in driver memory.
+shared checkpoint folder).
+
+Ordering and replay: files may arrive in any order and an epoch may run
+again.  The table forms (``foreachBatch``) write each micro-batch to its own
+``epoch=N`` folder, which a replay overwrites, read only earlier epochs, and
+combine epochs in a way that does not depend on their order: sums of counts,
+keys not seen before, whole conversations rebuilt, narrow rows sorted when
+read.  The forms with a watermark or keyed Python state are for streams that
+are in time order up to the watermark.
 """
 
 from __future__ import annotations
@@ -50,41 +56,80 @@ def response_sink(responses: DataFrame, out: str, ckpt: str):
                      .outputMode("append").trigger(availableNow=True).start())
 
 
+# ------------------------------------------------------------------ epochs
+def epoch_sink(path: str, make):
+    """A ``foreachBatch`` function that writes ``make(batch, earlier)`` to
+    ``path/epoch=N``; ``earlier`` holds what the epochs before wrote (``None``
+    at first).  A replayed epoch rewrites its folder."""
+    from draftkit.sources.readers import path_exists
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = None
+        if epoch_id > 0 and path_exists(spark, path):
+            earlier = spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("epoch") < epoch_id)
+        make(batch, earlier).write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
+    return sink
+
+
+def run_epochs(stream: DataFrame, sink, ckpt: str):
+    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+                  .trigger(availableNow=True).start())
+
+
 # ------------------------------------------------------------------ X2
 def dedup_by_key(stream: DataFrame, key_cols: list[str], ts_col: str, delay: str) -> DataFrame:
-    """Replays and duplicates removed per key while the watermark keeps
-    their state (``dropDuplicatesWithinWatermark``)."""
+    """X2 for a stream in time order: replays and duplicates removed per key
+    while the watermark keeps their state
+    (``dropDuplicatesWithinWatermark``); rows later than it are dropped."""
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key_cols)
 
 
+def dedup_table(stream: DataFrame, key_cols: list[str], out: str, ckpt: str):
+    """X2 in any order: a batch's rows whose keys no earlier epoch has are
+    written to ``out``; the written keys are the state."""
+    def make(batch, earlier):
+        new = batch.dropDuplicates(key_cols)
+        return new if earlier is None else new.join(earlier.select(*key_cols), key_cols, "left_anti")
+    return run_epochs(stream, epoch_sink(out, make), ckpt)
+
+
 # ------------------------------------------------------------------ X3
 def running_token_frequency(tokens: DataFrame, out: str, ckpt: str, token_col: str = "token"):
-    """Streaming ``groupBy(token).count()`` in update mode; every
-    micro-batch appends the changed counts to a change log
-    (``latest_counts`` reads the current table)."""
-    agg = tokens.groupBy(token_col).agg(F.count(F.lit(1)).alias("freq"))
-
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
-    return (agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt)
-               .trigger(availableNow=True).start())
+    """Every micro-batch's token counts (``latest_counts`` adds them up:
+    counts of disjoint batches are additive, so there is no state to keep)."""
+    def make(batch, earlier):
+        return batch.groupBy(token_col).agg(F.count(F.lit(1)).alias("freq"))
+    return run_epochs(tokens, epoch_sink(out, make), ckpt)
 
 
-def latest_counts(spark: SparkSession, path: str, key_cols: list[str], value_col: str = "freq") -> DataFrame:
-    """Current value per key of a change log of monotone counts."""
-    return spark.read.parquet(path).groupBy(*key_cols).agg(F.max(value_col).alias(value_col))
+def latest_counts(spark: SparkSession, path: str, key_cols: list[str], value_cols: list[str] = ("freq",)) -> DataFrame:
+    """Current values per key of additive epochs."""
+    return spark.read.parquet(path).groupBy(*key_cols).agg(*[F.sum(c).alias(c) for c in value_cols])
 
 
 # ------------------------------------------------------------------ X4
+def _tallies(events: DataFrame, ts_col: str, window: str, error_col: str) -> DataFrame:
+    return (events.groupBy(F.window(ts_col, window).alias("w"))
+                  .agg(F.count_if(~F.col(error_col)).alias("n_ok"), F.count_if(F.col(error_col)).alias("n_error"))
+                  .select(F.col("w.start").alias("window_start"), "n_ok", "n_error"))
+
+
 def windowed_tallies(events: DataFrame, window: str, delay: str, ts_col: str = "ts",
                      error_col: str = "failed") -> DataFrame:
-    """ok/error tallies per event-time window; rows later than the
-    watermark are dropped.  ``timestamp_ntz`` is cast to ``timestamp``
-    because watermarks need the latter."""
+    """X4 for a stream in time order: ok/error tallies per event-time window;
+    rows later than the watermark are dropped.  ``timestamp_ntz`` is cast to
+    ``timestamp`` because watermarks need the latter."""
     d = events.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", delay)
-    return (d.groupBy(F.window("_ts", window).alias("w"))
-             .agg(F.count_if(~F.col(error_col)).alias("n_ok"), F.count_if(F.col(error_col)).alias("n_error"))
-             .select(F.col("w.start").alias("window_start"), "n_ok", "n_error"))
+    return _tallies(d, "_ts", window, error_col)
+
+
+def tally_table(events: DataFrame, window: str, out: str, ckpt: str, ts_col: str = "ts", error_col: str = "failed"):
+    """X4 in any order: each epoch's tallies per window are additive
+    (``latest_counts``); no row is too late."""
+    def make(batch, earlier):
+        return _tallies(batch.withColumn("_ts", F.col(ts_col).cast("timestamp")), "_ts", window, error_col)
+    return run_epochs(events, epoch_sink(out, make), ckpt)
 
 
 # ------------------------------------------------------------------ X5
@@ -141,65 +186,57 @@ def counter_deltas(scrapes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X7
-def incremental_build(turn_rows: DataFrame, build, out: str, ckpt: str):
+def incremental_build(turn_rows: DataFrame, build, store: str, out: str, ckpt: str, key_col: str = "conv_id"):
     """Apply a batch plan (``build: DataFrame -> DataFrame``, e.g. the
-    prepare plan) to each micro-batch of turn rows and append the result.
-    Each input file must hold whole conversations."""
+    prepare plan, one or more rows per conversation) to the conversations
+    that a micro-batch touches.  Turn rows are kept in ``store``; a
+    conversation that goes on in a later file is built again from all its
+    turns, and ``latest_build`` takes each conversation's last build."""
+    def keep(batch, earlier):
+        return batch
+
+    def make(batch, earlier):
+        spark, touched = batch.sparkSession, batch.select(key_col).distinct()
+        rows = spark.read.parquet(store).filter(F.col("epoch") <= make.epoch).drop("epoch")
+        return build(rows.join(touched, key_col, "left_semi"))
+
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        build(batch).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
-    return (turn_rows.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-                     .trigger(availableNow=True).start())
+        epoch_sink(store, keep)(batch, epoch_id)
+        make.epoch = epoch_id
+        epoch_sink(out, make)(batch, epoch_id)
+    return run_epochs(turn_rows, sink, ckpt)
 
 
-# ------------------------------------------------------------------ X5 (distributed state)
-def run_stats(batch: DataFrame, key_cols: list[str], order_cols: list[str], failed_col: str = "failed") -> DataFrame:
-    """Failure-run statistics of one ordered batch per key: rows ``n``,
-    ``leading`` failures before the first success, ``trailing`` failures
-    after the last success, longest run ``max_run`` and ``all_failed``.
-    Salted running sums and aggregates only: a hot key is split."""
-    from draftkit.functions.index import running_sum
-    d = running_sum(batch, key_cols, order_cols, F.when(F.col(failed_col), 0).otherwise(1), "_isl", inclusive=True)
-    per = d.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"), F.max("_isl").alias("_ns"))
-    runs = d.filter(F.col(failed_col)).groupBy(*key_cols, "_isl").agg(F.count(F.lit(1)).alias("_len"))
-    j = per.join(runs, key_cols, "left")
-    return j.groupBy(*key_cols).agg(
-        F.first("n").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("_isl") == 0, F.col("_len"))), F.lit(0)).alias("leading"),
-        F.coalesce(F.sum(F.when(F.col("_isl") == F.col("_ns"), F.col("_len"))), F.lit(0)).alias("trailing"),
-        F.coalesce(F.max("_len"), F.lit(0)).alias("max_run"),
-        (F.first("_ns") == 0).alias("all_failed"))
-
-
-def merge_run_state(state: DataFrame | None, stats: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Combine stored ``(trailing, max_run)`` with a later batch's stats: a
-    run can continue across the border (``state.trailing + leading``); an
-    all-failure batch extends the trailing run."""
-    if state is None:
-        return stats.select(*key_cols, "trailing", "max_run")
-    j = state.join(stats, key_cols, "full_outer")
-    st, sm = F.coalesce(state["trailing"], F.lit(0)), F.coalesce(state["max_run"], F.lit(0))
-    has = stats["n"].isNotNull()
-    new_max = F.when(has, F.greatest(sm, stats["max_run"], st + stats["leading"])).otherwise(sm)
-    new_tr = F.when(~has, st).when(stats["all_failed"], st + stats["n"]).otherwise(stats["trailing"])
-    return j.select(*[F.coalesce(state[k], stats[k]).alias(k) for k in key_cols],
-                    new_tr.cast("long").alias("trailing"), new_max.cast("long").alias("max_run"))
-
-
-def failure_alarm_tables(events: DataFrame, k: int, state_path: str, ckpt: str,
-                         key_cols: list[str] = ("user_id",), order_cols: list[str] = ("ts", "event_id"),
-                         failed_col: str = "failed"):
-    """X5 without per-key Python: each micro-batch's run statistics are
-    merged into a state table versioned by epoch under ``state_path``
-    (``epoch=N``); ``alarm`` = longest run >= ``k``.  Re-running an epoch
-    after a restart rewrites the same version."""
-    from draftkit.sources.readers import path_exists
-    key_cols, order_cols = list(key_cols), list(order_cols)
+def latest_build(spark: SparkSession, out: str, key_col: str = "conv_id") -> DataFrame:
+    rows = spark.read.parquet(out)
+    last = rows.groupBy(F.col(key_col).alias("_k")).agg(F.max("epoch").alias("_e"))
+    return rows.join(last, F.col(key_col).eqNullSafe(F.col("_k")) & (F.col("epoch") == F.col("_e"))).drop("_k", "_e", "epoch")
 
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = f"{state_path}/epoch={epoch_id - 1}"
-        state = spark.read.parquet(prev) if epoch_id > 0 and path_exists(spark, prev + "/_SUCCESS") else None
-        merged = merge_run_state(state, run_stats(batch, key_cols, order_cols, failed_col), key_cols)
-        merged.withColumn("alarm", F.col("max_run") >= k).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch_id}")
-    return (events.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-                  .trigger(availableNow=True).start())
+
+# ------------------------------------------------------------------ X5 (tables)
+def run_stats(rows: DataFrame, key_cols: list[str], order_cols: list[str], failed_col: str = "failed") -> DataFrame:
+    """Longest run of failures per key: ``max_run``.  Salted running sums and
+    aggregates only: a hot key is split."""
+    from draftkit.functions.index import running_sum
+    d = running_sum(rows, key_cols, order_cols, F.when(F.col(failed_col), 0).otherwise(1), "_isl", inclusive=True)
+    # rows of one run share the number of successes before them
+    runs = d.groupBy(*key_cols, "_isl").agg(F.count_if(failed_col).alias("_len"))
+    return runs.groupBy(*key_cols).agg(F.max("_len").cast("long").alias("max_run"))
+
+
+def failure_alarm_tables(events: DataFrame, state_path: str, ckpt: str, key_cols: list[str] = ("user_id",),
+                         order_cols: list[str] = ("ts", "event_id"), failed_col: str = "failed"):
+    """X5 in any order, without per-key Python: each micro-batch's narrow
+    rows (key, order, failed) are its epoch of the state table; runs are
+    found when it is read (``alarm_table``), in time order whatever the order
+    of arrival."""
+    def make(batch, earlier):
+        return batch.select(*key_cols, *order_cols, failed_col)
+    return run_epochs(events, epoch_sink(state_path, make), ckpt)
+
+
+def alarm_table(spark: SparkSession, state_path: str, k: int, key_cols: list[str] = ("user_id",),
+                order_cols: list[str] = ("ts", "event_id"), failed_col: str = "failed") -> DataFrame:
+    """Keys with their longest run so far; ``alarm`` from ``k`` on."""
+    rows = spark.read.parquet(state_path).drop("epoch")
+    return run_stats(rows, list(key_cols), list(order_cols), failed_col).withColumn("alarm", F.col("max_run") >= k)

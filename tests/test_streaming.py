@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from draftkit.operators import sample as R
@@ -80,21 +81,78 @@ def test_response_sink_restart(spark):
     assert sorted(r["key"] for r in R.seen_keys(back).collect()) == sorted(str(i) for i in range(12))
 
 
-def test_alarm_state_tables_across_batches(spark):
+def _shuffled_parts(spark, sf, name, key, parts, tmp_path):
+    """A table folder of part files that cut groups apart, newest first."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = df.orderBy(F.desc(key)).collect()
+    folder = tmp_path / f"{name}.parquet"
+    folder.mkdir()
+    for i in range(parts):
+        one = tmp_path / f"one-{name}-{i}"
+        spark.createDataFrame(rows[i::parts] if i % 2 else rows[i::parts][::-1], df.schema).coalesce(1).write.parquet(str(one))
+        next(one.glob("part-*.parquet")).rename(folder / f"part-{i:04d}.parquet")
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The streamed tables as folders of several files, in no order."""
+    sf, out = "/root/testdata/sf0.001", tmp_path_factory.mktemp("sf-folders")
+    for name, key in (("events", "ts"), ("documents", "doc_id"), ("conversations", "turn")):
+        _shuffled_parts(spark, sf, name, key, 3, out)
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["X1_stream_prompt_intake", "X2_stream_dedup", "X3_stream_token_frequency", "X4_stream_windowed_tallies",
+                                  "X5_stream_failure_alarm", "X5_stream_failure_alarm_tables", "X6_stream_counter_deltas", "X7_stream_incremental_build"])
+def test_registered_streams_over_table_folders(spark, folders, name):
+    import duckdb
+
+    from draftkit.plans.catalog import REGISTRY
+    fn, sql = REGISTRY[name]
+    con = duckdb.connect()
+    for t in ("events", "documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folders}/{t}.parquet/*.parquet')")
+    want = con.execute(sql).df()
+    got = fn(spark, folders).toPandas()
+    cols = sorted(got.columns)
+    norm = lambda df: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df[cols].itertuples(index=False)), key=repr)
+    assert cols == sorted(want.columns) and norm(got) == norm(want) and len(got)
+
+
+def test_replayed_epochs_change_nothing(spark, tmp_path):
+    a, b = (spark.createDataFrame(r, "k long, v long") for r in ([(1, 1), (2, 1), (1, 2)], [(2, 2), (3, 1)]))
+    first = lambda batch, earlier: batch.dropDuplicates(["k"]) if earlier is None else batch.dropDuplicates(["k"]).join(earlier.select("k"), "k", "left_anti")
+    sink = X.epoch_sink(str(tmp_path / "out"), first)
+    for batch, epoch in ((a, 0), (b, 1), (b, 1)):
+        sink(batch, epoch)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.k, r.epoch) for r in got) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_conversation_over_two_files_is_built_whole(spark, tmp_path):
+    rows = [(1, 0, "a"), (2, 0, "b")], [(1, 1, "c"), (3, 0, "d")]
+    schema = "conv_id long, turn long, text string"
+    src = _write_parts(spark, rows, schema, lambda r: r)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    build = lambda d: d.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    X.incremental_build(s, build, store, out, str(tmp_path / "ck")).awaitTermination()
+    assert sorted(map(tuple, X.latest_build(spark, out).collect())) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_alarm_tables_out_of_order(spark):
     import random
     rnd = random.Random(5)
     seq = {u: [rnd.random() < 0.6 for _ in range(rnd.randint(1, 40))] for u in range(12)}
     seq[99] = [True] * 30  # hot, all-failure key spanning every batch
     rows = [(u, i, i * 60, bool(f)) for u, fs in seq.items() for i, f in enumerate(fs)]
     schema = "user_id long, event_id long, t long, failed boolean"
-    src = _write_parts(spark, rows, schema,
-                       lambda r: [[x for x in r if x[1] < 10], [x for x in r if 10 <= x[1] < 20], [x for x in r if x[1] >= 20]])
+    src = _write_parts(spark, rows, schema, lambda r: [r[2::3], r[::3], r[1::3]])
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
          .withColumn("ts", F.timestamp_seconds("t")))
     state, ck = tempfile.mkdtemp(prefix="dk-x5t-"), tempfile.mkdtemp(prefix="dk-x5tck-")
-    X.failure_alarm_tables(s, 3, state, ck).awaitTermination()
-    last = sorted(d for d in os.listdir(state) if d.startswith("epoch="))[-1]
-    got = {r["user_id"]: r["max_run"] for r in spark.read.parquet(os.path.join(state, last)).collect()}
+    X.failure_alarm_tables(s, state, ck).awaitTermination()
+    got = {r["user_id"]: r["max_run"] for r in X.alarm_table(spark, state, 3).collect()}
     want = {r["user_id"]: r["max_fail_run"] for r in
             R.failure_runs(spark.createDataFrame(rows, schema), ["user_id"], ["t"], "failed", 3).collect()}
     assert got == want and got[99] == 30
