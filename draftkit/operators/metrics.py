@@ -101,6 +101,12 @@ def chain_steps(df: DataFrame, key_cols: list[str], step_col: str = "step", corr
     return df.withColumn("prev", F.col(mask_col) & F.coalesce(earlier == 1, F.lit(True)))
 
 
+def chain_in_row(correct: Column, mask: Column) -> Column:
+    """M3 where a position's steps are arrays of its row: ``prev`` per step
+    (no window, no shuffle)."""
+    return F.transform(mask, lambda m, k: m & F.forall(F.slice(correct, 1, k), lambda c: c))
+
+
 def per_position_accuracy(df: DataFrame, num_pos: int, pos_col: str = "pos_idx", correct_col: str = "correct",
                           mask_col: str = "mask", by: list[str] | None = None) -> DataFrame:
     """M4: correct and total per block position over masked-in rows; every
@@ -134,6 +140,44 @@ def masked_loss(df: DataFrame, row_key: list[str], loss_col: str = "loss", mask_
     return per_row.agg(*[F.avg(F.col(f"_n_{name}") / (F.col("_w") + F.lit(EPS))).alias(name) for name in variants])
 
 
+def _row_loss(loss: str, weight: str) -> list[Column]:
+    """Sum over rows of each row's ``loss / (weight + 1e-5)``, and the number
+    of rows (a batch counts one per row)."""
+    return [F.sum(F.col(loss) / (F.col(weight) + F.lit(EPS))).alias("loss_sum"), F.count(F.lit(1)).alias("loss_total")]
+
+
+def step_metrics(df: DataFrame, row_key: list[str], gamma: float, loss_col: str = "loss", step_col: str = "step",
+                 correct_col: str = "correct", mask_col: str = "mask", prev_col: str = "prev") -> DataFrame:
+    """Per step the accuracy counts of M2 and the masked loss of M9 with
+    the step's weight ``gamma ** step``: ``loss_sum`` over rows (samples) and
+    ``loss_total`` rows."""
+    w, hit = F.col(mask_col).cast("double"), F.col(correct_col) & F.col(prev_col)
+    per = df.groupBy(*row_key, step_col).agg(
+        F.count_if(hit & F.col(mask_col)).alias("_c"), F.count_if(mask_col).alias("_t"), F.count_if(prev_col).alias("_p"),
+        F.sum(F.col(loss_col) * w * decay_pow(F.col(step_col), gamma)).alias("_l"), F.sum(w).alias("_w"))
+    return per.groupBy(step_col).agg(F.sum("_c").alias("full_correct"), F.sum("_t").alias("full_total"),
+                                     F.sum("_p").alias("cond_total"), *_row_loss("_l", "_w"))
+
+
+def position_metrics(df: DataFrame, row_key: list[str], num_pos: int, pos_col: str, decay: Column | None = None,
+                     loss_col: str = "loss", correct_col: str = "correct", mask_col: str = "mask") -> DataFrame:
+    """Per position of a block (or per depth) the masked-in
+    correct and total counts, beside the loss over all positions (``loss_sum``
+    over rows, ``loss_total`` rows).  M10 weighs positions with
+    ``decay_block``, M12 not at all.  Every position has a row."""
+    w = F.col(mask_col).cast("double")
+    per = df.groupBy(*row_key, pos_col).agg(
+        F.count_if(F.col(correct_col) & F.col(mask_col)).alias("_c"), F.count_if(mask_col).alias("_t"),
+        F.sum(F.col(loss_col) * w * (decay if decay is not None else F.lit(1.0))).alias("_l"), F.sum(w).alias("_w"))
+    rows = per.groupBy(*row_key).agg(F.sum("_l").alias("_l"), F.sum("_w").alias("_w"))
+    loss = rows.agg(*_row_loss("_l", "_w"))
+    acc = per.groupBy(pos_col).agg(F.sum("_c").alias("correct"), F.sum("_t").alias("total"))
+    spine = df.sparkSession.range(num_pos).select(F.col("id").cast("int").alias(pos_col))
+    out = spine.join(acc, pos_col, "left").crossJoin(F.broadcast(loss))  # num_pos rows beside one
+    return out.select(pos_col, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("correct", "total")],
+                      F.coalesce("loss_sum", F.lit(0.0)).alias("loss_sum"), "loss_total")
+
+
 def step_weights(num_steps: int, beta: float = 0.6) -> list[float]:
     """``beta^k / sum_j beta^j``."""
     raw = [beta ** k for k in range(num_steps)]

@@ -95,18 +95,40 @@ def logit_pairs(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
     return a.join(b, "vec_id")
 
 
+def lagged_logits(spark: SparkSession, sf: str, steps: int) -> DataFrame:
+    """``(step, draft, target)``: embedding ``v`` beside embedding
+    ``v + step + 1``, for all steps in one join on the id."""
+    e = table(spark, sf, "embeddings")
+    sent = e.select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"), "vec_id", F.col("embedding").alias("target"))
+    sent = sent.select("step", (F.col("vec_id") - F.col("step") - 1).alias("vec_id"), "target")
+    return e.select("vec_id", F.col("embedding").alias("draft")).join(sent, "vec_id").select("step", "draft", "target")
+
+
+def prediction_steps(spark: SparkSession, sf: str, steps: int = 3, seed: int = 42) -> DataFrame:
+    """Per (sample, pos) an array over steps of ``(step, target, mask, pred,
+    draw)``: target = token at ``pos + step`` (steps past the end fall away),
+    prediction = target when the keyed draw mod 4 > 0, else target + 1.
+    Built inside the sample's row, without a join."""
+    def at(pos, k):
+        target = F.get("input_ids", pos + F.lit(k))
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_idx").cast("string"),
+                                                    pos.cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("bigint")
+        return F.struct(F.lit(k).alias("step"), target.alias("target"), F.get("loss_mask", pos + F.lit(k)).alias("mask"),
+                        F.when(draw % 4 > 0, target).otherwise(target + 1).alias("pred"), draw.alias("draw"))
+    places = F.transform("input_ids", lambda _t, pos: F.struct(
+        pos.cast("bigint").alias("pos"), F.filter(F.array(*[at(pos, k) for k in range(steps)]), lambda x: x["target"].isNotNull()).alias("s")))
+    return samples(spark, sf).select("sample_idx", F.explode(places).alias("p")).select("sample_idx", "p.pos", "p.s")
+
+
 def predictions(spark: SparkSession, sf: str, steps: int = 3, seed: int = 42) -> DataFrame:
-    """Per (sample, pos, step): target = token at ``pos + step``, prediction
-    = target when the keyed draw mod 4 > 0 else target + 1, mask at
-    ``pos + step``.  Built with a self join on the position."""
-    t = sample_tokens(spark, sf)
-    base = t.select("sample_idx", "pos").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    tgt = t.select("sample_idx", F.col("pos").alias("_tp"), F.col("token").alias("target"), F.col("mask"))
-    j = base.join(tgt, (base.sample_idx == tgt.sample_idx) & (tgt._tp == base.pos + base.step)).drop(tgt.sample_idx)
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_idx").cast("string"),
-                                                 F.col("pos").cast("string"), F.col("step").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return j.select("sample_idx", "pos", "step", "target", "mask",
-                    F.when(draw % 4 > 0, F.col("target")).otherwise(F.col("target") + 1).alias("pred"))
+    """``prediction_steps`` in long form, one row per (sample, pos, step)."""
+    return prediction_steps(spark, sf, steps, seed).select("sample_idx", "pos", F.inline("s"))
+
+
+def draw_logits(draw) -> tuple:
+    """Draft and target logits (four each) of a keyed draw."""
+    pick = lambda shift: F.shiftright(draw, shift).bitwiseAND(F.lit(15)).cast("double") / 4
+    return F.array(*[pick(8 * i) for i in range(4)]), F.array(*[pick(8 * i + 4) for i in range(4)])
 
 
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from draftkit.operators import shape as Q
 from draftkit.plans import derived as D
 from draftkit.plans.catalog import round6, register, table
 from draftkit.plans.q_shape import _COD
-from draftkit.plans.sqlgen import argmax_sql, logit_pairs_cte, lse, metric_log_cte, predictions_ctes, sample_tokens_ctes
+from draftkit.plans.sqlgen import argmax_sql, logit_pairs_cte, lse, metric_log_cte, predictions_ctes, round6_sql, sample_tokens_ctes
 
 SEED = 42
 _S = sample_tokens_ctes(D.SAMPLE_MAXLEN, D.HASH_VOCAB)
@@ -69,50 +69,60 @@ def m9(spark, sf):
 WITH {_P},
 c AS (SELECT *, pred = target AS correct FROM preds),
 p AS (SELECT *, mask AND coalesce(min(correct::INTEGER) OVER (PARTITION BY sample_idx, pos ORDER BY step
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, true) AS prev FROM c)
-SELECT step::BIGINT AS step, count(*) FILTER (WHERE correct AND prev AND mask)::BIGINT AS full_correct,
-       count(*) FILTER (WHERE mask)::BIGINT AS full_total, count(*) FILTER (WHERE prev)::BIGINT AS cond_total,
-       (floor((count(*) FILTER (WHERE correct AND prev AND mask) / count(*) FILTER (WHERE mask)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS full_acc,
-       (floor((count(*) FILTER (WHERE correct AND prev AND mask) / count(*) FILTER (WHERE prev)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS cond_acc
-FROM p GROUP BY step""")
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, true) AS prev FROM c),
+s AS (SELECT sample_idx, step, count(*) FILTER (WHERE correct AND prev AND mask) AS c, count(*) FILTER (WHERE mask) AS t,
+             count(*) FILTER (WHERE prev) AS p, sum(loss * mask::INTEGER * pow(0.8, step)) / (sum(mask::INTEGER) + 1e-5) AS l
+      FROM p GROUP BY sample_idx, step)
+SELECT step::BIGINT AS step, sum(c)::BIGINT AS full_correct, sum(t)::BIGINT AS full_total, sum(p)::BIGINT AS cond_total,
+       {round6_sql('sum(c) / sum(t)')} AS full_acc, {round6_sql('sum(c) / sum(p)')} AS cond_acc,
+       {round6_sql('sum(l)')} AS loss_sum, count(*)::BIGINT AS loss_total
+FROM s GROUP BY step""")
 def m11(spark, sf):
-    p = D.predictions(spark, sf).withColumn("correct", F.col("pred") == F.col("target"))
-    c = M.chain_steps(p, ["sample_idx", "pos"])
-    a = M.step_accuracy(c, ["step"])
+    p = D.prediction_steps(spark, sf)
+    p = p.withColumn("correct", F.transform("s", lambda x: x["pred"] == x["target"]))
+    p = p.withColumn("prev", M.chain_in_row(F.col("correct"), F.col("s.mask")))
+    rows = p.select("sample_idx", F.inline(F.arrays_zip("s", "correct", "prev"))).select("sample_idx", "s.*", "correct", "prev")
+    a = M.step_metrics(rows.withColumn("loss", M.kl_div(*D.draw_logits(F.col("draw")))), ["sample_idx"], 0.8)
     return a.select("step", "full_correct", "full_total", "cond_total",
                     r6(F.col("full_correct") / F.col("full_total")).alias("full_acc"),
-                    r6(F.col("full_correct") / F.col("cond_total")).alias("cond_acc"))
+                    r6(F.col("full_correct") / F.col("cond_total")).alias("cond_acc"),
+                    r6(F.col("loss_sum")).alias("loss_sum"), "loss_total")
 
 
 @register("M4_M10_block_accuracy", f"""
 WITH {_P},
-b AS (SELECT pos % 4 AS pos_idx, pred = target AS correct, mask FROM preds WHERE step = 0),
+b AS (SELECT sample_idx, pos % 4 AS pos_idx, pred = target AS correct, mask, loss FROM preds WHERE step = 0),
 a AS (SELECT pos_idx, count(*) FILTER (WHERE correct) AS c, count(*) AS t FROM b WHERE mask GROUP BY pos_idx),
+l AS (SELECT sum(loss * mask::INTEGER * CASE WHEN pos_idx = 0 THEN 0.0 ELSE exp(-(pos_idx - 1) / 4.0) END)
+             / (sum(mask::INTEGER) + 1e-5) AS l FROM b GROUP BY sample_idx),
 sp AS (SELECT unnest(generate_series(0, 3)) AS pos_idx)
 SELECT sp.pos_idx::BIGINT AS pos_idx, coalesce(a.c, 0)::BIGINT AS correct, coalesce(a.t, 0)::BIGINT AS total,
-       sp.pos_idx <> 0 AS counted
+       sp.pos_idx <> 0 AS counted, {round6_sql('(SELECT sum(l) FROM l)')} AS loss_sum, (SELECT count(*) FROM l)::BIGINT AS loss_total
 FROM sp LEFT JOIN a USING (pos_idx)""")
 def m4(spark, sf):
     p = D.predictions(spark, sf).filter(F.col("step") == 0)
-    b = p.select((F.col("pos") % 4).cast("int").alias("pos_idx"), (F.col("pred") == F.col("target")).alias("correct"), "mask")
-    a = M.per_position_accuracy(b, 4)
-    return a.withColumn("counted", F.col("pos_idx") != 0)
+    b = p.select("sample_idx", (F.col("pos") % 4).cast("int").alias("pos_idx"), (F.col("pred") == F.col("target")).alias("correct"), "mask",
+                 M.kl_div(*D.draw_logits(F.col("draw"))).alias("loss"))
+    a = M.position_metrics(b, ["sample_idx"], 4, "pos_idx", M.decay_block(F.col("pos_idx"), 4.0))
+    return a.select("pos_idx", "correct", "total", (F.col("pos_idx") != 0).alias("counted"), r6(F.col("loss_sum")).alias("loss_sum"), "loss_total")
 
 
 @register("M12_depth_accuracy", f"""
 WITH {_P}, {_COD},
-pz AS (SELECT sample_idx, pos, pred = target AS correct, mask FROM preds WHERE step = 0),
-j AS (SELECT c.depth, z.correct, z.mask FROM cod c JOIN pz z ON z.sample_idx = c.sample_idx AND z.pos = c.anchor + c.depth)
-SELECT depth::BIGINT AS depth, count(*) FILTER (WHERE mask AND correct)::BIGINT AS correct,
-       count(*) FILTER (WHERE mask)::BIGINT AS total
-FROM j GROUP BY depth""")
+pz AS (SELECT sample_idx, pos, pred = target AS correct, mask, loss FROM preds WHERE step = 0),
+j AS (SELECT c.sample_idx, c.depth, z.correct, z.mask, z.loss FROM cod c JOIN pz z ON z.sample_idx = c.sample_idx AND z.pos = c.anchor + c.depth),
+l AS (SELECT sum(loss * mask::INTEGER) / (sum(mask::INTEGER) + 1e-5) AS l FROM j GROUP BY sample_idx),
+sp AS (SELECT unnest(generate_series(0, 3)) AS depth)
+SELECT sp.depth::BIGINT AS depth, count(*) FILTER (WHERE mask AND correct)::BIGINT AS correct,
+       count(*) FILTER (WHERE mask)::BIGINT AS total,
+       {round6_sql('(SELECT sum(l) FROM l)')} AS loss_sum, (SELECT count(*) FROM l)::BIGINT AS loss_total
+FROM sp LEFT JOIN j USING (depth) GROUP BY sp.depth""")
 def m12(spark, sf):
     cod = Q.cod_sample_arrays(D.samples(spark, sf), 4, 0.7, 0.2, SEED).withColumn("pos", F.col("anchor") + F.col("depth"))
     p = D.predictions(spark, sf).filter(F.col("step") == 0).select(
-        "sample_idx", "pos", (F.col("pred") == F.col("target")).alias("correct"), "mask")
-    j = cod.join(p, ["sample_idx", "pos"])
-    return j.groupBy("depth").agg(F.count_if(F.col("mask") & F.col("correct")).cast("bigint").alias("correct"),
-                                  F.count_if("mask").cast("bigint").alias("total"))
+        "sample_idx", "pos", (F.col("pred") == F.col("target")).alias("correct"), "mask", M.kl_div(*D.draw_logits(F.col("draw"))).alias("loss"))
+    a = M.position_metrics(cod.join(p, ["sample_idx", "pos"]), ["sample_idx"], 4, "depth")
+    return a.select("depth", "correct", "total", r6(F.col("loss_sum")).alias("loss_sum"), "loss_total")
 
 
 @register("M13_M14_mtp_loss", f"""
@@ -125,11 +135,7 @@ ce AS (SELECT step, {lse('draft')} - draft[{argmax_sql('target')} + 1] AS ce FRO
 per AS (SELECT step, sum(ce) / greatest(count(ce), 1) AS sl FROM ce GROUP BY step)
 SELECT (floor((sum(sl * pow(0.6, step) / (1 + 0.6 + 0.36))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS loss FROM per""")
 def m13(spark, sf):
-    parts = []
-    for k in range(3):
-        p = D.logit_pairs(spark, sf, lag=k + 1)
-        parts.append(p.select(F.lit(k).alias("step"), M.cross_entropy(F.col("draft"), F.col("target")).alias("ce")))
-    steps = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    steps = D.lagged_logits(spark, sf, 3).select("step", M.cross_entropy(F.col("draft"), F.col("target")).alias("ce"))
     w = M.step_weight_table(spark, 3, 0.6)
     return M.mtp_loss(steps, w).select(r6(F.col("loss")).alias("loss"))
 
@@ -197,7 +203,7 @@ def m20(spark, sf):
     ev = table(spark, sf, "events")
     names = (ev.select(F.col("user_id").cast("string").alias("name"))
                .unionByName(ev.select(F.col("event_type").alias("name")))
-               .unionByName(ev.limit(1).select(F.lit("interrupted").alias("name"))))
+               .unionByName(spark.createDataFrame([("interrupted",)], "name string")))
     return M.latest_checkpoint(names)
 
 

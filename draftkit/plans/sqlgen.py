@@ -104,14 +104,22 @@ def scrape_cte(name: str, where: str = "TRUE") -> str:
 
 
 def predictions_ctes(seed: int = 42, steps: int = 3) -> str:
-    """After ``sample_tokens_ctes``: ``preds(sample_idx, pos, step, target, mask, pred)``."""
+    """After ``sample_tokens_ctes``: ``preds(sample_idx, pos, step, target,
+    mask, draw, pred, loss)``, the loss being the KL divergence of the draw's
+    logits."""
+    draw = hx(f"concat_ws(':', '{seed}', b.sample_idx::VARCHAR, b.pos::VARCHAR, b.step::VARCHAR)")
+    logits = lambda first: "[" + ", ".join(f"((draw >> {8 * i + first}) & 15) / 4.0" for i in range(4)) + "]"
     return f""",
 pbase AS (SELECT sample_idx, pos, unnest(generate_series(0, {steps - 1})) AS step FROM stok),
+pdraw AS (
+  SELECT b.sample_idx, b.pos, b.step::INTEGER AS step, t.token AS target, t.mask, {draw} AS draw
+  FROM pbase b JOIN stok t ON t.sample_idx = b.sample_idx AND t.pos = b.pos + b.step),
+plog AS (SELECT *, {logits(0)}::DOUBLE[] AS dl, {logits(4)}::DOUBLE[] AS tl FROM pdraw),
+plse AS (SELECT *, {lse('dl')} AS ld, {lse('tl')} AS lt FROM plog),
 preds AS (
-  SELECT b.sample_idx, b.pos, b.step::INTEGER AS step, t.token AS target, t.mask,
-         CASE WHEN {hx(f"concat_ws(':', '{seed}', b.sample_idx::VARCHAR, b.pos::VARCHAR, b.step::VARCHAR)")} % 4 > 0
-              THEN t.token ELSE t.token + 1 END AS pred
-  FROM pbase b JOIN stok t ON t.sample_idx = b.sample_idx AND t.pos = b.pos + b.step)"""
+  SELECT sample_idx, pos, step, target, mask, draw, CASE WHEN draw % 4 > 0 THEN target ELSE target + 1 END AS pred,
+         list_sum(list_transform(generate_series(1, 4), lambda i: exp(tl[i] - lt) * ((tl[i] - lt) - (dl[i] - ld)))) AS loss
+  FROM plse)"""
 
 
 def logit_pairs_cte(lag: int = 1) -> str:
@@ -122,6 +130,11 @@ pairs AS (
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + {lag})"""
 
 
+def round6_sql(x: str) -> str:
+    """The SQL twin of ``catalog.round6``."""
+    return f"(floor(({x}) * 1000000.000001::DOUBLE + 0.5) / 1e6)"
+
+
 LSE = "(list_max({a}) + ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a}))))))"
 
 

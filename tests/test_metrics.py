@@ -82,3 +82,28 @@ def test_block_position_accuracy_goldens(spark):
     assert r[0][0] / r[0][1] == 1.0 and r[1][0] / r[1][1] == 1.0
     empty = run([2, 1, 0, 0], [0, 0, 0, 0])
     assert sum(c for c, _ in empty.values()) == 0 and sum(t for _, t in empty.values()) == 0
+
+
+def test_step_losses_and_chain(spark):
+    """The literal of the chained step accuracy, with a loss per sample."""
+    rows = [(0, pos, [p0 == t0, p1 == t1], [True, True], [1.0, 2.0]) for pos, (p0, t0, p1, t1) in enumerate(
+        [(1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 0, 5), (0, 4, 4, 4)])] + [(1, 0, [True, True], [False, True], [9.0, 4.0])]
+    df = spark.createDataFrame(rows, "row long, pos long, correct array<boolean>, mask array<boolean>, loss array<double>")
+    d = df.withColumn("prev", M.chain_in_row(F.col("correct"), F.col("mask"))).withColumn("step", F.array(F.lit(0), F.lit(1)))
+    d = d.select("row", F.inline(F.arrays_zip("step", "correct", "mask", "prev", "loss")))
+    r = {x["step"]: x for x in M.step_metrics(d, ["row"], 0.5).collect()}
+    assert (r[0].full_correct, r[0].full_total, r[0].cond_total) == (3, 4, 4)
+    assert (r[1].full_correct, r[1].full_total, r[1].cond_total) == (3, 5, 4)
+    assert r[0].loss_total == r[1].loss_total == 2
+    assert math.isclose(r[0].loss_sum, 4.0 / (4 + 1e-5) + 0.0)
+    assert math.isclose(r[1].loss_sum, 0.5 * (8.0 / (4 + 1e-5) + 4.0 / (1 + 1e-5)))
+
+
+def test_block_and_depth_losses(spark):
+    rows = [(0, 0, True, True, 5.0), (0, 1, True, True, 2.0), (0, 2, False, True, 4.0), (1, 1, True, False, 8.0)]
+    df = spark.createDataFrame(rows, "row long, p int, correct boolean, mask boolean, loss double")
+    a = {r["p"]: r for r in M.position_metrics(df, ["row"], 4, "p", M.decay_block(F.col("p"), 2.0)).collect()}
+    assert [(a[k].correct, a[k].total) for k in range(4)] == [(1, 1), (1, 1), (0, 1), (0, 0)]
+    assert all(math.isclose(a[k].loss_sum, (2.0 + 4.0 * math.exp(-0.5)) / (3 + 1e-5)) and a[k].loss_total == 2 for k in a)
+    b = M.position_metrics(df, ["row"], 3, "p").first()
+    assert math.isclose(b.loss_sum, 11.0 / (3 + 1e-5))
