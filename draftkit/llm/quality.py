@@ -40,6 +40,7 @@ THRESHOLD = 0.3
 BUCKETS = LETTERS + SHAPES + 1  # the last one: a word that repeats
 SAME = BUCKETS - 1
 _BLOCK = 1 << 10
+_GATHER = 1 << 14
 
 
 
@@ -77,6 +78,15 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return dims, rng.choice([-1.0, 1.0], size=(BUCKETS, ENTRIES))
 
 
+@lru_cache(maxsize=1)
+def own_vectors() -> np.ndarray:
+    """The index vectors in full."""
+    dims, signs = index_vectors()
+    own = np.zeros((BUCKETS, DIM))
+    np.put_along_axis(own, dims, signs, axis=1)
+    return own
+
+
 def streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter buckets and shape buckets of all words of all texts, and the
     number of each word's text."""
@@ -91,13 +101,15 @@ def context_sums(texts: list[str], out: np.ndarray) -> None:
     whole numbers, so sums are exact in any order)."""
     letters, shapes, doc = streams(texts)
     dims, signs = index_vectors()
+    own = own_vectors()[LETTERS:LETTERS + SHAPES]
     for step in range(1, REACH + 1):
-        ok = doc[step:] == doc[:-step]
-        for mine, other in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
-            for a in (letters, shapes):
-                at, near = a[mine][ok] * DIM, (letters if a is letters else shapes)[other][ok]
-                for e in range(ENTRIES):
-                    out += np.bincount(at + dims[near, e], signs[near, e], BUCKETS * DIM).reshape(BUCKETS, DIM)
+        i = np.flatnonzero(doc[step:] == doc[:-step])
+        for mine, near in ((letters[i], letters[i + step]), (letters[i + step], letters[i])):
+            for e in range(ENTRIES):
+                out += np.bincount(mine * DIM + dims[near, e], signs[near, e], BUCKETS * DIM).reshape(BUCKETS, DIM)
+        # shapes are few: count their pairs, then add vectors
+        pairs = np.bincount((shapes[i] - LETTERS) * SHAPES + shapes[i + step] - LETTERS, minlength=SHAPES * SHAPES).reshape(SHAPES, SHAPES)
+        out[LETTERS:LETTERS + SHAPES] += pairs @ own + pairs.T @ own
 
 
 def corpus_contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -156,9 +168,7 @@ def corpus_contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def word_vectors(contexts: np.ndarray) -> np.ndarray:
     """Every bucket's unit context vector and its own index vector."""
-    dims, signs = index_vectors()
-    own = np.zeros((BUCKETS, DIM))
-    np.put_along_axis(own, dims, signs, axis=1)
+    own = own_vectors()
     mean = contexts.sum(axis=0) / max(np.abs(contexts).sum(), 1)
     centred = contexts - mean * np.abs(contexts).sum(axis=1, keepdims=True)
     unit = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
@@ -172,14 +182,20 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """A row per text: its letters' and shapes' mean vectors, that of the
     repeat mark, the share of repeats, the spread, and the log length."""
     letters, shapes, doc = streams(texts)
-    n = np.bincount(doc, minlength=len(texts)).astype(np.float64)
+    n = np.bincount(doc, minlength=len(texts))
     out = np.zeros((len(texts), FEATURES))
     full = np.flatnonzero(n)
     if len(full):
-        first = np.cumsum(n).astype(np.int64) - n.astype(np.int64)
-        size = n[full][:, None]
-        a = np.add.reduceat(vectors[letters], first[full], axis=0, dtype=np.float64) / size
-        b = np.add.reduceat(vectors[shapes], first[full], axis=0, dtype=np.float64) / size
+        end = np.cumsum(n)
+        size = n[full][:, None].astype(np.float64)
+        sums = np.zeros((len(full), 2 * DIM))
+        for k, t in enumerate(full):
+            for i in range(end[t] - n[t], end[t], _GATHER):  # a long text in parts
+                sums[k] += vectors[letters[i:min(i + _GATHER, end[t])]].sum(axis=0)
+        a = sums / size
+        # shapes are few: count them, then add vectors
+        seen = np.bincount(doc * SHAPES + shapes - LETTERS, minlength=len(texts) * SHAPES).reshape(len(texts), SHAPES)
+        b = seen[full].astype(np.float64) @ vectors[LETTERS:LETTERS + SHAPES].astype(np.float64) / size
         same = np.concatenate([[False], (letters[1:] == letters[:-1]) & (doc[1:] == doc[:-1])])
         share = np.bincount(doc[same], minlength=len(texts))[full][:, None] / size
         out[full] = np.concatenate([a, b, share * vectors[SAME].astype(np.float64), share,
