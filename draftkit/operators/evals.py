@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftkit.session import materialize
 from draftkit.functions.joins import checked_broadcast_join
 
 # Counter-line patterns, the serving engine's metric prefix and
@@ -243,7 +244,7 @@ def interpolate_speedup(points: DataFrame, baseline: str, target: str, increasin
     point at or before it and the first point after it (window bounded by
     one curve's points plus the grid).
     """
-    pts = points.filter(F.col("label").isin(baseline, target)).groupBy("label", "subset", "x").agg(F.avg("y").alias("y"))
+    pts = materialize(points.filter(F.col("label").isin(baseline, target)).groupBy("label", "subset", "x").agg(F.avg("y").alias("y")), "curves")
     rng = pts.groupBy("subset").agg(
         F.min(F.when(F.col("label") == baseline, F.col("x"))).alias("_b0"),
         F.max(F.when(F.col("label") == baseline, F.col("x"))).alias("_b1"),
@@ -258,17 +259,18 @@ def interpolate_speedup(points: DataFrame, baseline: str, target: str, increasin
     u = (gl.select("label", "subset", "x", "gi", F.lit(None).cast("double").alias("y"), F.lit(1).alias("_isg"))
            .unionByName(pts.join(rng.select("subset"), "subset", "left_semi")
                         .select("label", "subset", "x", F.lit(None).cast("int").alias("gi"), "y", F.lit(0).alias("_isg"))))
-    w = Window.partitionBy("label", "subset").orderBy("x", "_isg")
+    # running "last point so far" up the curve and down it: both frames grow
+    # row by row, so a curve takes one pass each way
+    up = Window.partitionBy("label", "subset").orderBy("x", "_isg").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("label", "subset").orderBy(F.col("x").desc(), F.col("_isg").desc()).rowsBetween(Window.unboundedPreceding, 0)
     pt = F.when(F.col("_isg") == 0, F.struct("x", "y"))
-    u = (u.withColumn("_p0", F.last(pt, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_p1", F.first(pt, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    u = u.withColumn("_p0", F.last(pt, ignorenulls=True).over(up)).withColumn("_p1", F.last(pt, ignorenulls=True).over(down))
     g = u.filter(F.col("_isg") == 1)
     x0, y0, x1, y1 = F.col("_p0.x"), F.col("_p0.y"), F.col("_p1.x"), F.col("_p1.y")
     yi = F.when(x1.isNull() | (x1 == x0), y0).otherwise(y0 + (y1 - y0) * (F.col("x") - x0) / (x1 - x0))
     g = g.select("label", "subset", "gi", "x", yi.alias("y"))
-    b = g.filter(F.col("label") == baseline).select("subset", "gi", "x", F.col("y").alias("y_baseline"))
-    t = g.filter(F.col("label") == target).select("subset", "gi", F.col("y").alias("y_target"))
-    j = b.join(t, ["subset", "gi"])
+    j = g.groupBy("subset", "gi", "x").agg(F.max(F.when(F.col("label") == baseline, F.col("y"))).alias("y_baseline"),
+                                           F.max(F.when(F.col("label") == target, F.col("y"))).alias("y_target"))
     e = F.lit(eps)
     sp = (F.col("y_baseline") / F.greatest(F.col("y_target"), e)) if increasing else \
         (F.col("y_target") / F.greatest(F.col("y_baseline"), e))
@@ -330,6 +332,6 @@ def subsets_with_drafts(scal: DataFrame) -> DataFrame:
     """Only subsets with drafts are written; none at all is an error
     (checked with one ``limit(1)`` probe)."""
     kept = scal.filter(F.col("num_drafts") > 0)
-    if kept.limit(1).count() == 0:
-        raise ValueError("no subset produced drafts")
-    return kept
+    # decided in the plan: one scalar of the same rows beside them
+    some = scal.agg(F.assert_true(F.coalesce(F.max("num_drafts"), F.lit(0)) > 0, F.lit("no subset produced drafts")).alias("_ok"))
+    return kept.crossJoin(F.broadcast(some)).filter(F.col("_ok").isNull()).drop("_ok")

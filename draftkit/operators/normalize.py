@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from draftkit import schemas
 from draftkit.functions.index import group_rank
 from draftkit.functions.keys import hash32
+from draftkit.session import materialize
 
 # Accepted role spellings and their normal form.  Any other
 # role drops the turn.
@@ -150,23 +151,20 @@ def turn_dropout_rows(df: DataFrame, seed: int, key_col: str = "conv_id", turn_c
 
     The raw index of a turn is its position among all turns of the
     conversation (salted running count, so hot conversations stay split);
-    ``n`` is drawn per conversation, the cut is the smallest raw index of an
-    assistant turn with ``index + 1 >= n``.  All of this runs on narrow
+    ``n`` is drawn per conversation, the cut is the first assistant turn
+    whose raw index has ``index + 1 >= n``.  All of this runs on narrow
     ``(key, turn, role)`` rows; the full rows (with their text) are shuffled
-    once, by the final semi join on the kept ``(key, turn)`` pairs.
+    once, by the join with one row per conversation that is cut.
     """
-    narrow = df.select(key_col, turn_col, role_col)
-    d = group_rank(narrow, [key_col], turn_col, "_i")
-    per = d.groupBy(key_col).agg(F.count(F.lit(1)).alias("_len"))
-    per = per.select(key_col, (F.lit(1) + F.pmod(hash32(seed, key_col), F.col("_len"))).alias("_n"))
-    d = d.join(per, key_col)
-    norm_role = normalize_role(F.col(role_col))
-    cuts = (d.filter((norm_role == "assistant") & (F.col("_i") + 1 >= F.col("_n")))
-              .groupBy(key_col).agg(F.min("_i").alias("_cut")))
-    kept = (d.join(cuts, key_col, "left")
-              .filter(F.col("_cut").isNull() | (F.col("_i") <= F.col("_cut")))
-              .select(key_col, turn_col))
-    return df.join(kept, [key_col, turn_col], "left_semi")
+    narrow = materialize(group_rank(df.select(key_col, turn_col, role_col), [key_col], turn_col, "_i"), "dropout-ranks")
+    per = narrow.groupBy(key_col).agg(F.count(F.lit(1)).alias("_len"))
+    n = F.lit(1) + F.pmod(hash32(seed, key_col), F.col("_len"))
+    last = F.when((normalize_role(F.col(role_col)) == "assistant") & (F.col("_i") + 1 >= n), F.col(turn_col))
+    # one row per conversation: the last turn that is kept (null: all are)
+    cut = narrow.join(per, key_col).groupBy(F.col(key_col).alias("_k")).agg(F.min(last).alias("_cut"))
+    cut = cut.filter(F.col("_cut").isNotNull())
+    return (df.join(cut, F.col(key_col) == F.col("_k"), "left")
+              .filter(F.col("_cut").isNull() | (F.col(turn_col) <= F.col("_cut"))).drop("_k", "_cut"))
 
 
 def fold_turns(df: DataFrame, key_col: str = "conv_id", turn_col: str = "turn",
@@ -191,6 +189,14 @@ def unfold_turns(df: DataFrame, turns_col: str = "turns") -> DataFrame:
         *others, F.col("turn").cast("long"), "t.*")
 
 
+def turn_text(content: str = "content", parts: str = "parts", tool_calls: str = "tool_calls") -> Column:
+    """The text of a normalised turn: its content, or its text parts one a
+    line; tool calls follow as JSON."""
+    listed = F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), "\n")
+    text = F.coalesce(F.col(content), listed, F.lit(""))
+    return F.concat(text, F.when(F.col(tool_calls).isNotNull(), F.concat(F.when(text != "", "\n").otherwise(""), F.to_json(tool_calls))).otherwise(""))
+
+
 def drop_empty(df: DataFrame, turns_col: str = "turns") -> DataFrame:
     """Drop conversations with no turns (NULL or empty)."""
     return df.filter(F.coalesce(F.size(turns_col), F.lit(0)) > 0)

@@ -218,45 +218,58 @@ class InvalidResponse(Exception):
     """Raised by a caller for a response that must not be retried."""
 
 
-def call_with_retries(fn, item, retries: int = 3, base_delay: float = 1.0, sleep=time.sleep):
-    """``retries`` attempts with ``base_delay * 2**attempt`` back-off;
-    ``InvalidResponse`` is never retried.  Returns (result, attempts, error)."""
+def call_with_retries(fn, item, retries: int = 3, base_delay: float = 2.0, sleep=time.sleep):
+    """One attempt and up to ``retries`` more, after waits of
+    ``base_delay``, twice that, and so on; ``InvalidResponse`` is never
+    retried.  Returns (result, attempts, error)."""
     err = None
-    for attempt in range(retries):
+    for attempt in range(retries + 1):
+        if attempt:
+            sleep(base_delay * 2 ** (attempt - 1))
         try:
             return fn(item), attempt + 1, None
         except InvalidResponse as e:
             return None, attempt + 1, f"invalid response: {e}"
         except Exception as e:  # noqa: BLE001
             err = f"{type(e).__name__}: {e}"
-            if attempt + 1 < retries:
-                sleep(base_delay * (2 ** attempt))
-    return None, retries, err
+    return None, retries + 1, err
 
 
-def bulk_call(df: DataFrame, fn, out_col: str, out_type: str, retries: int = 3,
-              base_delay: float = 1.0) -> DataFrame:
-    """Call a user function per row inside ``mapInPandas`` (partitions
-    run in parallel on executors), recording ``attempts`` and ``error``."""
+def bulk_call_batches(df: DataFrame, fn, out_col: str, out_type: str, inputs: list[str] | None = None) -> DataFrame:
+    """Call ``fn(rows) -> [(result, attempts, error), ...]`` once per
+    Arrow batch inside ``mapInPandas`` (partitions run in parallel on
+    executors).  ``rows`` are dicts of the ``inputs`` columns (default: all);
+    results must come in the same order."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, " \
              f"`{out_col}` {out_type}, attempts int, error string"
 
     def run(batches):
         for pdf in batches:
-            res = [call_with_retries(fn, row, retries, base_delay) for row in pdf.to_dict("records")]
+            res = fn((pdf[inputs] if inputs else pdf).to_dict("records"))
+            if len(res) != len(pdf):
+                raise ValueError("the call must return one result per row")
             pdf = pdf.copy()
-            pdf[out_col] = [r[0] for r in res]
-            pdf["attempts"] = [r[1] for r in res]
-            pdf["error"] = [r[2] for r in res]
+            for k, c in enumerate((out_col, "attempts", "error")):
+                pdf[c] = [r[k] for r in res]
             yield pdf
     return df.mapInPandas(run, schema)
 
 
+def bulk_call(df: DataFrame, fn, out_col: str, out_type: str, retries: int = 3,
+              base_delay: float = 2.0) -> DataFrame:
+    """U6 + R18: one call per row with retries, on top of the batch form."""
+    return bulk_call_batches(df, lambda rows: [call_with_retries(fn, row, retries, base_delay) for row in rows], out_col, out_type)
+
+
 def response_integrity(df: DataFrame, request_col: str = "prompt_token_ids",
-                       response_col: str = "response_prompt_ids") -> DataFrame:
-    """The echoed prompt ids must be present and equal to the request."""
+                       response_col: str = "response_prompt_ids", transfer_col: str | None = None) -> DataFrame:
+    """The echoed prompt ids must be present and equal to the request,
+    and with ``transfer_col`` the record of where the features went must be
+    there."""
     reason = (F.when(F.col(response_col).isNull(), F.lit("missing prompt ids"))
                .when(~F.col(request_col).eqNullSafe(F.col(response_col)), F.lit("prompt ids differ")))
+    if transfer_col:
+        reason = reason.when(F.col(transfer_col).isNull(), F.lit("missing transfer record"))
     return df.withColumn("integrity_error", reason)
 
 

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit.functions.index import dense_index, running_sum
+from draftkit.functions.joins import checked_broadcast_join
 from draftkit.functions.text import TOKEN_PATTERN, tokenize, tokenize_local
+from draftkit.session import materialize
 
 _WORD = _re.compile(r"[\p{L}\p{N}]")
 BOS_ORD = -(2 ** 62)
@@ -168,6 +170,36 @@ def truncate_turns(tok: DataFrame, max_length: int, key_col: str = "conv_id") ->
              .withColumn("n_tok", F.size("tokens")))
 
 
+def cut_long(tok: DataFrame, max_length: int, key_col: str = "conv_id") -> DataFrame:
+    """T4 truncation without positions: conversations within ``max_length``
+    pass as they are, in place; only turns of longer ones meet their first
+    positions, found on narrow ``(key, ord, n_tok)`` rows.  ``tok`` is read
+    several times, so it should be a written table."""
+    sizes = tok.select(key_col, "ord", "n_tok")
+    long = sizes.groupBy(key_col).agg(F.sum("n_tok").alias("_all")).filter(F.col("_all") > max_length).select(key_col)
+    starts = running_sum(checked_broadcast_join(sizes, long, key_col, "left_semi"), [key_col], "ord", "n_tok", "_start")
+    starts = materialize(starts.select(key_col, "ord", "_start"), "turn-starts")
+    # a turn of a short conversation has no start: it is whole
+    d = checked_broadcast_join(tok, starts, [key_col, "ord"], "left")
+    keep = F.least(F.col("n_tok"), F.greatest(F.lit(max_length) - F.coalesce("_start", F.lit(0)), F.lit(0))).cast("int")
+    keep = F.when(F.col("_start").isNull(), F.col("n_tok")).otherwise(keep)
+    return (d.withColumn("_keep", keep).filter(F.col("_keep") > 0)
+             .withColumn("tokens", F.slice("tokens", 1, F.col("_keep"))).withColumn("mask", F.slice("mask", 1, F.col("_keep")))
+             .withColumn("n_tok", F.col("_keep")).drop("_keep", "_start"))
+
+
+def token_rows(cut: DataFrame) -> DataFrame:
+    """``(token, trainable)`` of turns, without positions."""
+    return cut.select(F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("mask").alias("trainable"))))
+
+
+def assembled(cut: DataFrame, key_col: str = "conv_id") -> DataFrame:
+    """One row per sample with its tokens and mask (the turns were cut
+    before, so a sample holds at most ``max_length`` of them)."""
+    g = cut.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("ord", "tokens", "mask"))).alias("_t"))
+    return g.select(key_col, F.flatten("_t.tokens").alias("tokens"), F.flatten("_t.mask").alias("loss_mask"))
+
+
 def token_positions(trunc: DataFrame, key_col: str = "conv_id") -> DataFrame:
     """Long form of truncated turns: one row per token with its sample
     position (no shuffle: a ``posexplode`` per turn row)."""

@@ -116,6 +116,26 @@ def resolve_maps(d2t_path: str | None, t2d_path: str | None, cache_dir: str | No
     return "none"
 
 
+def load_maps(spark, d2t_path: str | None, t2d_path: str | None, cache_dir: str | None, freq_path: str | None,
+              draft_vocab_size: int, target_size: int):
+    """V9: ``(how, d2t, t2d)`` by the lookup order of ``resolve_maps``.  A
+    rebuild reads the frequencies, writes both maps to ``cache_dir`` (if
+    given) and loads them from there; ``none`` has no maps."""
+    from draftkit.sources.readers import path_exists
+    from draftkit.sources.sinks import read_vocab_maps, write_vocab_maps
+    how = resolve_maps(d2t_path, t2d_path, cache_dir, freq_path, lambda p: path_exists(spark, p))
+    if how == "explicit":
+        return how, spark.read.parquet(d2t_path), spark.read.parquet(t2d_path)
+    if how == "none":
+        return how, None, None
+    if how == "rebuild":
+        d2t, t2d = build_maps(spark.read.parquet(freq_path), draft_vocab_size, target_size)
+        if not cache_dir:
+            return how, d2t, t2d
+        write_vocab_maps(d2t, t2d, cache_dir)
+    return (how, *read_vocab_maps(spark, cache_dir))
+
+
 def target_vocab_size(size: int | None, model_path: str | None) -> int:
     """Exactly one of a size or a model must be given (size only here)."""
     if size is not None and model_path is not None:

@@ -56,4 +56,4 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 # Query modules register themselves on import.
-from draftkit.plans import q_prepare, q_sample, q_shape, q_metrics, q_evals, q_pack, q_stream, q_more  # noqa: E402,F401
+from draftkit.plans import q_prepare, q_sample, q_shape, q_metrics, q_evals, q_pack, q_stream, q_more, q_extra  # noqa: E402,F401

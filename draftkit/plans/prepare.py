@@ -1,20 +1,23 @@
 """Prepare plans: chat corpus -> tokenised samples -> draft vocabulary.
 
-One lazy plan per entry point; the only eager steps are the table written by
-the distributed dense index (T13) and the row-count probe that guards the
-vocabulary broadcast.
+The eager steps are the tables written to the shared folder (tokenised
+turns, starts of long conversations' turns, the vocabulary) and the size
+checks that guard broadcasts.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftkit.functions.joins import checked_broadcast_join
 from draftkit.operators import normalize as N
+from draftkit.operators import sample as R
 from draftkit.operators import tokens as TK
 from draftkit.operators import vocab as V
+from draftkit.session import materialize
 
 
 def truncated_turns(conversations: DataFrame, template: str = "chatml", max_length: int = 8192,
@@ -42,17 +45,11 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
     ``(draft_id, target_id, offset, token, freq)``.
     """
     rows = N.normalize_rows(conversations)
-    # Tokenised turns are needed only until the vocabulary table is written
-    # (an eager step), so they are persisted for exactly that span: both
-    # branches of the salted running sum read them instead of tokenising twice.
-    tok = TK.turn_tokens(rows, TK.TEMPLATES[template]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        toks = TK.token_positions(TK.truncate_turns(tok, max_length))
-        # One pass over the token rows: total counts (ids) and trainable
-        # counts (V1) together; later steps read only the vocabulary table.
-        vocab = TK.build_vocabulary(toks, extra_aggs=[F.count_if("trainable").alias("freq")])
-    finally:
-        tok.unpersist()
+    # tokenised once, into the shared folder: later reads prune columns
+    tok = materialize(TK.turn_tokens(rows, TK.TEMPLATES[template]), "turn-tokens")
+    # One pass over the token rows: total counts (ids) and trainable counts
+    # (V1) together; later steps read only the vocabulary table.
+    vocab = TK.build_vocabulary(TK.token_rows(TK.cut_long(tok, max_length)), extra_aggs=[F.count_if("trainable").alias("freq")])
     freq = vocab.filter(F.col("freq") > 0).select("token_id", "freq")
     sel = V.pad_selection(V.top_k(freq, draft_vocab_size), draft_vocab_size)
     d2t = V.draft_to_target(sel)
@@ -63,29 +60,66 @@ def draft_vocabulary(conversations: DataFrame, template: str = "chatml", max_len
 
 def prepared_samples(conversations: DataFrame, template: str = "chatml", max_length: int = 8192,
                      minimum_valid_tokens: int = 0) -> DataFrame:
-    """Prepared samples ``(conv_id, input_ids, loss_mask, seq_len)``.
+    """Prepared samples ``(conv_id, input_ids, loss_mask, seq_len)``."""
+    return samples_of_turns(N.normalize_rows(conversations), template, max_length, minimum_valid_tokens)
 
-    Token rows of the truncated samples get their ids from a size-checked
-    broadcast of the (written) vocabulary table and are regrouped per sample
-    once; a sample holds at most ``max_length`` tokens."""
-    rows = N.normalize_rows(conversations)
-    tok = TK.turn_tokens(rows, TK.TEMPLATES[template])
-    # the eager vocabulary write reads the tokenised turns from a cache that
-    # lives only for that step; the returned (lazy) plan recomputes them
-    tok_cached = tok.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        vocab = TK.build_vocabulary(TK.token_positions(TK.truncate_turns(tok_cached, max_length)))
-    finally:
-        tok_cached.unpersist()
-    toks = TK.token_positions(TK.truncate_turns(tok, max_length))
-    ided = checked_broadcast_join(toks, vocab.select("token", "token_id"), "token")
+
+def samples_of_turns(rows: DataFrame, template: str = "chatml", max_length: int = 8192,
+                     minimum_valid_tokens: int = 0) -> DataFrame:
+    """Normalised turn rows -> prepared samples.
+
+    Turns are tokenised once into the shared folder, cut, and assembled per
+    sample by the one shuffle that carries token arrays.  Ids come from a
+    size-checked broadcast of the (written) vocabulary table; tokens are
+    exploded for it and folded again inside the partitions of that shuffle."""
+    tok = materialize(TK.turn_tokens(rows, TK.TEMPLATES[template]), "turn-tokens")
+    cut = TK.cut_long(tok, max_length)
+    vocab = TK.build_vocabulary(TK.token_rows(cut))
+    s = TK.assembled(cut)
+    ex = s.select("conv_id", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("loss_mask").alias("m"))).alias("pos", "z"))
+    ex = ex.select("conv_id", "pos", F.col("z.token").alias("token"), F.col("z.m").alias("trainable"))
+    ided = checked_broadcast_join(ex, vocab.select("token", "token_id"), "token")
     g = ided.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "trainable"))).alias("_t"))
-    enc = g.select("conv_id", F.transform("_t", lambda x: x["token_id"]).alias("input_ids"),
-                   F.transform("_t", lambda x: x["trainable"]).alias("loss_mask"))
-    enc = TK.with_seq_len(enc)
+    enc = TK.with_seq_len(g.select("conv_id", F.col("_t.token_id").alias("input_ids"), F.col("_t.trainable").alias("loss_mask")))
     return TK.min_valid_tokens(enc, minimum_valid_tokens)
 
 
+def prepare_datasets(sources: dict[str, DataFrame], template: str = "chatml", max_length: int = 8192,
+                     minimum_valid_tokens: int = 0, dropout_seed: int | None = None, shuffle_seed: int = 0,
+                     max_samples: int | None = None) -> DataFrame:
+    """JSON sources to prepared samples as one plan.
+
+    ``sources`` maps a name (without ``:``) to a chat source as
+    ``read_conversations`` gives it (``conversations`` or ``messages``).  With
+    ``max_samples`` each source keeps three times as many conversations of
+    its seeded order (R2) before any work is done on them.  Conversations are
+    normalised in their own row (N1-N7: roles, tool calls, reasoning, typed
+    parts and, with ``dropout_seed``, a prefix of the turns), turned into
+    turn rows and prepared together; ``max_samples`` of the seeded order of
+    all samples stay (R3, R4).  Output: ``(source, source_id, conv_id,
+    input_ids, loss_mask, seq_len)``, ``conv_id`` being ``source:id``, or
+    ``source:#row`` for a conversation without an id.  A list of parts gives
+    its texts, one a line; tool calls follow a turn's text as JSON; reasoning
+    is not rendered (as templates drop it from earlier turns)."""
+    parts = []
+    for k, (name, df) in enumerate(sources.items()):
+        d = N.rename_messages(df).select(F.col("id").cast("string").alias("source_id"), F.col("conversations").alias("turns"),
+                                         F.monotonically_increasing_id().alias("_row"))
+        # written once, so row numbers stay when a task runs again
+        d = materialize(N.drop_empty(d), "chat-source").withColumn("source", F.lit(name)).withColumn("source_ord", F.lit(k))
+        d = d.withColumn("conv_id", F.concat(F.lit(f"{name}:"), F.coalesce("source_id", F.concat(F.lit("#"), F.col("_row").cast("string")))))
+        parts.append(d.drop("_row") if max_samples is None else R.pre_cap(d.drop("_row"), max_samples, shuffle_seed, "conv_id"))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    normal = materialize(N.normalize_turns(every, "turns", dropout_seed, "conv_id"), "chat-normal")
+    rows = N.unfold_turns(normal.select("conv_id", "turns"))
+    rows = rows.select("conv_id", "turn", "role", N.turn_text().alias("text"))
+    out = samples_of_turns(rows, template, max_length, minimum_valid_tokens)
+    out = out.join(normal.select("conv_id", "source", "source_id", "source_ord"), "conv_id")
+    if max_samples is not None:
+        out = R.final_cap(out, max_samples, shuffle_seed + 1, "conv_id")
+    return out.select("source", "source_id", "conv_id", "input_ids", "loss_mask", "seq_len")
+
+
 def prepared_samples_tokenizer(conversations: DataFrame, tokenizer_path: str, template: str = "chatml",
                                max_length: int = 8192, pattern: str | None = None,
                                minimum_valid_tokens: int = 0) -> DataFrame:

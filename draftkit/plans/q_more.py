@@ -319,11 +319,17 @@ def s17(spark, sf):
 @register("U6_R18_bulk_call", """
 SELECT doc_id, length(text)::BIGINT AS out, 1::BIGINT AS attempts, NULL::VARCHAR AS error FROM documents""")
 def u6(spark, sf):
+    """The batch form of the call; the called function gets whole batches of
+    texts."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    r = R.bulk_call(d, lambda row: len(row["text"]), "out", "bigint", retries=3, base_delay=0.01)
+    r = R.bulk_call_batches(d, _lengths, "out", "bigint", inputs=["text"])
     return r.select("doc_id", "out", F.col("attempts").cast("bigint"), "error")
 
 
+def _lengths(rows):
+    return [(len(r["text"]), 1, None) for r in rows]
+
+
 # ------------------------------------------------------------------ E21 on tokens
 @register("T13_E21_token_totals", f"""
 SELECT role, sum(len(regexp_extract_all(coalesce(text, ''), {TOKEN_RE})))::BIGINT AS n_tokens

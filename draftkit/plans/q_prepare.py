@@ -165,10 +165,8 @@ def t13(spark, sf):
 
 # ----------------------------------------------------------------- V group
 def _freq(spark, sf):
-    toks = P.corpus_tokens(_conv(spark, sf), "chatml", MAXLEN)
-    vocab = TK.build_vocabulary(toks)
-    masked = toks.filter("trainable").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    return masked.join(vocab.select("token", "token_id"), "token").select("token_id", "freq")
+    """V1 over prepared samples (tokenised once, into the shared folder)."""
+    return V.token_frequency(P.prepared_samples(_conv(spark, sf), "chatml", MAXLEN))
 
 
 _FREQ_CTE = f"""

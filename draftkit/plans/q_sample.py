@@ -174,6 +174,14 @@ def r11(spark, sf):
     return train
 
 
+@register("R11_random_split_validation", f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY {_h('doc_id')}, doc_id) - 1 AS r,
+                  count(*) OVER () AS n FROM documents)
+SELECT doc_id FROM d WHERE r >= floor(n * 0.9)""")
+def r11v(spark, sf):
+    return R.random_split(_docs(spark, sf).select("doc_id"), 0.9, SEED, "doc_id")[1]
+
+
 @register("R12_rank_shards", """
 WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents),
 p AS (SELECT *, n // 3 AS c, n % 3 AS rem FROM d)
@@ -267,13 +275,15 @@ def r17(spark, sf):
 WITH {_FEAT_SQL}
 SELECT s.doc_id AS sample_idx,
        CASE WHEN f.token_ids IS NULL THEN 'missing prompt ids'
-            WHEN s.input_ids IS DISTINCT FROM f.token_ids THEN 'prompt ids differ' END AS integrity_error
+            WHEN s.input_ids IS DISTINCT FROM f.token_ids THEN 'prompt ids differ'
+            WHEN s.doc_id % 7 = 0 THEN 'missing transfer record' END AS integrity_error
 FROM s LEFT JOIN f USING (doc_id)""")
 def r19(spark, sf):
     s, f = _features(spark, sf)
     j = s.join(f.select("sample_idx", F.col("token_ids").alias("response_prompt_ids")), "sample_idx", "left")
+    j = j.withColumn("transfer", F.when(F.col("sample_idx") % 7 != 0, F.concat(F.lit("/feat/hs_"), F.col("sample_idx").cast("string"))))
     return R.response_integrity(j.withColumnRenamed("input_ids", "prompt_token_ids"),
-                                "prompt_token_ids", "response_prompt_ids").select("sample_idx", "integrity_error")
+                                "prompt_token_ids", "response_prompt_ids", "transfer").select("sample_idx", "integrity_error")
 
 
 # ------------------------------------------------------------------ S group

@@ -75,7 +75,13 @@ def test_retries():
         if len(calls) < 3:
             raise RuntimeError("busy")
         return x * 2
-    assert R.call_with_retries(flaky, 4, retries=3, sleep=lambda s: None) == (8, 3, None)
+    waits = []
+    assert R.call_with_retries(flaky, 4, retries=3, sleep=waits.append) == (8, 3, None) and waits == [2.0, 4.0]
+
+    def down(x):
+        raise RuntimeError("down")
+    waits.clear()
+    assert R.call_with_retries(down, 1, sleep=waits.append) == (None, 4, "RuntimeError: down") and waits == [2.0, 4.0, 8.0]
 
     def bad(x):
         raise R.InvalidResponse("no ids")
