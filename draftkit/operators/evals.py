@@ -72,29 +72,26 @@ def scrape_totals(parsed: DataFrame, key_cols: list[str], duplicates: str = "max
     a dense vector from 0 to the largest position (gaps 0).  Duplicate
     positions: ``max`` (largest wins, as the reference) or ``sum``.
     Output long form ``(key..., name, position, value)``."""
-    scal = (parsed.filter(F.col("position").isNull())
-                  .groupBy(*key_cols, "name").agg(F.sum("value").alias("value"))
-                  .withColumn("position", F.lit(None).cast("int")))
-    agg = F.max("value") if duplicates == "max" else F.sum("value")
-    vec = parsed.filter(F.col("position").isNotNull()).groupBy(*key_cols, "name", "position").agg(agg.alias("value"))
-    spine = (vec.groupBy(*key_cols, "name").agg(F.max("position").alias("_m"))
-                .select(*key_cols, "name", F.explode(F.sequence(F.lit(0), F.col("_m"))).alias("position")))
-    dense = spine.join(vec, [*key_cols, "name", "position"], "left").select(
-        *key_cols, "name", "position", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return scal.unionByName(dense)
+    per = parsed.groupBy(*key_cols, "name", "position").agg(F.sum("value").alias("s"), F.max("value").alias("m"))
+    # one row per counter: its positions are as many as draft tokens
+    at = F.col("position").isNotNull()
+    one = per.groupBy(*key_cols, "name").agg(
+        F.max("position").alias("_last"), F.max(F.when(~at, F.col("s"))).alias("_scalar"),
+        F.map_from_entries(F.collect_list(F.when(at, F.struct("position", F.col("m" if duplicates == "max" else "s"))))).alias("_at"))
+    entry = lambda pos, v: F.struct(pos.cast("int").alias("position"), v.alias("value"))
+    none = F.array().cast("array<struct<position:int,value:double>>")
+    scalar = F.when(F.col("_scalar").isNotNull(), F.array(entry(F.lit(None), F.col("_scalar")))).otherwise(none)
+    dense = F.when(F.col("_last").isNotNull(), F.transform(
+        F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))), lambda i: entry(i, F.coalesce(F.try_element_at("_at", i), F.lit(0.0))))).otherwise(none)
+    return one.select(*key_cols, "name", F.inline(F.concat(scalar, dense)))
 
 
 # ------------------------------------------------------------------ E3 - E6
 def subtract_baseline(after: DataFrame, before: DataFrame, key_cols: list[str]) -> DataFrame:
-    """``after - before`` per (name, position) -- a full outer join, so
-    the shorter vector is zero-extended."""
-    a = after.withColumnRenamed("value", "_a")
-    b = before.withColumnRenamed("value", "_b")
-    keys = [*key_cols, "name", "position"]
-    cond = [a[k].eqNullSafe(b[k]) for k in keys]
-    j = a.join(b, cond, "full_outer")
-    return j.select(*[F.coalesce(a[k], b[k]).alias(k) for k in keys],
-                    (F.coalesce(F.col("_a"), F.lit(0.0)) - F.coalesce(F.col("_b"), F.lit(0.0))).alias("value"))
+    """``after - before`` per (name, position); what is missing on one
+    side counts as 0, so the shorter vector is zero-extended."""
+    both = after.withColumn("_sign", F.lit(1.0)).unionByName(before.withColumn("_sign", F.lit(-1.0)))
+    return both.groupBy(*key_cols, "name", "position").agg(F.sum(F.col("value") * F.col("_sign")).alias("value"))
 
 
 def acceptance_rates(totals: DataFrame, key_cols: list[str], no_drafts_length: float = 0.0,
@@ -103,16 +100,16 @@ def acceptance_rates(totals: DataFrame, key_cols: list[str], no_drafts_length: f
     ``num_accepted_tokens``, ``acceptance_length = 1 + accepted/drafts``
     (``no_drafts_length`` without drafts: 0 for the evaluator, 1 for the
     test variant) and long-form per-position rates ``count_i / drafts``."""
-    t = totals
-    scal = t.filter(F.col("position").isNull()).groupBy(*key_cols).agg(
-        F.sum(F.when(F.col("name") == N_DRAFTS, F.col("value")).otherwise(0.0)).alias("num_drafts"),
-        F.sum(F.when(F.col("name") == N_DRAFT_TOKENS, F.col("value")).otherwise(0.0)).alias("num_draft_tokens"),
-        F.sum(F.when(F.col("name") == N_ACCEPTED, F.col("value")).otherwise(0.0)).alias("num_accepted_tokens"))
-    scal = scal.withColumn("acceptance_length", F.when(
+    value = lambda name: F.sum(F.when(F.col("position").isNull() & (F.col("name") == name), F.col("value")).otherwise(0.0))
+    per_pos = F.col("position").isNotNull() & F.col("name").contains("per_pos")
+    # one pass over the totals: the few positions of a key travel in its row
+    g = totals.groupBy(*key_cols).agg(
+        F.count_if(F.col("position").isNull()).alias("_n"), value(N_DRAFTS).alias("num_drafts"), value(N_DRAFT_TOKENS).alias("num_draft_tokens"),
+        value(N_ACCEPTED).alias("num_accepted_tokens"), F.collect_list(F.when(per_pos, F.struct("position", "value"))).alias("_p"))
+    scal = g.filter(F.col("_n") > 0).drop("_n", "_p").withColumn("acceptance_length", F.when(
         F.col("num_drafts") > 0, F.lit(1.0) + F.col("num_accepted_tokens") / F.col("num_drafts")).otherwise(F.lit(no_drafts_length)))
-    pos = (t.filter(F.col("position").isNotNull() & F.col("name").contains("per_pos"))
-            .groupBy(*key_cols, "position").agg(F.sum("value").alias("count")))
-    pos = pos.join(scal.select(*key_cols, "num_drafts"), key_cols, "left").select(
+    pos = g.select(*key_cols, "num_drafts", F.inline("_p")).groupBy(*key_cols, "num_drafts", "position").agg(F.sum("value").alias("count"))
+    pos = pos.select(
         *key_cols, "position", F.concat(F.lit(pos_prefix), F.col("position").cast("string")).alias("metric"),
         F.when(F.col("num_drafts") > 0, F.col("count") / F.col("num_drafts")).otherwise(F.lit(0.0)).alias("rate"))
     return scal, pos

@@ -96,22 +96,44 @@ def materialize(df, name: str = "table"):
     read it back: the lineage is cut, the input is computed once (an eager
     ``checkpoint()`` computes it twice: one job to count, one to write), and
     later reads prune columns and push filters."""
-    import uuid
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder, remembered for
+    ``remove_scratch``."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this process wrote to the checkpoint folder
+    (call it when no result that reads them is needed any more); returns
+    their number."""
+    sc = spark.sparkContext
+    n = 0
+    while _SCRATCH:
+        p = sc._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 
-def size_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 * 1024 * 1024,
-                   max_partitions: int = 200_000) -> int:
+def size_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 * 1024 * 1024) -> int:
     """Size shuffles for an input of ``input_bytes``: about one shuffle
     partition per ``target_bytes`` (AQE coalesces small ones and splits
     skewed ones at run time), scan splits of the same size.  Returns the
     partition count that was set."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-            min(max_partitions, -(-input_bytes // target_bytes)))
+            -(-input_bytes // target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))

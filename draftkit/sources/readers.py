@@ -118,20 +118,16 @@ def sample_lengths(files: DataFrame, sidecar: DataFrame | None, compat: bool = F
     rule that one missing key sends *every* file to the estimate; the default
     falls back per file.
     """
-    first = files.orderBy("file_id").select("size", "len0_hint").first()  # one row
-    if first is None:
-        return files.select("file_id", F.lit(None).cast("bigint").alias("length"), F.lit(False).alias("exact"))
-    s0, l0 = first["size"], first["len0_hint"]
-    est = F.ceil(F.col("size") / F.lit(float(s0)) * F.lit(l0)).cast("bigint")
+    first = files.agg(F.min_by(F.struct(F.col("size").alias("s0"), F.col("len0_hint").alias("l0")), "file_id").alias("_f")).select("_f.s0", "_f.l0")
+    d = files.crossJoin(F.broadcast(first))  # one row, found in the plan
+    est = F.ceil(F.col("size") / F.col("s0").cast("double") * F.col("l0")).cast("bigint")
     if sidecar is None:
-        return files.select("file_id", est.alias("length"), F.lit(False).alias("exact"))
-    d = files.join(sidecar.select("file_id", F.col("length").alias("_ex")), "file_id", "left")
-    if compat:
-        # one scalar: does any file lack a sidecar entry?
-        any_missing = d.filter(F.col("_ex").isNull()).limit(1).count() > 0
-        use_est = F.lit(any_missing)
-    else:
-        use_est = F.col("_ex").isNull()
+        return d.select("file_id", est.alias("length"), F.lit(False).alias("exact"))
+    d = d.join(sidecar.select("file_id", F.col("length").alias("_ex")), "file_id", "left")
+    use_est = F.col("_ex").isNull()
+    if compat:  # one scalar: does any file lack a sidecar entry?
+        gap = files.join(sidecar.select("file_id"), "file_id", "left_anti").agg((F.count(F.lit(1)) > 0).alias("_gap"))
+        d, use_est = d.crossJoin(F.broadcast(gap)), F.col("_gap")
     return d.select("file_id", F.when(use_est, est).otherwise(F.col("_ex")).cast("bigint").alias("length"),
                     (~use_est).alias("exact"))
 

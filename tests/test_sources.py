@@ -94,7 +94,7 @@ def test_size_for_input(spark):
             "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
     old = {k: spark.conf.get(k, None) for k in keys}
     try:
-        assert size_for_input(spark, 100 * 1024 ** 4) == 200_000      # 100 TiB: capped
+        assert size_for_input(spark, 100 * 1024 ** 4) == 819_200      # 100 TiB / 128 MiB
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         assert size_for_input(spark, 64 * 1024 ** 3) == 512            # 64 GiB / 128 MiB
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(128 * 1024 * 1024)
@@ -104,3 +104,13 @@ def test_size_for_input(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+    from draftkit import session
+    session._SCRATCH.clear()
+    df = session.materialize(spark.range(3), "gone")
+    assert df.count() == 3
+    path = session._SCRATCH[0].removeprefix("file:")
+    assert os.path.isdir(path) and session.remove_scratch(spark) == 1 and not os.path.exists(path)
