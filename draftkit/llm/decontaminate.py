@@ -30,8 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftkit.llm.common import arrow_map, column, keyed_text, pieces
-from draftkit.session import ship_package
+from draftkit.llm.common import MEMORY, arrow_map, column, keyed_text, pieces, small_batches
 
 #: With three substitutions in any 15 words, two in 13, or four in 20, at
 #: least one of these hits (tests try all cases).
@@ -50,7 +49,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         bare = _EDGE.sub("", word)
         h = xxhash.xxh64_intdigest(bare) or 1 if bare else 0
-        if len(self) > 400_000:
+        if len(self) > MEMORY:
             self.clear()
         self[word] = h
         return h
@@ -208,7 +207,7 @@ NAMES = ["doc_id", "item_id", "n_words", "n_equal", "similarity", "doc_start", "
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap no
     benchmark item.  A row's text alone decides, so there is no shuffle."""
-    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for items in _blocks(benchmark, item_id_col, item_text_col):
         shared = sc.broadcast(tuple(items))

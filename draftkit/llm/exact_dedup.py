@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from draftkit.llm.common import arrow_map, column, fresh, keyed_text, pieces, small_side, written
 
@@ -169,8 +170,8 @@ def _with_print(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
     fp, norm = fresh(docs, "_fp"), fresh(docs, "_norm")
     cols = [text_col, *(c for c in docs.columns if c != text_col)]
     df = docs.select(*(column(docs, c) for c in cols))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
-    return arrow_map(df, _lowered(len(cols), fp, norm), f"{schema}, {fp} long, {norm} string"), fp, norm
+    schema = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType()), T.StructField(norm, T.StringType())])
+    return arrow_map(df, _lowered(len(cols), fp, norm), schema), fp, norm
 
 
 def _repeated(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

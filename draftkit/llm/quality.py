@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftkit.llm.common import arrow_map, column, keyed_text, pieces, written
-from draftkit.session import ship_package
+from draftkit.llm.common import MEMORY, arrow_map, column, keyed_text, pieces, small_batches, written
 
 #: Buckets of letters and of shapes, dimensions, entries of an index vector,
 #: words to either side that count as context.
@@ -59,7 +58,7 @@ class Buckets(dict):
     def __missing__(self, word: str) -> int:
         letters = "".join(c for c in word.lower() if c.isalnum())
         got = zlib.crc32(letters.encode()) % LETTERS + LETTERS * (zlib.crc32(_shape(word).encode()) % SHAPES)
-        if len(self) > 400_000:
+        if len(self) > MEMORY:
             self.clear()
         self[word] = got
         return got
@@ -124,7 +123,7 @@ def corpus_contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 held.append(text)
                 size += len(text)
-                if size > 1 << 22:
+                if size > 1 << 21:
                     context_sums(held, total)
                     held, size = [], 0
         if held:
@@ -286,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scorer(docs: DataFrame, model: tuple[np.ndarray, Network]):
-    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pd.Series) -> pd.Series:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftkit.llm.common import arrow_map, keyed_text, pieces, small_side, written
+from draftkit.llm.common import MEMORY, arrow_map, keyed_text, pieces, small_side, written
 
 #: Shortest passage, and words of the hash that selects positions.
 MIN_WORDS, GRAM = 51, 6
@@ -49,7 +49,7 @@ class Words(dict):
     """word (bytes) -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > MEMORY:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
