@@ -1,4 +1,4 @@
-"""Text expressions: the regex tokenizer, file-name cleaning, counter lines."""
+"""Text expressions: the regex tokenizer and text pieces."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 # Pieces cover the text exactly (whitespace runs included), so character
 # offsets are prefix sums of piece lengths.
 PIECE_PATTERN = r"[\p{L}\p{N}]+|\s+|[^\p{L}\p{N}\s]"
-# Characters replaced in file names.
-FILENAME_BAD = r'[/\\:*?"<>|]'
 
 _TOKEN_RX = _re.compile(TOKEN_PATTERN)
 
@@ -28,11 +26,3 @@ def tokenize(text) -> Column:
 def tokenize_local(s: str) -> list[str]:
     """Same tokenizer in Python, for template constants on the driver."""
     return _TOKEN_RX.findall(s or "")
-
-
-def clean_filename(name) -> Column:
-    """``[/\\:*?"<>|]`` and spaces become ``_``; leading/trailing ``._`` removed."""
-    c = name if isinstance(name, Column) else F.col(name)
-    c = F.regexp_replace(c, FILENAME_BAD, "_")
-    c = F.regexp_replace(c, r"\s", "_")
-    return F.regexp_replace(c, r"^[._]+|[._]+$", "")

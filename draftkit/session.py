@@ -81,16 +81,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir is not set: point it at a shared folder before running")
 
 
-def reliable_checkpoint(df):
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    Used where two passes over a result must see identical partitions (dense
-    indexes, chained sampling).  Reliable checkpoints survive executor loss.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df, name: str = "table"):
     """Write ``df`` as a parquet table in the shared checkpoint folder and
     read it back: the lineage is cut, the input is computed once (an eager
