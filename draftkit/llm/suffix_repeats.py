@@ -66,8 +66,8 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def _mix(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every run of ``n`` words."""
-    out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+    """The hash of every run of ``n`` words (along the first axis)."""
+    out = np.zeros((max(len(words) - n + 1, 0), *words.shape[1:]), np.uint64)
     for i in range(n):
         x = (words[i:i + len(out)] + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
         out = (out ^ x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
@@ -297,12 +297,16 @@ def _whole_windows(suffixes: DataFrame, undecided: DataFrame, length: int) -> Da
     another text holds too."""
     def windows(batches):
         for batch in batches:
-            out = []
-            for text, pos, lb, rb, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = np.concatenate([np.frombuffer(left, ">u4")[:lb][::-1], np.frombuffer(right, ">u4")[:rb]]).astype(np.uint64)
-                out += [(text, pos - lb + k, int(h)) for k, h in enumerate(_mix(words, length).view(np.int64))]
-            cols = [*zip(*out, strict=True)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["text", "start", "hash"])
+            for part in pieces(batch):
+                text, pos, lb, rb = (part.column(c).to_numpy() for c in ("text", "pos", "best_left", "best_right"))
+                n = part.num_rows
+                left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), ">u4").reshape(n, -1) for c in ("left", "right"))
+                reach = left.shape[1]
+                words = np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64)
+                hashes = _mix(words.T, length).T  # of the window at every start
+                start = np.arange(hashes.shape[1]) - reach  # from the suffix on
+                row, k = np.nonzero((start >= -lb[:, None]) & (start + length <= rb[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(text[row]), pa.array(pos[row] + start[k]), pa.array(hashes[row, k].view(np.int64))], ["text", "start", "hash"])
 
     rows = suffixes.join(small_side(undecided), ["text", "pos"]).select("text", "pos", "best_left", "best_right", "left", "right")
     hashed = written(arrow_map(rows, windows, "text long, start long, hash long").distinct(), "repeats-windows")
