@@ -64,11 +64,9 @@ def json_to_prepared(spark, sf):
 
 
 # ------------------------------------------------------------------ S6, S11, S13
-@register("S6_R6_response_log", "SELECT doc_id::VARCHAR AS key, 2::BIGINT AS n_rows FROM documents WHERE lang = 'de'")
-def s6(spark, sf):
-    """Responses appended to a JSON-lines log twice (a failed and a finished
-    run), read back as the finished keys."""
-    d = table(spark, sf, "documents").filter(F.col("lang") == "de")
+def _response_log(spark, d):
+    """Responses of ``d`` appended to a JSON-lines log twice (a failed and a
+    finished run), read back as the finished keys."""
     rows = R.response_rows(d, "doc_id", "text", "lang", uuid_col="doc_id")
     out = scratch(spark, "responses")
     SK.append_jsonl(rows, out)
@@ -78,6 +76,20 @@ def s6(spark, sf):
     return R.seen_keys(log.select("id")).join(per, "key")
 
 
+@register("S6_R6_response_log", "SELECT doc_id::VARCHAR AS key, 2::BIGINT AS n_rows FROM documents WHERE lang = 'de'")
+def s6(spark, sf):
+    """The log of one language's documents."""
+    return _response_log(spark, table(spark, sf, "documents").filter(F.col("lang") == "de"))
+
+
+@register("S6_R6_response_log_all", """
+SELECT doc_id::VARCHAR AS key, (2 * count(*))::BIGINT AS n_rows FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id""")
+def s6_all(spark, sf):
+    """The log of all documents; rows that repeat a doc_id add to its key, and
+    rows without one are written but have no key."""
+    return _response_log(spark, table(spark, sf, "documents"))
+
+
 @register("S11_recursive_listing", "SELECT DISTINCT lang, 'hs_' || lang || '.txt' AS name FROM documents")
 def s11(spark, sf):
     """Files two folders down, found by the recursive listing (contents

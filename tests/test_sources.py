@@ -114,3 +114,12 @@ def test_scratch_tables_are_removed(spark):
     assert df.count() == 3
     path = session._SCRATCH[0].removeprefix("file:")
     assert os.path.isdir(path) and session.remove_scratch(spark) == 1 and not os.path.exists(path)
+
+
+def test_response_log_holds_all_documents(spark):
+    from __spark_entry__ import queries
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = queries()["S6_R6_response_log_all"](spark, sf).collect()
+    assert {(r["key"], r["n_rows"]) for r in got} == {(str(r["doc_id"]), 2) for r in docs.collect()}
+    assert len(got) == docs.count() > docs.filter("lang = 'de'").count()
