@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,7 +251,8 @@ def bulk_call_batches(df: DataFrame, fn, out_col: str, out_type: str, inputs: li
                 raise ValueError("the call must return one result per row")
             pdf = pdf.copy()
             for k, c in enumerate((out_col, "attempts", "error")):
-                pdf[c] = [r[k] for r in res]
+                # as objects: whole numbers beside nulls don't become floats
+                pdf[c] = pd.Series([r[k] for r in res], index=pdf.index, dtype=object)
             yield pdf
     return df.mapInPandas(run, schema)
 

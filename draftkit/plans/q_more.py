@@ -327,7 +327,37 @@ def u6(spark, sf):
 
 
 def _lengths(rows):
-    return [(len(r["text"]), 1, None) for r in rows]
+    return [(None if r["text"] is None else len(r["text"]), 1, None) for r in rows]
+
+
+class _Unsteady:
+    """The length of a row's text, after ``doc_id % 6`` failed calls; of the
+    rest 4 no call succeeds, and 5 gets an invalid response."""
+
+    def __init__(self):
+        self.row, self.calls = None, 0
+
+    def __call__(self, row):
+        if row is not self.row:  # calls for a row follow each other
+            self.row, self.calls = row, 0
+        self.calls += 1
+        rest = row["doc_id"] % 6
+        if rest == 5:
+            raise R.InvalidResponse("no ids")
+        if rest == 4 or self.calls <= rest:
+            raise ConnectionError("busy")
+        return None if row["text"] is None else len(row["text"])
+
+
+@register("R18_bulk_call_retries", """
+SELECT doc_id, coalesce(CASE WHEN doc_id % 6 < 4 THEN length(text) END, -1)::BIGINT AS out,
+       CASE doc_id % 6 WHEN 5 THEN 1 WHEN 4 THEN 4 ELSE doc_id % 6 + 1 END::BIGINT AS attempts,
+       CASE doc_id % 6 WHEN 5 THEN 'invalid response: no ids' WHEN 4 THEN 'ConnectionError: busy' END AS error FROM documents""")
+def r18(spark, sf):
+    """One call per row with retries (without waits); -1 is no result."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    r = R.bulk_call(d, _Unsteady(), "out", "bigint", base_delay=0)
+    return r.select("doc_id", F.coalesce("out", F.lit(-1)).alias("out"), F.col("attempts").cast("bigint"), "error")
 
 
 # ------------------------------------------------------------------ E21 on tokens

@@ -107,3 +107,17 @@ def test_hot_key_running_sum_and_rank(spark):
     assert [g[1] for g in got] == list(range(len(got)))
     idx = dense_index(base, ["k", "o"], "i").filter("k = 0").agg(F.min("i"), F.max("i")).first()
     assert (idx[0], idx[1]) == (0, n // 3 - 1)
+
+
+def test_registered_call_retries(spark):
+    from __spark_entry__ import queries
+    from draftkit.plans.q_more import _lengths
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: (r["out"], r["attempts"], r["error"]) for r in queries()["R18_bulk_call_retries"](spark, sf).collect()}
+    docs = {r["doc_id"]: len(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    failed = {4: (-1, 4, "ConnectionError: busy"), 5: (-1, 1, "invalid response: no ids")}
+    assert got == {i: failed.get(i % 6, (n, i % 6 + 1, None)) for i, n in docs.items()}
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    big = lambda rows: [(None if r["text"] is None else 2 ** 53 + 1, 1, None) for r in rows]
+    assert [tuple(r) for r in R.bulk_call_batches(df, _lengths, "out", "bigint").orderBy("doc_id").collect()] == [(1, "a", 1, 1, None), (2, None, None, 1, None)]
+    assert [r["out"] for r in R.bulk_call_batches(df.coalesce(1), big, "out", "bigint").orderBy("doc_id").collect()] == [2 ** 53 + 1, None]
