@@ -3,7 +3,7 @@
 Documents are cut into windows of the capacity; whole windows fill a bin
 each, the rests are packed.  Items are dealt to segments by hash (about
 SEGMENT items each, at every size of the input: a segment is the unit in
-which bins are shared).  Inside a segment items go from the longest to the
+which bins are shared; equal items go there in blocks).  Inside a segment items go from the longest to the
 shortest.  Open bins are ordered by what is left in them and carry bitmaps
 of their sources and duplicate clusters; the search starts at the tightest
 bin that is large enough and goes on to its successors until it meets one
@@ -25,6 +25,8 @@ from draftkit.llm.common import arrow_map, column, pieces, written
 
 #: Words of a bin; items of a segment, about; items of a source in a bin.
 CAPACITY, SEGMENT, SOURCE_LIMIT = 2048, 2048, 4
+#: Equal items that go to a segment together, at most.
+COPIES = 64
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int, source_limit: int = SOURCE_LIMIT) -> list[tuple[int, int]]:
@@ -96,15 +98,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, segment: int = SEGMENT, sou
     segments = max(1, -(-rest.count() // segment))
 
     def one(key, table):
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True),
-                      key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3] or "", r[4]))
+        rows = zip(*(table.column(c).to_pylist() for c in [*NAMES, "copies"]), strict=True)
+        rows = sorted((r[:-1] for r in rows for _ in range(r[-1])), key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3] or "", r[4]))
         placed = best_fit([(r[2], r[3], r[4]) for r in rows], capacity, source_limit)
         first = (key[0].as_py() + 1) << 32
         cols = [*zip(*rows, strict=True), [first + b for b, _ in placed], [s for _, s in placed]]
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], _SCHEMA)
 
-    packed = (rest.withColumn("segment", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(segments)))
-              .groupBy("segment").applyInArrow(one, OUT))
+    # equal items are counted, and a count goes on as blocks: each of them
+    # needs a bin of its own, so many must not meet in one segment
+    blocks = rest.groupBy(*NAMES).agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {COPIES}"))))
+    blocks = blocks.select(*NAMES, F.least(F.lit(COPIES), F.col("n") - F.col("block") * COPIES).alias("copies"),
+                           F.pmod(F.xxhash64(*NAMES, "block"), F.lit(segments)).alias("segment"))
+    packed = blocks.groupBy("segment").applyInArrow(one, OUT)
     # a window of the full capacity is a bin by itself
     full = items.where(F.col("n_tokens") >= capacity).select(
         *NAMES, F.monotonically_increasing_id().alias("bin_id"), F.lit(0).cast("bigint").alias("start"))

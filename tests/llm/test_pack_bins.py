@@ -73,3 +73,16 @@ def test_segments_are_the_same_for_any_partitions(spark):
     a = sorted(map(tuple, P.pack(items, segment=100).where("n_tokens < 2048 and n_tokens > 0").collect()))
     b = sorted(map(tuple, P.pack(items.repartition(7), segment=100).where("n_tokens < 2048 and n_tokens > 0").collect()))
     assert a == b
+
+
+def test_equal_rows_spread_over_the_segments(spark):
+    """A group of equal rows, and one of copies without a doc_id from many
+    sources, are not one segment each."""
+    rows = [(7, 0, 9, "a", 5)] * 3000 + [(None, 0, 9, f"s{i}", 6) for i in range(3000)] + [(i, 0, 1 + i % 90, f"s{i % 50}", 100 + i) for i in range(6000)]
+    items = spark.createDataFrame(rows, "doc_id long, piece long, n_tokens long, source string, cluster long")
+    got = P.pack(items, 100, segment=300).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(rows)
+    check(got, 100)
+    assert max(Counter(r.bin_id >> 32 for r in got).values()) < 1000
+    again = P.pack(items.repartition(7), 100, segment=300).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
