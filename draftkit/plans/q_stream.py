@@ -82,29 +82,19 @@ FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN per USING (user_id)"""
 
 @register("X5_stream_failure_alarm", REGISTRY_X5_SQL)
 def x5(spark, sf):
-    """Keyed Python state.  It needs its rows in time order, so all files
-    that are there form one micro-batch, in which the handler sorts."""
-    s = _stream(spark, sf, "events", files_per_batch=None).withColumn("failed", F.col("event_type") == "error")
-    alarms = X.failure_alarm(s, 3)
-    out, ck = X.scratch(spark, "x5-out"), X.scratch(spark, "x5-ck")
-
-    def sink(batch, epoch_id):
-        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
-    q = alarms.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start()
-    X.run_available(q)
-    r = spark.read.parquet(out)
-    last = r.groupBy("user_id").agg(F.max_by(F.struct("max_fail_run", "alarm"), "epoch").alias("s"))
-    return last.select("user_id", F.col("s.max_fail_run").alias("max_fail_run"), F.col("s.alarm").alias("alarm"))
+    """Narrow rows per micro-batch (one file each), runs found over the whole
+    table: no per-key Python, files in any order.  The form with keyed Python
+    state (``failure_alarm``) has no row."""
+    s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
+    state, ck = X.scratch(spark, "x5-state"), X.scratch(spark, "x5-ck")
+    X.run_available(X.failure_alarm_tables(s, state, ck))
+    return X.alarm_table(spark, state, 3).select("user_id", F.col("max_run").alias("max_fail_run"), "alarm")
 
 
 @register("X5_stream_failure_alarm_tables", REGISTRY_X5_SQL)
 def x5t(spark, sf):
-    """X5 with tables: narrow rows per micro-batch, runs found over the whole
-    table (no per-key Python, files in any order)."""
-    s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
-    state, ck = X.scratch(spark, "x5t-state"), X.scratch(spark, "x5t-ck")
-    X.run_available(X.failure_alarm_tables(s, state, ck))
-    return X.alarm_table(spark, state, 3).select("user_id", F.col("max_run").alias("max_fail_run"), "alarm")
+    """The same under the name of the table form."""
+    return x5(spark, sf)
 
 
 @register("X6_stream_counter_deltas", f"""

@@ -156,3 +156,20 @@ def test_alarm_tables_out_of_order(spark):
     want = {r["user_id"]: r["max_fail_run"] for r in
             R.failure_runs(spark.createDataFrame(rows, schema), ["user_id"], ["t"], "failed", 3).collect()}
     assert got == want and got[99] == 30
+
+
+def test_alarm_row_takes_files_one_by_one(spark, monkeypatch):
+    """The registered row: a micro-batch per file, files out of order, no
+    whole key in pandas."""
+    from __spark_entry__ import queries
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    sf = tempfile.mkdtemp(prefix="dk-x5-row-")
+    for i, k in enumerate((2, 0, 1)):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
+    batches = []
+    sink = X.epoch_sink
+    monkeypatch.setattr(X, "epoch_sink", lambda path, make: lambda b, e: (batches.append(e), sink(path, make)(b, e)))
+    monkeypatch.setattr(X, "failure_alarm", None)
+    got = {r["user_id"]: (r["max_fail_run"], r["alarm"]) for r in queries()["X5_stream_failure_alarm"](spark, sf).collect()}
+    runs = R.failure_runs(events.withColumn("failed", F.col("event_type") == "error"), ["user_id"], ["ts", "event_id"], "failed", 3)
+    assert batches == [0, 1, 2] and got == {r["user_id"]: (r["max_fail_run"], r["abort"]) for r in runs.collect()}
