@@ -34,7 +34,7 @@ TRIGRAM, MARK, IN_HOST, IN_DOMAIN = 0.5, 1.0, 5.0, 20.0
 #: limit to their number; more is an error.
 MOST_LANGUAGES = 256
 
-_DROP = re.compile(r"<(script|style|nav|header|footer|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.IGNORECASE | re.DOTALL)
+_DROP = re.compile(r"<(script|style|nav|header|footer|noscript|template)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.IGNORECASE | re.DOTALL)
 _TAG = re.compile(r"<[^>]*>")
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
@@ -42,6 +42,9 @@ _CODE = re.compile(r"[a-z]{2,3}\Z")
 
 
 def page_text(markup: str) -> str:
+    """The text outside of scripts, styles, comments and the tags around a
+    page's own text (_DROP), by their whole names.  Any of them that is not
+    closed goes on to the page's end."""
     return html.unescape(_TAG.sub(" ", _DROP.sub(" ", markup)))
 
 

@@ -102,3 +102,8 @@ def test_marks_are_not_needed(spark):
     bare = pages.selectExpr("page_id", "regexp_replace(url, '/../', '/')  AS url", "regexp_replace(html, ' lang=\"..\"', '') AS html")
     got = L.identify(bare, spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert np.mean([r.lang == truth[r.page_id] for r in got]) > 0.97
+
+
+def test_longer_tag_names_keep_their_text():
+    assert L.page_text("<header-bar>a</header-bar><nav-item class=x>b</nav-item><p>c").split() == ["a", "b", "c"]
+    assert L.page_text("<nav\nclass=x>a</nav><header>b</header ><script/>c</script>d").split() == ["d"]
