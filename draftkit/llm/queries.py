@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.llm import chat_format, decontaminate, exact_dedup, language, pack_bins, pii, quality, simhash, suffix_repeats, token_count
+from draftkit.llm import (chat_format, decontaminate, exact_dedup, language, merkle, pack_bins, pii, quality, simhash, suffix_repeats,
+                          token_count, vector_codes)
+from draftkit.llm.queries_sql import MERKLE_SQL, VECTOR_SQL
 
 QUERIES: dict = {}
 
@@ -109,3 +111,24 @@ def op8(spark, sf_dir):
 @query("op10_language_evidence_fusion")
 def op10(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_code_trie", VECTOR_SQL)
+def op11(spark, sf_dir):
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    hexed = F.array_join(F.transform("code", lambda k: F.lpad(F.lower(F.hex(k)), 2, "0")), "")
+    return vector_codes.with_label_error(codes).select(
+        "vec_id", hexed.alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf([lowered if f == "text" else F.col(f) for f in merkle.FIELDS])
+    struck = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = merkle.manifest(docs, carry={"tampered": F.when(struck, tampered)})
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
+                     merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
