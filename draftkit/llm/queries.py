@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftkit.llm import (chat_format, decontaminate, exact_dedup, language, merkle, pack_bins, pii, quality, simhash, suffix_repeats,
-                          token_count, vector_codes)
+                          substrings, token_count, vector_codes)
 from draftkit.llm.queries_sql import MERKLE_SQL, VECTOR_SQL
 
 QUERIES: dict = {}
@@ -132,3 +132,9 @@ def op13(spark, sf_dir):
     out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
                      merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_substring_suffix_automata")
+def op12(spark, sf_dir):
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
