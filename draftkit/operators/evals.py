@@ -274,14 +274,63 @@ def interpolate_speedup(points: DataFrame, baseline: str, target: str, increasin
     return j.withColumn("speedup", sp)
 
 
-def smooth_curve(points: DataFrame, half_window: int = 2) -> DataFrame:
-    """E17 (re-aimed): centred moving average over ``2*half_window+1``
-    points of each curve, ordered by x (no spline solver here); curves with
-    fewer than 2 points are returned as they are."""
-    w = Window.partitionBy("label", "subset").orderBy("x")
-    n = F.count(F.lit(1)).over(Window.partitionBy("label", "subset"))
-    avg = F.avg("y").over(w.rowsBetween(-half_window, half_window))
-    return points.withColumn("y_smooth", F.when(n < 2, F.col("y")).otherwise(avg))
+def smooth_curve(points: DataFrame, n_dense: int = 300, keys: tuple[str, ...] = ("label", "subset")) -> DataFrame:
+    """The smoothed curve of each group on ``n_dense`` evenly spaced x
+    values: ``(keys..., gi, x, y_smooth)``.
+
+    A cubic smoothing spline that may leave squared residuals of n * var(y)
+    adds no inner knot: the least-squares cubic never leaves more than the
+    mean does.  So the curve is that cubic, for any number of points.  Its
+    coefficients come from sums that Spark adds up with map-side combine (x
+    scaled to [-1, 1], Chebyshev polynomials, so the 4x4 system is well
+    conditioned) and are solved in columns.
+
+    A group of one point comes back as it is (``gi`` 0).  Fewer than four
+    distinct x have no one cubic (the spline fit refuses them): the
+    polynomial has one degree less than there are distinct x.  Points without
+    x or y are left out; points of equal x all count.
+    """
+    keys = list(keys)
+    pts = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    span = pts.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.countDistinct("x").alias("_xs"))
+    span = materialize(span, "curve-spans")
+    d = checked_broadcast_join(pts, span.select(*keys, "_lo", "_hi"), keys)
+    d = d.withColumn("_t", _chebyshev(_scaled(F.col("x"), F.col("_lo"), F.col("_hi"))))
+    pairs = [(i, j) for i in range(4) for j in range(i + 1)]
+    sums = d.groupBy(*keys).agg(*[F.sum(F.col("_t")[i] * F.col("_t")[j]).alias(f"_g{i}{j}") for i, j in pairs],
+                                *[F.sum(F.col("_t")[i] * F.col("y")).alias(f"_r{i}") for i in range(4)])
+    fit = checked_broadcast_join(sums, span, keys)
+    # basis functions beyond the degree become equations of their own
+    used = [F.col("_xs") > i for i in range(4)]
+    fit = fit.withColumns({**{f"_g{i}{j}": F.when(used[i], F.col(f"_g{i}{j}")).otherwise(float(i == j)) for i, j in pairs},
+                           **{f"_r{i}": F.when(used[i], F.col(f"_r{i}")).otherwise(0.0) for i in range(4)}})
+    for i in range(4):  # Cholesky factor by rows, with the forward solve
+        for j in range(i):
+            inner = sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
+            fit = fit.withColumn(f"_l{i}{j}", (F.col(f"_g{i}{j}") - inner) / F.col(f"_l{j}{j}"))
+        inner = sum((F.col(f"_l{i}{k}") * F.col(f"_l{i}{k}") for k in range(i)), F.lit(0.0))
+        fit = fit.withColumn(f"_l{i}{i}", F.sqrt(F.col(f"_g{i}{i}") - inner))
+        inner = sum((F.col(f"_l{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
+        fit = fit.withColumn(f"_z{i}", (F.col(f"_r{i}") - inner) / F.col(f"_l{i}{i}"))
+    for i in range(3, -1, -1):
+        inner = sum((F.col(f"_l{k}{i}") * F.col(f"_c{k}") for k in range(i + 1, 4)), F.lit(0.0))
+        fit = fit.withColumn(f"_c{i}", (F.col(f"_z{i}") - inner) / F.col(f"_l{i}{i}"))
+    last = F.lit(n_dense - 1)
+    grid = fit.select(*keys, "_n", "_lo", "_hi", *[f"_c{i}" for i in range(4)],
+                      F.explode(F.sequence(F.lit(0), F.when(F.col("_n") < 2, F.lit(0)).otherwise(last))).alias("gi"))
+    grid = grid.withColumn("x", F.when(F.col("gi") == last, F.col("_hi")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("gi") / last))
+    t = _chebyshev(_scaled(F.col("x"), F.col("_lo"), F.col("_hi")))
+    return grid.select(*keys, "gi", "x", sum((F.col(f"_c{i}") * t[i] for i in range(1, 4)), F.col("_c0")).alias("y_smooth"))
+
+
+def _scaled(x: Column, lo: Column, hi: Column) -> Column:
+    """x on [-1, 1]; 0 where the curve has one x."""
+    return F.when(hi > lo, (F.lit(2.0) * x - lo - hi) / (hi - lo)).otherwise(0.0)
+
+
+def _chebyshev(u: Column) -> Column:
+    """The first four Chebyshev polynomials."""
+    return F.array(F.lit(1.0), u, F.lit(2.0) * u * u - 1.0, (F.lit(4.0) * u * u - 3.0) * u)
 
 
 # ------------------------------------------------------------------ E18 - E22

@@ -421,5 +421,5 @@ PREPROCESS = {
     "next_token": next_token_shift,   # shifted next-token drafts
     "multi_token": mtp_view,          # multi-token prediction heads
     "block": lambda df: df,           # block drafts (anchors applied later, Q17-Q21)
-    "parallel": lambda df: df,        # parallel-depth drafts (COD sampling, Q22-Q23)
+    "parallel": next_token_shift,     # parallel-depth drafts (shifted like next_token, then Q22-Q23)
 }

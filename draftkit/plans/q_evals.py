@@ -227,14 +227,31 @@ def e15(spark, sf):
                     r6(F.col("speedup")).alias("speedup"))
 
 
-@register("E17_smooth_curve", _PTS + """,
-p AS (SELECT label, subset, x, avg(y) AS y FROM pts GROUP BY label, subset, x)
-SELECT label, subset, x, (floor((CASE WHEN count(*) OVER (PARTITION BY label, subset) < 2 THEN y
-       ELSE avg(y) OVER (PARTITION BY label, subset ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y_smooth
-FROM p""")
+def _cubic_sql() -> str:
+    """The same least squares in DuckDB: sums, then Gauss-Jordan steps."""
+    t = ["1.0", "u", "(2 * u * u - 1)", "((4 * u * u - 3) * u)"]
+    cols = [(i, j) for i in range(4) for j in range(5)]
+    sums = ", ".join(f"CASE WHEN any_value(xs) > {max(i, j % 4 if j < 4 else 0)} THEN sum({t[i]} * {t[j] if j < 4 else 'y'}) "
+                     f"ELSE {float(i == j)} END AS m{i}{j}" for i, j in cols)
+    ctes = [f"""spans AS (SELECT label, subset, min(x) AS lo, max(x) AS hi, count(*) AS n, count(DISTINCT x) AS xs FROM pts GROUP BY ALL),
+unit AS (SELECT *, CASE WHEN hi > lo THEN (2.0 * x - lo - hi) / (hi - lo) ELSE 0.0 END AS u FROM pts JOIN spans USING (label, subset)),
+s0 AS (SELECT label, subset, {sums} FROM unit GROUP BY label, subset)"""]
+    for p in range(4):
+        new = [f"m{i}{j} / m{p}{p} AS m{i}{j}" if i == p else f"m{i}{j} - m{i}{p} * m{p}{j} / m{p}{p} AS m{i}{j}" for i, j in cols]
+        ctes.append(f"s{p + 1} AS (SELECT label, subset, {', '.join(new)} FROM s{p})")
+    ctes.append("""grid AS (SELECT label, subset, gi, lo, hi, CASE WHEN gi = 299 THEN hi ELSE lo + (hi - lo) * gi / 299 END AS x
+  FROM spans, (SELECT unnest(range(300)) AS gi) WHERE gi = 0 OR n > 1),
+placed AS (SELECT *, CASE WHEN hi > lo THEN (2.0 * x - lo - hi) / (hi - lo) ELSE 0.0 END AS u FROM grid)""")
+    y = " + ".join(f"m{i}4 * {t[i]}" for i in range(4))
+    return ", ".join(ctes) + f"""
+SELECT label, subset, gi, (floor(x * 1000000.000001::DOUBLE + 0.5) / 1e6) AS x, (floor(({y}) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS y_smooth
+FROM placed JOIN s4 USING (label, subset)"""
+
+
+@register("E17_smooth_curve", _PTS + ",\n" + _cubic_sql())
 def e17(spark, sf):
-    p = _points(spark, sf).groupBy("label", "subset", "x").agg(F.avg("y").alias("y"))
-    return E.smooth_curve(p).select("label", "subset", "x", r6(F.col("y_smooth")).alias("y_smooth"))
+    c = E.smooth_curve(_points(spark, sf))
+    return c.select("label", "subset", "gi", r6(F.col("x")).alias("x"), r6(F.col("y_smooth")).alias("y_smooth"))
 
 
 # Per-position acceptance thresholds of the regression gate.

@@ -56,6 +56,38 @@ def q6(spark, sf):
                     join_ints("position_ids").alias("position_ids"), join_ints("lengths").alias("lengths"))
 
 
+_U3_COLS = ["input_ids", "loss_mask", "position_ids", "lengths", "hidden_states", "verifier"]
+
+
+def _u3_sql(draft: str, shifted: bool, last: str = "verifier") -> str:
+    first, hid = ("[2:]", "[:-2]") if shifted else ("", "")
+    pos = "CASE WHEN seq_len > 0 THEN generate_series(0, seq_len - 1) ELSE [] END"
+    return f"""SELECT '{draft}' AS draft, sample_idx, {_a2s('input_ids' + first)} AS input_ids, {_a2s('loss_mask' + first)} AS loss_mask,
+  {_a2s(f'({pos}){first}')} AS position_ids, {'greatest(seq_len - 1, 0)' if shifted else 'seq_len'}::VARCHAR AS lengths,
+  {_a2s(f'list_transform(input_ids, lambda x: 2 * x){hid}')} AS hidden_states, {_a2s(f'list_transform(input_ids, lambda x: 3 * x){first}')} AS verifier,
+  '{last}' AS verifier_column FROM samples"""
+
+
+@register("U3_preprocess_by_draft_type", f"""
+WITH {_S}
+{_u3_sql('next_token', True, 'verifier_last_hidden_states')} UNION ALL {_u3_sql('parallel', True, 'verifier_last_hidden_states')}
+UNION ALL {_u3_sql('block', False, 'verifier_last_hidden_states')} UNION ALL {_u3_sql('multi_token', False, 'hidden_states_last')}""")
+def u3(spark, sf):
+    """Every draft type's hook on the same samples, two and three times the
+    ids standing in for hidden and verifier states."""
+    s = Q.with_positions(D.samples(spark, sf)).withColumns({
+        "hidden_states": F.transform("input_ids", lambda x: x.cast("bigint") * 2),
+        "verifier_last_hidden_states": F.transform("input_ids", lambda x: x.cast("bigint") * 3)})
+    out = None
+    for draft in ("next_token", "parallel", "block", "multi_token"):
+        t = s.transform(Q.PREPROCESS[draft])
+        last = next(c for c in t.columns if c in ("verifier_last_hidden_states", "hidden_states_last"))
+        t = t.withColumn("verifier", F.col(last)).select(F.lit(draft).alias("draft"), "sample_idx", *[join_ints(c).alias(c) for c in _U3_COLS],
+                                                         F.lit(last).alias("verifier_column"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @register("Q14_off_policy_inputs", f"""
 WITH {_S}
 SELECT sample_idx, {_a2s("list_concat(input_ids[3:], list_transform(generate_series(1, least(2, len(input_ids))), lambda x: 0))")} AS step1_inputs

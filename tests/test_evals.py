@@ -74,3 +74,23 @@ def test_no_drafts_variants(spark):
     import pytest
     with pytest.raises(Exception, match="no subset produced drafts"):  # the job fails, no action before it
         E.subsets_with_drafts(a).collect()
+
+
+def test_smooth_curve_is_the_least_squares_cubic(spark):
+    rng = np.random.default_rng(5)
+    curves = {"many": (rng.uniform(3, 900, 500), None), "few": (np.array([1.0, 2.0, 5.0, 9.0]), None), "same": (np.array([7.0, 7.0, 7.0]), None),
+              "two": (np.array([4.0, 2.0]), None), "three": (np.array([1.0, 2.0, 2.0, 8.0]), None), "one": (np.array([3.0]), None),
+              "close": (1e6 + rng.uniform(0, 1, 50), None)}
+    curves = {k: (x, np.sin(x / 100) * 5 + rng.normal(size=len(x))) for k, (x, _) in curves.items()}
+    rows = [("a", k, float(u), float(v)) for k, (x, y) in curves.items() for u, v in zip(x, y)] + [("a", "two", None, 1.0), ("a", "two", 5.0, None)]
+    got = {}
+    for r in E.smooth_curve(spark.createDataFrame(rows, "label string, subset string, x double, y double")).collect():
+        got.setdefault(r.subset, []).append((r.gi, r.x, r.y_smooth))
+    for k, (x, y) in curves.items():
+        g = np.array(sorted(got[k]))
+        grid = np.linspace(x.min(), x.max(), 300) if len(x) > 1 else x
+        assert np.allclose(g[:, 1], grid)
+        degree = min(3, len(set(x.tolist())) - 1)
+        fit = np.polynomial.Polynomial.fit(x - x.min(), y, degree, domain=[0, max(x.max() - x.min(), 1)])
+        assert np.allclose(g[:, 2], fit(grid - x.min()), atol=1e-7), k
+    assert got["one"] == [(0, 3.0, curves["one"][1][0])]

@@ -126,6 +126,8 @@ def test_noise_statistics_and_registry(spark):
     assert again == g  # replayable
     s = spark.createDataFrame([([1, 2, 3], [1, 1, 1], [3])], "input_ids array<int>, loss_mask array<int>, lengths array<int>")
     assert s.transform(Q.PREPROCESS["next_token"]).first()["input_ids"] == [2, 3]
+    assert s.transform(Q.PREPROCESS["parallel"]).first()["input_ids"] == [2, 3]
+    assert s.transform(Q.PREPROCESS["block"]).first()["input_ids"] == [1, 2, 3]
 
 
 def test_pack_shape_matrix(spark):
