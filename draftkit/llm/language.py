@@ -34,7 +34,9 @@ TRIGRAM, MARK, IN_HOST, IN_DOMAIN = 0.5, 1.0, 5.0, 20.0
 #: limit to their number; more is an error.
 MOST_LANGUAGES = 256
 
-_DROP = re.compile(r"<(script|style|nav|header|footer|noscript|template)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.IGNORECASE | re.DOTALL)
+_LEFT_OUT = re.compile(r"<!--|<(?:(script|style)(?=[\s/>])|(nav|header|footer|noscript|template)(?=[\s/>])[^>]*>)", re.IGNORECASE)
+_END = {None: re.compile("-->"), **{t: re.compile(rf"</{t}\s*>", re.IGNORECASE)
+                                    for t in ("script", "style", "nav", "header", "footer", "noscript", "template")}}
 _TAG = re.compile(r"<[^>]*>")
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
@@ -43,9 +45,23 @@ _CODE = re.compile(r"[a-z]{2,3}\Z")
 
 def page_text(markup: str) -> str:
     """The text outside of scripts, styles, comments and the tags around a
-    page's own text (_DROP), by their whole names.  Any of them that is not
-    closed goes on to the page's end."""
-    return html.unescape(_TAG.sub(" ", _DROP.sub(" ", markup)))
+    page's own text (nav, header, footer, noscript, template; by their whole
+    names).  A script, style or comment that is not closed goes on to the
+    page's end; of the other tags one that closes itself, or that nothing
+    closes, is a tag like any other and the text after it stays."""
+    out, at, look, never = [], 0, 0, set()
+    while m := _LEFT_OUT.search(markup, look):
+        name = (m[1] or m[2] or "").lower() or None
+        end = None if name in never else _END[name].search(markup, m.end())
+        if m[2] and (end is None or m[0].endswith("/>")):
+            if end is None:
+                never.add(name)
+            look = m.end()
+            continue
+        out.append(markup[at:m.start()])
+        at = look = end.end() if end else len(markup)
+    out.append(markup[at:])
+    return html.unescape(_TAG.sub(" ", " ".join(out)))
 
 
 def trigrams(text: str) -> np.ndarray:

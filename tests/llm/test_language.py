@@ -67,7 +67,14 @@ def test_parts():
     assert L.address("https://M.Ex.example.org/de-AT/1?x") == ("m.ex.example.org", "example.org", "de")
     assert L.address("http://[bad") == ("", "", "") and L.address("ex.fr") == ("ex.fr", "ex.fr", "fr") and L.address("") == ("", "", "")
     assert L.declared_language("<HTML class=a LANG='De-at'>") == "de" and L.declared_language("<p lang=fr>") == ""
-    assert L.page_text("<script>x</script>a&amp;<b>c</b><!-- d --><nav>e<p>f") .split() == ["a&", "c"]
+    assert L.page_text("<script>x</script>a&amp;<b>c</b><!-- d --><nav>e<p>f").split() == ["a&", "c", "e", "f"]
+    assert L.page_text("<nav/>a <NAV class=x>b</nav\n>c<header-bar>d</header-bar><footer>e").split() == ["a", "c", "d", "e"]
+    assert L.page_text("a<header>b<nav>c</header>d<nav>e</nav><noscript>f").split() == ["a", "d", "f"]
+    for tag in ("script", "STYLE"):
+        assert L.page_text(f"a<{tag}>b</nav>c").split() == ["a"]
+    assert L.page_text("a<!-- b <nav>c</nav>").split() == ["a"]
+    many = "<nav>" * 50_000 + "kept"  # one look for what closes them
+    assert L.page_text(many).split() == ["kept"]
     assert not len(L.trigrams("")) and not len(L.trigrams(" a ")) and len(L.trigrams("ab")) == 2
 
 
