@@ -10,11 +10,13 @@
 3. Around a hit the benchmark item is laid on the document at the hit's
    offset, and the longest stretch with at least 80 % equal words is taken.
    It counts from MIN_WORDS words.  An item of fewer words counts where all
-   of it stands word for word; one of under MIN_ITEM words is not searched
-   for.
+   of it stands word for word.  Equal words are counted for all hits of a
+   batch at once, and most offsets fall by that count: an opening that
+   thousands of items share costs a document some array operations.
 
-The benchmark goes to the tasks in blocks of bounded size; a larger
-benchmark takes more passes over the documents.
+The benchmark is hashed once and goes to the tasks in blocks of bounded size.
+Where it takes several, the documents are hashed once, too, into a table that
+each block reads.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftkit.llm.common import MEMORY, arrow_map, column, keyed_text, pieces, small_batches
+from draftkit.functions.joins import checked_broadcast_join
+from draftkit.llm.common import MEMORY, arrow_map, column, fresh, keyed_text, pieces, small_batches, written
 
 #: With three substitutions in any 15 words, two in 13, or four in 20, at
 #: least one of these hits (tests try all cases).
 MASKS = ("11011", "110011", "1101011")
-MIN_ITEM, MIN_WORDS, SIMILARITY = 5, 13, 0.8
+MIN_WORDS, SIMILARITY = 13, 0.8
+#: Words that are compared at a time.
+_CELLS = 1 << 20
 #: Words of the benchmark in one block (8 bytes each, and 16 for each seed).
 BLOCK_WORDS = 1 << 19
 _TABLE_BITS = 22
@@ -103,8 +108,11 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [np.frombuffer(w, np.uint64) for _, w in items]
         # items shorter than the longest mask are looked up whole as well
-        short = {len(w) for w in self.words if MIN_ITEM <= len(w) < max(map(len, MASKS))}
+        short = {len(w) for w in self.words if 0 < len(w) < max(map(len, MASKS))}
         self.masks = [*MASKS, *("1" * n for n in sorted(short))]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
         self.tables = []
         for m in self.masks:
             h = [seeds(w, m) for w in self.words]
@@ -116,6 +124,24 @@ class Index:
             bits[h >> np.uint64(64 - _TABLE_BITS)] = True
             self.tables.append((m, h[order], item[order], pos[order], bits))
 
+    def _close(self, t, i, d, flat, text_size, text_start) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(text, item, offset, equal words) of the offsets with enough equal
+        words, of those given."""
+        a = np.maximum(0, -d)
+        n = np.minimum(self.size[i], text_size[t] - d) - a
+        need = np.where(self.size[i] >= MIN_WORDS, -int(-MIN_WORDS * SIMILARITY // 1), self.size[i])
+        u = 0
+        total = np.cumsum(n)
+        while u < len(n):  # blocks of about _CELLS words
+            v = max(u + 1, int(np.searchsorted(total, (total[u - 1] if u else 0) + _CELLS, "right")))
+            size = n[u:v]
+            first = np.cumsum(size) - size
+            k = np.arange(size.sum()) - np.repeat(first - a[u:v], size)
+            equal = self.flat[k + np.repeat(self.start[i[u:v]], size)] == flat[k + np.repeat((text_start[t] + d)[u:v], size)]
+            for j in np.flatnonzero(np.add.reduceat(equal.astype(np.int64), first) >= need[u:v]).tolist():
+                yield int(t[u + j]), int(i[u + j]), int(d[u + j]), equal[first[j]:first[j] + size[j]]
+            u = v
+
     def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text, item, words, equal words, start in the text, start in the
         item) of the best overlap of every text and item that have one."""
@@ -133,70 +159,92 @@ class Index:
             k = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             t = np.repeat(text, n)
             diagonal = np.repeat(at, n) - (ends - size)[t] - pos[k]
-            found.append(np.stack([t, item[k], diagonal], axis=1))
+            found.append(np.stack([t, item[k], diagonal]))
         best: dict = {}
-        for t, i, d in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
-            w, x = self.words[i], texts[t]
-            a, b = max(0, -d), min(len(w), len(x) - d)
-            equal = w[a:b] == x[a + d:b + d]
+        t, i, d = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        low = -int(self.size.max(initial=0))
+        wide = int(size.max(initial=0)) - low + 1
+        once = np.unique((t * max(len(self.ids), 1) + i) * wide + (d - low))
+        pair, d = np.divmod(once, wide)
+        t, i = np.divmod(pair, max(len(self.ids), 1))
+        for t, i, d, equal in self._close(t, i, d + low, flat, size, ends - size):
+            a, length = max(0, -d), len(self.words[i])
             u, v = stretch(equal)
             got = (v - u, int(equal[u:v].sum()), a + d + u, a + u)
-            enough = got[0] >= MIN_WORDS if len(w) >= MIN_WORDS else got[1] == len(w)
+            enough = got[0] >= MIN_WORDS if length >= MIN_WORDS else got[1] == length
             if enough and got[:2] > best.get((t, i), (0, 0)):
                 best[t, i] = got
         for (t, i), got in best.items():
             yield (t, i, *got)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's items as hashed words, in blocks of about BLOCK_WORDS."""
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, text) -> (key, words, n): the texts as hashed words."""
     def run(batches):
         for batch in batches:
-            w = [word_hashes(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in w], pa.binary()), pa.array([len(x) for x in w], pa.int64())],
-                                             ["item_id", "words", "n"])
+            for part in pieces(batch):
+                w = [word_hashes(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in w], pa.binary()), pa.array([len(x) for x in w], pa.int64())],
+                                                 ["key", "words", "n"])
+
+    return arrow_map(rows, run, f"key {key}, words binary, n long")
 
-    items = arrow_map(keyed_text(benchmark, id_col, text_col), run, "item_id long, words binary, n long").where(F.col("n") >= MIN_ITEM)
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_item: int) -> list[tuple]:
+    """The benchmark's items as hashed words, broadcast in blocks of about
+    BLOCK_WORDS; a block comes to the driver by itself."""
+    items = written(_hashed(keyed_text(benchmark, id_col, text_col), "long").where(F.col("n") >= max(min_item, 1)), "benchmark-words")
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK_WORDS)
+    sc, out = benchmark.sparkSession.sparkContext, []
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).select("item_id", "words")
-        yield sorted(((r.item_id, bytes(r.words)) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        part = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).select("key", "words")
+        out.append(sc.broadcast(tuple(sorted(((r.key, bytes(r.words)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))))
+    return out
 
 
 @lru_cache(maxsize=2)
-def _index(items: tuple) -> Index:
+def _index(shared) -> Index:
     """One per worker and block."""
-    return Index(list(items))
+    return Index(list(shared.value))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+             item_id_col: str = "item_id", item_text_col: str = "text", min_item: int = 1) -> DataFrame:
     """One row per document row and benchmark item that overlap: doc_id,
     item_id, n_words (of the overlap), n_equal, similarity, doc_start,
     item_start (in words).  Clean documents have no row.
 
-    Null texts are empty and overlap nothing; repeated rows on either side
-    give repeated rows; null ids stay null; empty tables give no rows.
-    Texts are searched whole.
+    ``min_item`` leaves out items of fewer words; by default every item with
+    a word is searched for.  Of several overlaps of a document with an item
+    the longest is told, of equally long ones that with most equal words, of
+    those the first offset.  Null texts are empty and overlap nothing;
+    repeated rows on either side give repeated rows; null ids stay null;
+    empty tables give no rows.  Texts are searched whole.
     """
+    rows = keyed_text(docs, id_col, text_col)
+    blocks = _blocks(benchmark, item_id_col, item_text_col, min_item)
+    hashed = len(blocks) > 1
+    if hashed:
+        rows = written(_hashed(rows, "long").select("key", "words"), "document-words")
+
     def run_with(shared):
         def run(batches):
-            index = _index(shared.value)
+            index = _index(shared)
             for batch in batches:
                 for part in pieces(batch):
-                    rows = [*index.hits([word_hashes(t) for t in part.column(1).to_pylist()])]
+                    texts = part.column(1).to_pylist()
+                    found = [*index.hits([np.frombuffer(t, np.uint64) if hashed else word_hashes(t) for t in texts])]
                     ids = part.column(0).to_pylist()
-                    cols = [[ids[r[0]] for r in rows], [index.ids[r[1]] for r in rows], *([r[k] for r in rows] for k in (2, 3)),
-                            [r[3] / r[2] for r in rows], *([r[k] for r in rows] for k in (4, 5))]
+                    cols = [[ids[r[0]] for r in found], [index.ids[r[1]] for r in found], *([r[k] for r in found] for k in (2, 3)),
+                            [r[3] / r[2] for r in found], *([r[k] for r in found] for k in (4, 5))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(cols)], NAMES)
         return run
 
     schema = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n in NAMES)
-    sc = docs.sparkSession.sparkContext
     out = None
-    for items in _blocks(benchmark, item_id_col, item_text_col):
-        got = arrow_map(keyed_text(docs, id_col, text_col), run_with(sc.broadcast(tuple(items))), schema)
+    for shared in blocks:
+        got = arrow_map(rows, run_with(shared), schema)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -204,23 +252,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 NAMES = ["doc_id", "item_id", "n_words", "n_equal", "similarity", "doc_start", "item_start"]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+                      min_item: int = 1) -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap no
-    benchmark item.  A row's text alone decides, so there is no shuffle."""
+    benchmark item.  A row's text alone decides, so with one block there is
+    no shuffle; with several, the texts that overlap are found once by their
+    md5 and joined away.  Null and empty texts stay; rows of one text stay or
+    go together; an empty table or benchmark changes nothing."""
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, item_id_col, item_text_col):
-        shared = sc.broadcast(tuple(items))
-        docs = docs.where(_clean(shared)(column(docs, text_col)))
-    return docs
-
-
-def _clean(shared):
+    blocks = _blocks(benchmark, item_id_col, item_text_col, min_item)
+    text = column(docs, text_col)
+    if len(blocks) == 1:
+        return docs.where(_clean(blocks[0], False)(text))
+    if not blocks:
+        return docs
+    rows = written(_hashed(docs.select(F.md5(text).alias("key"), F.coalesce(text, F.lit("")).alias("text")), "string").select("key", "words"), "document-words")
+    bad = None
+    for shared in blocks:
+        got = rows.where(~_clean(shared, True)(F.col("words"))).select("key")
+        bad = got if bad is None else bad.unionByName(got)
+    name = fresh(docs, "_md5")
+    bad = written(bad.distinct().withColumnRenamed("key", name), "contaminated")
+    return checked_broadcast_join(docs.withColumn(name, F.md5(text)), bad, name, "left_anti").drop(name)
+
+
+def _clean(shared, hashed: bool):
     def clean(texts: pd.Series) -> pd.Series:
-        index = _index(shared.value)
+        index = _index(shared)
         out = np.ones(len(texts), bool)
         for a in range(0, len(texts), 256):
-            for hit in index.hits([word_hashes(t or "") for t in texts.iloc[a:a + 256]]):
+            for hit in index.hits([np.frombuffer(t, np.uint64) if hashed else word_hashes(t or "") for t in texts.iloc[a:a + 256]]):
                 out[a + hit[0]] = False
         return pd.Series(out)
 

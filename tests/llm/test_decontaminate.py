@@ -41,7 +41,7 @@ def brute(docs, items):
             w = D.word_hashes(s or "")
             for k in range(-len(w) + 1, len(x)):
                 a, b = max(0, -k), min(len(w), len(x) - k)
-                if len(w) >= D.MIN_ITEM and b - a >= min(D.MIN_WORDS, len(w)):
+                if len(w) and b - a >= min(D.MIN_WORDS, len(w)):
                     u, v = D.stretch(w[a:b] == x[a + k:b + k])
                     if v - u >= D.MIN_WORDS or len(w) < D.MIN_WORDS and (w[a:b] == x[a + k:b + k]).sum() == len(w):
                         out.add((d, i))
@@ -54,7 +54,7 @@ def words(rng, n):
 
 def test_against_all_offsets(spark):
     rng = random.Random(7)
-    items = [(i, words(rng, n)) for i, n in enumerate([5, 6, 8, 13, 14, 20, 40, 60, 4, 300])]
+    items = [(i, words(rng, n)) for i, n in enumerate([5, 6, 8, 13, 14, 20, 40, 60, 4, 300, 1, 2, 3])]
     docs = []
     for d in range(60):
         x = words(rng, rng.randint(0, 150))
@@ -89,8 +89,36 @@ def test_blocks_change_nothing(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     run = QUERIES["op9_decontaminate_spaced_seeds"][0]
     one = sorted(map(tuple, run(spark, sf).collect()))
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    clean = sorted(r.doc_id for r in D.drop_contaminated(docs, items).collect())
     monkeypatch.setattr(D, "BLOCK_WORDS", 300)
     assert sorted(map(tuple, run(spark, sf).collect())) == one
+    assert sorted(r.doc_id for r in D.drop_contaminated(docs, items).collect()) == clean
+
+
+def test_items_of_few_words_are_a_choice(spark):
+    docs = spark.createDataFrame([(1, "say hello world again"), (2, "hello there"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Hello, world!"), (2, "there"), (3, "a b c d")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_words) for r in D.overlaps(docs, items).collect()) == [(1, 1, 2), (2, 2, 1)]
+    assert [(r.doc_id, r.item_id) for r in D.overlaps(docs, items, min_item=2).collect()] == [(1, 1)]
+
+
+def test_an_opening_that_many_items_share_is_cheap():
+    """Figures do not matter here, only that a hit is no step of a loop."""
+    import time
+    rng = random.Random(3)
+    opening = words(rng, 6)
+    texts = [opening + words(rng, 34) for _ in range(5000)]
+    index = D.Index([(i, D.word_hashes(" ".join(w)).tobytes()) for i, w in enumerate(texts)])
+    clean = words(rng, 400)
+    five = [w for k in range(5) for w in clean[80 * k:80 * k + 80] + opening]
+    leak = clean[:100] + texts[77][2:30] + clean[100:]
+    docs = [D.word_hashes(" ".join(d)) for d in (clean + opening, five, leak)]
+    assert [h[:2] for h in index.hits(docs)] == [(2, 77)]
+    began = time.process_time()
+    for _ in range(10):
+        assert [*index.hits(docs[:1])] == []
+    assert time.process_time() - began < 1  # a hundredth of a second each on a quiet machine
 
 
 def test_query_against_all_offsets(spark):
