@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from draftkit.functions.index import dense_index, running_sum
 from draftkit.functions.keys import order_key
+from draftkit.functions.select import first_in_order
 
 
 # ------------------------------------------------------------ R1 - R4
@@ -22,9 +23,8 @@ def seeded_order(df: DataFrame, seed: int, id_col: str, out: str = "perm_idx") -
 
 def pre_cap(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     """R2: keep the first ``3 * n`` rows of the seeded order (a no-op when
-    smaller).  Planned as ``TakeOrderedAndProject``: every task keeps its own
-    top rows, so only ``3n`` rows per task move."""
-    return df.withColumn("_h", order_key(seed, id_col)).orderBy("_h", id_col).limit(3 * n).drop("_h")
+    smaller).  The cut is found on the hashes; the rows stay where they are."""
+    return first_in_order(df.withColumn("_h", order_key(seed, id_col)), ["_h", id_col], 3 * n).drop("_h")
 
 
 def concat_sources(*dfs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def final_cap(df: DataFrame, n: int, seed: int, id_col: str, compat: bool = Fals
     the default caps a real seeded shuffle."""
     d = df.withColumn("_h", order_key(seed, id_col))
     order = ["source_ord", "_h", id_col] if compat else ["_h", "source_ord", id_col]
-    return d.orderBy(*order).limit(n).drop("_h")
+    return first_in_order(d, order, n).drop("_h")
 
 
 # ------------------------------------------------------------ R5 - R9
@@ -54,8 +54,9 @@ def regeneration_queue(prompts: DataFrame, done_keys: DataFrame | None, limit: i
     if done_keys is not None:
         d = d.withColumn("_k", F.col(key_col).cast("string")).join(
             done_keys.select(F.col("key").alias("_k")), "_k", "left_anti").drop("_k")
-    d = d.orderBy(key_col)
-    return d.limit(limit) if limit is not None else d
+    if limit is not None:
+        d = first_in_order(d, [key_col], limit)
+    return d.orderBy(key_col)
 
 
 def seen_keys(responses: DataFrame) -> DataFrame:

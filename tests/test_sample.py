@@ -1,7 +1,12 @@
 """Sampling, sharding and resume."""
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
+from draftkit.functions import select
+from draftkit.functions import select
 from draftkit.functions.index import dense_index, running_sum
 from draftkit.operators import sample as R
 from draftkit.sources import readers as S
@@ -121,3 +126,36 @@ def test_registered_call_retries(spark):
     big = lambda rows: [(None if r["text"] is None else 2 ** 53 + 1, 1, None) for r in rows]
     assert [tuple(r) for r in R.bulk_call_batches(df, _lengths, "out", "bigint").orderBy("doc_id").collect()] == [(1, "a", 1, 1, None), (2, None, None, 1, None)]
     assert [r["out"] for r in R.bulk_call_batches(df.coalesce(1), big, "out", "bigint").orderBy("doc_id").collect()] == [2 ** 53 + 1, None]
+
+
+def _plain_first(rows, n):
+    return sorted(rows, key=lambda r: tuple((x is not None, x if x is not None else 0) if not isinstance(x, str) else (True, x.encode()) for x in r))[:n]
+
+
+@pytest.mark.parametrize("settle", [3, 40, 100_000])
+def test_first_in_order_of_any_size(spark, monkeypatch, settle):
+    import random
+    rnd = random.Random(settle)
+    monkeypatch.setattr(select, "SETTLE", settle)
+    monkeypatch.setattr(select, "RANGE_BITS", 3)
+    ints = [(rnd.choice([None, -(2**62), 2**62, *range(-9, 9)]), k) for k in range(200)]
+    texts = [(rnd.choice(["", "a", "ab", "sample_0000%d" % rnd.randrange(30), "é", "zz", "\U0001f600"]), k) for k in range(200)]
+    for rows, kind in ((ints, "long"), (texts, "string")):
+        df = spark.createDataFrame(rows, f"a {kind}, b long").repartition(5)
+        for n in (0, 1, 7, 100, 199, 200, 500):
+            got = [tuple(r) for r in select.first_in_order(df, ["a", "b"], n).collect()]
+            assert _plain_first(got, n) == _plain_first(rows, n) and len(got) == min(n, 200)
+    same = spark.createDataFrame([(1, "x")] * 50 + [(0, "y")] * 5 + [(2, "z")] * 5, "a long, t string").repartition(4)
+    got = sorted(tuple(r) for r in select.first_in_order(same, ["a"], 30).collect())
+    assert got == [(0, "y")] * 5 + [(1, "x")] * 25
+    when = spark.createDataFrame([(datetime.datetime(2024, 1, d),) for d in range(1, 20)], "a timestamp")
+    assert select.first_in_order(when, ["a"], 4).count() == 4
+
+
+def test_capped_rows_do_not_meet_in_one_task(spark):
+    """No ordered limit and no single partition in the plans, however large n."""
+    df = spark.range(5000).select(F.col("id").alias("idx"), F.lit("a prompt").alias("prompt"), F.lit(0).alias("source_ord"))
+    for out in (R.pre_cap(df, 1000, 1, "idx"), R.final_cap(df, 3000, 1, "idx"), R.final_cap(df, 3000, 1, "idx", compat=True), R.regeneration_queue(df, None, 3000)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "SinglePartition" not in plan and "Limit" not in plan
+        assert out.count() == 3000
