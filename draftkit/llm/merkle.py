@@ -133,6 +133,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str =
     carry = carry or {}
     rows = docs.select(column(docs, order_col).alias("_order"), column(docs, group_col).alias("_group"),
                        leaf([column(docs, f) for f in fields]).alias("_digest"), *(c.alias(f"_c{k}") for k, c in enumerate(carry.values())))
+    rows = written(rows, "merkle-hashed")  # the sort reads its input twice; texts are read once
     rows = dense_index(rows, [F.col("_group").asc_nulls_first(), F.col("_order").asc_nulls_first(), "_digest", *(f"_c{k}" for k in range(len(carry)))], "_at")
     groups = written(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from")), "merkle-groups")
     groups = dense_index(groups, [F.col("_group").asc_nulls_first()], "_g").withColumnRenamed("_group", "_key")
