@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit.functions.index import dense_index, running_sum
-from draftkit.functions.joins import checked_broadcast_join
+from draftkit.functions.joins import checked_broadcast_join, measured_bytes
 from draftkit.functions.text import TOKEN_PATTERN, tokenize, tokenize_local
 from draftkit.session import materialize
 
@@ -173,10 +173,14 @@ def truncate_turns(tok: DataFrame, max_length: int, key_col: str = "conv_id") ->
 def cut_long(tok: DataFrame, max_length: int, key_col: str = "conv_id") -> DataFrame:
     """T4 truncation without positions: conversations within ``max_length``
     pass as they are, in place; only turns of longer ones meet their first
-    positions, found on narrow ``(key, ord, n_tok)`` rows.  ``tok`` is read
-    several times, so it should be a written table."""
+    positions, found on narrow ``(key, ord, n_tok)`` rows.  Where none is
+    longer there is nothing to join.  ``tok`` is read several times, so it
+    should be a written table."""
     sizes = tok.select(key_col, "ord", "n_tok")
     long = sizes.groupBy(key_col).agg(F.sum("n_tok").alias("_all")).filter(F.col("_all") > max_length).select(key_col)
+    long = materialize(long, "long-samples")
+    if long.isEmpty():
+        return tok
     starts = running_sum(checked_broadcast_join(sizes, long, key_col, "left_semi"), [key_col], "ord", "n_tok", "_start")
     starts = materialize(starts.select(key_col, "ord", "_start"), "turn-starts")
     # a turn of a short conversation has no start: it is whole
@@ -224,6 +228,50 @@ def build_vocabulary(token_rows: DataFrame, token_col: str = "token", extra_aggs
         "token_id", F.col("token_id").cast("int"))
 
 
+def hot_tokens(vocab: DataFrame, max_bytes: int, token_col: str = "token") -> tuple[DataFrame, int | None]:
+    """The most frequent tokens (the lowest ids) whose ``(token, token_id)``
+    rows measure at most ``max_bytes``, and their number (None for all)."""
+    pairs = vocab.select(token_col, "token_id")
+    size, n = measured_bytes(pairs), None
+    while size > max_bytes:
+        n = pairs.count() if n is None else n
+        n = int(n * max_bytes / size * 0.9)
+        pairs = vocab.filter(F.col("token_id") < n).select(token_col, "token_id")
+        size = measured_bytes(pairs)
+    return pairs, n
+
+
+def with_token_ids(samples: DataFrame, vocab: DataFrame, max_bytes: int, key_col: str = "conv_id") -> DataFrame:
+    """T13 ids of whole samples: ``(key, tokens, loss_mask)``, one row a
+    sample and dealt out by the key, -> ``(key, input_ids, loss_mask)``.
+
+    The most frequent tokens, as many as fit ``max_bytes``, are a broadcast
+    dictionary and settle in place.  Of the others a sample sends each
+    distinct token once, with the list of its positions, through one hash
+    join with the vocabulary; being rare, no one of them makes a hot key."""
+    ex = samples.select(key_col, F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("loss_mask").alias("m"))).alias("pos", "z"))
+    ex = ex.select(key_col, "pos", F.col("z.token").alias("token"), F.col("z.m").alias("trainable"))
+    hot, n_hot = hot_tokens(vocab, max_bytes)
+    if n_hot is None:
+        g = ex.join(F.broadcast(hot), "token").groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "trainable"))).alias("_t"))
+        return g.select(key_col, F.col("_t.token_id").alias("input_ids"), F.col("_t.trainable").alias("loss_mask"))
+    near = ex.join(F.broadcast(hot), "token", "left")
+    # within the partitions of the samples: a token's positions, then a sample's tokens
+    by_token = near.groupBy(key_col, "token", "token_id").agg(F.collect_list(F.struct("pos", "trainable")).alias("at"))
+    group = F.struct(F.when(F.col("token_id").isNull(), F.col("token")).alias("token"), "token_id", "at")
+    held = materialize(by_token.groupBy(key_col).agg(F.collect_list(group).alias("_g")), "sample-tokens")
+    rare = held.select(key_col, F.inline(F.filter("_g", lambda g: g["token_id"].isNull()))).select(key_col, "token", "at")
+    rest = vocab.filter(F.col("token_id") >= n_hot).select("token", "token_id")
+    found = rare.join(rest.hint("shuffle_hash"), "token").groupBy(key_col).agg(F.collect_list(F.struct("token_id", "at")).alias("_r"))
+    none = F.array().cast("array<struct<token_id:int,at:array<struct<pos:int,trainable:boolean>>>>")
+    known = F.transform(F.filter("_g", lambda g: g["token_id"].isNotNull()), lambda g: F.struct(g["token_id"].alias("token_id"), g["at"].alias("at")))
+    every = F.concat(known, F.coalesce("_r", none))
+    flat = F.flatten(F.transform(every, lambda g: F.transform(g["at"], lambda a: F.struct(
+        a["pos"].alias("pos"), g["token_id"].alias("token_id"), a["trainable"].alias("trainable")))))
+    out = held.join(found, key_col, "left").select(key_col, F.sort_array(flat).alias("_t"))
+    return out.select(key_col, F.col("_t.token_id").alias("input_ids"), F.col("_t.trainable").alias("loss_mask"))
+
+
 # ------------------------------------------------------------ T2 / T3
 def assistant_pattern(template: ChatTemplate) -> str:
     """The regex of assistant spans, straight from the template's own

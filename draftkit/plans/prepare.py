@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftkit.functions.joins import checked_broadcast_join
+from draftkit.functions.joins import BROADCAST_MAX_BYTES
 from draftkit.operators import normalize as N
 from draftkit.operators import sample as R
 from draftkit.operators import tokens as TK
@@ -69,18 +69,14 @@ def samples_of_turns(rows: DataFrame, template: str = "chatml", max_length: int
     """Normalised turn rows -> prepared samples.
 
     Turns are tokenised once into the shared folder, cut, and assembled per
-    sample by the one shuffle that carries token arrays.  Ids come from a
-    size-checked broadcast of the (written) vocabulary table; tokens are
-    exploded for it and folded again inside the partitions of that shuffle."""
+    sample by the one shuffle that carries token arrays.  Ids come from the
+    (written) vocabulary table inside the partitions of that shuffle: by
+    broadcast of its most frequent tokens, and for the others by a join of
+    each sample's distinct tokens (``with_token_ids``)."""
     tok = materialize(TK.turn_tokens(rows, TK.TEMPLATES[template]), "turn-tokens")
     cut = TK.cut_long(tok, max_length)
     vocab = TK.build_vocabulary(TK.token_rows(cut))
-    s = TK.assembled(cut)
-    ex = s.select("conv_id", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("loss_mask").alias("m"))).alias("pos", "z"))
-    ex = ex.select("conv_id", "pos", F.col("z.token").alias("token"), F.col("z.m").alias("trainable"))
-    ided = checked_broadcast_join(ex, vocab.select("token", "token_id"), "token")
-    g = ided.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "trainable"))).alias("_t"))
-    enc = TK.with_seq_len(g.select("conv_id", F.col("_t.token_id").alias("input_ids"), F.col("_t.trainable").alias("loss_mask")))
+    enc = TK.with_seq_len(TK.with_token_ids(TK.assembled(cut), vocab, BROADCAST_MAX_BYTES))
     return TK.min_valid_tokens(enc, minimum_valid_tokens)
 
 

@@ -5,7 +5,6 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from draftkit.functions import select
 from draftkit.functions import select
 from draftkit.functions.index import dense_index, running_sum
 from draftkit.operators import sample as R

@@ -1,5 +1,6 @@
 """Rendering, tokenising and masks."""
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -130,3 +131,33 @@ def test_prepare_with_tokenizer_file(spark, tmp_path):
     freq = {r["token_id"]: r["freq"] for r in V.token_frequency(
         P.prepared_samples_tokenizer(rows, path, "chatml", 64)).collect()}
     assert freq == {ids["yes"]: 2, ids["no"]: 2}
+
+
+@pytest.mark.parametrize("max_bytes", [4000, 300, 1])
+def test_ids_beyond_the_broadcast_bound(spark, monkeypatch, max_bytes):
+    """Frequent tokens by broadcast, rare ones by distinct (token, sample)
+    pairs: equal samples, and no exchange of a row per token."""
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    want = sorted((r.conv_id, r.input_ids, r.loss_mask, r.seq_len) for r in P.prepared_samples(conv).collect())
+    plans, write = [], TK.materialize
+
+    def noted(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(TK, "materialize", noted)
+    monkeypatch.setattr(P, "BROADCAST_MAX_BYTES", max_bytes)
+    out = P.prepared_samples(conv)
+    assert sorted((r.conv_id, r.input_ids, r.loss_mask, r.seq_len) for r in out.collect()) == want
+    held = dict(plans)["sample-tokens"]
+    # one exchange, of turns to their sample; the others number the vocabulary's partitions
+    assert [x.split("hashpartitioning(")[1].split("#")[0] for x in held.split("\n") if "Exchange hash" in x and "_pid" not in x] == ["conv_id"]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = {x.split("hashpartitioning(")[1].split("#")[0] for x in plan.split("\n") if "Exchange hash" in x}
+    assert dealt <= {"conv_id", "token", "_pid"} and "posexplode" not in plan
+
+
+def test_samples_within_the_length_are_not_joined(spark):
+    rows = [(c, t, "user", "one two three") for c in range(3) for t in range(2)]
+    tok = TK.turn_tokens(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TK.TEMPLATES["chatml"])
+    assert TK.cut_long(tok, 1000) is tok and TK.cut_long(tok, 5) is not tok
