@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.session import materialize, ship_package
+from draftkit.session import materialize, scratch_path, ship_package
 
 #: Rows of fixed small width that a broadcast may hold (16 bytes each: 16 MB).
 BROADCAST_ROWS = 1_000_000
@@ -77,3 +77,16 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back."""
     return materialize(df, name)
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the table's path, for ``discard``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table once all that was made from it is written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -25,17 +25,17 @@ into single windows, so no shard grows with the corpus.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftkit.functions.joins import checked_broadcast_join
-from draftkit.llm.common import arrow_map, column, pieces, written
+from draftkit.llm.common import arrow_map, column, discard, pieces, written, written_at
 
 LENGTH, GRAM = 35, 12
 #: Windows of a piece at most (longer runs of one key are cut).
@@ -290,11 +290,11 @@ class Automaton:
         length = np.diff(np.array(self.length, np.int32), prepend=np.int32(0))
         arrays = [edges.tobytes(), words.tobytes(), to.tobytes(), link.tobytes(), length.tobytes(), bytes(self.count), b" ".join(self.ids)]
         head = np.array([n, len(words)], np.int64).tobytes()
-        return zlib.compress(head + b"".join(arrays), 1)
+        return zstandard.ZstdCompressor(level=6).compress(head + b"".join(arrays))
 
     @classmethod
     def unpack(cls, data: bytes) -> Automaton:
-        data = zlib.decompress(data)
+        data = zstandard.ZstdDecompressor().decompress(data)
         n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
         at = 16
 
@@ -389,15 +389,17 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, order: int = 0) -> Da
     """(a, b, n, text), a text known by (a, b) that stands n times, -> (a, b,
     spans) of the texts with repeated windows: the maximal spans of words
     that such windows cover."""
-    at = written(arrow_map(texts, _find_pieces(length, order), "a long, b long, n long, start long, m long, key long, times long, hash long"), "pieces-at")
-    shared = written(at.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("all")).where(F.col("all") > 1).select("key"), "shared-keys")
-    at = written(checked_broadcast_join(at.drop("times"), shared, "key", "left_semi"), "pieces-shared")
+    spark = texts.sparkSession
+    every, place = written_at(arrow_map(texts, _find_pieces(length, order), "a long, b long, n long, start long, m long, key long, times long, hash long"), "pieces-at")
+    shared = written(every.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("all")).where(F.col("all") > 1).select("key"), "shared-keys")
+    at = written(checked_broadcast_join(every.drop("times"), shared, "key", "left_semi"), "pieces-shared")
+    discard(spark, place)
     distinct = at.groupBy("key", "hash").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "start", "m")).alias("of"))
     wanted = written(distinct.groupBy(F.col("of.a").alias("a"), F.col("of.b").alias("b")).agg(
         F.collect_list(F.struct("of.start", "of.m", "key", "hash", "n")).alias("wanted")), "pieces-wanted")
     found = arrow_map(checked_broadcast_join(texts, wanted, ["a", "b"]).select("text", "wanted"), _take_pieces(length),
                       "key long, hash long, n long, words string, size long")
-    reference = written(found, "reference")
+    reference, text_place = written_at(found, "reference")
     by_key = reference.groupBy("key").agg(F.sum("size").alias("size"))
     total, most = by_key.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     hot = None
@@ -408,17 +410,20 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, order: int = 0) -> Da
         cool = reference
     shards = max(1, -(-total // SHARD_WORDS))
     cool = cool.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "hash", "n", "words").repartition("shard").sortWithinPartitions("shard", "key", "hash")
-    built = written(arrow_map(cool, _build, "shard long, automaton binary, keys array<long>, hashes array<long>, texts array<string>"), "automata")
+    built, automata_place = written_at(arrow_map(cool, _build, "shard long, automaton binary, keys array<long>, hashes array<long>, texts array<string>"), "automata")
     chunks = built.where(F.col("keys").isNotNull()).select("shard", "keys", "hashes", "texts")
     automata = built.where(F.col("automaton").isNotNull()).select("shard", "automaton")
     spans = arrow_map(checked_broadcast_join(chunks, automata, "shard").select("shard", "keys", "hashes", "texts", "automaton"), _stream(length),
                       "key long, hash long, from long, to long")
     if hot is not None:
         again = checked_broadcast_join(reference, hot, "key", "left_semi").dropDuplicates(["key", "hash"])
-        again = written(again.select(F.col("key").alias("a"), F.col("hash").alias("b"), "n", F.col("words").alias("text")), "pieces-again")
-        again = repeated_spans(again, length, order + 1)
+        again, again_place = written_at(again.select(F.col("key").alias("a"), F.col("hash").alias("b"), "n", F.col("words").alias("text")), "pieces-again")
+        again = written(repeated_spans(again, length, order + 1), "spans-again")
+        discard(spark, again_place)
         spans = spans.unionByName(again.select(F.col("a").alias("key"), F.col("b").alias("hash"), F.inline("spans")))
     spans = written(spans, "piece-spans")
+    discard(spark, text_place)
+    discard(spark, automata_place)
     back = checked_broadcast_join(at.select("a", "b", "start", "key", "hash"), spans, ["key", "hash"])
     back = back.select("a", "b", F.struct((F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).alias("span"))
     return back.groupBy("a", "b").agg(_merged(F.collect_set("span")).alias("spans"))
