@@ -82,9 +82,8 @@ FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN per USING (user_id)"""
 
 @register("X5_stream_failure_alarm", REGISTRY_X5_SQL)
 def x5(spark, sf):
-    """Narrow rows per micro-batch (one file each), runs found over the whole
-    table: no per-key Python, files in any order.  The form with keyed Python
-    state (``failure_alarm``) has no row."""
+    """A micro-batch per file, in any order; each leaves the summaries of the
+    hours it touches, and the result is folded from summaries alone."""
     s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
     state, ck = X.scratch(spark, "x5-state"), X.scratch(spark, "x5-ck")
     X.run_available(X.failure_alarm_tables(s, state, ck))

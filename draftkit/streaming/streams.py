@@ -9,19 +9,25 @@ Ordering and replay: files may arrive in any order and an epoch may run
 again.  The table forms (``foreachBatch``) write each micro-batch to its own
 ``epoch=N`` folder, which a replay overwrites, read only earlier epochs, and
 combine epochs in a way that does not depend on their order: sums of counts,
-keys not seen before, whole conversations rebuilt, narrow rows sorted when
-read.  The forms with a watermark or keyed Python state are for streams that
+keys not seen before, whole conversations rebuilt, summaries of hours folded
+in time order.  What an epoch must know of earlier ones is in a bucketed table
+(``streaming/state.py``) of which it reads the buckets of its own keys.  The
+forms with a watermark or keyed Python state are for streams that
 are in time order up to the watermark.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from draftkit.session import scratch_path
+from draftkit.streaming.state import BucketTable
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,16 +61,17 @@ def response_sink(responses: DataFrame, out: str, ckpt: str):
 
 
 # ------------------------------------------------------------------ epochs
-def epoch_sink(path: str, make):
+def epoch_sink(path: str, make, history: bool = True):
     """A ``foreachBatch`` function that writes ``make(batch, earlier)`` to
     ``path/epoch=N``; ``earlier`` holds what the epochs before wrote (``None``
-    at first).  A replayed epoch rewrites its folder."""
+    at first, and always where ``history`` is off: listing and reading all
+    epochs costs more with each).  A replayed epoch rewrites its folder."""
     from draftkit.sources.readers import path_exists
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         earlier = None
-        if epoch_id > 0 and path_exists(spark, path):
+        if history and epoch_id > 0 and path_exists(spark, path):
             earlier = spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("epoch") < epoch_id)
         make(batch, earlier).write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
     return sink
@@ -83,13 +90,32 @@ def dedup_by_key(stream: DataFrame, key_cols: list[str], ts_col: str, delay: str
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key_cols)
 
 
-def dedup_table(stream: DataFrame, key_cols: list[str], out: str, ckpt: str):
+def dedup_table(stream: DataFrame, key_cols: list[str], out: str, ckpt: str, state: str | None = None, buckets: int = 64):
     """X2 in any order: a batch's rows whose keys no earlier epoch has are
-    written to ``out``; the written keys are the state."""
-    def make(batch, earlier):
+    written to ``out``; the keys are kept in a bucketed table (``state``, by
+    default beside ``out``), and an epoch looks for its keys in their buckets
+    only."""
+    state = state or out.rstrip("/") + "-keys"
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        keys = BucketTable(batch.sparkSession, state, key_cols, buckets)
+        schema = batch.select(*key_cols).schema
+        keys.settle(epoch_id, schema)
         new = batch.dropDuplicates(key_cols)
-        return new if earlier is None else new.join(earlier.select(*key_cols), key_cols, "left_anti")
-    return run_epochs(stream, epoch_sink(out, make), ckpt)
+        seen = keys.before(epoch_id, schema, keys.touched(batch)) if epoch_id else None
+        if seen is not None:
+            new = _unseen(new, seen, key_cols)
+        folder = f"{out}/epoch={epoch_id}"
+        new.write.mode("overwrite").parquet(folder)
+        keys.put(batch.sparkSession.read.schema(batch.schema).parquet(folder).select(*key_cols), epoch_id)
+    return run_epochs(stream, sink, ckpt)
+
+
+def _unseen(rows: DataFrame, seen: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Rows whose keys are not in ``seen``; null keys are equal."""
+    named = seen.select(*[F.col(c).alias(f"_seen_{k}") for k, c in enumerate(key_cols)])
+    same = [F.col(c).eqNullSafe(F.col(f"_seen_{k}")) for k, c in enumerate(key_cols)]
+    return rows.join(named, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 # ------------------------------------------------------------------ X3
@@ -98,7 +124,7 @@ def running_token_frequency(tokens: DataFrame, out: str, ckpt: str, token_col: s
     counts of disjoint batches are additive, so there is no state to keep)."""
     def make(batch, earlier):
         return batch.groupBy(token_col).agg(F.count(F.lit(1)).alias("freq"))
-    return run_epochs(tokens, epoch_sink(out, make), ckpt)
+    return run_epochs(tokens, epoch_sink(out, make, history=False), ckpt)
 
 
 def latest_counts(spark: SparkSession, path: str, key_cols: list[str], value_cols: list[str] = ("freq",)) -> DataFrame:
@@ -127,7 +153,7 @@ def tally_table(events: DataFrame, window: str, out: str, ckpt: str, ts_col: str
     (``latest_counts``); no row is too late."""
     def make(batch, earlier):
         return _tallies(batch.withColumn("_ts", F.col(ts_col).cast("timestamp")), "_ts", window, error_col)
-    return run_epochs(events, epoch_sink(out, make), ckpt)
+    return run_epochs(events, epoch_sink(out, make, history=False), ckpt)
 
 
 # ------------------------------------------------------------------ X5
@@ -184,24 +210,23 @@ def counter_deltas(scrapes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X7
-def incremental_build(turn_rows: DataFrame, build, store: str, out: str, ckpt: str, key_col: str = "conv_id"):
+def incremental_build(turn_rows: DataFrame, build, store: str, out: str, ckpt: str, key_col: str = "conv_id", buckets: int = 64):
     """Apply a batch plan (``build: DataFrame -> DataFrame``, e.g. the
     prepare plan, one or more rows per conversation) to the conversations
-    that a micro-batch touches.  Turn rows are kept in ``store``; a
-    conversation that goes on in a later file is built again from all its
-    turns, and ``latest_build`` takes each conversation's last build."""
-    def keep(batch, earlier):
-        return batch
-
-    def make(batch, earlier):
-        spark, touched = batch.sparkSession, batch.select(key_col).distinct()
-        rows = spark.read.parquet(store).filter(F.col("epoch") <= make.epoch).drop("epoch")
-        return build(rows.join(touched, key_col, "left_semi"))
-
+    that a micro-batch touches.  Turn rows are kept in ``store``, a bucketed
+    table; a conversation that goes on in a later file is built again from
+    all its turns, for which only the buckets of the touched conversations
+    are read, and ``latest_build`` takes each conversation's last build."""
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        epoch_sink(store, keep)(batch, epoch_id)
-        make.epoch = epoch_id
-        epoch_sink(out, make)(batch, epoch_id)
+        turns = BucketTable(batch.sparkSession, store, [key_col], buckets)
+        turns.settle(epoch_id, batch.schema)
+        earlier = turns.before(epoch_id, batch.schema, turns.touched(batch)) if epoch_id else None
+        rows = batch
+        if earlier is not None:
+            mine = batch.select(F.col(key_col).alias("_mine")).distinct()
+            rows = batch.unionByName(earlier.join(mine, F.col(key_col).eqNullSafe(F.col("_mine")), "left_semi"))
+        build(rows).write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
+        turns.put(batch, epoch_id)
     return run_epochs(turn_rows, sink, ckpt)
 
 
@@ -212,29 +237,89 @@ def latest_build(spark: SparkSession, out: str, key_col: str = "conv_id") -> Dat
 
 
 # ------------------------------------------------------------------ X5 (tables)
-def run_stats(rows: DataFrame, key_cols: list[str], order_cols: list[str], failed_col: str = "failed") -> DataFrame:
-    """Longest run of failures per key: ``max_run``.  Salted running sums and
-    aggregates only: a hot key is split."""
-    from draftkit.functions.index import running_sum
-    d = running_sum(rows, key_cols, order_cols, F.when(F.col(failed_col), 0).otherwise(1), "_isl", inclusive=True)
-    # rows of one run share the number of successes before them
-    runs = d.groupBy(*key_cols, "_isl").agg(F.count_if(failed_col).alias("_len"))
-    return runs.groupBy(*key_cols).agg(F.max("_len").cast("long").alias("max_run"))
+def _order_value(kind: T.DataType, c: Column) -> Column:
+    """Hours of an instant, else the value in steps of 4096."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+    return F.floor(c / F.lit(4096)).cast("bigint")
 
 
-def failure_alarm_tables(events: DataFrame, state_path: str, ckpt: str, key_cols: list[str] = ("user_id",),
-                         order_cols: list[str] = ("ts", "event_id"), failed_col: str = "failed"):
-    """X5 in any order, without per-key Python: each micro-batch's narrow
-    rows (key, order, failed) are its epoch of the state table; runs are
-    found when it is read (``alarm_table``), in time order whatever the order
-    of arrival."""
-    def make(batch, earlier):
-        return batch.select(*key_cols, *order_cols, failed_col)
-    return run_epochs(events, epoch_sink(state_path, make), ckpt)
+def run_summaries(rows: DataFrame, key_cols: list[str], hour_col: str, order_cols: list[str], failed_col: str = "failed") -> DataFrame:
+    """What a key's rows of an hour mean for runs of failures, as a summary
+    that adds up in time order: ``n`` rows, ``head`` failures before the first
+    success (all, if there is none), ``tail`` failures after the last one,
+    ``longest`` run."""
+    by = [*key_cols, hour_col]
+    sofar = Window.partitionBy(*by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = rows.withColumn("_isl", F.sum(F.when(F.col(failed_col), 0).otherwise(1)).over(sofar))
+    runs = d.groupBy(*by, "_isl").agg(F.count(F.lit(1)).alias("_n"), F.count_if(failed_col).alias("_len"))
+    return runs.groupBy(*by).agg(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(F.col("_isl") == 0, F.col("_len"))), F.lit(0)).alias("head"),
+                                 F.max_by("_len", "_isl").alias("tail"), F.max("_len").alias("longest"))
+
+
+def fold_summaries(summaries: DataFrame, key_cols: list[str], hour_col: str) -> DataFrame:
+    """Summaries of a key, one an hour, added up in time order: ``max_run``
+    and ``current_run``."""
+    parts = F.array_sort(F.collect_list(F.struct(hour_col, "n", "head", "tail", "longest")))
+    zero = F.lit(0).cast("bigint")
 
+    def add(acc, s):
+        run = F.when(s["head"] == s["n"], acc["run"] + s["n"]).otherwise(s["tail"])
+        return F.struct(run.alias("run"), F.greatest(acc["longest"], acc["run"] + s["head"], s["longest"]).alias("longest"))
 
-def alarm_table(spark: SparkSession, state_path: str, k: int, key_cols: list[str] = ("user_id",),
-                order_cols: list[str] = ("ts", "event_id"), failed_col: str = "failed") -> DataFrame:
+    got = F.aggregate("_s", F.struct(zero.alias("run"), zero.alias("longest")), add)
+    return (summaries.groupBy(*key_cols).agg(parts.alias("_s")).withColumn("_g", got)
+            .select(*key_cols, F.col("_g.longest").alias("max_run"), F.col("_g.run").alias("current_run")))
+
+
+_SUMMARY = "_hour bigint, n bigint, head bigint, tail bigint, longest bigint, _epoch bigint"
+
+
+def _latest(key_cols: list[str]):
+    """Of an hour's summaries the last epoch's, which knows all its rows."""
+    def combine(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*key_cols, "_hour")]
+        return (rows.groupBy(*key_cols, "_hour").agg(F.max_by(F.struct(*rest), "_epoch").alias("_v"))
+                .select(*[F.col(c) if c in (*key_cols, "_hour") else F.col(f"_v.{c}").alias(c) for c in rows.columns]))
+    return combine
+
+
+def _summary_table(spark: SparkSession, state_path: str, key_cols: list[str]) -> BucketTable:
+    return BucketTable(spark, state_path.rstrip("/") + "/summaries", [*key_cols], combine=_latest(list(key_cols)))
+
+
+def failure_alarm_tables(events: DataFrame, state_path: str, ckpt: str, key_cols: list[str] = ("user_id",),
+                         order_cols: list[str] = ("ts", "event_id"), failed_col: str = "failed", buckets: int = 64):
+    """X5 in any order, without per-key Python.  The narrow rows (key, order,
+    failed) are kept in a table bucketed by key and hour; an epoch reads the
+    buckets of the (key, hour) pairs it touches, and leaves those hours'
+    summaries.  ``alarm_table`` reads summaries only."""
+    keys = list(key_cols)
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        narrow = batch.select(*keys, *order_cols, F.coalesce(F.col(failed_col), F.lit(False)).alias(failed_col))
+        narrow = narrow.withColumn("_hour", _order_value(batch.schema[order_cols[0]].dataType, F.col(order_cols[0])))
+        store = BucketTable(spark, state_path.rstrip("/") + "/rows", [*keys, "_hour"], buckets)
+        found = _summary_table(spark, state_path, keys)
+        store.settle(epoch_id, narrow.schema)
+        earlier = store.before(epoch_id, narrow.schema, store.touched(narrow)) if epoch_id else None
+        rows = narrow
+        if earlier is not None:
+            mine = narrow.select(*[F.col(c).alias(f"_m{k}") for k, c in enumerate([*keys, "_hour"])]).distinct()
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m{k}")) for k, c in enumerate([*keys, "_hour"])])
+            rows = narrow.unionByName(earlier.join(mine, same, "left_semi"))
+        new = run_summaries(rows, keys, "_hour", list(order_cols), failed_col).withColumn("_epoch", F.lit(epoch_id).cast("bigint"))
+        new = new.select(*keys, "_hour", "n", "head", "tail", "longest", "_epoch")
+        found.settle(epoch_id, new.schema)
+        found.put(new, epoch_id)
+        store.put(narrow, epoch_id)
+    return run_epochs(events, sink, ckpt)
+
+
+def alarm_table(spark: SparkSession, state_path: str, k: int, key_cols: list[str] = ("user_id",), key_type: str = "bigint") -> DataFrame:
     """Keys with their longest run so far; ``alarm`` from ``k`` on."""
-    rows = spark.read.parquet(state_path).drop("epoch")
-    return run_stats(rows, list(key_cols), list(order_cols), failed_col).withColumn("alarm", F.col("max_run") >= k)
+    schema = T._parse_datatype_string(", ".join([*(f"`{c}` {key_type}" for c in key_cols), _SUMMARY]))
+    rows = _summary_table(spark, state_path, list(key_cols)).rows(schema)
+    folded = fold_summaries(_latest(list(key_cols))(rows), list(key_cols), "_hour")
+    return folded.withColumn("alarm", F.col("max_run") >= k)

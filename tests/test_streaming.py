@@ -167,9 +167,81 @@ def test_alarm_row_takes_files_one_by_one(spark, monkeypatch):
     for i, k in enumerate((2, 0, 1)):
         events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
     batches = []
-    sink = X.epoch_sink
-    monkeypatch.setattr(X, "epoch_sink", lambda path, make: lambda b, e: (batches.append(e), sink(path, make)(b, e)))
+    run = X.run_epochs
+    monkeypatch.setattr(X, "run_epochs", lambda stream, sink, ckpt: run(stream, lambda b, e: (batches.append(e), sink(b, e)), ckpt))
     monkeypatch.setattr(X, "failure_alarm", None)
     got = {r["user_id"]: (r["max_fail_run"], r["alarm"]) for r in queries()["X5_stream_failure_alarm"](spark, sf).collect()}
     runs = R.failure_runs(events.withColumn("failed", F.col("event_type") == "error"), ["user_id"], ["ts", "event_id"], "failed", 3)
     assert batches == [0, 1, 2] and got == {r["user_id"]: (r["max_fail_run"], r["abort"]) for r in runs.collect()}
+
+
+def test_epochs_read_only_their_buckets(spark, tmp_path):
+    """Fifty-odd epochs, some run twice: an epoch finds all earlier rows of
+    its keys in its own buckets of a few folders."""
+    from draftkit.streaming.state import BucketTable
+    t = BucketTable(spark, str(tmp_path / "state"), ["k"], buckets=16, fan=4)
+    assert t.blocks(0) == [] and t.blocks(50) == [(2, 0), (2, 16), (2, 32), (0, 48), (0, 49)] and t.blocks(4) == [(1, 0)]
+    want = {}
+    for epoch in range(51):
+        rows = [(epoch % 7, epoch), (100 + epoch % 3, epoch)]
+        batch = spark.createDataFrame(rows, "k long, v long").coalesce(1)
+        for _ in range(2 if epoch in (4, 15, 16, 50) else 1):  # replays
+            t.settle(epoch, batch.schema)
+            touched = t.touched(batch)
+            if epoch % 10 == 0 or epoch in (4, 16, 17):
+                seen = t.before(epoch, batch.schema, touched)
+                got = sorted(map(tuple, seen.join(batch.select("k").distinct(), "k", "left_semi").collect())) if seen is not None else []
+                assert got == sorted((k, v) for k, _ in rows for v in want.get(k, []))
+                files = seen.inputFiles() if seen is not None else []
+                assert {int(f.split("bucket=")[1].split("/")[0]) for f in files} <= set(touched) and len(touched) <= 2
+                assert len({f.split("/bucket=")[0] for f in files}) <= 9  # three of each level
+            t.put(batch, epoch)
+        for k, v in rows:
+            want.setdefault(k, []).append(v)
+    everything = sorted(map(tuple, t.rows(batch.schema).collect()))
+    assert everything == sorted((k, v) for k, vs in want.items() for v in vs)
+
+
+def test_dedup_and_build_over_many_files(spark, tmp_path, monkeypatch):
+    """Files in no order, an epoch run again in the middle, merged state."""
+    import random
+
+    from draftkit.streaming import state
+    monkeypatch.setattr(state, "FAN", 2)
+    monkeypatch.setattr(state.BucketTable.__init__, "__defaults__", (4, 2, None))
+    rnd = random.Random(2)
+    rows = [(None if k == 0 else k, rnd.randrange(50), f"t{rnd.randrange(5)}") for k in (rnd.randrange(12) for _ in range(80))]
+    schema = "conv_id long, turn long, text string"
+    src = _write_parts(spark, rows, schema, lambda r: [r[k::6] for k in range(6)])
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    run = X.run_epochs
+    monkeypatch.setattr(X, "run_epochs", lambda s, sink, ckpt: run(s, lambda b, e: [sink(b, e) for _ in range(2 if e in (1, 4) else 1)], ckpt))
+    out = str(tmp_path / "dedup")
+    X.dedup_table(stream(), ["conv_id", "turn"], out, str(tmp_path / "ck1"), buckets=4).awaitTermination()
+    got = [(r.conv_id, r.turn) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r[:2] for r in rows}
+    build = lambda d: d.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("turn").alias("s"))
+    built = str(tmp_path / "built")
+    X.incremental_build(stream(), build, str(tmp_path / "store"), built, str(tmp_path / "ck2"), buckets=4).awaitTermination()
+    want = {}
+    for c, t, _ in rows:
+        n, s = want.get(c, (0, 0))
+        want[c] = (n + 1, s + t)
+    assert {r.conv_id: (r.n, r.s) for r in X.latest_build(spark, built).collect()} == want
+
+
+def test_summaries_add_up_in_time_order(spark):
+    import itertools
+    import random
+    rnd = random.Random(9)
+    rows = [(u, h, i, rnd.random() < (1.0 if h % 3 == 1 else 0.5)) for u in range(6) for h in range(6) for i in range(rnd.randint(0, 4))]
+    df = spark.createDataFrame([(u, h, h * 100 + i, f) for u, h, i, f in rows], "u long, hour long, t long, failed boolean")
+    got = {r.u: (r.max_run, r.current_run) for r in X.fold_summaries(X.run_summaries(df, ["u"], "hour", ["t"]), ["u"], "hour").collect()}
+    want = {}
+    for u, mine in itertools.groupby(rows, key=lambda r: r[0]):
+        best = run = 0
+        for *_, f in mine:
+            run = run + 1 if f else 0
+            best = max(best, run)
+        want[u] = (best, run)
+    assert got == want
