@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import time
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from draftkit.functions.index import dense_index, running_sum
 from draftkit.functions.keys import order_key
@@ -264,6 +269,81 @@ def bulk_call(df: DataFrame, fn, out_col: str, out_type: str, retries: int = 3,
     return bulk_call_batches(df, lambda rows: [call_with_retries(fn, row, retries, base_delay) for row in rows], out_col, out_type)
 
 
+#: Rows of an output batch of the windowed call, so that finished rows don't
+#: wait for a whole input batch.
+CALL_ROWS = 64
+
+
+def bulk_call_window(df: DataFrame, fn, out_col: str, out_type: str, concurrency: int = 8, retries: int = 3, base_delay: float = 2.0,
+                     stop_after: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """U6 + R18 + R17: ``fn(row)`` with up to ``concurrency`` calls of a task
+    in flight at once (threads; the calls wait for a server, not for this
+    machine), results in the order of the rows, a batch of CALL_ROWS given on
+    as soon as its rows are done.  A window of ``concurrency`` rows slides over
+    the partition: a row's call starts when the one ``concurrency`` rows before
+    it is done, so no more rows than that are held.
+
+    ``stop_after`` consecutive failures (in row order, after retries) are a
+    server that is gone: no further call starts; calls in flight are still
+    taken.  With ``scope`` columns, by which each partition must be sorted,
+    runs of failures begin anew, and calls start again, with every new value.
+
+    Adds ``out_col``, ``attempts``, ``error`` (``not attempted`` where no call
+    was made), ``attempted`` and ``stopped`` (the row whose failure was the
+    last straw).  An ``fn`` with a method ``start`` has it called once in
+    every task."""
+    from draftkit.session import ship_package
+    ship_package(df.sparkSession)
+    scope = list(scope or [])
+    added = [f"`{out_col}` {out_type}", "attempts int", "error string", "attempted boolean", "stopped boolean"]
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(added)).fields])
+
+    def run(batches):
+        target = to_arrow_schema(schema)
+        if hasattr(fn, "start"):
+            fn.start()
+        window, results, waiting = deque(), [], deque()
+        state = {"scope": None, "fails": 0, "open": True}
+
+        def take():
+            """The oldest row's result, and what it says of the server."""
+            at, job = window.popleft()
+            if at != state["scope"]:
+                state.update(scope=at, fails=0, open=True)
+            value, attempts, error = job.result() if job else (None, 0, "not attempted")
+            stopped = False
+            if job:
+                state["fails"] = state["fails"] + 1 if error else 0
+                if stop_after and state["open"] and state["fails"] >= stop_after:
+                    state["open"], stopped = False, True
+            results.append((value, attempts, error, job is not None, stopped))
+
+        def ready(everything):
+            while waiting and (everything or len(results) >= waiting[0].num_rows):
+                part = waiting.popleft()
+                got, results[:part.num_rows] = results[:part.num_rows], []
+                cols = [pa.array([r[k] for r in got], target.field(part.num_columns + k).type) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema=pa.schema([*part.schema, *list(target)[part.num_columns:]]))
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for a in range(0, batch.num_rows, CALL_ROWS):
+                    part = batch.slice(a, CALL_ROWS)
+                    waiting.append(part)
+                    for row in part.to_pylist():
+                        if len(window) == concurrency:
+                            take()
+                        at = tuple(row[c] for c in scope)
+                        go = state["open"] or at != state["scope"]
+                        window.append((at, pool.submit(call_with_retries, fn, row, retries, base_delay) if go else None))
+                    yield from ready(False)
+            while window:
+                take()
+            yield from ready(True)
+
+    return df.mapInArrow(run, schema)
+
+
 def response_integrity(df: DataFrame, request_col: str = "prompt_token_ids",
                        response_col: str = "response_prompt_ids", transfer_col: str | None = None) -> DataFrame:
     """The echoed prompt ids must be present and equal to the request,

@@ -76,10 +76,21 @@ def _response_log(spark, d):
     return R.seen_keys(log.select("id")).join(per, "key")
 
 
-@register("S6_R6_response_log", "SELECT doc_id::VARCHAR AS key, 2::BIGINT AS n_rows FROM documents WHERE lang = 'de'")
+@register("S6_R6_response_log", """
+SELECT doc_id::VARCHAR AS key, (2 * count(*))::BIGINT AS n_rows FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id""")
 def s6(spark, sf):
-    """The log of one language's documents."""
-    return _response_log(spark, table(spark, sf, "documents").filter(F.col("lang") == "de"))
+    """The log of all documents by run ids: a failed and a finished run, each
+    made twice, and one that was cut short before its commit."""
+    d, out = table(spark, sf, "documents"), scratch(spark, "response-runs")
+    good = R.response_rows(d, "doc_id", "text", "lang", uuid_col="doc_id")
+    bad = R.response_rows(d, "doc_id", "text", "lang", error_col=F.lit("timeout"), uuid_col="doc_id")
+    good.limit(10).write.json(f"{out}/run=finished/cut-short")
+    wrote = [SK.append_jsonl(rows, out, run_id) for rows, run_id in ((bad, "failed"), (good, "finished"), (good, "finished"), (bad, "failed"))]
+    if wrote != [True, True, False, False]:
+        raise ValueError("a run was written twice")
+    log = SK.read_jsonl_runs(spark, out, good.schema)
+    per = log.groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return R.seen_keys(log.select("id")).join(per, "key")
 
 
 @register("S6_R6_response_log_all", """

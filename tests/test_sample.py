@@ -158,3 +158,68 @@ def test_capped_rows_do_not_meet_in_one_task(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrdered" not in plan and "SinglePartition" not in plan and "Limit" not in plan
         assert out.count() == 3000
+
+
+def _server(**how):
+    """Local, so that it travels by value."""
+    class Server:
+        """Fails for given rows; knows how many calls were in flight."""
+
+        def __init__(self, bad=(), broken=()):
+            self.bad, self.broken, self.now, self.peak = set(bad), set(broken), 0, 0
+
+        def start(self):
+            import threading
+            self.lock = threading.Lock()
+
+        def __call__(self, row):
+            import time
+            with self.lock:
+                self.now += 1
+                self.peak = max(self.peak, self.now)
+            time.sleep(0.002 * (row["id"] % 3))
+            with self.lock:
+                self.now -= 1
+            if row["id"] in self.broken:
+                raise R.InvalidResponse("no")
+            if row["id"] in self.bad:
+                raise ConnectionError("gone")
+            return self.peak
+
+    return Server(**how)
+
+
+def _plain_window(ids, scopes, bad, c, k):
+    """Row by row: a call starts when the row c before it is done."""
+    out, fails, closed = {}, {}, {}
+    for j, i in enumerate(ids):
+        s = scopes[i]
+        done = [x for x in ids[:max(0, j - c + 1)] if scopes[x] == s]
+        run = stop = 0
+        for x in done:
+            if out.get(x) == "not attempted":
+                continue
+            run = run + 1 if x in bad else 0
+            stop = stop or run >= k
+        out[i] = "not attempted" if stop else ("ConnectionError: gone" if i in bad else None)
+    return out
+
+
+def test_windowed_calls(spark):
+    import random
+    rnd = random.Random(1)
+    ids = list(range(300))
+    bad = {i for i in ids if rnd.random() < 0.5}
+    scopes = {i: i // 60 for i in ids}
+    df = spark.createDataFrame([(i, scopes[i], None if i % 7 == 0 else "t") for i in ids], "id long, s long, text string").coalesce(1).sortWithinPartitions("id")
+    for c, k in ((1, 2), (4, 3), (16, 5)):
+        rows = R.bulk_call_window(df, _server(bad=bad), "out", "bigint", concurrency=c, retries=0, stop_after=k, scope=["s"]).collect()
+        assert [r.id for r in rows] == ids and all((r.text is None) == (r.id % 7 == 0) for r in rows)
+        want = _plain_window(ids, scopes, bad, c, k)
+        assert {r.id: r.error for r in rows} == want
+        assert all(r.attempted == (r.error != "not attempted") and r.attempts == int(r.attempted) for r in rows)
+        assert max(r.out or 0 for r in rows) <= c and all((r.out is None) == (r.error is not None) for r in rows)
+        assert {r.s for r in rows if r.stopped} == {r.s for r in rows if not r.attempted}
+    rows = R.bulk_call_window(df, _server(broken=[3]), "out", "bigint", concurrency=5, retries=1, base_delay=0).collect()
+    assert max(r.out or 0 for r in rows) == 5 and [r.error for r in rows if r.error] == ["invalid response: no"]
+    assert R.bulk_call_window(df.where("false"), _server(), "out", "bigint").count() == 0

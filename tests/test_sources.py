@@ -123,3 +123,39 @@ def test_response_log_holds_all_documents(spark):
     got = queries()["S6_R6_response_log_all"](spark, sf).collect()
     assert {(r["key"], r["n_rows"]) for r in got} == {(str(r["doc_id"]), 2) for r in docs.collect()}
     assert len(got) == docs.count() > docs.filter("lang = 'de'").count()
+
+
+def test_a_run_made_again_adds_nothing(spark, tmp_path):
+    from draftkit.sources.commits import append_run, committed
+    a, b = (spark.createDataFrame(r, "k long, v string") for r in ([(1, "x"), (2, "y")], [(3, "z")]))
+    log = str(tmp_path / "log")
+    assert SK.read_jsonl_runs(spark, log, a.schema).count() == 0
+    assert [SK.append_jsonl(a, log, "r1"), SK.append_jsonl(b, log, "r2"), SK.append_jsonl(a, log, "r1")] == [True, True, False]
+    with pytest.raises(ValueError, match="cut short"):  # a run that dies before its commit leaves nothing to read
+        def dies(df, folder):
+            df.write.json(folder)
+            raise ValueError("cut short")
+        append_run(a, log, "r3", dies)
+    read = lambda: sorted(map(tuple, SK.read_jsonl_runs(spark, log, a.schema).collect()))
+    assert read() == [(1, "x"), (2, "y"), (3, "z")] and sorted(committed(spark, log)) == ["r1", "r2"]
+    assert SK.append_jsonl(a, log, "r3") and len(read()) == 5
+    table = str(tmp_path / "table.csv")
+    assert [SK.append_csv(a, table, ["v", "k", "none"], run_id="one") for _ in range(2)] == [True, False]
+    assert spark.read.option("header", True).csv(committed(spark, table)["one"]).count() == 2
+    for bad in ("", "a/b", "a@b", "_x"):
+        with pytest.raises(ValueError, match="run id"):
+            SK.append_jsonl(a, log, bad)
+
+
+def test_half_a_pair_of_maps_is_none(spark, tmp_path):
+    a, b = (spark.createDataFrame(r, "k long") for r in ([(1,)], [(2,)]))
+    path = str(tmp_path / "maps")
+    SK.write_vocab_maps(a, a, path)
+    assert [d.first().k for d in SK.read_vocab_maps(spark, path)] == [1, 1]
+    broken = b.select(F.raise_error(F.lit("lost")).cast("bigint").alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        SK.write_vocab_maps(b, broken, path)
+    with pytest.raises(FileNotFoundError):
+        SK.read_vocab_maps(spark, path)
+    SK.write_vocab_maps(b, b, path)
+    assert [d.first().k for d in SK.read_vocab_maps(spark, path)] == [2, 2]
