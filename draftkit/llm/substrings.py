@@ -200,72 +200,110 @@ def _take_pieces(length: int):
 
 class Automaton:
     """Suffix automaton of weighted word sequences: ``count[s]`` is how often
-    the sequences of state s occur (2 stands for more)."""
+    the sequences of state s occur (2 stands for more).  Most states have one
+    edge, in ``word`` and ``to``; further ones are in ``more``."""
 
     def __init__(self):
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
+        self.word, self.to, self.more = [-1], [-1], {}
         self.link, self.length, self.count = [-1], [0], [0]
 
-    def _state(self, edges: dict[int, int], length: int, link: int) -> int:
-        self.next.append(edges)
-        self.length.append(length)
-        self.link.append(link)
-        self.count.append(0)
-        return len(self.link) - 1
-
     def _split(self, p: int, w: int, q: int) -> int:
         """A state for the sequences of q that end at p's, one word longer."""
-        follow, link = self.next, self.link
-        c = self._state(dict(follow[q]), self.length[p] + 1, link[q])
-        while p >= 0 and follow[p].get(w) == q:
-            follow[p][w] = c
+        word, to, more, link = self.word, self.to, self.more, self.link
+        c = len(link)
+        word.append(word[q])
+        to.append(to[q])
+        if q in more:
+            more[c] = dict(more[q])
+        self.length.append(self.length[p] + 1)
+        link.append(link[q])
+        self.count.append(0)
+        while p >= 0:
+            if word[p] == w:
+                if to[p] != q:
+                    break
+                to[p] = c
+            else:
+                edges = more.get(p)
+                if edges is None or edges.get(w) != q:
+                    break
+                edges[w] = c
             p = link[p]
         link[q] = c
         return c
 
     def add(self, words: list[bytes], times: int) -> None:
-        follow, link, length, count, ids = self.next, self.link, self.length, self.count, self.ids
+        word, to, more, link, length, count, ids = self.word, self.to, self.more, self.link, self.length, self.count, self.ids
         last = 0
-        for word in words:
-            w = ids.setdefault(word, len(ids))
-            q = follow[last].get(w)
-            if q is not None:
+        for x in words:
+            w = ids.setdefault(x, len(ids))
+            if word[last] == w:
+                q = to[last]
+            else:
+                edges = more.get(last)
+                q = edges.get(w, -1) if edges else -1
+            if q >= 0:
                 last = q if length[q] == length[last] + 1 else self._split(last, w, q)
             else:
-                new = self._state({}, length[last] + 1, 0)
-                p = last
-                while p >= 0 and w not in follow[p]:
-                    follow[p][w] = new
+                new, p = len(link), last
+                word.append(-1)
+                to.append(-1)
+                length.append(length[last] + 1)
+                link.append(0)
+                count.append(0)
+                while p >= 0:
+                    have = word[p]
+                    if have == w:
+                        q = to[p]
+                        break
+                    if have < 0:
+                        word[p], to[p] = w, new
+                    else:
+                        edges = more.get(p)
+                        if edges is None:
+                            more[p] = {w: new}
+                        elif w in edges:
+                            q = edges[w]
+                            break
+                        else:
+                            edges[w] = new
                     p = link[p]
                 if p >= 0:
-                    q = follow[p][w]
                     link[new] = q if length[q] == length[p] + 1 else self._split(p, w, q)
                 last = new
             count[last] += times
 
     def close(self) -> None:
         """Counts go up the suffix links, longest states first."""
-        count, link = self.count, self.link
-        for s in np.argsort(-np.array(self.length), kind="stable")[:-1].tolist():
-            if count[s]:
-                count[link[s]] += count[s]
-        self.count = [min(c, 2) for c in count]
+        length, link, count = np.array(self.length), np.array(self.link), np.array(self.count)
+        order = np.argsort(-length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[order])) + 1
+        for level in np.split(order, cuts)[:-1]:
+            np.add.at(count, link[level], count[level])
+        self.count = np.minimum(count, 2).tolist()
 
     def spans(self, words: list[bytes], least: int) -> list[tuple[int, int]]:
         """Maximal spans of words under sequences of ``least`` words that
         occur twice or more."""
-        follow, link, length, count, ids = self.next, self.link, self.length, self.count, self.ids
+        word, to, more, link, length, count, ids = self.word, self.to, self.more, self.link, self.length, self.count, self.ids
         s = have = 0
         out: list[tuple[int, int]] = []
         a = b = 0
-        for i, word in enumerate(words, 1):
-            w = ids.get(word, -1)
-            while s and w not in follow[s]:
+        for i, x in enumerate(words, 1):
+            w = ids.get(x, -2)
+            while True:
+                if word[s] == w:
+                    t = to[s]
+                    break
+                edges = more.get(s)
+                t = edges.get(w, -1) if edges else -1
+                if t >= 0 or not s:
+                    break
                 s = link[s]
                 have = length[s]
-            if w in follow[s]:
-                s = follow[s][w]
+            if t >= 0:
+                s = t
                 have += 1
                 while length[link[s]] >= least:  # no longer than asked for
                     s = link[s]
@@ -283,35 +321,37 @@ class Automaton:
     def pack(self) -> bytes:
         """The automaton as compressed differences."""
         n = len(self.link)
-        edges = np.array([len(e) for e in self.next], np.int32)
-        words = np.fromiter((w for e in self.next for w in e), np.int32, edges.sum())
-        to = np.fromiter((q for e in self.next for q in e.values()), np.int32, edges.sum()) - np.repeat(np.arange(n, dtype=np.int32), edges)
-        link = np.diff(np.array(self.link, np.int32), prepend=np.int32(0))
-        length = np.diff(np.array(self.length, np.int32), prepend=np.int32(0))
-        arrays = [edges.tobytes(), words.tobytes(), to.tobytes(), link.tobytes(), length.tobytes(), bytes(self.count), b" ".join(self.ids)]
-        head = np.array([n, len(words)], np.int64).tobytes()
-        return zstandard.ZstdCompressor(level=6).compress(head + b"".join(arrays))
+        edges = self.more.values()
+        size = np.array([len(e) for e in edges], np.int32)
+        words = np.fromiter((w for e in edges for w in e), np.int32, size.sum())
+        to = np.fromiter((q for e in edges for q in e.values()), np.int32, size.sum())
+        place = np.arange(n, dtype=np.int32)
+        arrays = [np.array(self.word, np.int32), np.array(self.to, np.int32) - place, np.diff(np.array(self.link, np.int32), prepend=np.int32(0)),
+                  np.diff(np.array(self.length, np.int32), prepend=np.int32(0)), np.array(list(self.more), np.int32), size, words, to]
+        head = np.array([n, len(size), len(words)], np.int64).tobytes()
+        data = head + b"".join(x.tobytes() for x in arrays) + bytes(self.count) + b" ".join(self.ids)
+        return zstandard.ZstdCompressor(level=3).compress(data)
 
     @classmethod
     def unpack(cls, data: bytes) -> Automaton:
         data = zstandard.ZstdDecompressor().decompress(data)
-        n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
-        at = 16
+        n, k, m = (int(x) for x in np.frombuffer(data, np.int64, 3))
+        at = 24
 
-        def ints(k: int) -> np.ndarray:
+        def ints(size: int) -> np.ndarray:
             nonlocal at
-            at += 4 * k
-            return np.frombuffer(data, np.int32, k, at - 4 * k)
+            at += 4 * size
+            return np.frombuffer(data, np.int32, size, at - 4 * size)
 
-        edges, words, to, link, length = ints(n), ints(m), ints(m), ints(n), ints(n)
         out = cls()
-        to = (to + np.repeat(np.arange(n, dtype=np.int32), edges)).tolist()
-        words, ends = words.tolist(), np.cumsum(edges).tolist()
-        out.next = [dict(zip(words[e - k:e], to[e - k:e])) for e, k in zip(ends, edges.tolist())]
-        out.link, out.length = np.cumsum(link, dtype=np.int32).tolist(), np.cumsum(length, dtype=np.int32).tolist()
+        out.word, out.to = ints(n).tolist(), (ints(n) + np.arange(n, dtype=np.int32)).tolist()
+        out.link, out.length = np.cumsum(ints(n), dtype=np.int32).tolist(), np.cumsum(ints(n), dtype=np.int32).tolist()
+        states, sizes, words, to = ints(k).tolist(), ints(k), ints(m).tolist(), ints(m).tolist()
+        ends = np.cumsum(sizes).tolist()
+        out.more = {s: dict(zip(words[e - z:e], to[e - z:e])) for s, e, z in zip(states, ends, sizes.tolist())}
         out.count = list(data[at:at + n])
         names = data[at + n:]
-        out.ids = {w: k for k, w in enumerate(names.split(b" "))} if names else {}
+        out.ids = {w: i for i, w in enumerate(names.split(b" "))} if names else {}
         return out
 
 
