@@ -135,6 +135,6 @@ def prepared_samples_tokenizer(conversations: DataFrame, tokenizer_path: str, te
         F.sort_array(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "").alias("text"))
     enc = texts.withColumn("_e", TK.encode_with_tokenizer(F.col("text"), tokenizer_path, max_length))
     enc = enc.select("conv_id", "text", F.col("_e.ids").alias("input_ids"), F.col("_e.offsets").alias("offsets"))
-    masked = TK.with_assistant_mask(enc, "text", "offsets", pattern, "loss_mask")
+    masked = TK.with_assistant_mask(enc, "text", "offsets", pattern, "loss_mask", key_cols=["conv_id"])
     out = TK.with_seq_len(masked.select("conv_id", "input_ids", "loss_mask", "n_spans"))
     return TK.min_valid_tokens(out, minimum_valid_tokens)

@@ -192,7 +192,7 @@ def _regex_masked(spark, sf):
         F.sort_array(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "").alias("text"))
     texts = texts.withColumn("offsets", TK.token_offsets(F.col("text")))
     pattern = TK.choose_mask_source(None, TK.ChatTemplate("chatml-probe", t.bos, t.prefix, t.suffix, provides_mask=False))[1]
-    m = TK.with_assistant_mask(texts, "text", "offsets", pattern)
+    m = TK.with_assistant_mask(texts, "text", "offsets", pattern, key_cols=["conv_id"])
     return m.select("conv_id", F.size("offsets").cast("bigint").alias("seq_len"),
                     F.size(F.filter("loss_mask", lambda x: x)).cast("bigint").alias("n_trainable"),
                     F.col("n_spans").cast("bigint").alias("n_spans"))

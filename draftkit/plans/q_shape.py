@@ -148,6 +148,23 @@ def q8(spark, sf):
     return e.select("vec_id", round6(F.aggregate(n, F.lit(0.0).cast("double"), lambda a, x: a + x)).alias("noisy_sum"))
 
 
+@register("Q8_gaussian_noise", f"""
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings),
+d AS (SELECT vec_id, x, ({hx("concat_ws(':', '42', vec_id::VARCHAR, i::VARCHAR, 'a')")} + 1) / 4294967297.0 AS u1,
+             {hx("concat_ws(':', '42', vec_id::VARCHAR, i::VARCHAR, 'b')")} / 4294967296.0 AS u2 FROM e)
+SELECT vec_id, (floor((sum(x + sqrt(-2.0 * ln(u1)) * cos(6.283185307179586 * u2) * 0.05)) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS noisy_sum,
+       (floor((sum(-2.0 * ln(u1) * pow(cos(6.283185307179586 * u2), 2))) * 1000000.000001::DOUBLE + 0.5) / 1e6) AS draw_squares
+FROM d GROUP BY vec_id""")
+def q8g(spark, sf):
+    """Noise added to whole vectors, and the squares of the normal draws."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.withColumn("n", Q.gaussian_noise(F.col("v"), SEED, F.col("vec_id"), 0.05))
+    add = lambda a, x: a + x
+    zero = F.lit(0.0).cast("double")
+    draws = F.zip_with("n", "v", lambda n, v: F.pow((n - v) / F.lit(0.05), F.lit(2.0)))
+    return e.select("vec_id", round6(F.aggregate("n", zero, add)).alias("noisy_sum"), round6(F.aggregate(draws, zero, add)).alias("draw_squares"))
+
+
 _BATCH = f"""
 mem AS (SELECT sample_idx // 4 AS batch_id, sample_idx AS ord, input_ids, seq_len FROM samples)"""
 

@@ -161,3 +161,20 @@ def test_samples_within_the_length_are_not_joined(spark):
     rows = [(c, t, "user", "one two three") for c in range(3) for t in range(2)]
     tok = TK.turn_tokens(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TK.TEMPLATES["chatml"])
     assert TK.cut_long(tok, 1000) is tok and TK.cut_long(tok, 5) is not tok
+
+
+def test_sweep_equals_span_by_span(spark):
+    import random
+    rnd = random.Random(4)
+    rows = []
+    for k in range(60):
+        cuts = sorted(rnd.sample(range(80), rnd.choice([0, 2, 10, 30])))
+        offsets = [{"start": a, "end": b} for a, b in zip(cuts, cuts[1:])] + ([{"start": 5, "end": 5}] if k % 9 == 0 else [])
+        spans = [{"start": a, "end": a + rnd.choice([0, 1, 3, 25])} for a in sorted(rnd.choices(range(80), k=rnd.choice([0, 1, 4])))]
+        rows.append((k, f"t{k}" if k % 5 else None, offsets if k % 11 else None, spans))
+    df = spark.createDataFrame(rows, "k long, text string, offsets array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>").repartition(3)
+    got = {r.k: (r.text, r.offsets, r.spans, r.m) for r in TK.overlap_mask_sweep(df, ["k"], "offsets", "spans", "m").collect()}
+    want = {r.k: (r.text, r.offsets, r.spans, r.m) for r in df.withColumn("m", TK.overlap_mask(F.col("offsets"), F.col("spans"))).collect()}
+    assert got == want and any(any(r[3] or ()) for r in got.values())
+    dealt = TK.overlap_mask_sweep(df.repartition("k"), ["k"], "offsets", "spans", "m")._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count("Exchange") == 1
