@@ -11,7 +11,11 @@
    that no other shard can hold a partner).
 3. In a shard the tree goes on in memory, pruned by the same bounds; small
    leaves are compared exactly.  A leaf returns links to the smallest member
-   of each linked set, never all pairs.
+   of each linked set, never all pairs.  Where no radius parts a dense ball of
+   fingerprints, they go by blocks: of one block more than bits may differ,
+   one is equal in any two partners, so each block's equal values are a group
+   of their own, and so on over the bits that are left.  Shards that hold
+   far more rows than others are dealt out by the same blocks first.
 4. Links between distinct fingerprints join to components.
 """
 
@@ -149,19 +153,47 @@ def leaf_links(homes: np.ndarray, others: np.ndarray, bits: int) -> tuple[np.nda
     return points[linked], root[linked]
 
 
-def links(fp: np.ndarray, query: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The tree goes on until leaves are small or can't be split."""
-    stack = [(fp, query)]
+ALL_BITS = (1 << 64) - 1
+
+
+def blocks_of(mask: int, bits: int) -> list[int]:
+    """The bits of ``mask`` in one block more than bits may differ; none
+    where there are too few left."""
+    places = [k for k in range(64) if mask >> k & 1]
+    k = bits + 1
+    if len(places) < 2 * k:
+        return []
+    return [sum(1 << p for p in places[len(places) * j // k:len(places) * (j + 1) // k]) for j in range(k)]
+
+
+def equal_blocks(fp: np.ndarray, query: np.ndarray, mask: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Groups of two and more that agree in a block, a home among them, with
+    the bits that may still differ: any two partners meet in one of them."""
+    for block in blocks_of(mask, bits):
+        value = fp & np.uint64(block)
+        order = np.argsort(value, kind="stable")
+        cut = np.flatnonzero(np.diff(value[order])) + 1
+        for at in np.split(order, cut):
+            if len(at) > 1 and not query[at].all():
+                yield fp[at], query[at], mask & ~block
+
+
+def links(fp: np.ndarray, query: np.ndarray, bits: int, mask: int = ALL_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tree goes on until leaves are small; what it can't split, or
+    what differs only in the bits of ``mask``, goes by blocks."""
+    stack = [(fp, query, mask)]
     while stack:
-        fp, query = stack.pop()
+        fp, query, mask = stack.pop()
         homes = fp[~query]
         if not len(homes) or len(fp) < 2:
             continue
-        got = split(homes, bits) if len(homes) > LEAF else None
-        if got is None:
-            yield leaf_links(homes, np.unique(fp[query]), bits)
+        got = split(homes, bits) if len(homes) > LEAF and mask == ALL_BITS else None
+        if got is not None:
+            stack += [(f, q, mask) for f, q in routed(fp, query, *got, bits)]
+        elif len(homes) > LEAF and blocks_of(mask, bits):
+            stack += equal_blocks(fp, query, mask, bits)
         else:
-            stack += routed(fp, query, *got, bits)
+            yield leaf_links(homes, np.unique(fp[query]), bits)
 
 
 def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
@@ -180,17 +212,49 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             for shard, f, q in shards(tree, fp, np.zeros(len(fp), bool), bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), shard)), pa.array(f.view(np.int64)), pa.array(q)], ["shard", "fp", "query"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), shard)), pa.array(np.full(len(f), -1)), pa.array(f.view(np.int64)), pa.array(q)], GROUP)
+
+    def by_blocks(batches):
+        """Rows of a group that is too large -> a row in the group of each of
+        their blocks."""
+        for batch in batches:
+            group, mask, fp, q = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            fp, mask, group = fp.view(np.uint64), mask.view(np.uint64), group.view(np.uint64)
+            for m in np.unique(mask).tolist():
+                at = mask == m
+                for j, block in enumerate(blocks_of(m, bits)):
+                    value = ((fp[at] & np.uint64(block)) ^ (group[at] * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(j)) * np.uint64(0xBF58476D1CE4E5B9)
+                    value = (value ^ (value >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                    yield pa.RecordBatch.from_arrays([pa.array((value ^ (value >> np.uint64(29))).view(np.int64)), pa.array(np.full(at.sum(), m & ~block, np.uint64).view(np.int64)),
+                                                      pa.array(fp[at].view(np.int64)), pa.array(q[at])], GROUP)
 
     def compare(key, table):
         fp, q = table.column("fp").to_numpy().view(np.uint64), table.column("query").to_numpy()
         order = np.argsort(fp, kind="stable")  # the same links whatever the order of arrival
-        got = [*links(fp[order], q[order], bits)]
+        got = [*links(fp[order], q[order], bits, key[1].as_py() & ALL_BITS)]
         a, b = (np.concatenate([g[i] for g in got]).view(np.int64) if got else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    dealt = arrow_map(prints.select("fp"), route, "shard long, fp long, query boolean")
-    return dealt.groupBy("shard").applyInArrow(compare, "a long, b long")
+    dealt = arrow_map(prints.select("fp"), route, _GROUP_SCHEMA)
+    out, mask = None, ALL_BITS
+    while leaves > 1 and blocks_of(mask, bits):  # the bits that are left get fewer each time
+        dealt = written(dealt, "simhash-dealt")
+        sizes = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        large = small_side(written(sizes.where(F.col("n") > 4 * SHARD).select("grp"), "simhash-large"))
+        if large.isEmpty():
+            break
+        done = dealt.join(large, "grp", "left_anti").groupBy("grp", "mask").applyInArrow(compare, "a long, b long")
+        out = done if out is None else out.unionByName(done)
+        dealt = arrow_map(dealt.join(large, "grp", "left_semi").select(*GROUP), by_blocks, _GROUP_SCHEMA)
+        mask &= ~max(blocks_of(mask, bits), key=int.bit_count)
+    last = dealt.groupBy("grp", "mask").applyInArrow(compare, "a long, b long")
+    return last if out is None else out.unionByName(last)
+
+
+#: A group of fingerprints that are compared with each other; mask: the bits
+#: in which they may differ.
+GROUP = ["grp", "mask", "fp", "query"]
+_GROUP_SCHEMA = "grp long, mask long, fp long, query boolean"
 
 
 # -- the operator ----------------------------------------------------------

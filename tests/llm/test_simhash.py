@@ -131,3 +131,79 @@ def test_query_against_brute_force(spark, monkeypatch, shard):
         least[root[f]] = min(least.get(root[f], i), i)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op1_simhash_vantage_point"][0](spark, sf).collect()}
     assert got == {i: (f"{f:016x}", least[root[f]]) for i, f in rows.items()}
+
+
+def ball(n, flips, seed):
+    """Fingerprints within a few flips of one, and some anywhere."""
+    rng = np.random.default_rng(seed)
+    base = np.uint64(rng.integers(0, 1 << 63))
+    out = np.full(n, base)
+    for _ in range(flips):
+        out ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return np.unique(np.concatenate([out, rng.integers(0, 1 << 63, n // 10).astype(np.uint64)]))
+
+
+def fast_components(fps, bits=2):
+    """fp -> smallest fp reachable: the partners of every fingerprint are
+    found among all of them by turning its bits over."""
+    at = {f: k for k, f in enumerate(fps.tolist())}
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    turns = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    for t in turns:
+        other = fps ^ np.uint64(t)
+        place = np.searchsorted(fps, other)
+        hit = np.flatnonzero(fps[np.minimum(place, len(fps) - 1)] == other)
+        for x, y in zip(hit.tolist(), place[hit].tolist()):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    return {f: int(fps[find(k)]) for f, k in at.items()}
+
+
+def test_a_dense_ball_is_not_quadratic():
+    fps = ball(50_000, 5, 3)
+    found, cells = [], 0
+    plain = S.leaf_links
+
+    def counted(homes, others, bits):
+        nonlocal cells
+        cells += len(homes) * (len(homes) + len(others))
+        return plain(homes, others, bits)
+
+    S.leaf_links = counted
+    try:
+        for a, b in S.links(fps, np.zeros(len(fps), bool), 2):
+            found += zip(a.tolist(), b.tolist())
+    finally:
+        S.leaf_links = plain
+    assert cells < len(fps) ** 2 / 10 and len(found) < 40 * len(fps)
+    root = {f: f for f in fps.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in found:
+        a, b = find(x), find(y)
+        root[max(a, b)] = min(a, b)
+    assert {f: find(f) for f in root} == fast_components(fps)
+
+
+def test_large_shards_are_dealt_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD", 100)
+    monkeypatch.setattr(S, "SAMPLE_EVERY", 4)
+    fps = ball(4000, 4, 8)
+    df = spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp long")
+    got = {r.node % 2**64: r.root % 2**64 for r in components(S.fingerprint_links(df)).collect()}
+    want = fast_components(fps)
+    sets = lambda m: sorted(sorted(x for x in m if m[x] == r) for r in set(m.values()))
+    everyone = {f: got.get(f, f) for f in want}
+    assert sets(everyone) == sets(want)
