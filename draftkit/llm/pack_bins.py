@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftkit.functions.index import dense_index
 from draftkit.llm.common import arrow_map, column, pieces, written
+from draftkit.llm.token_count import text_counter
 
 #: Words of a bin; items of a segment, about; items of a source in a bin.
 CAPACITY, SEGMENT, SOURCE_LIMIT = 2048, 2048, 4
@@ -60,18 +62,22 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int, source_limi
     return placed
 
 
-def windows(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The items of ``docs``: doc_id, piece, n_tokens (words between white
-    space), source, cluster.  Texts that are equal but for the case of A-Z
-    and for white space are a cluster."""
+def windows(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+            tokenizer_path: str | None = None) -> DataFrame:
+    """The items of ``docs``: doc_id, piece, n_tokens (those of the tokenizer
+    file, or words between white space without one), source, cluster.  Texts
+    that are equal but for the case of A-Z and for white space are a cluster."""
+    make = text_counter(docs.sparkSession, tokenizer_path) if tokenizer_path else None
+
     def run(batches):
+        tokens = make() if make else None
         for batch in batches:
             for part in pieces(batch):
                 rows = []
                 ids, sources = part.column(0).to_pylist(), part.column(2).to_pylist()
                 for i, source, text in zip(ids, sources, pc.cast(part.column(1), pa.binary()).to_pylist(), strict=True):
                     words = text.lower().split()
-                    n, cluster = len(words), xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+                    n, cluster = tokens(text.decode()) if tokens else len(words), xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
                     for k in range(max(1, -(-n // capacity))):
                         rows.append((i, k, min(capacity, n - k * capacity), source, cluster))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -111,10 +117,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, segment: int = SEGMENT, sou
     blocks = blocks.select(*NAMES, F.least(F.lit(COPIES), F.col("n") - F.col("block") * COPIES).alias("copies"),
                            F.pmod(F.xxhash64(*NAMES, "block"), F.lit(segments)).alias("segment"))
     packed = blocks.groupBy("segment").applyInArrow(one, OUT)
-    # a window of the full capacity is a bin by itself
-    full = items.where(F.col("n_tokens") >= capacity).select(
-        *NAMES, F.monotonically_increasing_id().alias("bin_id"), F.lit(0).cast("bigint").alias("start"))
-    full = full.withColumn("bin_id", -F.col("bin_id") - 1)
+    # a window of the full capacity is a bin by itself, numbered by its place
+    # in the order of all columns: equal rows may change places, no others
+    full = dense_index(items.where(F.col("n_tokens") >= capacity).select(*NAMES), NAMES, "_at")
+    full = full.select(*NAMES, (-F.col("_at") - 1).alias("bin_id"), F.lit(0).cast("bigint").alias("start"))
     none = items.where(F.col("n_tokens") <= 0).select(*NAMES, F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("bigint").alias("start"))
     return packed.unionByName(full).unionByName(none)
 
@@ -124,6 +130,16 @@ OUT = "doc_id long, piece long, n_tokens long, source string, cluster long, bin_
 _SCHEMA = pa.schema([(p.split()[0], pa.string() if p.endswith("string") else pa.int64()) for p in OUT.split(", ")])
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The windows of whole documents, packed."""
-    return pack(windows(docs, capacity, id_col, text_col, source_col), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                   tokenizer_path: str | None = None) -> DataFrame:
+    """The windows of whole documents, packed; lengths are tokens where a
+    tokenizer file is given, else words."""
+    return pack(windows(docs, capacity, id_col, text_col, source_col, tokenizer_path), capacity)
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: bins, n_tokens in them, and fill, the share of the bins'
+    room that is used (null without bins)."""
+    bins = packed.where(F.col("bin_id").isNotNull()).groupBy("bin_id").agg(F.sum("n_tokens").alias("n"))
+    return bins.agg(F.count(F.lit(1)).alias("bins"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"),
+                    (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("fill"))

@@ -143,3 +143,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
                     pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return arrow_map(keyed_text(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+
+def text_counter(spark, tokenizer_path: str):
+    """For other operators: a function that tasks call to get a function
+    from a text to its number of tokens, as ``count_tokens`` counts them."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        source = f.read()
+    special = _supported(source)
+    shared = spark.sparkContext.broadcast((source, whole_tokens(source)))
+    split = "|".join(map(regex.escape, special)) or "(?!)"
+
+    def make():
+        count, marks = _counter(*shared.value), regex.compile(split)
+
+        def tokens(text: str) -> int:
+            segments = marks.split(text)
+            return len(segments) - 1 + sum(sum(map(count.__getitem__, pre_tokens(s))) for s in segments)
+        return tokens
+    return make
