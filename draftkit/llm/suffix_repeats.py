@@ -6,14 +6,17 @@
    ones) is selected.  Two copies of a passage that long select the same
    positions in it, so only suffixes that start there are kept.
 2. Selected suffixes whose GRAM words occur in one text only can't match.
-   A fixed-size bit table of the others' hashes is broadcast; the second
-   pass over the texts keeps suffixes that it passes, with the words to
-   their right and, reversed, to their left, as far as a window reaches.
+   While the others' hashes are few enough to leave a fixed-size bit table
+   nearly empty, it is broadcast; beyond that, positions are joined with the
+   hashes.  The second pass over the texts keeps suffixes that pass, with the
+   words to their right and, reversed, to their left, as far as a window
+   reaches.
 3. All kept suffixes are sorted by Spark, by their right side and by their
    left side.  Each is compared with its nearest neighbour of another text
    on both sides; a match extends left and right as far as both agree.
-   Rows beside a partition's border are compared once more with those of
-   the next partition.
+   Four rows of each partition say which row outside of it is the next one
+   of another text, and the partition's outer runs are compared with that
+   row in a second pass, where they lie.
 4. A neighbour with the longest right side may have a short left side while
    another, further off, has enough of both.  Suffixes for which the two
    sorts don't settle that route to an exact comparison of the hashes of
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +41,9 @@ from draftkit.llm.common import MEMORY, arrow_map, keyed_text, pieces, small_sid
 
 #: Shortest passage, and words of the hash that selects positions.
 MIN_WORDS, GRAM = 51, 6
-#: Bits of the table of repeated hashes: 8 MB.
-TABLE_BITS = 26
+#: Bits of the table of repeated hashes: 8 MB; hashes that it takes (one bit
+#: in sixteen at most is set, so that few others pass).
+TABLE_BITS, TABLE_HASHES = 26, 1 << 22
 _BLOCK_BITS = 16
 #: Words of a text that are handled at once; parts overlap by a window.
 CHUNK = 1 << 20
@@ -136,52 +141,96 @@ def neighbours(first: np.ndarray, second: np.ndarray, text: np.ndarray) -> tuple
     return one, two
 
 
-MATCH = "text long, pos long, best long, l0 long, r0 long, l1 long, r1 long, edge boolean, `left` binary, `right` binary"
+MATCH = "text long, pos long, best long, l0 long, r0 long, l1 long, r1 long, edge int, part int, `left` binary, `right` binary"
+_NAMES = ["text", "pos", "best", "l0", "r0", "l1", "r1", "edge", "part", "left", "right"]
+#: Kinds of rows: an inner match; a row of the partition's first or last run of
+#: one text; the first and last row, and the next ones of another text.
+INNER, HEAD, TAIL, FIRST, LAST, AFTER_HEAD, BEFORE_TAIL = range(7)
 
 
-def _compare(by: str, edges: bool):
-    """Compares the sorted rows of a partition with their neighbours; with
-    ``edges`` the rows at both ends come out once more, whole."""
+def _flat(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), ">u4").reshape(len(col), -1)
+
+
+def _compare(by: str):
+    """Compares the sorted rows of a partition with their neighbours; the
+    outer runs' rows, and the rows that other partitions must know, come out
+    once more with their sides."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        table = pa.Table.from_batches(got).combine_chunks()
+        table, part = pa.Table.from_batches(got).combine_chunks(), TaskContext.get().partitionId()
         text, pos = table.column("text").to_numpy(), table.column("pos").to_numpy()
-        side = {}
-        for c in ("left", "right"):
-            col = table.column(c)
-            flat = b"".join(col.to_pylist())
-            side[c] = np.frombuffer(flat, ">u4").reshape(len(text), -1)
+        side = {c: _flat(table.column(c)) for c in ("left", "right")}
         one, two = neighbours(side[by], side["left" if by == "right" else "right"], text)
         left, right = (one, two) if by == "left" else (two, one)
-        cols = [text, pos, one.max(axis=1), left[:, 0], right[:, 0], left[:, 1], right[:, 1]]
-        yield from pa.table([*map(pa.array, cols), pa.array(np.zeros(len(text), bool)), pa.nulls(len(text), pa.binary()), pa.nulls(len(text), pa.binary())], _NAMES).to_batches(max_chunksize=1 << 14)
-        if edges:
-            new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-            # the first text's rows and the next one's first, likewise at the end
-            head = np.arange(min((new[1] if len(new) > 1 else len(text)) + 1, len(text)))
-            tail = np.arange(max(new[-1] - 1, 0), len(text))
-            pick = np.unique(np.concatenate([head, tail]))
-            zero = pa.array(np.zeros(len(pick), np.int64))
-            yield from pa.table([pa.array(text[pick]), pa.array(pos[pick]), *[zero] * 5, pa.array(np.ones(len(pick), bool)),
-                                 table.column("left").take(pa.array(pick)), table.column("right").take(pa.array(pick))], _NAMES).to_batches(max_chunksize=1 << 14)
+
+        def rows(at, cols, edge, sides):
+            n = len(at)
+            last = [table.column(c).take(pa.array(at)) if sides else pa.nulls(n, pa.binary()) for c in ("left", "right")]
+            table_ = pa.table([pa.array(text[at]), pa.array(pos[at]), *cols, pa.array(np.full(n, edge, np.int32)), pa.array(np.full(n, part, np.int32)), *last], _NAMES)
+            return table_.to_batches(max_chunksize=1 << 14)
+
+        everything = np.arange(len(text))
+        yield from rows(everything, [pa.array(x) for x in (one.max(axis=1), left[:, 0], right[:, 0], left[:, 1], right[:, 1])], INNER, False)
+        new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        head, tail = everything[:new[1] if len(new) > 1 else None], everything[new[-1]:]
+        known = [(FIRST, everything[:1]), (LAST, everything[-1:])]
+        if len(new) > 1:
+            known += [(AFTER_HEAD, new[1:2]), (BEFORE_TAIL, new[-1:] - 1)]
+        for edge, at in [(HEAD, head), (TAIL, tail), *known]:
+            yield from rows(at, [pa.array(np.zeros(len(at), np.int64))] * 5, edge, True)
     return run
 
 
-_NAMES = ["text", "pos", "best", "l0", "r0", "l1", "r1", "edge", "left", "right"]
+def outer_neighbours(parts: dict[int, dict[int, tuple]]) -> list[tuple]:
+    """(partition, HEAD or TAIL, left, right) of the nearest rows of another
+    text outside of each partition; ``parts`` has each one's known rows as
+    (text, left, right)."""
+    out = []
+    for order, edge, mine, near, far in ((sorted(parts), HEAD, FIRST, LAST, BEFORE_TAIL), (sorted(parts, reverse=True), TAIL, LAST, FIRST, AFTER_HEAD)):
+        row = other = None  # the nearest row so far, and the nearest one of a text other than its
+        for p in order:
+            known = parts[p]
+            if row:
+                at = row if row[0] != known[mine][0] else other
+                if at:
+                    out.append((p, edge, at[1], at[2]))
+            if far in known:
+                other = known[far]
+            elif row and row[0] != known[near][0]:
+                other = row
+            row = known[near]
+    return out
+
+
+def _outer(by: str):
+    """Outer runs' rows beside the row outside of their partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = _common(_flat(batch.column(3)), _flat(batch.column(5))), _common(_flat(batch.column(4)), _flat(batch.column(6)))
+            head, zero = batch.column(2).to_numpy() == HEAD, np.zeros(batch.num_rows, np.int64)
+            cols = [left if by == "left" else right, *(np.where(c, x, zero) for c in (head, ~head) for x in (left, right))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols)], _NAMES[:7])
+    return run
 
 
 def _matched(suffixes: DataFrame, by: str) -> DataFrame:
     """Every suffix with its neighbours' matches in the sort by one side."""
     order = [by, "text", "pos"]
     rows = suffixes.select("text", "pos", "left", "right")
-    got = written(arrow_map(rows.orderBy(*order), _compare(by, True), MATCH), f"repeats-by-{by}")
-    # rows at partitions' borders, a few of each partition
-    border = got.where("edge").select("text", "pos", "left", "right").coalesce(1).sortWithinPartitions(*order)
-    border = arrow_map(border, _compare(by, False), MATCH)
+    got = written(arrow_map(rows.orderBy(*order), _compare(by), MATCH), f"repeats-by-{by}")
+    parts: dict[int, dict[int, tuple]] = {}
+    for r in got.where(F.col("edge") >= FIRST).select("part", "edge", "text", "left", "right").collect():  # four rows a partition
+        parts.setdefault(r.part, {})[r.edge] = (r.text, bytes(r.left), bytes(r.right))
+    near = suffixes.sparkSession.createDataFrame(outer_neighbours(parts), "part int, edge int, near_left binary, near_right binary")
+    outer = got.where(F.col("edge").isin(HEAD, TAIL)).join(F.broadcast(near), ["part", "edge"])
+    outer = arrow_map(outer.select("text", "pos", "edge", "left", "right", "near_left", "near_right"), _outer(by), MATCH.split(", edge")[0])
     keep = ["text", "pos", F.col("best").alias(f"best_{by}"), F.lit(0).cast("long").alias("best_left" if by == "right" else "best_right"), "l0", "r0", "l1", "r1"]
-    return got.where("not edge").select(*keep).unionByName(border.select(*keep))
+    return got.where(F.col("edge") == INNER).select(*keep).unionByName(outer.select(*keep))
 
 
 def _bit_table(hashes: DataFrame) -> bytes:
@@ -231,16 +280,28 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     out_t.append(np.full(len(g), _text_key(t)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_g)), pa.array(np.concatenate(out_t))], ["gram", "text"])
 
+    def places(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                for i, t in zip(part.column(0).to_pylist(), pc.cast(part.column(1), pa.binary()).to_pylist()):
+                    at, g = selected(word_hashes(t), length, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array([i] * len(at), pa.int64()), pa.array(at)], ["gram", "doc_id", "pos"])
+
     def suffixes_with(shared):
+        """Suffixes that the bit table passes or, without one, whose places
+        are listed beside the text."""
         def suffixes(batches):
-            bits = np.frombuffer(shared.value, np.uint8)
+            bits = np.frombuffer(shared.value, np.uint8) if shared else None
             for batch in batches:
                 for part in pieces(batch, 64):
-                    for t in pc.cast(part.column(1), pa.binary()).to_pylist():
+                    for k, t in enumerate(pc.cast(part.column(1), pa.binary()).to_pylist()):
                         words = word_hashes(t)
                         at, g = selected(words, length, gram)
-                        i = g >> np.uint64(64 - TABLE_BITS)
-                        at = at[(bits[i >> np.uint64(3)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                        if shared:
+                            i = g >> np.uint64(64 - TABLE_BITS)
+                            at = at[(bits[i >> np.uint64(3)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                        else:
+                            at = at[np.isin(at, np.asarray(part.column(2)[k].as_py(), np.int64))]
                         for a in range(0, len(at), 1 << 12):
                             right, left = _sides(words, at[a:a + (1 << 12)], length, gram)
                             n = len(right)
@@ -262,8 +323,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     shared_grams = (arrow_map(texts, grams, "gram long, text long").groupBy("gram")
                     .agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("gram"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_table(shared_grams))
-    suffixes = written(arrow_map(texts, suffixes_with(bits), "text long, pos long, `left` binary, `right` binary"), "repeats-suffixes")
+    shared_grams = written(shared_grams, "repeats-grams")
+    if shared_grams.count() <= TABLE_HASHES:
+        passing, bits = texts, docs.sparkSession.sparkContext.broadcast(_bit_table(shared_grams))
+    else:  # rows that repeat a doc_id have each other's places, which only lets more suffixes pass
+        at = arrow_map(texts, places, "gram long, doc_id long, pos long").join(shared_grams, "gram", "left_semi")
+        at = written(at.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("places")), "repeats-places")
+        passing, bits = texts.join(at, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "places"), None
+    suffixes = written(arrow_map(passing, suffixes_with(bits), "text long, pos long, `left` binary, `right` binary"), "repeats-suffixes")
 
     both = _matched(suffixes, "right").unionByName(_matched(suffixes, "left"))
     pair = lambda k: F.struct(F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))

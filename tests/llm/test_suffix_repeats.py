@@ -102,3 +102,46 @@ def test_query_against_all_windows(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op8_sparse_suffix_repeats"][0](spark, sf).collect()
     assert sorted(((r.doc_id, r.spans) for r in got), key=repr) == brute(rows) and got
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_outer_neighbours(seed):
+    """Sorted rows cut anywhere: the nearest row of another text outside."""
+    rng = random.Random(seed)
+    rows = []
+    while len(rows) < 40:
+        rows += [(rng.randrange(3), len(rows) + k, 0) for k in range(rng.choice([1, 2, 9]))]
+    cuts = sorted({0, len(rows), *rng.sample(range(1, len(rows)), 8)})
+    parts, want = {}, []
+    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        mine = [(t, f"l{i}", f"r{i}") for i, (t, _, _) in enumerate(rows)][a:b]
+        known = {R.FIRST: mine[0], R.LAST: mine[-1]}
+        runs = [i for i in range(1, len(mine)) if mine[i][0] != mine[i - 1][0]]
+        if runs:
+            known |= {R.AFTER_HEAD: mine[runs[0]], R.BEFORE_TAIL: mine[runs[-1] - 1]}
+        parts[2 * p] = known
+        for edge, text, places in ((R.HEAD, mine[0][0], range(a - 1, -1, -1)), (R.TAIL, mine[-1][0], range(b, len(rows)))):
+            at = next((i for i in places if rows[i][0] != text), None)
+            if at is not None:
+                want.append((2 * p, edge, f"l{at}", f"r{at}"))
+    assert sorted(R.outer_neighbours(parts)) == sorted(want)
+
+
+def test_one_text_fills_partitions(spark, monkeypatch):
+    """Runs of one text over several sort partitions, with and without the
+    bit table."""
+    rng = random.Random(2)
+    docs = [(1, "x " * 3000), (2, "a b c " + "x " * 45 + "d e"), (3, "x y " * 800), (4, "q " + "x y " * 30 + "z"), (5, " ".join(f"u{i}" for i in range(200)))]
+    docs += [(10 + i, " ".join(["x"] * rng.randint(1, 60) + [f"v{i}"] * rng.randint(1, 30))) for i in range(12)]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for most in (R.TABLE_HASHES, 0):
+            monkeypatch.setattr(R, "TABLE_HASHES", most)
+            got = R.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), length=20, gram=4).collect()
+            assert sorted(((r.doc_id, r.spans) for r in got), key=repr) == brute(docs, 20)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
