@@ -314,6 +314,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier
-    predicts as label 1."""
+    predicts as label 1.  The text alone decides: null texts are judged as
+    empty ones, rows of one text stay or go together, and scores of exactly
+    THRESHOLD stay.  An empty table gives no rows."""
     score = _scorer(docs, fit(docs, labels, id_col, text_col, label_col))
     return docs.where(score(column(docs, text_col).cast("string")) >= THRESHOLD)

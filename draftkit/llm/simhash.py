@@ -267,7 +267,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprints join it to its component: 0 for none).
 
     Null and empty texts, and texts of white space only, have fingerprint
-    zero and link like any other.  Repeated rows give repeated rows.  Null
+    zero and link like any other.  Repeated rows give repeated rows; rows of
+    one fingerprint are in one component, whatever their order.  Null
     doc_ids take part, but name no component unless all of it has none.  An
     empty table gives no rows.  Other columns are not read.
     """

@@ -259,7 +259,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are exact; white space between them does not count.  Texts with an
     exact copy are one span as a whole.  Null texts are empty; texts of fewer
-    words have no row; repeated rows are copies of each other; repeats inside
+    words have no row; repeated rows are copies of each other; of passages that
+    are equally long in several texts each text's own span is told; repeats inside
     one text alone don't count.  An empty table gives no rows.  Texts are
     read whole.
     """

@@ -1,11 +1,14 @@
+from collections import Counter
+
 import corpus_pipeline as C
 import numpy as np
+from pyspark.sql import functions as F
 from test_simhash import brute_components
 
-from draftkit.llm import decontaminate as D
 from draftkit.llm import pack_bins as P
 from draftkit.llm import quality as Q
 from draftkit.llm import simhash as S
+from test_decontaminate import holders
 from test_pack_bins import check
 
 SF = "/root/testdata/sf0.01"
@@ -44,11 +47,9 @@ def test_stages_by_brute_force(spark):
         least[root[fp[i]]] = min(least.get(root[fp[i]], i), i)
     assert after == set(least.values())
     before, after = seen["benchmark decontamination"]
-    items = [(r.item_id, D.word_hashes(r.text).tobytes()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    index = D.Index(items)
-    order = sorted(before)
-    hit = {order[h[0]] for h in index.hits([D.word_hashes(rows[i].text) for i in order])}
-    assert after == before - hit
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {d for d, _ in holders([(i, rows[i].text) for i in before], items)}
+    assert after == before - hit and hit
     bins = check(packed, P.CAPACITY)
     assert bins and {r.doc_id for r in packed} == after
     assert sum(r.n_tokens for r in packed) == sum(len(rows[i].text.encode().split()) for i in after)
@@ -61,6 +62,32 @@ def test_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in every column, repeated rows, an empty and a very long text,
+    and extra columns named like the operators' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    kind = docs.schema
+    first = docs.first()
+    odd = [(None, None, None, None, None), (None, first.text, None, None, None), (90_001, None, "en", "s", None), (90_002, "", None, None, 0),
+           (first.doc_id, first.text, first.lang, first.source, first.n_chars), (90_003, first.text.upper(), "en", None, 1),
+           (90_004, "word " * 60_000, "de", "s", 1), (90_005, "plain words that no other row has", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, kind))
+    for k, name in enumerate(("_drop", "_md5", "fp", "score", "words", "text_1")):
+        docs = docs.withColumn(name, F.lit(k))
+    for name, stage in C.STAGES:
+        before = Counter(map(tuple, docs.collect()))
+        out = stage(spark, docs, SF)
+        if name == "best-fit packing":
+            assert {r.doc_id for r in out.collect()} == {r[0] for r in before}
+            check(out.collect(), P.CAPACITY)
+            continue
+        assert out.columns == docs.columns
+        after = Counter(map(tuple, out.collect()))
+        assert not after - before and after, name  # rows stay as they are, or go
+        docs = C.written(out, "test-odd")
+    assert 90_005 in {r[0] for r in before}
+
+
 def test_entry_holds_the_queries():
     import __spark_entry__ as e
 

@@ -83,3 +83,35 @@ def test_query_held_out_accuracy(spark):
     bad = [got[i].score for i in held if known[i] == 0]
     good = [got[i].score for i in held if known[i] == 1]
     assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+def slow_features(text, vectors):
+    code = [Q._buckets()[w] for w in text.split()]
+    if not code:
+        return np.zeros(Q.FEATURES)
+    letters, shapes = [c % Q.LETTERS for c in code], [Q.LETTERS + c // Q.LETTERS for c in code]
+    a = sum(vectors[i].astype(float) for i in letters) / len(code)
+    b = sum(vectors[i].astype(float) for i in shapes) / len(code)
+    share = sum(x == y for x, y in zip(letters, letters[1:])) / len(code)
+    return np.concatenate([a, b, share * vectors[Q.SAME], [share, np.sqrt((a[Q.DIM:] ** 2).sum()), np.log(1 + len(code)) / 10]])
+
+
+def test_scores_by_brute_force(spark):
+    """Contexts, pooling and both layers word by word; only the fit's descent
+    is shared."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    vectors = Q.word_vectors(slow_contexts(texts.values()))
+    learn = sorted(i for i in labels if i in texts and labels[i] is not None and zlib.crc32(str(i).encode()) % 5)
+    x = {i: slow_features(t, vectors) for i, t in texts.items()}
+    check = np.array([zlib.crc32(f"check {i}".encode()) % 5 == 0 for i in learn])
+    net = Q.Network().fit(np.array([x[i] for i in learn]).astype(np.float32).astype(float), np.array([float(labels[i]) for i in learn]), check)
+    w1, b1, w2, b2 = net.weights
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op4_quality_random_indexing"][0](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i in texts:
+        z = [(v - m) / s for v, m, s in zip(x[i], net.mean, net.scale)]
+        h = [np.tanh(sum(a * w for a, w in zip(z, w1[:, k])) + b1[k]) for k in range(len(b1))]
+        score = 1 / (1 + np.exp(-(sum(a * w for a, w in zip(h, w2)) + b2) / net.temperature))
+        assert got[i][0] == pytest.approx(score, abs=1e-3) and (abs(score - 0.3) < 1e-3 or got[i][1] == (score >= 0.3))
