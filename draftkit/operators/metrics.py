@@ -159,6 +159,23 @@ def step_metrics(df: DataFrame, row_key: list[str], gamma: float, loss_col: str
                                      F.sum("_p").alias("cond_total"), *_row_loss("_l", "_w"))
 
 
+def step_metrics_rows(df: DataFrame, row_key: list[str], num_steps: int, gamma: float, steps_col: str = "s") -> DataFrame:
+    """M11 where a position's steps lie in its row: ``steps_col`` is an array
+    of ``(loss, correct, mask, prev)`` from step 0 on, shorter at a sample's
+    end.  All steps of a sample are summed in one grouping of its positions
+    (no row per step before it); only a row per sample and step meets the
+    last, small one."""
+    sums = []
+    for k in range(num_steps):
+        x = F.get(F.col(steps_col), F.lit(k))
+        w = x["mask"].cast("double")
+        sums.append(F.struct(
+            F.lit(k).alias("step"), F.count(x).alias("rows"), F.count_if(x["correct"] & x["prev"] & x["mask"]).alias("c"), F.count_if(x["mask"]).alias("t"),
+            F.count_if(x["prev"]).alias("p"), F.sum(x["loss"] * w * F.lit(gamma ** k)).alias("_l"), F.sum(w).alias("_w")))
+    per = df.groupBy(*row_key).agg(F.array(*sums).alias("_k")).select(F.inline("_k")).filter(F.col("rows") > 0)
+    return per.groupBy("step").agg(F.sum("c").alias("full_correct"), F.sum("t").alias("full_total"), F.sum("p").alias("cond_total"), *_row_loss("_l", "_w"))
+
+
 def position_metrics(df: DataFrame, row_key: list[str], num_pos: int, pos_col: str, decay: Column | None = None,
                      loss_col: str = "loss", correct_col: str = "correct", mask_col: str = "mask") -> DataFrame:
     """Per position of a block (or per depth) the masked-in

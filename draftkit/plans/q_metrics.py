@@ -81,8 +81,9 @@ def m11(spark, sf):
     p = D.prediction_steps(spark, sf)
     p = p.withColumn("correct", F.transform("s", lambda x: x["pred"] == x["target"]))
     p = p.withColumn("prev", M.chain_in_row(F.col("correct"), F.col("s.mask")))
-    rows = p.select("sample_idx", F.inline(F.arrays_zip("s", "correct", "prev"))).select("sample_idx", "s.*", "correct", "prev")
-    a = M.step_metrics(rows.withColumn("loss", M.kl_div(*D.draw_logits(F.col("draw")))), ["sample_idx"], 0.8)
+    steps = F.zip_with(F.arrays_zip("s", "prev"), "correct", lambda z, c: F.struct(
+        M.kl_div(*D.draw_logits(z["s"]["draw"])).alias("loss"), c.alias("correct"), z["s"]["mask"].alias("mask"), z["prev"].alias("prev")))
+    a = M.step_metrics_rows(p.select("sample_idx", steps.alias("s")), ["sample_idx"], 3, 0.8)
     return a.select("step", "full_correct", "full_total", "cond_total",
                     r6(F.col("full_correct") / F.col("full_total")).alias("full_acc"),
                     r6(F.col("full_correct") / F.col("cond_total")).alias("cond_acc"),

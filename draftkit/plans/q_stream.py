@@ -11,6 +11,7 @@ from draftkit.plans import derived as D
 from draftkit.plans import prepare as P
 from draftkit.plans.catalog import register, table
 from draftkit.plans.sqlgen import TOKEN_RE, scrape_cte, turn_tokens_ctes
+from draftkit.streaming import keyed as K
 from draftkit.streaming import streams as X
 
 
@@ -96,19 +97,55 @@ def x5t(spark, sf):
     return x5(spark, sf)
 
 
-@register("X6_stream_counter_deltas", f"""
+@register("X5_stream_failure_alarm_state", REGISTRY_X5_SQL)
+def x5s(spark, sf):
+    """Keyed map state and event-time timers (``transformWithState``), a
+    micro-batch per file, in any order within the delay."""
+    s = _stream(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
+    out, ck = X.scratch(spark, "x5-updates"), X.scratch(spark, "x5-ck")
+    X.run_available(_updates(K.failure_alarm_state(s, 3, "3650 days"), out, ck))
+    return K.last_rows(spark.read.parquet(out), ["user_id"]).select("user_id", "max_fail_run", "alarm")
+
+
+def _updates(frame, out, ck):
+    """An update-mode stream, an epoch a folder."""
+    sink = X.epoch_sink(out, lambda batch, earlier: batch, history=False)
+    return frame.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start()
+
+
+_X6_SQL = f"""
 WITH {scrape_cte('sa')}, {scrape_cte('sb', "ts < TIMESTAMP '2024-01-15 00:00:00'")},
 u AS (SELECT subset || '|' || name || '|' || coalesce(position::VARCHAR, '') AS series, 0 AS scrape, value FROM sb
       UNION ALL SELECT subset || '|' || name || '|' || coalesce(position::VARCHAR, ''), 1, value FROM sa)
 SELECT series, scrape::BIGINT AS scrape, value,
-       value - coalesce(lag(value) OVER (PARTITION BY series ORDER BY scrape), 0) AS delta FROM u""")
-def x6(spark, sf):
+       value - coalesce(lag(value) OVER (PARTITION BY series ORDER BY scrape), 0) AS delta FROM u"""
+
+
+@register("X6_stream_counter_deltas_state", _X6_SQL)
+def x6s(spark, sf):
+    """The scrapes as files in no order: the later scrape first."""
+    scr, src = _scrapes(spark, sf), X.scratch(spark, "x6-src")
+    for k in (1, 0):
+        scr.filter(F.col("scrape") == k).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(scr.schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("scrape", F.col("scrape") + 1)
+    out, ck = X.scratch(spark, "x6-updates"), X.scratch(spark, "x6-ck")
+    X.run_available(_updates(K.counter_deltas_state(s, "1 day"), out, ck))
+    last = K.last_rows(spark.read.parquet(out), ["series", "scrape"])
+    return last.select("series", (F.col("scrape") - 1).alias("scrape"), "value", "delta")
+
+
+def _scrapes(spark, sf):
+    """Counter series of two scrapes, (series, scrape, value)."""
     series = F.concat_ws("|", "subset", "name", F.coalesce(F.col("position").cast("string"), F.lit("")))
     b = D._event_scrape(table(spark, sf, "events").filter(F.col("ts") < F.lit(D.BASELINE_INSTANT).cast("timestamp_ntz")))
     a = D.scrape(spark, sf)
-    scr = (b.select(series.alias("series"), F.lit(0).cast("long").alias("scrape"), "value")
-            .unionByName(a.select(series.alias("series"), F.lit(1).cast("long").alias("scrape"), "value")))
-    src = X.scratch(spark, "x6-src")
+    return (b.select(series.alias("series"), F.lit(0).cast("long").alias("scrape"), "value")
+             .unionByName(a.select(series.alias("series"), F.lit(1).cast("long").alias("scrape"), "value")))
+
+
+@register("X6_stream_counter_deltas", _X6_SQL)
+def x6(spark, sf):
+    scr, src = _scrapes(spark, sf), X.scratch(spark, "x6-src")
     scr.write.parquet(src)
     s = spark.readStream.schema(scr.schema).parquet(src)
     out, ck = X.scratch(spark, "x6-out"), X.scratch(spark, "x6-ck")

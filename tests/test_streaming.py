@@ -245,3 +245,44 @@ def test_summaries_add_up_in_time_order(spark):
             best = max(best, run)
         want[u] = (best, run)
     assert got == want
+
+
+def _update_epochs(frame, out, ck):
+    """An update-mode stream into a folder per epoch, as the table forms do."""
+    sink = X.epoch_sink(out, lambda batch, earlier: batch, history=False)
+    frame.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_keyed_runs_out_of_order(spark, tmp_path):
+    """Files in no order within the delay, small Arrow chunks, hours closed
+    by timers: as the batch computation."""
+    import random
+
+    from draftkit.streaming import keyed
+    rnd = random.Random(3)
+    rows = [(u, i, i * 1500 + rnd.randrange(1000), rnd.random() < 0.7) for u in range(4) for i in range(rnd.randint(5, 30))]
+    schema = "user_id long, event_id long, t long, failed boolean"
+    src = _write_parts(spark, rows, schema, lambda r: [[x for x in r if x[1] // 8 == k][::-1] for k in (1, 0, 2, 3)])
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+         .withColumn("ts", F.timestamp_seconds("t")))
+    chunk = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        _update_epochs(keyed.failure_alarm_state(s, 3, "5 hours"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
+    got = {r.user_id: (r.max_fail_run, r.alarm) for r in keyed.last_rows(spark.read.parquet(str(tmp_path / "out")), ["user_id"]).collect()}
+    runs = R.failure_runs(spark.createDataFrame(rows, schema), ["user_id"], ["t", "event_id"], "failed", 3)
+    assert got == {r.user_id: (r.max_fail_run, r.abort) for r in runs.collect()}
+
+
+def test_keyed_deltas_out_of_order(spark, tmp_path):
+    from draftkit.streaming import keyed
+    values = {"a": [5, 9, 9, 20, 26, 30], "b": [1, 4]}
+    rows = [(s, 10_000 + k, float(v)) for s, vs in values.items() for k, v in enumerate(vs)]
+    schema = "series string, scrape long, value double"
+    src = _write_parts(spark, rows, schema, lambda r: [[x for x in r if x[1] % 10 in (3, 1)], [x for x in r if x[1] % 10 in (2, 5)], [x for x in r if x[1] % 10 in (0, 4)]])
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    _update_epochs(keyed.counter_deltas_state(s, "1 hour"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {(r.series, r.scrape): r.delta for r in keyed.last_rows(spark.read.parquet(str(tmp_path / "out")), ["series", "scrape"]).collect()}
+    assert got == {(s, 10_000 + k): float(v - (vs[k - 1] if k else 0)) for s, vs in values.items() for k, v in enumerate(vs)}
