@@ -44,6 +44,8 @@ PIECE = 256
 SHARD_WORDS, KEY_WORDS = 1 << 16, 1 << 16
 #: Pieces of a chunk that streams.
 CHUNK = 512
+#: Compression of automata and chunks, which are written and shuffled once.
+PACKED = 9
 #: Cuts by hash order before a key's windows are taken one by one.
 ORDERS = 2
 
@@ -330,7 +332,7 @@ class Automaton:
                   np.diff(np.array(self.length, np.int32), prepend=np.int32(0)), np.array(list(self.more), np.int32), size, words, to]
         head = np.array([n, len(size), len(words)], np.int64).tobytes()
         data = head + b"".join(x.tobytes() for x in arrays) + bytes(self.count) + b" ".join(self.ids)
-        return zstandard.ZstdCompressor(level=3).compress(data)
+        return zstandard.ZstdCompressor(level=PACKED).compress(data)
 
     @classmethod
     def unpack(cls, data: bytes) -> Automaton:
@@ -364,6 +366,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk(shard, rows) -> pa.RecordBatch:
         k, h, w = zip(*rows)
+        w = zstandard.ZstdCompressor(level=PACKED).compress("\n".join(w).encode())
         return pa.RecordBatch.from_pylist([{"shard": shard, "keys": k, "hashes": h, "texts": w}], SHARD)
 
     at, automaton, rows, before = None, None, [], None
@@ -387,7 +390,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed(at, automaton)
 
 
-SHARD = pa.schema([("shard", pa.int64()), ("automaton", pa.binary()), ("keys", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+SHARD = pa.schema([("shard", pa.int64()), ("automaton", pa.binary()), ("keys", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
 
 def _stream(length: int):
@@ -400,8 +403,8 @@ def _stream(length: int):
                 if shard != at:
                     at, automaton = shard, Automaton.unpack(batch.column(4)[k].as_py())
                 cols: list[list] = [[], [], [], []]
-                for key, h, words in zip(keys, hashes, texts):
-                    for a, b in automaton.spans(words.encode().split(b" "), length):
+                for key, h, words in zip(keys, hashes, zstandard.ZstdDecompressor().decompress(texts).split(b"\n")):
+                    for a, b in automaton.spans(words.split(b" "), length):
                         for c, x in zip(cols, (key, h, a, b)):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "hash", "from", "to"])
@@ -450,7 +453,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, order: int = 0) -> Da
         cool = reference
     shards = max(1, -(-total // SHARD_WORDS))
     cool = cool.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "hash", "n", "words").repartition("shard").sortWithinPartitions("shard", "key", "hash")
-    built, automata_place = written_at(arrow_map(cool, _build, "shard long, automaton binary, keys array<long>, hashes array<long>, texts array<string>"), "automata")
+    built, automata_place = written_at(arrow_map(cool, _build, "shard long, automaton binary, keys array<long>, hashes array<long>, texts binary"), "automata")
     chunks = built.where(F.col("keys").isNotNull()).select("shard", "keys", "hashes", "texts")
     automata = built.where(F.col("automaton").isNotNull()).select("shard", "automaton")
     spans = arrow_map(checked_broadcast_join(chunks, automata, "shard").select("shard", "keys", "hashes", "texts", "automaton"), _stream(length),
