@@ -85,7 +85,6 @@ def test_odd_rows_pass_every_stage(spark):
         after = Counter(map(tuple, out.collect()))
         assert not after - before and after, name  # rows stay as they are, or go
         docs = C.written(out, "test-odd")
-    assert 90_005 in {r[0] for r in before}
 
 
 def test_entry_holds_the_queries():
