@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftkit.session import materialize, scratch_path, ship_package
+from draftkit.session import materialize, scratch_path, small_batches
 
 #: Rows of fixed small width that a broadcast may hold (16 bytes each: 16 MB).
 BROADCAST_ROWS = 1_000_000
@@ -38,20 +38,8 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
 
 
-#: Bounds of an Arrow batch (whole texts travel in them) and entries of a
-#: worker's memory of words.
-BATCH_ROWS, BATCH_BYTES, MEMORY = 1000, 8 << 20, 100_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Ship the package to the Python workers and bound their batches: a
-    worker holds a few MB of texts at a time, whatever their length."""
-    ship_package(spark)
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key).rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+#: Entries of a worker's memory of words.
+MEMORY = 100_000
 
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:

@@ -19,18 +19,21 @@ must start with a character that cannot extend a word token.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex as _re
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftkit.functions.index import dense_index, running_sum
 from draftkit.functions.joins import checked_broadcast_join, measured_bytes
 from draftkit.functions.text import TOKEN_PATTERN, tokenize, tokenize_local
-from draftkit.session import materialize
+from draftkit.session import materialize, small_batches
 
 _WORD = _re.compile(r"[\p{L}\p{N}]")
 BOS_ORD = -(2 ** 62)
@@ -306,15 +309,38 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
                                  T.StructField("end", T.IntegerType())]))
 
 
+def _ints(values: array) -> pa.Array:
+    return pa.array(np.frombuffer(values, np.int32) if len(values) else np.empty(0, np.int32))
+
+
+def span_lists(rows: Iterable[Iterable[tuple[int, int]]]) -> pa.ListArray:
+    """SPAN values from every row's (start, end) pairs: eight bytes a span,
+    where a list of dicts takes hundreds."""
+    ends, pairs = array("i", [0]), array("i")
+    for row in rows:
+        for pair in row:
+            pairs.extend(pair)
+        ends.append(len(pairs) // 2)
+    both = np.frombuffer(pairs, np.int32).reshape(-1, 2) if len(pairs) else np.empty((0, 2), np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["start", "end"])
+    return pa.ListArray.from_arrays(_ints(ends), spans)
+
+
+def _matches(texts: pa.Array, rx, group: int) -> Iterator[Iterator[tuple[int, int]]]:
+    """Each text's matches, one text at a time as a Python string."""
+    return ((m.span(group) for m in rx.finditer(t.as_py() or "")) for t in texts)
+
+
 def assistant_spans(text: Column, pattern: str) -> Column:
     """T5: character spans of group 1 of every (leftmost, non-overlapping,
-    DOTALL) match.  Spark has no match positions, so this is an
-    Arrow-batched pandas UDF (one regex scan per row, no shuffle)."""
+    DOTALL) match.  Spark has no match positions, so this is an Arrow UDF
+    over small batches (one regex scan per row, no shuffle)."""
     rx = _re.compile(pattern, _re.DOTALL)
+    small_batches(SparkSession.active())
 
-    @F.pandas_udf(SPAN)
-    def _spans(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"start": m.start(1), "end": m.end(1)} for m in rx.finditer(t or "")])
+    @F.arrow_udf(SPAN)
+    def _spans(s: pa.Array) -> pa.Array:
+        return span_lists(_matches(s, rx, 1))
     return _spans(text)
 
 
@@ -322,6 +348,8 @@ def assistant_spans(text: Column, pattern: str) -> Column:
 ENCODING = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
                          T.StructField("offsets", SPAN)])
 _TOKENIZERS: dict = {}
+#: Texts that a tokenizer encodes at a time (its encodings are large).
+ENCODE_ROWS = 32
 
 
 def _load_tokenizer(path: str):
@@ -334,31 +362,34 @@ def _load_tokenizer(path: str):
 
 def encode_with_tokenizer(text: Column, tokenizer_path: str, max_length: int | None = None) -> Column:
     """T4 (b): ids and character offsets from a ``tokenizers`` JSON file
-    (no special tokens, truncated at ``max_length``).  Arrow-batched: each
-    batch is encoded with ``encode_batch``; the file must be readable by
+    (no special tokens, truncated at ``max_length``).  Arrow-batched: a few
+    texts at a time are encoded with ``encode_batch``; the file must be readable by
     every executor (shared folder or ``SparkContext.addFile``)."""
-    @F.pandas_udf(ENCODING)
-    def _enc(s: pd.Series) -> pd.DataFrame:
+    small_batches(SparkSession.active())
+
+    @F.arrow_udf(ENCODING)
+    def _enc(s: pa.Array) -> pa.Array:
         tok = _load_tokenizer(tokenizer_path)
-        encs = tok.encode_batch([t or "" for t in s.tolist()], add_special_tokens=False)
-        ids, offs = [], []
-        for e in encs:
-            i, o = e.ids, e.offsets
-            if max_length is not None:
-                i, o = i[:max_length], o[:max_length]
-            ids.append(list(i))
-            offs.append([{"start": a, "end": b} for a, b in o])
-        return pd.DataFrame({"ids": ids, "offsets": offs})
+        ids, ends, offs = array("i"), array("i", [0]), []
+        for a in range(0, len(s), ENCODE_ROWS):
+            encs = tok.encode_batch([t or "" for t in s.slice(a, ENCODE_ROWS).to_pylist()], add_special_tokens=False)
+            for e in encs:
+                ids.extend(e.ids[:max_length])
+                ends.append(len(ids))
+            offs.append(span_lists(e.offsets[:max_length] for e in encs))
+        offs = pa.concat_arrays(offs) if offs else span_lists([])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_ints(ends), _ints(ids)), offs], ["ids", "offsets"])
     return _enc(text)
 
 
 def token_offsets(text: Column) -> Column:
     """Character offsets of the regex tokens (Arrow UDF, one scan per row)."""
     rx = _re.compile(TOKEN_PATTERN)
+    small_batches(SparkSession.active())
 
-    @F.pandas_udf(SPAN)
-    def _offs(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"start": m.start(), "end": m.end()} for m in rx.finditer(t or "")])
+    @F.arrow_udf(SPAN)
+    def _offs(s: pa.Array) -> pa.Array:
+        return span_lists(_matches(s, rx, 0))
     return _offs(text)
 
 

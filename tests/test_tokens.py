@@ -178,3 +178,23 @@ def test_sweep_equals_span_by_span(spark):
     assert got == want and any(any(r[3] or ()) for r in got.values())
     dealt = TK.overlap_mask_sweep(df.repartition("k"), ["k"], "offsets", "spans", "m")._jdf.queryExecution().executedPlan().toString()
     assert dealt.count("Exchange") == 1
+
+
+def test_spans_are_made_in_small_batches(spark):
+    """Whole texts travel in batches of bounded rows and bytes, and a span
+    takes eight bytes: a worker's memory does not grow with the table."""
+    import tracemalloc
+
+    for key, usual in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", "268435456")):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", usual)
+    df = spark.createDataFrame([("a b",), (None,), ("",)], "text string").select("text", TK.token_offsets(F.col("text")).alias("o"),
+                                                                                 TK.assistant_spans(F.col("text"), "(b)").alias("s"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    got = {r.text: ([tuple(x) for x in r.o], [tuple(x) for x in r.s]) for r in df.collect()}
+    assert got == {"a b": ([(0, 1), (2, 3)], [(2, 3)]), None: ([], []), "": ([], [])}
+    tracemalloc.start()
+    spans = TK.span_lists((((i, i + 1) for i in range(200_000)) for _ in range(2)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and len(spans) == 2 and spans[1][199_999].as_py() == {"start": 199_999, "end": 200_000}
