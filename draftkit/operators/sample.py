@@ -7,7 +7,6 @@ from collections import deque
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from draftkit.functions.index import dense_index, running_sum
 from draftkit.functions.keys import order_key
 from draftkit.functions.select import first_in_order
+from draftkit.session import small_batches
 
 
 # ------------------------------------------------------------ R1 - R4
@@ -244,23 +244,24 @@ def call_with_retries(fn, item, retries: int = 3, base_delay: float = 2.0, sleep
 
 def bulk_call_batches(df: DataFrame, fn, out_col: str, out_type: str, inputs: list[str] | None = None) -> DataFrame:
     """Call ``fn(rows) -> [(result, attempts, error), ...]`` once per
-    Arrow batch inside ``mapInPandas`` (partitions run in parallel on
-    executors).  ``rows`` are dicts of the ``inputs`` columns (default: all);
-    results must come in the same order."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, " \
-             f"`{out_col}` {out_type}, attempts int, error string"
+    Arrow batch inside ``mapInArrow`` (partitions run in parallel on
+    executors).  Batches are small (``session.small_batches``), and only the
+    rows of one are Python objects.  ``rows`` are dicts of the ``inputs``
+    columns (default: all); results must come in the same order."""
+    small_batches(df.sparkSession)
+    added = f"`{out_col}` {out_type}, attempts int, error string"
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
 
     def run(batches):
-        for pdf in batches:
-            res = fn((pdf[inputs] if inputs else pdf).to_dict("records"))
-            if len(res) != len(pdf):
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            res = fn((batch.select(inputs) if inputs else batch).to_pylist())
+            if len(res) != batch.num_rows:
                 raise ValueError("the call must return one result per row")
-            pdf = pdf.copy()
-            for k, c in enumerate((out_col, "attempts", "error")):
-                # as objects: whole numbers beside nulls don't become floats
-                pdf[c] = pd.Series([r[k] for r in res], index=pdf.index, dtype=object)
-            yield pdf
-    return df.mapInPandas(run, schema)
+            fields = list(target)[batch.num_columns:]
+            cols = [pa.array([r[k] for r in res], f.type, from_pandas=True) for k, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=pa.schema([*batch.schema, *fields]))
+    return df.mapInArrow(run, schema)
 
 
 def bulk_call(df: DataFrame, fn, out_col: str, out_type: str, retries: int = 3,
@@ -292,8 +293,7 @@ def bulk_call_window(df: DataFrame, fn, out_col: str, out_type: str, concurrency
     was made), ``attempted`` and ``stopped`` (the row whose failure was the
     last straw).  An ``fn`` with a method ``start`` has it called once in
     every task."""
-    from draftkit.session import ship_package
-    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     scope = list(scope or [])
     added = [f"`{out_col}` {out_type}", "attempts int", "error string", "attempted boolean", "stopped boolean"]
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(added)).fields])

@@ -347,7 +347,7 @@ class _Unsteady:
         if row is not self.row:  # calls for a row follow each other
             self.row, self.calls = row, 0
         self.calls += 1
-        rest = row["doc_id"] % 6
+        rest = -1 if row["doc_id"] is None else row["doc_id"] % 6
         if rest == 5:
             raise R.InvalidResponse("no ids")
         if rest == 4 or self.calls <= rest:

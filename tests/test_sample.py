@@ -223,3 +223,26 @@ def test_windowed_calls(spark):
     rows = R.bulk_call_window(df, _server(broken=[3]), "out", "bigint", concurrency=5, retries=1, base_delay=0).collect()
     assert max(r.out or 0 for r in rows) == 5 and [r.error for r in rows if r.error] == ["invalid response: no"]
     assert R.bulk_call_window(df.where("false"), _server(), "out", "bigint").count() == 0
+
+
+def test_bulk_call_gets_small_batches(spark):
+    """However many rows a partition has and whatever the session allows, a
+    call gets at most 1000 rows (and 8 MB) at once; the windowed form, too."""
+    for key, usual in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", "268435456")):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", usual)
+    df = spark.range(5000).coalesce(1).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 20)).alias("text"))
+    rows = R.bulk_call_batches(df, lambda rows: [(len(rows), 1, None) for _ in rows], "out", "bigint", inputs=["text"]).collect()
+    assert sorted(r["k"] for r in rows) == list(range(5000)) and max(r["out"] for r in rows) <= 1000
+    long = spark.range(40).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = R.bulk_call_batches(long, lambda rows: [(len(rows), 1, None) for _ in rows], "out", "bigint").agg(F.max("out"), F.count("*")).first()
+    assert sizes[0] <= 10 and sizes[1] == 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    R.bulk_call_window(df, lambda row: 1, "out", "bigint")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_retries_of_rows_without_an_id(spark, tmp_path):
+    from __spark_entry__ import queries
+    spark.createDataFrame([(None, "abc"), (7, None), (11, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["out"], r["attempts"], r["error"]) for r in queries()["R18_bulk_call_retries"](spark, str(tmp_path)).collect()}
+    assert got == {None: (3, 1, None), 7: (-1, 2, None), 11: (-1, 1, "invalid response: no ids")}
