@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -42,22 +43,46 @@ _BLOCK = 1 << 10
 _GATHER = 1 << 14
 
 
+class _Kinds(dict):
+    """Code point -> capital, small letter, digit or the sign itself."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if len(self) > MEMORY:
+            self.clear()
+        self[point] = k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return k
+
+
+_KINDS = _Kinds()
+_ASCII = bytes(ord(_KINDS[k]) for k in range(128)) + bytes(128)
+
 
 def _shape(word: str) -> str:
-    out = []
-    for c in word[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:8])
+    return _short(word[:64].translate(_KINDS))
+
+
+def _short(kinds: str) -> str:
+    return "".join(k for k, _ in groupby(kinds))[:8]
+
+
+@lru_cache(maxsize=MEMORY)
+def _shape_code(kinds: str | bytes) -> int:
+    """The bucket of a word's kinds: many words have the same."""
+    shape = _short(kinds if isinstance(kinds, str) else kinds.decode())
+    return LETTERS * (zlib.crc32(shape.encode()) % SHAPES)
 
 
 class Buckets(dict):
     """word -> letters bucket + LETTERS * shape bucket."""
 
     def __missing__(self, word: str) -> int:
-        letters = "".join(c for c in word.lower() if c.isalnum())
-        got = zlib.crc32(letters.encode()) % LETTERS + LETTERS * (zlib.crc32(_shape(word).encode()) % SHAPES)
+        letters = word.lower()
+        if not letters.isalnum():
+            letters = "".join(filter(str.isalnum, letters))
+        head = word[:64]
+        kinds = head.encode().translate(_ASCII) if head.isascii() else head.translate(_KINDS)
+        got = zlib.crc32(letters.encode()) % LETTERS + _shape_code(kinds)
         if len(self) > MEMORY:
             self.clear()
         self[word] = got
