@@ -9,6 +9,7 @@ stream with a watermark.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,57 +31,127 @@ def _longs(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-def fold_run(run: int, longest: int, failed) -> tuple[int, int]:
-    """The run of failures at the end, and the longest so far."""
-    for bad in failed:
-        run = run + 1 if bad else 0
-        longest = max(longest, run)
-    return run, longest
+def summary(failed: list[bool]) -> tuple[int, int, int, int]:
+    """Rows, failures they begin and end with, and their longest run."""
+    n, run, best, head = len(failed), 0, 0, len(failed)
+    for k, bad in enumerate(failed):
+        if bad:
+            run += 1
+            best = max(best, run)
+        else:
+            head, run = min(head, k), 0
+    return n, head, run, best
+
+
+def fold_run(run: int, longest: int, part: tuple[int, int, int, int]) -> tuple[int, int]:
+    """The run of failures at the end, and the longest so far, with the next
+    rows' summary."""
+    n, head, tail, best = part
+    return (run + n if head == n else tail), max(longest, run + head, best)
+
+
+#: Rows of a block of a key's state at most; one with more is split in halves.
+BLOCK = 512
+_NO_TIME, _LAST_ID, _NO_TIMER = -(2 ** 62), 2 ** 63 - 1, -(2 ** 62)
+_DIRECTORY = ("block", "us", "event_id", "failed", "n", "head", "tail", "best")
 
 
 class RunProcessor(StatefulProcessor):
-    """Consecutive failures of a key.  Map state: hour -> the hour's rows;
-    value state: the run and the longest run of the hours that are closed."""
+    """Consecutive failures of a key.  Its open rows lie in blocks, stretches
+    of the time order of BLOCK rows at most.  Map state: block -> its rows;
+    value state: the run and the longest run of the hours that are closed,
+    the next timer, and a directory with every block's number, first row and
+    summary.  A micro-batch reads and writes the blocks that its rows fall in
+    and the directory, not the rows that came before."""
 
     def __init__(self, k: int):
         self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hours = handle.getMapState("hours", _longs("hour"), T.StructType(
-            [T.StructField(c, T.ArrayType(t)) for c, t in (("ts", T.LongType()), ("event_id", T.LongType()), ("failed", T.BooleanType()))]))
-        self.closed = handle.getValueState("closed", _longs("run", "longest"))
-
-    def _closed(self) -> tuple[int, int]:
-        return tuple(self.closed.get()) if self.closed.exists() else (0, 0)
+        self.blocks = handle.getMapState("blocks", _longs("block"), T.StructType(
+            [T.StructField(c, T.ArrayType(t)) for c, t in (("us", T.LongType()), ("event_id", T.LongType()), ("failed", T.BooleanType()))]))
+        self.open = handle.getValueState("open", T.StructType(
+            [T.StructField(c, T.LongType()) for c in ("run", "longest", "timer", "blocks")]
+            + [T.StructField(c, T.ArrayType(T.LongType())) for c in _DIRECTORY]))
+
+    def _load(self) -> None:
+        """``self.at``: (block, first row, summary) in time order."""
+        self.run, self.longest, self.timer, self.made, self.at = 0, 0, _NO_TIMER, 0, []
+        if self.open.exists():
+            self.run, self.longest, self.timer, self.made, *columns = self.open.get()
+            self.at = [(x[0], (x[1], x[2], bool(x[3])), tuple(x[4:])) for x in zip(*columns)]
+
+    def _save(self) -> None:
+        """With a timer for the end of the first open row's hour."""
+        if self.at:
+            ends = (self.at[0][1][0] // _HOUR + 1) * (_HOUR // 1000)
+            if self.timer == _NO_TIMER or ends < self.timer:
+                self.handle.registerTimer(ends)
+                self.timer = ends
+        rows = [(b, us, i, int(bad), *part) for b, (us, i, bad), part in self.at]
+        columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in _DIRECTORY]
+        self.open.update((self.run, self.longest, self.timer, self.made, *columns))
+
+    def _rows(self, block: int) -> list[tuple]:
+        return list(zip(*self.blocks.getValue((block,))))
+
+    def _write(self, block: int, rows: list[tuple]) -> tuple:
+        us, ids, failed = (list(c) for c in zip(*rows))
+        self.blocks.updateValue((block,), (us, ids, failed))
+        return block, rows[0], summary(failed)
+
+    def _put(self, fresh: list[tuple]) -> None:
+        fresh.sort()
+        firsts, ends = [first for _, first, _ in self.at], len(fresh)
+        # from the last block on: splits change no place that is still to come
+        for k in range(max(len(firsts), 1) - 1, -1, -1):
+            begin = bisect_left(fresh, firsts[k], 0, ends) if k else 0
+            if begin == ends:
+                continue
+            rows = fresh[begin:ends]
+            ends = begin
+            numbers = []
+            if firsts:
+                rows = sorted(self._rows(self.at[k][0]) + rows)
+                numbers = [self.at[k][0]]
+            size = len(rows) if len(rows) <= BLOCK else BLOCK // 2
+            parts = [rows[i:i + size] for i in range(0, len(rows), size)]
+            fresh_numbers = range(self.made, self.made + len(parts) - len(numbers))
+            self.made = fresh_numbers.stop
+            self.at[k:k + 1] = [self._write(n, part) for n, part in zip([*numbers, *fresh_numbers], parts)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
         for chunk in rows:
-            for hour, part in chunk.groupby(chunk["us"] // _HOUR):
-                old = self.hours.getValue((int(hour),)) if self.hours.containsKey((int(hour),)) else ([], [], [])
-                new = (part["us"], part["event_id"], part["failed"])
-                self.hours.updateValue((int(hour),), tuple([*a, *b.tolist()] for a, b in zip(old, new)))
-                self.handle.registerTimer((int(hour) + 1) * (_HOUR // 1000))
-        yield self._result(key)
-
-    def _failed(self, value) -> list[bool]:
-        return [bad for _, _, bad in sorted(zip(*value))]
-
-    def _result(self, key) -> pd.DataFrame:
-        run, longest = self._closed()
-        for _, value in sorted(((h[0], v) for h, v in self.hours.iterator()), key=lambda x: x[0]):
-            run, longest = fold_run(run, longest, self._failed(value))
-        return pd.DataFrame([{"user_id": key[0], "max_fail_run": longest, "current_run": run, "alarm": longest >= self.k}])
+            fresh = [r for r in zip(chunk["us"].tolist(), chunk["event_id"].tolist(), chunk["failed"].tolist()) if r[0] != _NO_TIME]
+            if fresh:
+                self._put(fresh)
+        self._save()
+        run, longest = self.run, self.longest
+        for _, _, part in self.at:
+            run, longest = fold_run(run, longest, part)
+        yield pd.DataFrame([{"user_id": key[0], "max_fail_run": longest, "current_run": run, "alarm": longest >= self.k}])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Hours that ended by the timer's instant are folded, in order."""
-        by = expiredTimerInfo.getExpiryTimeInMs() * 1000 // _HOUR
-        run, longest = self._closed()
-        for hour in sorted(h[0] for h in self.hours.keys()):
-            if hour < by:
-                run, longest = fold_run(run, longest, self._failed(self.hours.getValue((hour,))))
-                self.hours.removeKey((hour,))
-        self.closed.update((run, longest))
+        """Hours that ended by the watermark are folded, in order: whole
+        blocks from their summaries."""
+        self._load()
+        by = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000 // _HOUR * _HOUR
+        while self.at and self.at[0][1][0] < by:
+            block, _, part = self.at.pop(0)
+            rest = []
+            if not self.at or self.at[0][1][0] >= by:  # the last one may go beyond
+                rows = self._rows(block)
+                rest = [r for r in rows if r[0] >= by]
+                part = summary([bad for us, _, bad in rows if us < by])
+            self.run, self.longest = fold_run(self.run, self.longest, part)
+            if rest:
+                self.at.insert(0, self._write(block, rest))
+                break
+            self.blocks.removeKey((block,))
+        self.timer = _NO_TIMER
+        self._save()
         yield from ()
 
     def close(self) -> None:
@@ -93,10 +164,13 @@ RUN_OUT = "user_id bigint, max_fail_run bigint, current_run bigint, alarm boolea
 def failure_alarm_state(events: DataFrame, k: int, delay: str, key_col: str = "user_id") -> DataFrame:
     """Per key of a micro-batch the longest and the current run of
     failures, over all rows so far that came within ``delay``, in time order
-    whatever the order of arrival (update mode: a key's last row counts)."""
-    d = events.select(F.col(key_col).cast("bigint").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+    whatever the order of arrival (update mode: a key's last row counts).
+    Rows without a time are in no run; of rows of one instant those without
+    an id come last."""
+    d = events.select(F.col(key_col).cast("bigint").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"),
+                      F.coalesce(F.col("event_id").cast("bigint"), F.lit(_LAST_ID)).alias("event_id"),
                       F.coalesce("failed", F.lit(False)).alias("failed"))
-    d = d.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    d = d.withWatermark("ts", delay).withColumn("us", F.coalesce(F.unix_micros("ts"), F.lit(_NO_TIME)))
     use_state_store(events.sparkSession)
     return d.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=RunProcessor(k), outputStructType=RUN_OUT, outputMode="Update", timeMode="EventTime")

@@ -286,3 +286,101 @@ def test_keyed_deltas_out_of_order(spark, tmp_path):
     _update_epochs(keyed.counter_deltas_state(s, "1 hour"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {(r.series, r.scrape): r.delta for r in keyed.last_rows(spark.read.parquet(str(tmp_path / "out")), ["series", "scrape"]).collect()}
     assert got == {(s, 10_000 + k): float(v - (vs[k - 1] if k else 0)) for s, vs in values.items() for k, v in enumerate(vs)}
+
+
+class _State(dict):
+    """Map state, value state and timers of one key, with counts of calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getMapState(self, *a):  # noqa: N802
+        return self
+
+    def getValueState(self, *a):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self, *a):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self[key]
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.add(ms)
+
+
+def _keyed(rows, batches, watermark=None, k=3):
+    """Longest run after every batch of one key's rows, and the state."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from draftkit.streaming import keyed
+    state, out = _State(), []
+    p = keyed.RunProcessor(k)
+    p.init(state)
+    for n, batch in enumerate(batches):
+        frame = pd.DataFrame([rows[i] for i in batch], columns=["us", "event_id", "failed"])
+        got = [*p.handleInputRows((1,), iter([frame[:len(frame) // 2], frame[len(frame) // 2:]]), None)][0].iloc[0]
+        out.append((got["max_fail_run"], got["current_run"]))
+        for ms in sorted(t for t in state.timers if watermark and t <= watermark(n)):
+            state.timers.discard(ms)
+            [*p.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark(n)), SimpleNamespace(getExpiryTimeInMs=lambda: ms))]
+    return out, state
+
+
+def _slow_runs(rows):
+    run = longest = 0
+    for _, _, bad in sorted(rows):
+        run = run + 1 if bad else 0
+        longest = max(longest, run)
+    return longest, run
+
+
+def test_keyed_runs_read_what_a_batch_touches():
+    """Rows in any order, with ties and repeats: exact after every batch; the
+    work of a batch does not grow with the rows that came before."""
+    import random
+    rnd = random.Random(7)
+    minute = 60_000_000
+    rows = [(rnd.randrange(3000) * minute, rnd.randrange(5), rnd.random() < 0.8) for _ in range(6000)]
+    order = [*range(6000)]
+    batches = [order[a:a + 500] for a in range(0, 6000, 500)]
+    out, state = _keyed(rows, batches)
+    assert out == [_slow_runs(rows[:b[-1] + 1]) for b in batches]
+    # a late stretch of rows in time order: few blocks a batch, many hours open
+    rows = [(i * 40 * minute, i, rnd.random() < 0.8) for i in range(6000)]
+    out, state = _keyed(rows, [range(a, a + 10) for a in range(0, 6000, 10)])
+    assert out[-1] == _slow_runs(rows) and state.calls < 600 * 6
+
+
+def test_keyed_runs_close_by_the_watermark():
+    """Closed hours leave their blocks; later rows go on from them."""
+    import random
+    rnd = random.Random(8)
+    second = 1_000_000
+    rows = [(i * 20 * second + rnd.randrange(second), i, rnd.random() < 0.85) for i in range(5000)]
+    batches = []
+    for a in range(0, 5000, 250):
+        b = [*range(a, a + 250)]
+        rnd.shuffle(b)
+        batches.append(b)
+    # watermark two batches behind
+    out, state = _keyed(rows, batches, lambda n: max(0, (n - 1) * 250 * 20 * 1000))
+    assert out == [_slow_runs(rows[:(n + 1) * 250]) for n in range(len(batches))]
+    assert sum(len(v[0]) for v in state.values()) < 1000
