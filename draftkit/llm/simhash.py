@@ -15,7 +15,9 @@
    fingerprints, they go by blocks: of one block more than bits may differ,
    one is equal in any two partners, so each block's equal values are a group
    of their own, and so on over the bits that are left.  Shards that hold
-   far more rows than others are dealt out by the same blocks first.
+   far more homes than others are dealt out by the same blocks first (queries
+   alone make a shard large only far beyond that: each level of the tree adds
+   some); the many small groups that blocks make travel in buckets.
 4. Links between distinct fingerprints join to components.
 """
 
@@ -37,8 +39,14 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Distinct fingerprints in a shard, about; the tree is fitted on one in
 #: SAMPLE_EVERY of them, and on no more than about SAMPLE_MOST.
 SHARD, SAMPLE_EVERY, SAMPLE_MOST = 1 << 14, 256, 1 << 22
+#: A group of more than so many times SHARD homes, or rows, goes by blocks.
+MOST_HOMES, MOST_ROWS = 4, 64
+#: Fingerprints that go down the tree at once: a node costs the same for few.
+ROUTED = 1 << 15
 #: Fingerprints in a leaf that is compared without a further split.
 LEAF = 256
+#: Groups of up to so many are compared side by side.
+FEW = 8
 
 _OFFSETS = np.arange(8) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -123,6 +131,19 @@ def routed(fp: np.ndarray, query: np.ndarray, v: np.uint64, radius: int, bits: i
     yield fp[go], (query | inside)[go]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
+    """The first column of batches, about ``rows`` rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        n += len(held[-1])
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def shards(tree, fp: np.ndarray, query: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     if not len(fp):
         return
@@ -166,18 +187,6 @@ def blocks_of(mask: int, bits: int) -> list[int]:
     return [sum(1 << p for p in places[len(places) * j // k:len(places) * (j + 1) // k]) for j in range(k)]
 
 
-def equal_blocks(fp: np.ndarray, query: np.ndarray, mask: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Groups of two and more that agree in a block, a home among them, with
-    the bits that may still differ: any two partners meet in one of them."""
-    for block in blocks_of(mask, bits):
-        value = fp & np.uint64(block)
-        order = np.argsort(value, kind="stable")
-        cut = np.flatnonzero(np.diff(value[order])) + 1
-        for at in np.split(order, cut):
-            if len(at) > 1 and not query[at].all():
-                yield fp[at], query[at], mask & ~block
-
-
 def links(fp: np.ndarray, query: np.ndarray, bits: int, mask: int = ALL_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The tree goes on until leaves are small; what it can't split, or
     what differs only in the bits of ``mask``, goes by blocks."""
@@ -191,11 +200,30 @@ def links(fp: np.ndarray, query: np.ndarray, bits: int, mask: int = ALL_BITS) ->
         if got is not None:
             stack += [(f, q, mask) for f, q in routed(fp, query, *got, bits)]
         elif len(homes) > LEAF and blocks_of(mask, bits):
-            stack += equal_blocks(fp, query, mask, bits)
+            for block in blocks_of(mask, bits):  # any two partners agree in one of them
+                value = fp & np.uint64(block)
+                order = np.argsort(value, kind="stable")
+                yield from group_links(value[order], fp[order], query[order], bits, mask & ~block)
         else:
             yield leaf_links(homes, np.unique(fp[query]), bits)
 
 
+def group_links(group: np.ndarray, fp: np.ndarray, query: np.ndarray, bits: int, mask: int = ALL_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of groups that lie one after the other: the small ones of all
+    groups together, the others as ``links`` has them."""
+    starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    sizes = np.diff(starts)
+    small = np.repeat(sizes <= FEW, sizes)
+    for step in range(1, min(FEW, len(group))):
+        at = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
+        at = at[(np.bitwise_count(fp[at] ^ fp[at + step]) <= bits) & ~(query[at] & query[at + step])]
+        if len(at):
+            yield fp[at + step], fp[at]
+    for i in np.flatnonzero(sizes > FEW):
+        at = slice(starts[i], starts[i + 1])
+        yield from links(fp[at], query[at], bits, mask)
+
+
 def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (bigint column ``fp``,
     written already) that join all pairs within ``bits`` differing bits,
@@ -209,10 +237,10 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     tree = fit_tree(sample.view(np.uint64), leaves, bits)
 
     def route(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for shard, f, q in shards(tree, fp, np.zeros(len(fp), bool), bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), shard)), pa.array(np.full(len(f), -1)), pa.array(f.view(np.int64)), pa.array(q)], GROUP)
+        for fp in gathered(batches, ROUTED):
+            got = [*shards(tree, fp.view(np.uint64), np.zeros(len(fp), bool), bits)]
+            shard, f, q = np.repeat([g[0] for g in got], [len(g[1]) for g in got]), np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
+            yield from pieces(pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(f), -1)), pa.array(f.view(np.int64)), pa.array(q)], GROUP), ROUTED)
 
     def by_blocks(batches):
         """Rows of a group that is too large -> a row in the group of each of
@@ -229,25 +257,31 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                                                       pa.array(fp[at].view(np.int64)), pa.array(q[at])], GROUP)
 
     def compare(key, table):
-        fp, q = table.column("fp").to_numpy().view(np.uint64), table.column("query").to_numpy()
-        order = np.argsort(fp, kind="stable")  # the same links whatever the order of arrival
-        got = [*links(fp[order], q[order], bits, key[1].as_py() & ALL_BITS)]
+        group, fp, q = table.column("grp").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("query").to_numpy()
+        order = np.lexsort((fp, group))  # the same links whatever the order of arrival
+        got = [*group_links(group[order], fp[order], q[order], bits, key[1].as_py() & ALL_BITS)]
         a, b = (np.concatenate([g[i] for g in got]).view(np.int64) if got else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
+    def compared(groups):
+        return groups.withColumn("bucket", F.pmod("grp", F.lit(buckets))).groupBy("bucket", "mask").applyInArrow(compare, "a long, b long")
+
     dealt = arrow_map(prints.select("fp"), route, _GROUP_SCHEMA)
-    out, mask = None, ALL_BITS
+    out, mask, buckets = None, ALL_BITS, max(len(sample), 1)  # a shard is a bucket
     while leaves > 1 and blocks_of(mask, bits):  # the bits that are left get fewer each time
         dealt = written(dealt, "simhash-dealt")
-        sizes = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-        large = small_side(written(sizes.where(F.col("n") > 4 * SHARD).select("grp"), "simhash-large"))
-        if large.isEmpty():
+        sizes = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("query")).alias("homes"))
+        large = written(sizes.where((F.col("homes") > MOST_HOMES * SHARD) | (F.col("n") > MOST_ROWS * SHARD)).select("grp", "n"), "simhash-large")
+        rows = large.agg(F.sum("n")).first()[0]
+        if not rows:
             break
-        done = dealt.join(large, "grp", "left_anti").groupBy("grp", "mask").applyInArrow(compare, "a long, b long")
+        large = small_side(large.select("grp"))
+        done = compared(dealt.join(large, "grp", "left_anti"))
         out = done if out is None else out.unionByName(done)
         dealt = arrow_map(dealt.join(large, "grp", "left_semi").select(*GROUP), by_blocks, _GROUP_SCHEMA)
         mask &= ~max(blocks_of(mask, bits), key=int.bit_count)
-    last = dealt.groupBy("grp", "mask").applyInArrow(compare, "a long, b long")
+        buckets = -(-rows // SHARD)
+    last = compared(dealt)
     return last if out is None else out.unionByName(last)
 
 

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import GroupedData
 
 from draftkit.llm import simhash as S
 from draftkit.llm.components import components
@@ -207,3 +209,49 @@ def test_large_shards_are_dealt_by_blocks(spark, monkeypatch):
     sets = lambda m: sorted(sorted(x for x in m if m[x] == r) for r in set(m.values()))
     everyone = {f: got.get(f, f) for f in want}
     assert sets(everyone) == sets(want)
+
+
+def partition(edges, nodes):
+    """node -> the smallest node reachable over the edges."""
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        a, b = find(x), find(y)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_few_groups_however_deep_the_tree(spark, monkeypatch, dense):
+    """Queries are most of the rows here.  They send no shard to the blocks,
+    and what goes there anyway is not compared one small group at a time."""
+    monkeypatch.setattr(S, "SHARD", 16)
+    monkeypatch.setattr(S, "SAMPLE_EVERY", 2)
+    fps = ball(1000, 4, 8) if dense else np.array(clustered(2000, 11), np.uint64)
+    df = spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp long")
+    found = [(r.a % 2**64, r.b % 2**64) for r in S.fingerprint_links(df).collect()]
+    assert partition(found, fps.tolist()) == fast_components(fps)
+    plain = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: plain(self, lambda key, rows: pa.table({"a": [key[0].as_py()], "b": [rows.num_rows]}), schema))
+    rows = [r.b for r in S.fingerprint_links(df).collect()]
+    assert sum(rows) > 2 * len(fps)
+    assert len(rows) < len(fps) / 2
+
+
+def test_groups_side_by_side():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 20, 300)
+    group = np.repeat(np.arange(300), sizes)
+    base = np.repeat(rng.integers(0, 1 << 63, 300).astype(np.uint64), sizes)
+    fp = base ^ rng.integers(0, 256, len(group)).astype(np.uint64)
+    query = rng.random(len(group)) < .5
+    found = [e for a, b in S.group_links(group, fp, query, 2) for e in zip(a.tolist(), b.tolist())]
+    near = (np.bitwise_count(fp[:, None] ^ fp) <= 2) & (group[:, None] == group) & ~(query[:, None] & query)
+    pairs = [(int(fp[x]), int(fp[y])) for x, y in zip(*np.nonzero(near))]
+    assert partition(found, set(fp.tolist())) == partition(pairs, set(fp.tolist()))
